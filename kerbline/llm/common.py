@@ -11,6 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
 
 def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
     """Cut a batch into runs of rows of about `most` text bytes; a longer text is a run of its own."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(table[column]), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(table[column]), 0)).astype(np.int64)
     at, total = 0, 0
     for i, x in enumerate(size):
         if i > at and total + x > most:
@@ -173,3 +174,44 @@ def text_array(data: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array
     big = pa.large_string() if kind in (pa.string(), pa.large_string()) else pa.large_binary()
     arr = pa.Array.from_buffers(big, len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(off, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return arr.cast(kind) if off[-1] < 2**31 else arr
+
+
+class Memo:
+    """What a worker has computed for distinct words: by hash, dropped as a whole beyond `most` words, so memory is bounded."""
+
+    def __init__(self, most: int):
+        self.most, self.at, self.values = most, {}, []
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, compute) -> list:
+        """The value of each distinct word; compute(list of words as bytes) -> list of values, for those not yet known."""
+        if len(self.at) > self.most:
+            self.at, self.values = {}, []
+        keys = hashes.tolist()
+        missing = [i for i, h in enumerate(keys) if h not in self.at]
+        if missing:
+            raw = data.tobytes()
+            s, e = starts[missing].tolist(), ends[missing].tolist()
+            found = compute([raw[a:b] for a, b in zip(s, e, strict=True)])
+            n = len(self.values)
+            self.values += found
+            self.at.update(zip([keys[i] for i in missing], range(n, n + len(found)), strict=True))
+        at, values = self.at, self.values
+        return [values[at[h]] for h in keys]
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, place of one occurrence of each, inverse)."""
+    order = np.argsort(hashes)
+    s = hashes[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], order[new], inverse
+
+
+def batches(stream, column: str):
+    """Pieces of a stream of record batches."""
+    for batch in stream:
+        if batch.num_rows:
+            yield from pieces(batch, column)

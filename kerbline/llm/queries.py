@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import encode_and_decode
 from .fm_index import dedup_word_windows
+from .language_id import fit, held_out, identify
+from .packing import pack
 from .radix_substrings import dedup_substrings
 
 
@@ -17,6 +20,13 @@ def _removed(spans: str) -> Column:
     return F.expr(f"aggregate({spans}, 0L, (total, x) -> total + x.end - x.start)").alias("n_removed")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    kept = held_out("doc_id", folds=4, fold=2)
+    model = fit(docs.where(~kept))
+    return identify(docs, model).select("doc_id", kept.alias("held_out"), "lang_pred", "score")
+
+
 def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_word_windows(_table(spark, sf_dir, "documents"), width=20)
     return found.select("doc_id", "n_words", _removed("removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -27,9 +37,27 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", _removed("removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack(_table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end=1, length=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_and_decode(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_fm_index_dedup": op2_fm_index_dedup,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_packing": op8_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
