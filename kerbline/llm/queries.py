@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
+from .collision_search import nearest
 from .fm_index import dedup_word_windows
 from .language_id import fit, held_out, identify
 from .packing import pack
 from .radix_substrings import dedup_substrings
+from .term_search import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,16 @@ def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", _removed("removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, scale=64.0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(_table(spark, sf_dir, "documents"), width=50)
     return found.select("doc_id", "n_bytes", _removed("removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,6 +67,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fm_index_dedup": op2_fm_index_dedup,
+    "op4_top_k_search": op4_top_k_search,
+    "op6_nearest": op6_nearest,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op10_byte_bpe": op10_byte_bpe,
