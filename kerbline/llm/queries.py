@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encode_and_decode
 from .collision_search import nearest
 from .fm_index import dedup_word_windows
+from .hidden_markov import score
 from .language_id import fit, held_out, identify
 from .packing import pack
 from .radix_substrings import dedup_substrings
@@ -54,6 +55,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    kept = held_out("doc_id", folds=7, fold=2)
+    found = score(docs, ~kept)
+    return found.select("doc_id", kept.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_and_decode(_table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
     return found.select(
@@ -71,6 +79,7 @@ QUERIES = {
     "op6_nearest": op6_nearest,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
+    "op9_hidden_markov": op9_hidden_markov,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
