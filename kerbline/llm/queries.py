@@ -10,6 +10,7 @@ from .collision_search import nearest
 from .fm_index import dedup_word_windows
 from .hidden_markov import score
 from .language_id import fit, held_out, identify
+from .near_dedup import near_duplicates
 from .packing import pack
 from .radix_substrings import dedup_substrings
 from .term_search import top_k
@@ -40,6 +41,11 @@ def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fm_index_dedup": op2_fm_index_dedup,
     "op4_top_k_search": op4_top_k_search,
+    "op5_near_dedup": op5_near_dedup,
     "op6_nearest": op6_nearest,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
