@@ -48,17 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def blocks_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
-    """(frame of block, doc_id, text; bytes of text; blocks).
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """(frame of block, doc_id, text and, if columns are given, a struct `rest` of them; bytes of text; blocks).
 
     A document's block is a hash of its id, so a block has the same rows whenever it is computed anew,
     a hot source spreads over all blocks, and several grouped functions reuse one exchange of the texts.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rest = [F.struct(*columns).alias("rest")] if columns else []
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2 * shuffle_partitions(spark), math.ceil(total / BLOCK_BYTES))
-    return own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).select("block", "doc_id", "text"), total, n
+    return own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).select("block", *own.columns), total, n
 
 
 def buckets_for(spark: SparkSession, keys: float) -> int:

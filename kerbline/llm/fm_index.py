@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import byte_values, ids_back, ids_of, span_hashes, text_array, word_spans
 from .repeats import Supers, Units, repeated
@@ -158,4 +159,5 @@ def dedup_word_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    return repeated(docs, id_col, text_col, units, fm_groups, finish, "doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string")
+    schema = T._parse_datatype_string("doc_id long, n_words long, removed array<struct<start:long,end:long>>, kept string")
+    return repeated(docs, id_col, text_col, units, fm_groups, finish, schema)

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Memo, batches, buffers, byte_values, distinct, ids_back, ids_of, span_hashes, word_spans
+from .common import Memo, batches, buffers, byte_values, distinct, span_hashes, word_spans
 
 #: Bytes of text per language that are learned from; at most 32767, so that states fit 16 bits.
 SAMPLE_BYTES = 32_000
@@ -117,15 +118,17 @@ class Model:
 _memos: dict[str, Memo] = {}
 
 
-def _predict(broadcast):
+def _predict(broadcast, id_col: str, text_col: str, names_out: list[str]):
+    """Judge each batch; names_out: the columns of the input that are passed on, or only the id."""
+
     def run(stream):
         model = broadcast.value
         if model.name not in _memos:
             _memos.clear()
             _memos[model.name] = Memo(MEMO_WORDS)
         names, k = model.languages, len(model.languages)
-        for table in batches(stream, "text"):
-            data, off = buffers(table["text"])
+        for table in batches(stream, text_col):
+            data, off = buffers(table[text_col])
             starts, ends, cuts = word_spans(data, off)
             keys, one, inverse = distinct(span_hashes(byte_values(data), starts, ends))
             rows = np.frombuffer(b"".join(_memos[model.name].rows(data, starts[one], ends[one], keys, model.parse)), "<u2").reshape(-1, 1 + k)
@@ -138,13 +141,14 @@ def _predict(broadcast):
             second = ranked[1] if k > 1 else np.full(len(known), np.inf)
             with np.errstate(invalid="ignore"):
                 score = np.where(known & (second > 0), 1 - ranked[0] / np.where(second > 0, second, 1), 0.0)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": ids_back(ids_of(table["doc_id"])),
-                    "lang_pred": pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
-                    "score": pa.array(np.clip(score, 0, 1), pa.float64()),
-                    "bits_per_byte": pa.array(np.where(known, ranked[0], np.nan), pa.float64(), mask=~known),
-                }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[table[c] for c in names_out],
+                    pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
+                    pa.array(np.clip(score, 0, 1), pa.float64()),
+                    pa.array(np.where(known, ranked[0], np.nan), pa.float64(), mask=~known),
+                ],
+                names=[*names_out, *JUDGED],
             )
 
     return run
@@ -176,8 +180,17 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(made)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (how far the best language is ahead, 0 to 1) and bits_per_byte, for every document."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+#: Columns that a judged table has besides its own.
+JUDGED = ("lang_pred", "score", "bits_per_byte")
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """lang_pred, score (how far the best language is ahead, 0 to 1) and bits_per_byte for every document.
+
+    columns: of the input, to pass on; the id alone if not given.  None of them may be called like a judged column.
+    """
+    columns = [id_col] if columns is None else columns
+    own = docs.select(*dict.fromkeys([*columns, text_col]))
+    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_BYTES of text a language
-    return own.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return own.mapInArrow(_predict(shared, id_col, text_col, columns), schema)

@@ -10,6 +10,7 @@ from .collision_search import nearest
 from .fm_index import dedup_word_windows
 from .hidden_markov import score
 from .language_id import fit, held_out, identify
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .radix_substrings import dedup_substrings
@@ -36,6 +37,11 @@ def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", _removed("removed"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(_table(spark, sf_dir, "documents"), min_lines=2, min_chars=50)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, scale=64.0, k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -81,6 +87,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fm_index_dedup": op2_fm_index_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_top_k_search": op4_top_k_search,
     "op5_near_dedup": op5_near_dedup,
     "op6_nearest": op6_nearest,
@@ -90,4 +97,43 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": """
+WITH lines AS (
+    SELECT doc_id, i - 1 AS line, parts[i] AS line_text
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL) d, range(1, len(parts) + 1) r(i)
+), counting AS (
+    SELECT doc_id, line, line_text, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS place
+    FROM lines WHERE trim(replace(replace(line_text, chr(9), ''), chr(13), '')) <> ''
+), windows AS (
+    SELECT doc_id, line, place, line_text, lead(line_text) OVER w AS next_text, lead(line) OVER w AS next_line
+    FROM counting WINDOW w AS (PARTITION BY doc_id ORDER BY place)
+), ranked AS (
+    SELECT doc_id, line, next_line, row_number() OVER (PARTITION BY line_text, next_text ORDER BY doc_id, place) AS occurrence
+    FROM windows WHERE next_line IS NOT NULL AND length(line_text) + length(next_text) >= 50
+), gone AS (
+    SELECT doc_id, line FROM ranked WHERE occurrence > 1
+    UNION SELECT doc_id, next_line FROM ranked WHERE occurrence > 1
+), kept AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
+           string_agg(l.line_text, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS kept
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""",
+    "op4_top_k_search": """
+WITH weights AS (
+    SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.w AS DOUBLE[]), CAST(c.w AS DOUBLE[])) AS BIGINT) AS score
+    FROM weights q, weights c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+""",
+}

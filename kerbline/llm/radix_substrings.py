@@ -15,6 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import ids_back, ids_of, text_array
 from .repeats import Supers, Units, repeated, run_spans
@@ -48,15 +49,21 @@ def radix_groups(body: np.ndarray, off: np.ndarray, counts: np.ndarray, width: i
     return group
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, whole_chars: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Remove every byte that a `width`-byte string covers which also starts in a document with a smaller id.
 
+    columns: of the input, to pass on instead of the id alone; all but the text come back.
+    whole_chars: keep a character unless all its bytes go, so that what is left is text again.
+
     Returns doc_id, n_bytes, removed (array of start and end, maximal runs) and kept (the remaining bytes).
     """
     units = Units(width, min(GRAM_BYTES, max(1, width // 2)), False, False)
 
     def finish(table: pa.Table, s: Supers, gone: np.ndarray) -> pa.Table:
         ids, off = ids_of(table["doc_id"]), s.cuts
+        if whole_chars and len(gone):
+            first = np.flatnonzero((s.data & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, first), np.diff(np.append(first, len(gone))))
         lo, hi = run_spans(gone, off)
         owner = np.searchsorted(off, lo, "right") - 1
         spans = np.searchsorted(lo, off)
@@ -71,4 +78,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             }
         )
 
-    return repeated(docs, id_col, text_col, units, radix_groups, finish, "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    if not columns:
+        return repeated(docs, id_col, text_col, units, radix_groups, finish, schema)
+    rest = [c for c in columns if c != text_col]
+    found = repeated(docs, id_col, text_col, units, radix_groups, finish, schema, rest)
+    return found.select("rest.*", "n_bytes", "removed", "kept")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks_of, buckets_for, buffers, byte_values, gather, ids_of, mix, span_hashes, word_spans
 
@@ -323,10 +323,13 @@ def covered(s: Supers, ids: np.ndarray, units: Units, runs: list[bytes]) -> np.n
     return np.cumsum(mark[:n]) > 0
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve: Callable, finish: Callable, schema: str) -> DataFrame:
-    """finish(texts, super-windows, covered units) -> Arrow table of `schema`, once per block."""
+def repeated(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve: Callable, finish: Callable, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+    """finish(texts, super-windows, covered units) -> Arrow table of `schema`, once per block.
+
+    columns: passed on as a struct `rest`, first in the result.
+    """
     spark = docs.sparkSession
-    base, total, _ = blocks_of(docs, id_col, text_col)
+    base, total, _ = blocks_of(docs, id_col, text_col, columns)
     density = 2 / (units.width - units.gram + 2)
     buckets = buckets_for(spark, total * density / (6 if units.words else 1))
     texts = base.groupBy("block")
@@ -344,7 +347,11 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve:
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         s, ids = supers_of(table["text"], units), ids_of(table["doc_id"])
-        return finish(table, s, covered(s, ids, units, found["runs"].to_pylist()))
+        out = finish(table, s, covered(s, ids, units, found["runs"].to_pylist()))
+        return out.add_column(0, "rest", table["rest"]) if columns else out
+
+    if columns:
+        schema = T.StructType([base.schema["rest"], *schema.fields])
 
     return texts.cogroup(runs.groupBy("block")).applyInArrow(last, schema)
 
