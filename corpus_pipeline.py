@@ -1,10 +1,84 @@
-"""Corpus preparation: language ID, line dedup, near-dedup, substring dedup, packing."""
+"""Corpus preparation: language ID, line dedup, near-dedup, substring dedup, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written
+as Parquet in the shared folder and read again.  All stages but the last return the columns of the input;
+`n_chars` follows the text where a stage changes it.
+
+Rows that share a doc_id are one document to the near-dedup stage: they stay or go together.  Later stages
+treat them as separate texts, of which the substring stage joins its result by id and text.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kerbline.llm.common import ensure_checkpoint_dir
+from kerbline.llm.language_id import UNKNOWN, fit, held_out, identify
+from kerbline.llm.line_dedup import dedup_lines
+from kerbline.llm.near_dedup import near_duplicates
+from kerbline.llm.packing import pack
+from kerbline.llm.radix_substrings import dedup_substrings
+
+
+def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the input, n_chars as the text now has it."""
+    return docs.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else c for c in columns])
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go."""
+    model = fit(docs.where(~held_out("doc_id", folds=4, fold=2)))
+    return identify(docs, model, columns=docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs go; so does a document of which nothing is left."""
+    found = dedup_lines(docs, min_lines=2, min_chars=50)
+    left = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "[\t\r\n]", "")) != ""))
+    return _with_text(left, docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    found = near_duplicates(docs, width=5, percent=85)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
+def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes or more that a document with a smaller id has go from the text."""
+    found = dedup_substrings(docs, width=50, whole_chars=True, columns=docs.columns)
+    return _with_text(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    found = pack(docs, tokenizer="word_bpe_49k.json", end=1, length=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_substrings),
+    ("packing", pack_sequences),
+]
+
+#: SQL cannot express language ID, the near-dedup components or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    place = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{place}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
