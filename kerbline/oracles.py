@@ -2,4 +2,7 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from kerbline import queries  # noqa: F401
+from kerbline.registry import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL"]

@@ -2,4 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from kerbline.plans import scene_queries  # noqa: F401
+from kerbline.registry import QUERIES
+
+__all__ = ["QUERIES"]
