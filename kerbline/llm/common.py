@@ -7,7 +7,6 @@ whole buffers with numpy, so no step runs once per row or per character in Pytho
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.session import cut  # noqa: F401  modules of the subpackage take it from here
+
 #: The bytes that separate words, space and tab to carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text bytes that one block (one call of a grouped function) holds on average.
@@ -36,18 +37,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make one of our own only where none is set, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> tuple[DataFrame, int, int]:
     """(frame of block, doc_id, text and, if columns are given, a struct `rest` of them; bytes of text; blocks).
 
