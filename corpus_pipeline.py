@@ -15,12 +15,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import ensure_checkpoint_dir
 from kerbline.llm.language_id import UNKNOWN, fit, held_out, identify
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
 from kerbline.llm.radix_substrings import dedup_substrings
+from kerbline.session import ensure_checkpoint_dir
 
 
 def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
