@@ -69,7 +69,7 @@ def entities(body: Column, vocab: Vocabulary) -> Column:
 
     def one(line: Column) -> Column:
         kind = F.regexp_extract(line, _ENTITY, 2)
-        parts = F.filter(F.transform(F.split(F.regexp_extract(line, _ENTITY, 3), ","), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(F.regexp_extract(line, _ENTITY, 3), ","), lambda x: F.trim(x)), lambda p: p != "")
         pairs = F.transform(parts, lambda p: F.struct(F.trim(F.split(p, ":", 2)[0]).alias("key"), F.trim(F.get(F.split(p, ":", 2), F.lit(1))).alias("value")))
         good = F.filter(pairs, lambda p: p.value.isNotNull())
         last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda o: o.key == p.key))
@@ -115,9 +115,9 @@ def rules(body: Column) -> Column:
 
     def one(line: Column) -> Column:
         halves = F.split(F.regexp_replace(line, "→", "->"), "->", 2)
-        names = F.transform(F.split(F.trim(halves[0]), r"\s+AND\s+"), F.trim)
+        names = F.transform(F.split(F.trim(halves[0]), r"\s+AND\s+"), lambda x: F.trim(x))
         conditions = F.transform(names, lambda n: F.struct(F.trim(F.regexp_replace(n, r"^NOT\s+", "")).alias("name"), (~F.regexp_like(n, F.lit(r"^NOT\s"))).alias("expected")))
-        actions = F.transform(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ","), F.trim)
+        actions = F.transform(F.split(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), ","), lambda x: F.trim(x))
         error = F.when(F.size(halves) < 2, F.concat(F.lit("rule without arrow: "), line)).when(F.size(actions) != 2, F.concat(F.lit("rule needs two actions: "), line))
         return F.struct(conditions.alias("conditions"), F.get(actions, F.lit(0)).alias("lateral"), F.get(actions, F.lit(1)).alias("longitudinal"), error.alias("error"))
 
@@ -126,7 +126,7 @@ def rules(body: Column) -> Column:
 
 def action(body: Column) -> Column:
     """(lateral, longitudinal, error) from the first line."""
-    parts = F.transform(F.split(F.coalesce(F.get(_lines(body), F.lit(0)), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(F.get(_lines(body), F.lit(0)), F.lit("")), ","), lambda x: F.trim(x))
     ok = F.size(parts) == 2
     return F.struct(F.when(ok, parts[0]).alias("lateral"), F.when(ok, F.get(parts, F.lit(1))).alias("longitudinal"), F.when(~ok, F.lit("bad action")).alias("error"))
 
