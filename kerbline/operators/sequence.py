@@ -151,3 +151,54 @@ def path_at(points: DataFrame, distances: DataFrame, by: str, values: list[str])
     at = asked.join(pairs, by).where("_d >= t0 AND (_d < t1 OR (_d = _hi AND t1 = _hi))")
     share = F.coalesce(F.try_divide(F.col("_d") - F.col("t0"), F.col("t1") - F.col("t0")), F.lit(0.0))
     return at.select(by, "d", *[(F.col(f"{v}0") + share * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v) for v in values])
+
+
+def history_indices(current: Column, n: int, ratio: int) -> Column:
+    """current - (n - 1), ..., current by steps of ratio."""
+    return F.sequence(current - (n - 1), current, F.lit(ratio).cast("long"))
+
+
+def future_indices(horizon: float, dt: float, samples: int) -> list[int]:
+    """Evenly spread indices over a horizon: whole intervals, divided by the samples."""
+    n = int(horizon / dt) + 1
+    step = n // samples
+    return [step * (i + 1) for i in range(samples)]
+
+
+def clamped_profile(profile: DataFrame, frames: DataFrame, by: str, idx: str, values: list[str]) -> DataFrame:
+    """Frames joined to a profile whose last value holds on beyond its end."""
+    last = profile.groupBy(by).agg(F.max(idx).alias("_last"))
+    asked = frames.join(last, by).withColumn("_at", F.least(F.col(idx), F.col("_last")))
+    return asked.join(profile.select(by, F.col(idx).alias("_at"), *values), [by, "_at"]).drop("_at", "_last")
+
+
+def repair_jumps(headings: Column, valid: Column, limit: float = 1.5) -> Column:
+    """A heading that jumps by more than the limit from the repaired one before takes that one's value."""
+    start = F.array().cast("array<double>")
+
+    def step(done: Column, z: Column) -> Column:
+        before = F.when(F.size(done) > 0, F.element_at(done, -1))
+        jump = z["v"] & (F.abs(z["h"] - before) > limit)
+        return F.concat(done, F.array(F.when(F.coalesce(jump, F.lit(False)), before).otherwise(z["h"])))
+
+    return F.aggregate(F.arrays_zip(headings.alias("h"), valid.alias("v")), start, step)
+
+
+def path_between(points: DataFrame, by: str, low: Column, high: Column, values: list[str]) -> DataFrame:
+    """Points of a path with arc length in [low, high]; both ends exactly where fewer than two points lie inside."""
+    inside = points.where((F.col("s") >= low) & (F.col("s") <= high)).select(by, "s", *values)
+    few = points.select(by).distinct().join(inside.groupBy(by).count(), by, "left").where(F.coalesce("count", F.lit(0)) < 2).select(by)
+    ends = few.join(points.groupBy(by).agg(F.min(low).alias("_l"), F.min(high).alias("_h")), by).select(by, F.explode(F.array("_l", "_h")).alias("d"))
+    cuts = path_at(points, ends, by, values).withColumnRenamed("d", "s").select(by, "s", *values)
+    return inside.join(few, by, "left_anti").unionByName(cuts)
+
+
+def to_grid(states: DataFrame, by: str, time: str, values: list[str], start: Column, dt: float, steps: int) -> DataFrame:
+    """States at start + k * dt for k = 0 ... steps; times are clipped to each trajectory's range."""
+    range_ = states.groupBy(by).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"), F.min(start).alias("_start"))
+    asked = range_.select(by, "_t0", "_t1", "_start", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
+    at = asked.select(by, "k", F.least(F.greatest(F.col("_start") + F.col("k") * dt, F.col("_t0")), F.col("_t1")).alias("_t"))
+    pairs = intervals(states, time, values, by).where("t1 IS NOT NULL").join(range_.select(by, F.col("_t1").alias("_end")), by)
+    found = at.join(pairs, by).where("_t >= t0 AND (_t < t1 OR (_t = _end AND t1 = _end))")
+    share = (F.col("_t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
+    return found.select(by, "k", *[(F.col(f"{v}0") + share * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v) for v in values])

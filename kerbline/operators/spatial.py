@@ -78,3 +78,88 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, x_range: tuple[float, fl
     inside = (x >= x_range[0]) & (x <= x_range[1]) & (y >= y_range[0]) & (y <= y_range[1])
     cells = rows.where(inside).groupBy(place(x, *x_range).alias("bx"), place(y, *y_range).alias("bin_y")).agg(F.count("*").alias("n"))
     return cells.select("bx", "bin_y", (F.least("n", F.lit(cap)) / float(cap)).alias("share"))
+
+
+def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float, size: float = 10.0) -> DataFrame:
+    """Objects (corner columns b*) that meet a path widened by half_width with square ends.
+
+    segments: on, x0, y0, x1, y1 (each piece of the path is one box); a pair comes once however many pieces meet it.
+    """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    length = F.hypot(dx, dy)
+    boxed = segments.withColumn("_h", F.atan2(dy, dx)).withColumn("_l", length + 2 * half_width).withColumn("_x", (F.col("x0") + F.col("x1")) / 2).withColumn("_y", (F.col("y0") + F.col("y1")) / 2)
+    corners = geo.box_corners(F.col("_x"), F.col("_y"), F.col("_h"), F.col("_l"), 2 * half_width)
+    placed = boxed.select(*on, *[c.alias(f"a{a}{i}") for i, p in enumerate(corners) for a, c in zip("xy", p, strict=True)])
+    return box_join(placed, objects, on, size).drop(*[f"a{a}{i}" for i in range(4) for a in "xy"]).distinct()
+
+
+def nearest_lane(points: DataFrame, lanes: DataFrame, key: str, near: float, far: float, size: float) -> DataFrame:
+    """The lane whose point is nearest: on-route lanes within `near` come first, then any within `far`.
+
+    points: key, px, py; lanes: lane_id, on_route, x, y.  Lane points meet by grid cells of the far distance, so size >= far.
+    """
+    cell = lambda c: F.floor(F.col(c) / size)
+    around = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    asked = points.withColumn("_n", F.explode(around)).withColumn("cx", cell("px") + F.col("_n.i")).withColumn("cy", cell("py") + F.col("_n.j"))
+    met = asked.join(lanes.withColumn("cx", cell("x")).withColumn("cy", cell("y")), ["cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("d") <= far)
+    first = F.when(F.col("on_route") & (F.col("d") <= near), 0).otherwise(1)
+    return met.groupBy(key).agg(F.min_by("lane_id", F.struct(first, "d", "lane_id")).alias("lane_id"), F.min_by("d", F.struct(first, "d", "lane_id")).alias("distance"))
+
+
+def nearest_lane_by_heading(points: DataFrame, hits: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """The containing lane (hits: key, lane_id, error) with the smallest heading error; where no lane contains the point, the nearest (near: key, lane_id)."""
+    inside = hits.groupBy(key).agg(F.min_by("lane_id", F.struct("error", "lane_id")).alias("_in"))
+    return points.select(key).join(inside, key, "left").join(near.select(key, F.col("lane_id").alias("_near")), key, "left").select(key, F.coalesce("_in", "_near").alias("lane_id"))
+
+
+def as_of_index(rows: DataFrame, cached: DataFrame, on: list[str], idx: str, every: int) -> DataFrame:
+    """Rows at a fine index joined to what was cached for the coarse one below it."""
+    return rows.withColumn("_slot", F.floor(F.col(idx) / every)).join(cached.withColumnRenamed("slot", "_slot"), [*on, "_slot"]).drop("_slot")
+
+
+def ego_area_flags(hits: DataFrame, states: DataFrame, key: list[str]) -> DataFrame:
+    """Flags per state from point-in-polygon hits (key, corner 0-3 or 4 for the center, polygon_id, layer, on_route).
+
+    multi_lane: more than one lane holds a corner and none holds all four; off_road: fewer than four corners lie on
+    anything drivable; oncoming: the center is in no lane of the route.
+    """
+    lane = F.col("layer").isin("LANE", "LANE_CONNECTOR")
+    per = hits.where((F.col("corner") < 4) & lane).groupBy(*key, "polygon_id").agg(F.count_distinct("corner").alias("n"))
+    lanes = per.groupBy(*key).agg(F.count("*").alias("lanes"), F.max("n").alias("most"))
+    covered = hits.where(F.col("corner") < 4).groupBy(*key).agg(F.count_distinct("corner").alias("covered"))
+    center = hits.where((F.col("corner") == 4) & lane & F.col("on_route")).select(*key).distinct().withColumn("_own", F.lit(True))
+    out = states.join(lanes, key, "left").join(covered, key, "left").join(center, key, "left")
+    return out.select(
+        *key,
+        ((F.coalesce("lanes", F.lit(0)) > 1) & (F.coalesce("most", F.lit(0)) < 4)).alias("multi_lane"),
+        (F.coalesce("covered", F.lit(0)) < 4).alias("off_road"),
+        F.col("_own").isNull().alias("oncoming"),
+    )
+
+
+def extrapolated(x: Column, y: Column, h: Column, vx: Column, vy: Column, dt: Column) -> tuple[Column, Column, Column]:
+    """A pose moved on with its velocity; the heading turns round for an object that moves backwards."""
+    back = vx * F.cos(h) + vy * F.sin(h) < 0
+    return x + vx * dt, y + vy * dt, F.when(back, geo.normalize_angle(h + geo.TWO_PI / 2)).otherwise(h)
+
+
+def rasterise(polygons: DataFrame, cell: float, order: str, label: str, ring: str = "ring") -> DataFrame:
+    """(row, col, label): cells whose middle a polygon holds; where several do, the one latest in order."""
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    cells = with_cells(polygons, (F.array_min(xs), F.array_max(xs)), (F.array_min(ys), F.array_max(ys)), cell)
+    middle = ((F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell)
+    held = cells.where(geo.point_in_ring(*middle, F.col(ring)))
+    return held.groupBy(F.col("cy").alias("row"), F.col("cx").alias("col")).agg(F.max_by(label, order).alias(label))
+
+
+def within_radius(points: DataFrame, polygons: DataFrame, key: str, radius: float, ring: str = "ring") -> DataFrame:
+    """(key, polygon_id): polygons whose border comes within the radius of a point, or that hold it."""
+    xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
+    celled = with_cells(polygons, (F.array_min(xs) - radius, F.array_max(xs) + radius), (F.array_min(ys) - radius, F.array_max(ys) + radius), radius)
+    met = points.withColumn("cx", F.floor(F.col("px") / radius)).withColumn("cy", F.floor(F.col("py") / radius)).join(celled, ["cx", "cy"])
+    n = F.size(ring)
+    border = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: geo.segment_projection(F.col("px"), F.col("py"), F.get(ring, i).x, F.get(ring, i).y, F.get(ring, F.pmod(i + 1, n)).x, F.get(ring, F.pmod(i + 1, n)).y)[1],
+    )
+    return met.where((F.array_min(border) <= radius) | geo.point_in_ring(F.col("px"), F.col("py"), F.col(ring))).select(key, "polygon_id")
