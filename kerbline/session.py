@@ -20,8 +20,8 @@ def session(app: str = "kerbline", master: str | None = None, **conf: str) -> Sp
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; make one of our own only where none is set, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
