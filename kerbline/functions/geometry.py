@@ -101,3 +101,24 @@ def segment_projection(px: Column, py: Column, ax: Column, ay: Column, bx: Colum
     dx, dy = bx - ax, by - ay
     t = F.least(F.greatest(F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return t, F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+def quaternion_rotate(w: Column, x: Column, y: Column, z: Column, p: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """A point turned by a unit quaternion."""
+    px, py, pz = p
+    return (
+        (1 - 2 * (y * y + z * z)) * px + 2 * (x * y - w * z) * py + 2 * (x * z + w * y) * pz,
+        2 * (x * y + w * z) * px + (1 - 2 * (x * x + z * z)) * py + 2 * (y * z - w * x) * pz,
+        2 * (x * z - w * y) * px + 2 * (y * z + w * x) * py + (1 - 2 * (x * x + y * y)) * pz,
+    )
+
+
+def rigid(rotation: tuple[Column, Column, Column, Column], shift: tuple[Column, Column, Column], p: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """A point in one frame as seen from the frame that holds it; frames chain by nesting."""
+    turned = quaternion_rotate(*rotation, p)
+    return tuple(a + b for a, b in zip(turned, shift, strict=True))
+
+
+def rigid_inverse(rotation: tuple[Column, Column, Column, Column], shift: tuple[Column, Column, Column], p: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    w, x, y, z = rotation
+    return quaternion_rotate(w, -x, -y, -z, tuple(a - b for a, b in zip(p, shift, strict=True)))

@@ -51,3 +51,10 @@ def replace_marked(text: Column, names: Column) -> Column:
 
 def state_sentence(speed: Column, acceleration: Column) -> Column:
     return F.format_string("The current speed is %.3f m/s and the acceleration is %.3f m/s^2.", speed, acceleration)
+
+
+def chat_answer(dataset: Column, reasoning: Column, action: Column) -> Column:
+    """Reasoning before the action where there is any; one dataset counts an empty reasoning as none."""
+    has = reasoning.isNotNull() & ((dataset != "nuscenes") | (reasoning != ""))
+    thought = F.when(has, F.concat(F.lit("<think>\n"), reasoning, F.lit("\n</think>\n"))).otherwise("<think>\nThis is a simple scene.\n</think>\n")
+    return F.concat(thought, F.lit("<answer>\n"), action, F.lit("\n</answer>"))

@@ -152,3 +152,30 @@ def repair_routes(routes: DataFrame, edges: DataFrame) -> DataFrame:
 
     kind = dict(routes.dtypes)["token"]
     return routes.groupBy("token").cogroup(edges.groupBy("token")).applyInPandas(one, f"token {kind}, blocks array<string>")
+
+
+def convex_overlap(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
+    """Area that two convex rings (anticlockwise) share: one is clipped by each edge of the other."""
+    left = list(a)
+    for (x0, y0), (x1, y1) in zip(b, b[1:] + b[:1], strict=True):
+        side = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x, y in left]
+        kept = []
+        for i, p in enumerate(left):
+            q, s, t = left[(i + 1) % len(left)], side[i], side[(i + 1) % len(left)]
+            if s >= 0:
+                kept.append(p)
+            if s * t < 0:
+                u = s / (s - t)
+                kept.append((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])))
+        left = kept
+        if not left:
+            return 0.0
+    return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(left, left[1:] + left[:1], strict=True))) / 2
+
+
+def first_loop(rings: list[list[tuple[float, float]]], limit: float = 1.0) -> int | None:
+    """Place of the first block that covers more than `limit` of an earlier one's area; None if none does."""
+    for k, ring in enumerate(rings):
+        if any(convex_overlap(ring, other) > limit for other in rings[:k]):
+            return k
+    return None

@@ -231,3 +231,49 @@ def box_to_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("o_orderstatus") == "F"
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count_if(done).alias("successes"), F.count_if(~done).alias("failures"))
+
+
+@query(
+    "occupancy_forecast",
+    """WITH {poses}, o AS (SELECT log, token, event_type AS type, abs(value - 50) AS distance, x, y, heading, CASE WHEN event_type = 'error' THEN NULL ELSE y END AS vx, heading AS vy0 FROM poses),
+k AS (SELECT *, CASE WHEN vx IS NULL THEN NULL ELSE type END AS part FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY log, part ORDER BY distance, token) AS rank FROM k),
+kept AS (SELECT * FROM r WHERE rank <= CASE WHEN vx IS NULL THEN 4 WHEN type = 'click' THEN 3 WHEN type = 'view' THEN 2 ELSE 0 END)
+SELECT log, CAST(t AS INTEGER) AS t, token AS track_token, round(x + coalesce(vx, 0) * t * 0.1e0, 6) AS x, round(y + CASE WHEN vx IS NULL THEN 0 ELSE vy0 END * t * 0.1e0, 6) + 0e0 AS y FROM kept, range(0, 9, 4) g(t)""",
+)
+def occupancy_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbline.operators.forecast import constant_velocity_occupancy
+
+    moves = F.col("event_type") != "error"
+    objects = poses(spark, sf_dir).select(
+        "log", F.col("token").alias("track_token"), F.col("event_type").alias("type"), F.abs(F.col("value") - 50).alias("distance"), "x", "y", "heading", F.when(moves, F.col("y")).alias("vx"), F.when(moves, F.col("heading")).alias("vy")
+    )
+    got = constant_velocity_occupancy(objects, "log", 8, 4, 0.1, {"click": 3, "view": 2}, 4)
+    return got.select("log", "t", "track_token", r6("x").alias("x"), r6("y").alias("y"))
+
+
+@query(
+    "rigid_chain",
+    """WITH {poses}, s AS (SELECT token, x, y, heading AS h FROM poses), e AS (SELECT token, x, y, h, cos(0.3e0) * 2 - sin(0.3e0) * 1 + 0.5e0 AS ex, sin(0.3e0) * 2 + cos(0.3e0) * 1 AS ey FROM s)
+SELECT token, round(cos(h) * ex - sin(h) * ey + x, 6) + 0e0 AS gx, round(sin(h) * ex + cos(h) * ey + y, 6) + 0e0 AS gy, 1.5e0 + 1 AS gz FROM e""",
+)
+def rigid_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import math
+
+    zero, sensor = F.lit(0.0), tuple(map(F.lit, (math.cos(0.15), 0.0, 0.0, math.sin(0.15))))
+    ego = (F.cos(F.col("heading") / 2), zero, zero, F.sin(F.col("heading") / 2))
+    p = geo.rigid(ego, (F.col("x"), F.col("y"), F.lit(1.0)), geo.rigid(sensor, (F.lit(0.5), zero, zero), tuple(map(F.lit, (2.0, 1.0, 1.5)))))
+    return poses(spark, sf_dir).select("token", *[r6(c).alias(n) for c, n in zip(p, ("gx", "gy", "gz"), strict=True)])
+
+
+@query(
+    "chat_answer",
+    """SELECT o_orderkey, '<think>' || chr(10) || CASE WHEN o_orderstatus = 'F' AND o_custkey % 3 > 0 THEN 'look' WHEN o_orderstatus <> 'F' AND o_custkey % 3 > 0 THEN CASE WHEN o_custkey % 3 = 1 THEN 'look' ELSE '' END ELSE 'This is a simple scene.' END
+|| chr(10) || '</think>' || chr(10) || '<answer>' || chr(10) || '<action_' || o_custkey || '>' || chr(10) || '</answer>' AS said FROM orders WHERE NOT (o_orderstatus = 'F' AND o_custkey % 3 = 2)""",
+)
+def chat_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kerbline.functions import text
+
+    kind = F.when(F.col("o_orderstatus") == "F", "nuscenes").otherwise("nuplan")
+    reasoning = F.when(F.col("o_custkey") % 3 == 1, "look").when(F.col("o_custkey") % 3 == 2, "")
+    own = table(spark, sf_dir, "orders").where("NOT (o_orderstatus = 'F' AND o_custkey % 3 = 2)")
+    return own.select("o_orderkey", text.chat_answer(kind, reasoning, text.action_text(F.array("o_custkey"))).alias("said"))

@@ -283,3 +283,28 @@ def test_count_windows_equal_the_batch_form(spark, sf_dir, tmp_path):
     per = {r.user_id: r["count"] // 10 for r in events.groupBy("user_id").count().collect()}
     got = {r.key: r["count"] for r in spark.table("chunks").groupBy("key").count().collect()}
     assert got == {k: v for k, v in per.items() if v}
+
+
+def test_overlap_area_and_loop():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    moved = [(x + 1, y + 1) for x, y in square]
+    far = [(x + 9, y) for x, y in square]
+    assert graph.convex_overlap(square, moved) == pytest.approx(1.0) and graph.convex_overlap(square, far) == 0
+    assert graph.first_loop([square, far, [(x + 0.5, y) for x, y in square]]) == 2 and graph.first_loop([square, moved]) is None
+
+
+def test_rigid_inverse(spark):
+    q, shift = tuple(map(F.lit, (0.5, 0.5, 0.5, 0.5))), tuple(map(F.lit, (1.0, 2.0, 3.0)))
+    there = geo.rigid(q, shift, tuple(map(F.lit, (4.0, 5.0, 6.0))))
+    assert [col(spark, c) for c in geo.rigid_inverse(q, shift, there)] == pytest.approx([4.0, 5.0, 6.0])
+
+
+def test_initial_hits_and_short_records(spark):
+    from kerbline.operators import forecast
+
+    pairs = spark.createDataFrame([("a", 0, "k", False), ("a", 0, "red_light_1", False), ("a", 0, "red_light_2", True), ("a", 1, "m", True)], "token string, t int, track_token string, inside boolean")
+    assert {r.track_token for r in forecast.initially_hit(pairs, F.col("inside"), "token").collect()} == {"k", "red_light_2"}
+    rows = spark.createDataFrame([("a", 0, "k", "car", 1.0, 0.0, 0.0), ("a", 1, "k", "van", 2.0, 0.0, 0.0)], "token string, t int, track_token string, type string, x double, y double, heading double")
+    assert {r.type for r in forecast.recorded_occupancy(rows, "token", 1).collect()} == {"car"}
+    with pytest.raises(Exception, match="too early"):
+        forecast.recorded_occupancy(rows, "token", 5).collect()
