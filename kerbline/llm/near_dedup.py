@@ -179,8 +179,9 @@ def _links(sets: list[np.ndarray], percent: int, split: int | None = None) -> np
     keep = shared[number]
     col, row = column[number[keep]], o[keep]
     inter = np.zeros((n, n) if split is None else (split, n - split), np.float64)
-    step = max(256, 8_000_000 // max(1, n))
-    for a in range(0, int(shared.sum()), step):
+    columns = int(shared.sum())
+    step = min(max(256, 8_000_000 // max(1, n)), max(1, columns))
+    for a in range(0, columns, step):
         lo, hi = np.searchsorted(col, (a, a + step))
         dense = np.zeros((n, step), np.float32)
         dense[row[lo:hi], col[lo:hi] - a] = 1
