@@ -37,8 +37,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; so does a document of which nothing is left."""
     found = dedup_lines(docs, min_lines=2, min_chars=50)
-    left = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", "[\t\r\n]", "")) != ""))
-    return _with_text(left, docs.columns)
+    return _with_text(found.where("NOT emptied"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
