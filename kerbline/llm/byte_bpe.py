@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, byte_values, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
+from .common import Memo, batches, buffers, byte_values, claim, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
 from .packing import _byte_letters, tokenizer_file
 
 #: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Fixed value: the published pattern that splits text before the merges, with white space as Unicode defines it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Fixed value: white space that doesn't end a word here but does for the pattern, and signs that only some engines take for it.
@@ -185,6 +185,7 @@ _encoders: dict[str, tuple[ByteEncoder, Memo, Memo]] = {}
 
 
 def _encoder(name: str) -> tuple[ByteEncoder, Memo, Memo]:
+    claim("byte_bpe", _encoders.clear)
     if name not in _encoders:
         _encoders[name] = ByteEncoder(name), Memo(MEMO_WORDS), Memo(MEMO_WORDS)
     return _encoders[name]

@@ -6,6 +6,7 @@ whole buffers with numpy, so no step runs once per row or per character in Pytho
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -20,6 +21,8 @@ from kerbline.session import cut  # noqa: F401  modules of the subpackage take i
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text bytes that one block (one call of a grouped function) holds on average.
 BLOCK_BYTES = 2_000_000
+#: Text bytes that one step of a streaming function holds.
+PIECE_BYTES = 1_000_000
 #: Keys that one bucket of a key exchange holds on average.
 BUCKET_KEYS = 1_000_000
 
@@ -114,8 +117,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     while len(_powers[0]) < n:
         for i, p in enumerate((_P, _P_INV)):
-            step = np.uint64(pow(int(p), len(_powers[i]), 2**64))
-            _powers[i] = np.concatenate([_powers[i], _powers[i] * step])
+            have = len(_powers[i])
+            step = np.uint64(pow(int(p), have, 2**64))
+            _powers[i] = np.concatenate([_powers[i], _powers[i][: max(1, min(have, n - have))] * step])
     return _powers[0], _powers[1]
 
 
@@ -146,7 +150,7 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return data[np.arange(off[-1]) + np.repeat(starts - off[:-1], lens)], off
 
 
-def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
+def pieces(table: pa.Table | pa.RecordBatch, column: str, most: int = PIECE_BYTES):
     """Cut a batch into runs of rows of about `most` text bytes; a longer text is a run of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(table[column]), 0)).astype(np.int64)
     at, total = 0, 0
@@ -166,6 +170,21 @@ def text_array(data: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array
     return arr.cast(kind) if off[-1] < 2**31 else arr
 
 
+_held: dict[str, object] = {}
+
+
+def claim(name: str, clear=None) -> None:
+    """A worker runs one operator after another: what the others keep is given back when `name` begins."""
+    if list(_held) != [name]:
+        for drop in _held.values():
+            if drop is not None:
+                drop()
+        _held.clear()
+        _held[name] = clear
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 class Memo:
     """What a worker has computed for distinct words: by hash, dropped as a whole beyond `most` words, so memory is bounded."""
 

@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, batches, buffers, byte_values, distinct, span_hashes, word_spans
+from .common import Memo, batches, buffers, byte_values, claim, distinct, span_hashes, word_spans
 
 #: Bytes of text per language that are learned from; at most 32767, so that states fit 16 bits.
 SAMPLE_BYTES = 32_000
 #: Documents per language that the sample is drawn from, on average, and bytes of each at most.
 SAMPLE_DOCS, DOC_BYTES = 96, 1_500
 #: Distinct words whose parse a worker keeps.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 UNKNOWN = "und"
 
 _letters = re.compile(r"[^\W\d_]+").findall
@@ -123,6 +123,7 @@ def _predict(broadcast, id_col: str, text_col: str, names_out: list[str]):
 
     def run(stream):
         model = broadcast.value
+        claim("language_id", _memos.clear)
         if model.name not in _memos:
             _memos.clear()
             _memos[model.name] = Memo(MEMO_WORDS)

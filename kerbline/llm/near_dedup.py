@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batches, buffers, byte_values, cut, lower_ascii, mix, shuffle_partitions, span_hashes, word_spans
+from .common import NULL_ID, batches, buffers, byte_values, claim, cut, lower_ascii, mix, shuffle_partitions, span_hashes, word_spans
 from .components import connected_components
 
 #: Orders of the signatures, hashes in each, and hashes that neighbours share at least.
@@ -44,6 +44,7 @@ _B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text, sorted; offsets)."""
+    claim("near_dedup")
     data, off = buffers(column)
     data = lower_ascii(data)
     starts, ends, cuts = word_spans(data, off)

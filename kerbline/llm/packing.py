@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, byte_values, cut, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
+from .common import Memo, batches, buffers, byte_values, claim, cut, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
 
 #: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 _END = b"\xff"
 
 
@@ -130,6 +130,7 @@ _encoders: dict[str, tuple[WordEncoder, Memo]] = {}
 
 def encode_texts(column: pa.Array, name: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, offsets): each text's ids, then the end id if there is one."""
+    claim("packing", _encoders.clear)
     if name not in _encoders:
         _encoders[name] = WordEncoder(name), Memo(MEMO_WORDS)
     encoder, memo = _encoders[name]

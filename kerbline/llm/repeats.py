@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks_of, buckets_for, buffers, byte_values, gather, ids_of, mix, span_hashes, word_spans
+from .common import blocks_of, buckets_for, buffers, byte_values, claim, gather, ids_of, mix, span_hashes, word_spans
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -76,6 +76,7 @@ def _grams(values: np.ndarray, units: Units) -> np.ndarray:
 
 
 def supers_of(texts: pa.ChunkedArray | pa.Array, units: Units) -> Supers:
+    claim("repeats")
     data, off = buffers(texts)
     if units.words:
         starts, ends, cuts = word_spans(data, off)
