@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame
 from .grid import FOUND, finite_vectors, search
 
 #: Entries of the dense score arrays that are held at once.
-DENSE = 2_000_000
+DENSE = 262_144
+#: A posting list that holds this share of a chunk's rows or more is laid out as a whole row before it is scattered.
+LONG = 0.125
 
 
 def _build(scale: float):
@@ -51,9 +53,14 @@ def _answer(k: int):
         own = _own_rows(q_ids, (q_terms, q_cut, q_row, q_weight), ids, (terms, cut, row, weight))
         out = []
         step = max(1, DENSE // max(1, n))
+        whole: dict[int, np.ndarray] = {}
+        for j in range(len(terms)):
+            if cut[j + 1] - cut[j] >= LONG * n:
+                whole[j] = np.zeros(n, kind)
+                whole[j][row[cut[j] : cut[j + 1]]] = weight[cut[j] : cut[j + 1]]
         for lo in range(0, len(q_ids), step):
             hi = min(len(q_ids), lo + step)
-            dense = np.zeros((hi - lo, n), kind)
+            dense, adds = np.zeros((hi - lo, n), kind), np.empty((hi - lo, n), kind)
             for i, t in enumerate(q_terms.tolist()):
                 j = at.get(t)
                 if j is None:
@@ -61,15 +68,17 @@ def _answer(k: int):
                 a, b = np.searchsorted(q_row[q_cut[i] : q_cut[i + 1]], (lo, hi)) + q_cut[i]
                 if a == b:
                     continue
-                rows, cols = q_row[a:b] - lo, row[cut[j] : cut[j + 1]]
-                adds = np.multiply.outer(q_weight[a:b], weight[cut[j] : cut[j + 1]])
-                if len(cols) == n:
-                    if len(rows) == hi - lo:
-                        dense += adds
-                    else:
-                        dense[rows] += adds
+                rows, mine = q_row[a:b] - lo, q_weight[a:b]
+                if j not in whole:
+                    cols = row[cut[j] : cut[j + 1]]
+                    dense[np.ix_(rows, cols)] += np.multiply.outer(mine, weight[cut[j] : cut[j + 1]])
+                elif 2 * len(rows) < hi - lo:
+                    dense[rows] += np.multiply.outer(mine, whole[j])
                 else:
-                    dense[np.ix_(rows, cols)] += adds
+                    every = np.zeros(hi - lo, kind)
+                    every[rows] = mine
+                    np.multiply(every[:, None], whole[j][None, :], out=adds)
+                    dense += adds
             # scores with the place as tie-break: candidates are in the order of their ids
             for r in range(hi - lo):
                 keep = np.arange(n) if own[lo + r] < 0 else np.delete(np.arange(n), own[lo + r])
