@@ -43,8 +43,12 @@ def _build(ids: np.ndarray, vectors: list[list[float]], asks: bool) -> bytes:
     lines = (v @ _directions(v.shape[1])).T
     if asks:
         return pickle.dumps((ids, v, np.ascontiguousarray(lines.T)))
-    order = np.argsort(lines, axis=1).astype(np.int32)
-    return pickle.dumps((ids, v, np.take_along_axis(lines, order.astype(np.int64), 1), order))
+    order = np.argsort(lines, axis=1)
+    # the sorted lines end to end, each moved beyond the one before, so that one search serves all
+    low, high = float(lines.min()) - 1, float(lines.max()) + 1
+    shift = np.arange(PROJECTIONS) * (high - low + 1) - low
+    flat = (np.take_along_axis(lines, order, 1) + shift[:, None]).ravel()
+    return pickle.dumps((ids, v, flat, order.astype(np.int32).ravel(), low, high, shift, float(lines.std())))
 
 
 def _answer(k: int):
@@ -55,7 +59,7 @@ def _answer(k: int):
 
     def answer(ask: bytes, have: bytes) -> np.ndarray:
         q_ids, q_vec, q_line = pickle.loads(ask)
-        ids, vec, line, order = pickle.loads(have)
+        ids, vec, flat, order, low, high, shift, spread = pickle.loads(have)
         n, out = len(ids), []
         for i in range(len(q_ids)):
             at = q_line[i]
@@ -66,24 +70,22 @@ def _answer(k: int):
                     skip = j
                     break
             total = n - (skip >= 0)
-            hits = np.zeros(n, np.int16)
+            hits = np.zeros(n, np.int64)
             done = np.zeros(n, bool)
             if skip >= 0:
                 done[skip] = True
-            left = np.array([np.searchsorted(line[p], at[p]) for p in range(PROJECTIONS)])
-            right = left.copy()
-            width = float(np.median(np.abs(line - at[:, None]))) * 0.5 or 1.0
+            left = np.searchsorted(flat, np.clip(at, low, high) + shift)
+            right = left
+            width = 0.5 * spread or 1.0
             rows, dist = [], []
             best = np.inf
             while True:
-                for p in range(PROJECTIONS):
-                    a, b = np.searchsorted(line[p], (at[p] - width, at[p] + width))
-                    a, b = min(a, left[p]), max(b, right[p])
-                    if a < left[p]:
-                        hits[order[p, a : left[p]]] += 1
-                    if b > right[p]:
-                        hits[order[p, right[p] : b]] += 1
-                    left[p], right[p] = a, b
+                a = np.minimum(np.searchsorted(flat, np.clip(at - width, low, high) + shift), left)
+                b = np.maximum(np.searchsorted(flat, np.clip(at + width, low, high) + shift, "right"), right)
+                begin, size = np.concatenate([a, right]), np.concatenate([left - a, b - right])
+                ends = np.cumsum(size)
+                hits += np.bincount(order[np.arange(ends[-1]) + np.repeat(begin - ends + size, size)], minlength=n)
+                left, right = a, b
                 new = np.flatnonzero((hits >= need) & ~done)
                 if len(new):
                     done[new] = True
