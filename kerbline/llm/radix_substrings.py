@@ -21,7 +21,7 @@ from .common import ids_back, ids_of, text_array
 from .repeats import Supers, Units, repeated, run_spans
 
 #: Bytes of the grams that choose anchors: long enough that few grams repeat by chance.
-GRAM_BYTES = 24
+GRAM_BYTES = 20
 
 
 def radix_groups(body: np.ndarray, off: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:

@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -206,12 +207,13 @@ def _send_supers(units: Units, buckets: int):
         lo, hi = (s.starts[s.first[pick]], s.ends[end - 1]) if units.words else (s.first[pick], end)
         head["size"] = hi - lo
         body, off = gather(s.data, lo, hi)
+        press = zstandard.ZstdCompressor(level=1).compress
         return pa.table(
             [
                 pa.array(bucket[at], pa.int64()),
                 pa.array(np.full(len(at), key[0].as_py() if key[0] is not None else 0), pa.int64()),
-                pa.array([head[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
-                pa.array([body[off[a] : off[b]].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
+                pa.array([press(head[a:b].tobytes()) for a, b in zip(at, to, strict=True)], pa.binary()),
+                pa.array([press(body[off[a] : off[b]].tobytes()) for a, b in zip(at, to, strict=True)], pa.binary()),
             ],
             schema=schema,
         )
@@ -227,10 +229,11 @@ def _resolve(units: Units, resolve: Callable):
     """resolve(body, offsets, counts, width) -> group number of every window, equal windows equal; -1: occurs once."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        heads = [np.frombuffer(x, _OWNER) for x in table["owner"].to_pylist()]
+        open_ = zstandard.ZstdDecompressor().decompress
+        heads = [np.frombuffer(open_(x), _OWNER) for x in table["owner"].to_pylist()]
         head = np.concatenate(heads)
         block = np.repeat(table["block"].to_numpy(), [len(x) for x in heads])
-        body = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
+        body = np.frombuffer(b"".join(map(open_, table["body"].to_pylist())), np.uint8)
         off = np.concatenate([[0], np.cumsum(head["size"].astype(np.int64))])
         # one copy of each content, owned by its first owner in the corpus
         order = _order(head["content"], head["doc"], head["start"])
