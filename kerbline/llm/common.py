@@ -20,11 +20,11 @@ from kerbline.session import cut  # noqa: F401  modules of the subpackage take i
 #: The bytes that separate words, space and tab to carriage return.
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Text bytes that one block (one call of a grouped function) holds on average.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Text bytes that one step of a streaming function holds.
 PIECE_BYTES = 1_000_000
 #: Keys that one bucket of a key exchange holds on average.
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 500_000
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
