@@ -217,7 +217,7 @@ def bev_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("map_radius")
 def map_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = spark.range(2).select(F.col("id").alias("polygon_id"), F.when(F.col("id") == 0, _ring(0)).otherwise(_ring(1)).alias("ring"))
-    points = poses(spark, sf_dir).where("idx % 10 = 0").select("token", F.col("x").alias("px"), F.col("heading").alias("py"))
+    points = poses(spark, sf_dir).select("token", F.col("x").alias("px"), F.col("heading").alias("py"))
     return spatial.within_radius(points, polygons, "token", 2.0)
 
 
