@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.language_id import UNKNOWN, fit, held_out, identify
-from kerbline.llm.line_dedup import dedup_lines
+from kerbline.llm.line_dedup import dedup_runs
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
 from kerbline.llm.radix_substrings import dedup_substrings
@@ -35,8 +35,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; so does a document of which nothing is left."""
-    found = dedup_lines(docs, min_lines=2, min_chars=50)
+    """Later copies of repeated runs of two lines or more with 50 characters or more go; so does a document of which nothing is left."""
+    found = dedup_runs(docs, min_lines=2, min_chars=50)
     return _with_text(found.where("NOT emptied"), docs.columns)
 
 

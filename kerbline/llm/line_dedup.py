@@ -10,6 +10,12 @@ copies.  Neighbouring places that are copies form one maximal run, which is dele
 A run counts if it has `min_lines` lines that are not blank, with at least `min_chars` characters in all;
 blank lines take no part and always stay.
 
+`dedup_lines` measures `min_chars` on each `min_lines` lines, as op3's SQL does; there a longer run is what
+such windows cover.  `dedup_runs` measures it on the whole repeated run: a line goes if it lies in any run of
+`min_lines` lines or more, with `min_chars` characters or more, that occurs at an earlier place.  Such a run is
+covered by the windows in it that can't lose their first line, or can't lose their last, and still count; so it
+is enough to name these, at most two for each place, and no doubling is needed.
+
 Names are exchanged by their hash with partial counts; the join that brings a name's first place back is
 between two plain exchanges, so adaptive execution splits a line that a third of all rows hold.
 
@@ -31,18 +37,23 @@ def _line_id(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
-    """(doc, key, at, line, a, b): a row for each pair of neighbouring lines that count.  at: place among those lines; line: place among all."""
+def _lines_of(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+    """(doc, key, line, ids, chars): arrays over the lines that count.  line: place among all lines."""
     text = F.col(text_col)
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: F.trim(F.regexp_replace(x.text, "[\t\r]", "")) != "")
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), lines.alias("lines")).where(F.size("lines") >= min_lines)
-    base = base.select(
+    return base.select(
         "doc",
         "key",
         F.transform("lines", lambda x: x.line).alias("line"),
         F.transform("lines", lambda x: _line_id(x.text)).alias("ids"),
         F.transform("lines", lambda x: F.char_length(x.text).cast("long")).alias("chars"),
     )
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
+    """(doc, key, at, line, a, b): a row for each pair of neighbouring lines that count.  at: place among those lines; line: place among all."""
+    base = _lines_of(docs, id_col, text_col, min_lines)
     width = min(2, min_lines)
     window = F.transform(
         F.sequence(F.lit(0), F.size("ids") - min_lines),
@@ -89,12 +100,57 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     return found.where(~(F.struct(F.col("doc").alias("doc"), F.col("at").alias("at")).eqNullSafe(F.col("first")))).select("doc", "key", "of", "at", "first")
 
 
+def _least_run(chars: str, i: Column, min_lines: int, min_chars: int) -> Column:
+    """Lines of the shortest run from place i on that counts; null if there is none."""
+    most = max(1, min_lines, min_chars)  # a line that counts has a character or more
+    widths = [1 << k for k in range(most.bit_length() - 1)] + [most]
+
+    def exact(w: int) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("n"))
+        step = lambda s, c: F.struct((s.chars + c).alias("chars"), (s.n + F.when(s.chars < min_chars, 1).otherwise(0)).alias("n"))
+        return F.aggregate(F.slice(chars, i + 1, w), start, step).n
+
+    total = lambda w: F.aggregate(F.slice(chars, i + 1, w), F.lit(0).cast("long"), lambda s, c: s + c)
+    # twice the lines at a time: a place costs no more than a few times its own run
+    n = F.greatest(F.coalesce(*[F.when(total(w) >= min_chars, exact(w)) for w in widths]), F.lit(max(1, min_lines)))
+    enough = F.coalesce(*[F.when(total(w) >= min_chars, F.lit(True)) for w in widths[-1:]], F.lit(False))
+    return F.when(enough & (i + n <= F.size(chars)), n)
+
+
+def run_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """(doc, key, of, at, n, first): least runs that are copies, of n lines, and the first place of each; together they cover all copied runs that count."""
+    base = _lines_of(docs, id_col, text_col, max(1, min_lines)).select("doc", "key", "ids", "chars", F.reverse("chars").alias("back"))
+    places = F.sequence(F.lit(0), F.size("ids") - 1)
+    sized = base.select(
+        "doc",
+        "key",
+        "ids",
+        F.transform(places, lambda i: _least_run("chars", i, min_lines, min_chars)).alias("left"),
+        F.transform(places, lambda i: _least_run("back", i, min_lines, min_chars)).alias("right"),
+    )
+    from_first = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("left", i).alias("n")))
+    to_last = F.transform(places, lambda i: F.struct((F.size("ids") - i - F.get("right", i)).alias("at"), F.get("right", i).alias("n")))
+    runs = F.concat(F.filter(from_first, lambda r: r.n.isNotNull()), F.filter(to_last, lambda r: r.n.isNotNull() & (F.get("left", r.at) != r.n)))
+    lines = F.slice("ids", F.col("r.at") + 1, F.col("r.n"))
+    found = sized.select("doc", "key", "ids", F.explode(runs).alias("r")).select("doc", "key", F.size("ids").alias("of"), "r.at", "r.n", F.xxhash64(lines).alias("a"), F.xxhash64(F.lit(2), lines).alias("b"))
+    found = _repeated(found)
+    return found.where(~(F.struct(F.col("doc").alias("doc"), F.col("at").alias("at")).eqNullSafe(F.col("first")))).select("doc", "key", "of", "at", "n", "first")
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 50) -> DataFrame:
     """docs with text_col without the later copies of repeated line runs; n_lines, n_removed and emptied (no line that counts is left) are added."""
+    return _without(docs, copies(docs, id_col, text_col, min_lines, min_chars).withColumn("n", F.lit(min_lines)), id_col, text_col)
+
+
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """As dedup_lines, with min_chars measured on the whole repeated run."""
+    return _without(docs, run_copies(docs, id_col, text_col, min_lines, min_chars), id_col, text_col)
+
+
+def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     gone = (
-        copies(docs, id_col, text_col, min_lines, min_chars)
-        .groupBy("doc", "key")
-        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))))).alias("gone"), F.max("of").alias("__of"))
+        found.groupBy("doc", "key")
+        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + (F.col("n") - 1))))).alias("gone"), F.max("of").alias("__of"))
         .withColumnRenamed("doc", "__doc")
         .withColumnRenamed("key", "__key")
     )
