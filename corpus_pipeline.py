@@ -35,8 +35,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of two lines or more with 50 characters or more go; so does a document of which nothing is left."""
-    found = dedup_runs(docs, min_lines=2, min_chars=50)
+    """Later copies of repeated runs of lines, single lines too, with 50 characters or more go; so does a document of which nothing is left."""
+    found = dedup_runs(docs, min_lines=1, min_chars=50)
     return _with_text(found.where("NOT emptied"), docs.columns)
 
 

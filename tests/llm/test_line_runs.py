@@ -54,3 +54,13 @@ def test_runs_against_plain_version(spark, rows, min_lines, min_chars):
     twice = dedup_runs(spark.createDataFrame([(None, "y" * 60), (3, "y" * 60), (3, "y" * 60), (3, "z" * 60), (3, "z" * 60)], "doc_id long, text string"))
     assert sorted((str(r.doc_id), r.text[:1], r.emptied) for r in twice.collect()) == [("3", "", True), ("3", "", True), ("3", "z", False), ("3", "z", False), ("None", "y", False)]
     assert not re.search("Python|Pandas|Arrow", dedup_runs(docs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pipeline_stage_drops_short_lines_of_long_copies_and_single_lines(spark, rows):
+    import corpus_pipeline as pipeline
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.char_length("text"))
+    found = {r.doc_id: r.text for r in pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = plain_runs(rows, 1, 50)
+    assert {d: t for d, t in found.items() if t} == {d: t for d, (t, _) in want.items() if t and t.strip()} | {12: " \n\t"}
+    assert len(found[2].split("\n")) == 2 and len(found[4].split("\n")) == 2 and 5 not in found
