@@ -87,7 +87,7 @@ class Model:
         self.name = uuid.uuid4().hex
 
     def parse(self, words: list[bytes]) -> list[bytes]:
-        """Per word: bytes parsed and phrases per language, as little-endian 16-bit numbers."""
+        """Per word: bytes parsed and phrases per language, as little-endian 16-bit numbers, or 64-bit ones where 16 bits don't hold them."""
         texts = [" ".join(["", *found, ""]).encode() if (found := _letters(w.decode("utf-8", "replace").lower())) else b"" for w in words]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         out = np.zeros((len(texts), 1 + len(self.languages)), np.int64)
@@ -112,7 +112,16 @@ class Model:
                     now[failed] = np.where(again == 0, 1, again)
                 state[:m] = now
             out[order, 1 + k] = phrases + ((state != 1) & (size > 0))
-        return [x.tobytes() for x in np.minimum(out, 65_535).astype("<u2")]
+        narrow = out.astype("<u2")
+        return [(x if (x == y).all() else y.astype("<u8")).tobytes() for x, y in zip(narrow, out, strict=True)] if out.max(initial=0) > 65_535 else [x.tobytes() for x in narrow]
+
+
+def counts_of(parsed: list[bytes], width: int) -> np.ndarray:
+    """What Model.parse gives, as one row of numbers per word."""
+    long = [i for i, x in enumerate(parsed) if len(x) > 2 * width]
+    if not long:
+        return np.frombuffer(b"".join(parsed), "<u2").reshape(-1, width)
+    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * width else "<u8").astype(np.int64) for x in parsed])
 
 
 _memos: dict[str, Memo] = {}
@@ -132,7 +141,7 @@ def _predict(broadcast, id_col: str, text_col: str, names_out: list[str]):
             data, off = buffers(table[text_col])
             starts, ends, cuts = word_spans(data, off)
             keys, one, inverse = distinct(span_hashes(byte_values(data), starts, ends))
-            rows = np.frombuffer(b"".join(_memos[model.name].rows(data, starts[one], ends[one], keys, model.parse)), "<u2").reshape(-1, 1 + k)
+            rows = counts_of(_memos[model.name].rows(data, starts[one], ends[one], keys, model.parse), 1 + k)
             sums = np.stack([np.concatenate([[0], np.cumsum(rows[:, j][inverse], dtype=np.int64)]) for j in range(1 + k)])
             total = sums[:, cuts[1:]] - sums[:, cuts[:-1]]
             known = (total[0] > 0) & (k > 0)
