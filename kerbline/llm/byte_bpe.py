@@ -7,7 +7,7 @@ sequence it ends with is the one that merging in rank order gives, found without
 
 Splits before the merges depend on little context: a word and the space before it, or a run of white space.
 So each distinct (space, word) is encoded once per worker; texts with white space outside ASCII beside a
-word, where that doesn't hold, are split as a whole.
+word, or with a special token, before which the text ends, are split as a whole, as that doesn't hold there.
 
 Edge cases: null and empty texts have no ids and decode to the empty string; rows that share an id are
 encoded one by one; a null id is returned as null; empty tables give empty results; other columns of the
@@ -81,6 +81,10 @@ class ByteEncoder:
         self.known: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
 
+    def not_local(self, text: str) -> bool:
+        """Has the text what the splits at words and gaps don't take into account?"""
+        return self.odd(text) is not None or (self.special is not None and self.special.search(text) is not None)
+
     # ------------------------------------------------------------- backtracking
     def compatible(self, left: int, right: int) -> bool:
         """Would merging the two texts side by side leave exactly these two tokens?"""
@@ -239,10 +243,10 @@ def encode_texts(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
         pieces_of[2 * cuts[d + 1] + d] = gap_value[key]
     # texts in which the split is not local are encoded as a whole
     whole = {}
-    if encoder.odd(raw.decode()):
+    if encoder.not_local(raw.decode()):
         for d in range(len(off) - 1):
             text = raw[off[d] : off[d + 1]].decode()
-            if encoder.odd(text):
+            if encoder.not_local(text):
                 whole[d] = len(values)
                 values.append(np.asarray(encoder.encode(text), "<u2").tobytes())
     bounds = 2 * cuts + np.arange(len(off))
