@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, byte_values, claim, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
+from .common import Memo, batches, buffers, claim, distinct, ids_back, ids_of, span_keys, text_array, word_spans
 from .packing import _byte_letters, tokenizer_file
 
 #: Distinct words whose ids a worker keeps.
@@ -62,6 +62,8 @@ class ByteEncoder:
             self.automaton.add_word(t, i)
         self.automaton.make_automaton()
         top = max([*vocab.values(), *specials.values()]) + 1
+        if top > 1 << 16:
+            raise ValueError("ids are kept in 16 bits: the vocabulary is too large")
         self.size, self.shorter = [0] * top, [-1] * top  # the longest token that is a proper prefix of each
         for t, i in vocab.items():
             self.size[i] = len(t)
@@ -200,7 +202,7 @@ def encode_texts(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
     encoder, plain, spaced = _encoder(name)
     data, off = buffers(column)
     starts, ends, cuts = word_spans(data, off)
-    hashes = span_hashes(byte_values(data), starts, ends)
+    keys = span_keys(data, starts, ends)
     n = len(starts)
     doc = np.searchsorted(cuts, np.arange(n), "right") - 1
     gap_from = np.where(np.arange(n) == cuts[doc], off[doc], np.concatenate([[0], ends[:-1]])[:n])
@@ -210,9 +212,9 @@ def encode_texts(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
     number = np.zeros(n, np.int64)
     for memo, flag in ((plain, False), (spaced, True)):
         which = np.flatnonzero(space == flag)
-        keys, one, inverse = distinct(hashes[which])
+        one, inverse = distinct((keys[0][which], keys[1][which]))
         number[which] = inverse + len(values)
-        values += memo.rows(data, starts[which][one], ends[which][one], keys, encoder.words(flag))
+        values += memo.rows(data, starts[which][one], ends[which][one], encoder.words(flag))
     # white space between words: what is not the one space that the word takes
     extra = gap - space
     odd_gap = np.flatnonzero(extra > 0)

@@ -7,6 +7,7 @@ whole buffers with numpy, so no step runs once per row or per character in Pytho
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 
 import numpy as np
@@ -32,6 +33,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(int(_P), -1, 2**64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_FULL = np.uint64(2**64 - 1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -43,15 +45,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, columns: list[str] | None = None) -> tuple[DataFrame, int, int]:
     """(frame of block, doc_id, text and, if columns are given, a struct `rest` of them; bytes of text; blocks).
 
-    A document's block is a hash of its id, so a block has the same rows whenever it is computed anew,
-    a hot source spreads over all blocks, and several grouped functions reuse one exchange of the texts.
+    A document's block is a hash of its id and text, so a block has the same rows whenever it is computed anew,
+    a hot source and rows that share an id or have none spread over all blocks, and several grouped functions
+    reuse one exchange of the texts.
     """
     spark = docs.sparkSession
     rest = [F.struct(*columns).alias("rest")] if columns else []
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *rest)
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(2 * shuffle_partitions(spark), math.ceil(total / BLOCK_BYTES))
-    return own.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).select("block", *own.columns), total, n
+    return own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).select("block", *own.columns), total, n
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more: the driver's cleaner only acts on what was collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def buckets_for(spark: SparkSession, keys: float) -> int:
@@ -124,7 +133,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for every span: a polynomial over one prefix sum."""
+    """64-bit hash of values[start:end] for every span of a few hashed units: a polynomial over one prefix sum.
+
+    Polynomials modulo a power of two have collisions by construction from about a thousand units on; spans of any
+    length are told apart by `span_keys`.
+    """
     n = len(values)
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -134,6 +147,31 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
+#: Bytes from which a span is digested on its own instead of eight bytes at a time abreast with others.
+LONG_SPAN = 4096
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two arrays, that tell the byte spans data[start:end] apart, whatever their length."""
+    size = ends - starts
+    one, two = mix(size.astype(np.uint64) + _P), size.astype(np.uint64) * _M2 + _M1
+    if not len(size):
+        return one, two
+    load = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    live, done = np.flatnonzero((size > 0) & (size < LONG_SPAN)), 0
+    while len(live):
+        left = np.minimum(size[live] - done, 8)
+        v = load[starts[live] + done] & (_FULL >> (np.uint64(64) - left.astype(np.uint64) * np.uint64(8)))
+        one[live] = mix((one[live] ^ v) + _M1)
+        two[live] = mix((two[live] + v * _P) ^ _M2)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size >= LONG_SPAN).tolist():
+        digest = np.frombuffer(hashlib.blake2b(np.ascontiguousarray(data[starts[i] : ends[i]]), digest_size=16).digest(), "<u8")
+        one[i], two[i] = digest
+    return one, two
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -186,37 +224,53 @@ def claim(name: str, clear=None) -> None:
 
 
 class Memo:
-    """What a worker has computed for distinct words: by hash, dropped as a whole beyond `most` words, so memory is bounded."""
+    """What a worker has computed for distinct words: by their bytes, dropped as a whole beyond `most` words or MEMO_BYTES, so memory is bounded."""
 
     def __init__(self, most: int):
-        self.most, self.at, self.values = most, {}, []
-
-    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, compute) -> list:
-        """The value of each distinct word; compute(list of words as bytes) -> list of values, for those not yet known."""
-        if len(self.at) > self.most:
-            self.at, self.values = {}, []
-        keys = hashes.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.at]
+        self.most, self.held, self.at = most, 0, {}
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, compute) -> list:
+        """The value of each word; compute(list of words as bytes) -> list of values, for those not yet known."""
+        if len(self.at) > self.most or self.held > MEMO_BYTES:
+            self.at, self.held = {}, 0
+        raw, at = data.tobytes(), self.at
+        words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        missing = [w for w in words if w not in at]
         if missing:
-            raw = data.tobytes()
-            s, e = starts[missing].tolist(), ends[missing].tolist()
-            found = compute([raw[a:b] for a, b in zip(s, e, strict=True)])
-            n = len(self.values)
-            self.values += found
-            self.at.update(zip([keys[i] for i in missing], range(n, n + len(found)), strict=True))
-        at, values = self.at, self.values
-        return [values[at[h]] for h in keys]
-
-
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, place of one occurrence of each, inverse)."""
-    order = np.argsort(hashes)
-    s = hashes[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    inverse = np.empty(len(s), np.int64)
+            at.update(zip(missing, compute(missing), strict=True))
+            self.held += sum(map(len, missing))
+        return [at[w] for w in words]
+
+
+#: Bytes of words that a memo holds.
+MEMO_BYTES = 20_000_000
+
+
+def distinct(keys: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one occurrence of each distinct 128-bit key, inverse)."""
+    one, two = keys
+    order = np.argsort(one)
+    a, b = one[order], two[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    new = np.concatenate([[True], ~same]) if len(a) else np.zeros(0, bool)
+    inverse = np.empty(len(a), np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return s[new], order[new], inverse
+    return order[new], inverse
+
+
+def added(columns: list[str], *names: str) -> list[str]:
+    """The names of columns that an operator adds: one that the input has too, in any case, takes underscores until it is free."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def batches(stream, column: str):

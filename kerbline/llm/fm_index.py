@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import byte_values, ids_back, ids_of, span_hashes, text_array, word_spans
+from .common import distinct, ids_back, ids_of, span_keys, text_array, word_spans
 from .repeats import Supers, Units, repeated
 
 #: Words of the grams that choose anchors.
@@ -88,7 +88,7 @@ class FMIndex:
 def fm_groups(body: np.ndarray, off: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
     """Group number of every window by backward search; -1 where a window occurs once."""
     starts, ends, cuts = word_spans(body, off)
-    _, word = np.unique(span_hashes(byte_values(body), starts, ends), return_inverse=True)
+    _, word = distinct(span_keys(body, starts, ends))
     sizes = np.diff(cuts)
     symbols = np.zeros(len(word) + len(sizes), np.int64)
     at = np.arange(len(word)) + np.repeat(np.arange(len(sizes)), sizes)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, blocks_of, buckets_for, buffers, byte_values, claim, cut, distinct, ids_back, ids_of, lower_ascii, span_hashes, word_spans
+from .common import batches, blocks_of, buckets_for, buffers, claim, cut, ids_back, ids_of, lower_ascii, span_keys, word_spans
 
 STATES, CLASSES = 4, 2048
 #: Baum-Welch rounds on the sample, and over the corpus.
@@ -45,7 +45,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, off = buffers(column)
     data = lower_ascii(data)
     starts, ends, cuts = word_spans(data, off)
-    hashes = span_hashes(byte_values(data), starts, ends)
+    hashes = span_keys(data, starts, ends)[0]
     to = cuts + np.arange(len(cuts))
     out = np.full(int(to[-1]), END_HASH, np.uint64)
     out[np.arange(len(hashes)) + np.searchsorted(cuts, np.arange(len(hashes)), "right") - 1] = hashes
@@ -195,7 +195,7 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _block_words(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes by bucket, their buckets, inverse, token offsets)."""
     hashes, off = tokens_of(column)
-    keys, _, inverse = distinct(hashes)
+    keys, inverse = np.unique(hashes, return_inverse=True)
     bucket = _bucket(keys, buckets)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
@@ -321,10 +321,10 @@ def score(docs: DataFrame, is_training, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     tables = train(docs.where(is_training), id_col, text_col)
     flagged = docs.withColumn("__train", F.coalesce(is_training, F.lit(False)))
-    base, total, n = blocks_of(flagged, id_col, text_col)
+    _, total, n = blocks_of(flagged, id_col, text_col)
     buckets = buckets_for(spark, total / 40)
     with_flag = flagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("__train").alias("train"))
-    blocks = with_flag.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).select("block", "doc_id", "text", "train").groupBy("block")
+    blocks = with_flag.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).select("block", "doc_id", "text", "train").groupBy("block")
     answers = cut(
         blocks.applyInArrow(_send_words(buckets), "bucket long, block long, keys binary, counts binary").groupBy("bucket").applyInArrow(_count_words, "block long, bucket long, counts binary")
     )

@@ -1,23 +1,27 @@
 """Operator 1: language ID by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text yields longest matches.  A text is parsed greedily
-into the longest phrases that occur in a language's text; the language that needs the fewest, normalised as
-phrases * log2(training bytes) / bytes parsed, wins.  Phrases end with words, so each distinct word is
-parsed once per worker, all words abreast in one transition table.
+For each language a suffix automaton of labelled text yields longest matches.  A text, as its lower-cased words
+parted by single spaces, is parsed greedily into the longest phrases that occur in a language's text; the language
+that needs the fewest, normalised as phrases * log2(training bytes) / bytes parsed, wins.  Phrases run across words.
 
-The classifier is fitted on a bounded sample of the labelled rows: SAMPLE_BYTES of text per language, taken
-from documents in the order of a hash of their id.  Prediction covers whole texts.
+A greedy parse is one run of the automaton.  All texts of a batch are parsed abreast, in stretches of STRETCH bytes:
+a stretch first runs as if a phrase began with it; then it runs again from the state that the stretch before it
+really ends in, until both runs are in one state, from where on they are the same.  The counts are those of the
+parse of the whole text.
 
-Edge cases: a text that is null or has no letter is `und` with score 0, as is every text when nothing is
-labelled; empty tables give empty results; ties go to the first language by name; rows that share an id are
-judged one by one; a null id counts as not held out; other columns of the input are not read.
+The classifier is fitted on a bounded sample of the labelled rows: whole texts of at most `longest` bytes, in the
+order of a hash of their id, until a language has `sample_bytes`; a language without a text that short learns from
+its shortest one.  Prediction covers whole texts.
+
+Edge cases: a text that is null or has no letter (Unicode category L) is `und` with score 0, as is every text when
+nothing is labelled; empty tables give empty results; ties go to the first language by name; rows that share an id
+are judged one by one; a null id counts as not held out; other columns of the input are not read, or passed on as
+they are: a judged column whose name one of them has takes underscores until it is free.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +29,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, batches, buffers, byte_values, claim, distinct, span_hashes, word_spans
+from .common import added, batches, claim
 
-#: Bytes of text per language that are learned from; at most 32767, so that states fit 16 bits.
-SAMPLE_BYTES = 32_000
-#: Documents per language that the sample is drawn from, on average, and bytes of each at most.
-SAMPLE_DOCS, DOC_BYTES = 96, 1_500
-#: Distinct words whose parse a worker keeps.
-MEMO_WORDS = 300_000
+#: Bytes of text per language that are learned from, about, and of one text at most.
+SAMPLE_BYTES, LONGEST = 32_000, 4_000
+#: Bytes of a stretch, and stretches that are parsed abreast.
+STRETCH, LANES = 128, 16_384
 UNKNOWN = "und"
+_STATE = (1 << 28) - 1
+
+
+class _Letters(dict):
+    """A table for str.translate: letters stay, all else is a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if chr(code).isalpha() else 0x20
+        return self[code]
+
 
-_letters = re.compile(r"[^\W\d_]+").findall
+_letters = _Letters()
+
+
+def normalised(text: str | None) -> bytes:
+    """What is parsed of a text: its words in lower case between single spaces; nothing if it has no letter."""
+    words = text.lower().translate(_letters).split() if text else []
+    return " ".join(["", *words, ""]).encode() if words else b""
 
 
 def suffix_automaton(text: bytes, codes: np.ndarray) -> np.ndarray:
     """Transitions [state, code] of the suffix automaton of text; state 1 is the root, 0 means none."""
     width = int(codes.max()) + 1
     size = 2 * len(text) + 3
-    go = np.zeros((size, width), np.int32)
     link, length = [0] * size, [0] * size
     last, n = 1, 2
     step: list[dict[int, int]] = [{} for _ in range(size)]
@@ -68,84 +85,119 @@ def suffix_automaton(text: bytes, codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
+    go = np.zeros((n, width), np.int32)
     for s in range(1, n):
         for c, t in step[s].items():
             go[s, c] = t
-    return go[:n].astype(np.uint16)
+    return go
+
+
+def _parser(go: np.ndarray) -> np.ndarray:
+    """The greedy parse as one table [state * width + code]: the next state times width and, above it, the phrases that end.
+
+    Where the automaton has no way on, the phrase ends before the byte, which begins the next; a byte that the
+    language lacks is a phrase of its own.
+    """
+    n, width = go.shape
+    if n * width > _STATE:
+        raise ValueError("the sample of a language is too large for the parse table: lower sample_bytes")
+    again = go[1]
+    ends = (np.arange(n)[:, None] != 1).astype(np.int64) + (again == 0)[None, :]
+    stuck = go == 0
+    state = np.where(stuck, np.where(again == 0, 1, again)[None, :], go).astype(np.int64)
+    return (state * width | np.where(stuck, ends, 0) << 28).astype(np.uint32).ravel()
 
 
 class Model:
     def __init__(self, samples: dict[str, bytes]):
-        """samples: text per language, words parted by one space."""
+        """samples: normalised text per language."""
         self.languages = sorted(samples)
         used = np.zeros(256, bool)
         for text in samples.values():
             used[np.frombuffer(text, np.uint8)] = True
         self.codes = np.where(used, np.cumsum(used), 0).astype(np.uint8)
-        self.tables = [suffix_automaton(samples[k], self.codes) for k in self.languages]
+        self.width = int(self.codes.max()) + 1
+        self.tables = [_parser(suffix_automaton(samples[k], self.codes)) for k in self.languages]
         self.bits = np.log2([max(2, len(samples[k])) for k in self.languages])
-        self.name = uuid.uuid4().hex
 
-    def parse(self, words: list[bytes]) -> list[bytes]:
-        """Per word: bytes parsed and phrases per language, as little-endian 16-bit numbers, or 64-bit ones where 16 bits don't hold them."""
-        texts = [" ".join(["", *found, ""]).encode() if (found := _letters(w.decode("utf-8", "replace").lower())) else b"" for w in words]
+    def parse(self, texts: list[bytes]) -> np.ndarray:
+        """Phrases of each text, a row, in each language, a column."""
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = np.zeros((len(texts), 1 + len(self.languages)), np.int64)
-        out[:, 0] = size
-        order = np.argsort(-size, kind="stable")
-        flat = self.codes[np.frombuffer(b"".join([texts[i] for i in order.tolist()]), np.uint8)]
-        size = size[order]
-        at = np.cumsum(size) - size
-        for k, go in enumerate(self.tables):
-            state = np.ones(len(order), np.uint16)
-            phrases = np.zeros(len(order), np.int64)
-            m = len(order)
-            for t in range(int(size.max(initial=0))):
-                m = int(np.searchsorted(-size[:m], -t, "left"))
-                c = flat[at[:m] + t]
-                now = go[state[:m], c]
-                failed = np.flatnonzero(now == 0)
-                if len(failed):
-                    # the phrase ends before this byte, which begins the next; a byte that the language lacks is a phrase
-                    again = go[1, c[failed]]
-                    phrases[failed] += (state[failed] != 1).astype(np.int64) + (again == 0)
-                    now[failed] = np.where(again == 0, 1, again)
-                state[:m] = now
-            out[order, 1 + k] = phrases + ((state != 1) & (size > 0))
-        narrow = out.astype("<u2")
-        return [(x if (x == y).all() else y.astype("<u8")).tobytes() for x, y in zip(narrow, out, strict=True)] if out.max(initial=0) > 65_535 else [x.tobytes() for x in narrow]
-
-
-def counts_of(parsed: list[bytes], width: int) -> np.ndarray:
-    """What Model.parse gives, as one row of numbers per word."""
-    long = [i for i, x in enumerate(parsed) if len(x) > 2 * width]
-    if not long:
-        return np.frombuffer(b"".join(parsed), "<u2").reshape(-1, width)
-    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * width else "<u8").astype(np.int64) for x in parsed])
-
-
-_memos: dict[str, Memo] = {}
-
-
-def _predict(broadcast, id_col: str, text_col: str, names_out: list[str]):
-    """Judge each batch; names_out: the columns of the input that are passed on, or only the id."""
+        flat = self.codes[np.frombuffer(b"".join(texts), np.uint8)]
+        off = np.cumsum(size) - size
+        parts = -(-size // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), parts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = off[owner] + nth * STRETCH
+        lens = np.minimum(STRETCH, off[owner] + size[owner] - at)
+        out = np.zeros((len(texts), len(self.tables)), np.int64)
+        for k, table in enumerate(self.tables):
+            carry = self.width
+            for a in range(0, len(owner), LANES):
+                b = min(a + LANES, len(owner))
+                counts, ends = self._stretches(table, flat, at[a:b], lens[a:b], nth[a:b] > 0, carry)
+                carry = int(ends[-1])
+                # an unfinished phrase at the end of a text counts
+                counts += (ends != self.width) & (nth[a:b] + 1 == parts[owner[a:b]])
+                out[:, k] += np.bincount(owner[a:b], weights=counts, minlength=len(texts)).astype(np.int64)
+        return out
+
+    def _stretches(self, table: np.ndarray, flat: np.ndarray, at: np.ndarray, lens: np.ndarray, goes_on: np.ndarray, carry: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end in each stretch, the state it ends in).  goes_on: it follows the one before it; carry: where what is before the first ends."""
+        n, root = len(at), self.width
+        order = np.argsort(-lens, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        first, size = at[order], lens[order]
+        states, counts = np.zeros((STRETCH, n), np.uint32), np.zeros((STRETCH, n), np.int32)
+        state, count = np.full(n, root, np.uint32), np.zeros(n, np.int32)
+        for t in range(int(size[0])):
+            m = int(np.searchsorted(-size, -t, "left"))
+            v = table[state[:m] + flat[first[:m] + t]]
+            state[:m] = v & np.uint32(_STATE)
+            count[:m] += (v >> np.uint32(28)).astype(np.int32)
+            states[t, :m], counts[t, :m] = state[:m], count[:m]
+        ends, total, used = state[place].astype(np.int64), count[place].astype(np.int64), np.full(n, root, np.int64)
+        while True:
+            before = np.concatenate([[carry], ends[:-1]])
+            live = np.flatnonzero(goes_on & (before != used))
+            if not len(live):
+                return total, ends
+            used[live] = before[live]
+            now, done = before[live].astype(np.uint32), np.zeros(len(live), np.int32)
+            for t in range(STRETCH):
+                keep = lens[live] > t
+                if not keep.all():  # these end in another state than they did
+                    ends[live[~keep]], total[live[~keep]] = now[~keep], done[~keep]
+                    live, now, done = live[keep], now[keep], done[keep]
+                if not len(live):
+                    break
+                v = table[now + flat[at[live] + t]]
+                now = v & np.uint32(_STATE)
+                done = done + (v >> np.uint32(28)).astype(np.int32)
+                lane = place[live]
+                met = states[t, lane] == now
+                if met.any():  # from here on both runs are one
+                    ahead = done[met] - counts[t, lane[met]]
+                    counts[t:, lane[met]] += ahead
+                    total[live[met]] += ahead
+                    live, now, done, lane = live[~met], now[~met], done[~met], lane[~met]
+                states[t, lane], counts[t, lane] = now, done
+            ends[live], total[live] = now, done
+
+
+def _predict(broadcast, text_col: str, names_out: list[str], judged: list[str]):
+    """Judge each batch; names_out: the columns of the input that are passed on."""
 
     def run(stream):
         model = broadcast.value
-        claim("language_id", _memos.clear)
-        if model.name not in _memos:
-            _memos.clear()
-            _memos[model.name] = Memo(MEMO_WORDS)
+        claim("language_id")
         names, k = model.languages, len(model.languages)
         for table in batches(stream, text_col):
-            data, off = buffers(table[text_col])
-            starts, ends, cuts = word_spans(data, off)
-            keys, one, inverse = distinct(span_hashes(byte_values(data), starts, ends))
-            rows = counts_of(_memos[model.name].rows(data, starts[one], ends[one], keys, model.parse), 1 + k)
-            sums = np.stack([np.concatenate([[0], np.cumsum(rows[:, j][inverse], dtype=np.int64)]) for j in range(1 + k)])
-            total = sums[:, cuts[1:]] - sums[:, cuts[:-1]]
-            known = (total[0] > 0) & (k > 0)
-            cost = total[1:] * model.bits[:, None] / np.maximum(total[0], 1) if k else np.zeros((1, len(known)))
+            texts = [normalised(x) for x in table[text_col].to_pylist()]
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            known = (size > 0) & (k > 0)
+            cost = model.parse(texts).T * model.bits[:, None] / np.maximum(size, 1) if k else np.zeros((1, len(known)))
             best = cost.argmin(axis=0)
             ranked = np.sort(cost, axis=0)
             second = ranked[1] if k > 1 else np.full(len(known), np.inf)
@@ -158,7 +210,7 @@ def _predict(broadcast, id_col: str, text_col: str, names_out: list[str]):
                     pa.array(np.clip(score, 0, 1), pa.float64()),
                     pa.array(np.where(known, ranked[0], np.nan), pa.float64(), mask=~known),
                 ],
-                names=[*names_out, *JUDGED],
+                names=[*names_out, *judged],
             )
 
     return run
@@ -169,25 +221,33 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a bounded sample of the labelled rows: the same rows whatever the partitioning."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    # a share of each language's rows, by a hash of the id: about twice SAMPLE_DOCS rows each come to the driver
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> Model:
+    """Learn from a bounded sample of the labelled rows: the same rows whatever the partitioning.
+
+    sample_bytes: of text per language; the last text that is taken may go beyond it.  longest: texts of more
+    bytes are not sampled, unless a language has no shorter one.
+    """
+    size = F.octet_length(text_col)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30))
+    rows = labelled.where(F.col(lang_col).isNotNull() & (size > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), size.alias("size"), place.alias("place"))
+    short = F.col("size") <= longest
+    known = rows.groupBy("lang").agg(F.sum(F.when(short, F.col("size"))).alias("bytes"), F.min("size").alias("least")).collect()
+    # a share of each language's bytes, by a hash of the row: about twice the sample comes to the driver
     chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (place < int((1 << 30) * min(1.0, 2 * SAMPLE_DOCS / n))))
-    taken = rows.where(chosen).select(F.col(lang_col).alias("lang"), place.alias("place"), F.substring(text_col, 1, DOC_BYTES).alias("text")).collect() if counts else []
-    samples: dict[str, list[str]] = {}
-    for r in sorted(taken, key=lambda r: (r["place"], hashlib.sha256(r["text"].encode()).digest())):
-        samples.setdefault(r["lang"], []).append(" ".join(_letters(r["text"].lower())))
-    made = {}
-    for lang, texts in samples.items():
-        whole = (" " + " ".join(t for t in texts if t) + " ").encode()[:SAMPLE_BYTES].decode("utf-8", "ignore").encode()
-        if whole.strip():
-            made[lang] = whole
-    return Model(made)
+    for r in sorted(known, key=lambda r: r.lang):
+        own = (place_below(min(1.0, 2 * sample_bytes / r.bytes)) & short) if r.bytes else F.col("size") == r.least
+        chosen = chosen | ((F.col("lang") == r.lang) & own)
+    taken = rows.where(chosen).select("lang", "place", "text").collect() if known else []
+    samples: dict[str, list[bytes]] = {}
+    for r in sorted(taken, key=lambda r: (r.place, hashlib.sha256(r.text.encode()).digest())):
+        texts = samples.setdefault(r.lang, [])
+        if sum(map(len, texts)) < sample_bytes and (found := normalised(r.text)):
+            texts.append(found.strip())
+    return Model({k: b" " + b" ".join(texts) + b" " for k, texts in samples.items() if texts})
+
+
+def place_below(share: float) -> Column:
+    return F.col("place") < int((1 << 30) * share) + 1
 
 
 #: Columns that a judged table has besides its own.
@@ -197,10 +257,12 @@ JUDGED = ("lang_pred", "score", "bits_per_byte")
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """lang_pred, score (how far the best language is ahead, 0 to 1) and bits_per_byte for every document.
 
-    columns: of the input, to pass on; the id alone if not given.  None of them may be called like a judged column.
+    columns: of the input, to pass on; the id alone if not given.
     """
     columns = [id_col] if columns is None else columns
+    judged = added(columns, *JUDGED)
     own = docs.select(*dict.fromkeys([*columns, text_col]))
-    schema = T.StructType([*[docs.schema[c] for c in columns], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_BYTES of text a language
-    return own.mapInArrow(_predict(shared, id_col, text_col, columns), schema)
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    schema = T.StructType([*[docs.schema[c] for c in columns], *[T.StructField(c, k) for c, k in zip(judged, kinds, strict=True)]])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table a language, whose size the sample bounds
+    return own.mapInArrow(_predict(shared, text_col, columns, judged), schema)

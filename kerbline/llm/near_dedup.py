@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batches, buffers, byte_values, claim, cut, lower_ascii, mix, shuffle_partitions, span_hashes, word_spans
+from .common import NULL_ID, batches, buffers, claim, cut, lower_ascii, mix, release, shuffle_partitions, span_hashes, span_keys, word_spans
 from .components import connected_components
 
 #: Orders of the signatures, hashes in each, and hashes that neighbours share at least.
@@ -48,7 +48,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     data, off = buffers(column)
     data = lower_ascii(data)
     starts, ends, cuts = word_spans(data, off)
-    words = span_hashes(byte_values(data), starts, ends)
+    words = span_keys(data, starts, ends)[0]
     n = np.diff(cuts)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), count)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, byte_values, claim, cut, distinct, ids_back, ids_of, span_hashes, text_array, word_spans
+from .common import Memo, batches, buffers, claim, cut, distinct, ids_back, ids_of, span_keys, text_array, word_spans
 
 #: Distinct words whose ids a worker keeps.
 MEMO_WORDS = 200_000
@@ -60,6 +60,8 @@ class WordEncoder:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
+        if max(model["vocab"].values()) >= 1 << 16:
+            raise ValueError("ids are kept in 16 bits: the vocabulary is too large")
         suffix = model["end_of_word_suffix"]
         byte_of = {c: bytes([b]) for b, c in _byte_letters().items()}
 
@@ -136,8 +138,8 @@ def encode_texts(column: pa.Array, name: str, end: int | None) -> tuple[np.ndarr
     encoder, memo = _encoders[name]
     data, off = buffers(column)
     starts, ends, cuts = word_spans(data, off)
-    keys, one, inverse = distinct(span_hashes(byte_values(data), starts, ends))
-    values = memo.rows(data, starts[one], ends[one], keys, encoder)
+    one, inverse = distinct(span_keys(data, starts, ends))
+    values = memo.rows(data, starts[one], ends[one], encoder)
     flat = np.frombuffer(b"".join(values), "<u2")
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 2
     tail = int(end is not None)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks_of, buckets_for, buffers, byte_values, claim, gather, ids_of, mix, span_hashes, word_spans
+from .common import blocks_of, buckets_for, buffers, byte_values, claim, gather, ids_of, mix, span_hashes, span_keys, word_spans
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -81,7 +81,7 @@ def supers_of(texts: pa.ChunkedArray | pa.Array, units: Units) -> Supers:
     data, off = buffers(texts)
     if units.words:
         starts, ends, cuts = word_spans(data, off)
-        values = span_hashes(byte_values(data), starts, ends)
+        values = span_keys(data, starts, ends)[0]
     else:
         starts = ends = np.zeros(0, np.int64)
         cuts, values = off, data
