@@ -82,8 +82,8 @@ def search(rows: DataFrame, is_query: Column, build: Callable, answer: Callable,
         order = sorted(range(len(ids)), key=lambda i: (ids[i], vectors[i]))
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([build(ids[order], [vectors[i] for i in order], key[1].as_py())], pa.binary())})
 
-    # queries in chunks of their own, by the same hash: rows with one id are together on either side
-    place = F.xxhash64("id")
+    # queries in chunks of their own, by the same hash: equal rows are together on either side, rows that only share an id spread
+    place = F.xxhash64("id", "vector")
     sides = rows.select(F.pmod(place, F.lit(n_c)).alias("chunk"), F.lit(False).alias("asks"), "id", "vector").unionAll(
         rows.where(is_query).select(F.pmod(place, F.lit(n_q)).alias("chunk"), F.lit(True).alias("asks"), "id", "vector")
     )

@@ -12,6 +12,7 @@ fewer candidates than k give all of them; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -35,22 +36,23 @@ def _build(scale: float):
         row, term, weight = row[weight != 0], term[weight != 0], weight[weight != 0]
         by = np.lexsort((row, term))
         terms, first = np.unique(term[by], return_index=True)
-        return pickle.dumps((ids, terms, np.append(first, len(by)), row[by].astype(np.int32), weight[by]))
+        marks = [hashlib.blake2b(np.array(v, np.float64).tobytes(), digest_size=16).digest() for v in vectors]
+        return pickle.dumps((ids, marks, terms, np.append(first, len(by)), row[by].astype(np.int32), weight[by]))
 
     return build
 
 
 def _answer(k: int):
     def answer(ask: bytes, have: bytes) -> np.ndarray:
-        q_ids, q_terms, q_cut, q_row, q_weight = pickle.loads(ask)
-        ids, terms, cut, row, weight = pickle.loads(have)
+        q_ids, q_marks, q_terms, q_cut, q_row, q_weight = pickle.loads(ask)
+        ids, marks, terms, cut, row, weight = pickle.loads(have)
         n = len(ids)
         at = {t: i for i, t in enumerate(terms.tolist())}
         top = float(np.abs(q_weight).max(initial=0)) * float(np.abs(weight).max(initial=0)) * max(1, len(q_terms))
         kind = np.int32 if top < 2**31 else np.int64
         weight, q_weight = weight.astype(kind), q_weight.astype(kind)
         # a query's own row: the same id and the same vector (one of them, where rows are repeated)
-        own = _own_rows(q_ids, (q_terms, q_cut, q_row, q_weight), ids, (terms, cut, row, weight))
+        own = _own_rows(q_ids, q_marks, ids, marks)
         out = []
         step = max(1, DENSE // max(1, n))
         whole: dict[int, np.ndarray] = {}
@@ -99,22 +101,12 @@ def _answer(k: int):
     return answer
 
 
-def _own_rows(q_ids: np.ndarray, q: tuple, ids: np.ndarray, c: tuple) -> np.ndarray:
+def _own_rows(q_ids: np.ndarray, q_marks: list[bytes], ids: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """The place of each query's own row, or -1.  Equal rows are all in one chunk, so one chunk only leaves one out."""
     own = np.full(len(q_ids), -1)
-    shared = np.isin(q_ids, ids)
-
-    def vector(post: tuple, i: int) -> tuple:
-        terms, cut, row, weight = post
-        at = np.flatnonzero(row == i)
-        return tuple(terms[np.searchsorted(cut, at, "right") - 1].tolist()), tuple(weight[at].tolist())
-
-    for i in np.flatnonzero(shared).tolist():
-        lo, hi = np.searchsorted(ids, (q_ids[i], q_ids[i] + 1))
-        if hi - lo == 1:
-            own[i] = lo
-        else:
-            want = vector(q, i)
-            own[i] = next((j for j in range(lo, hi) if vector(c, j) == want), -1)
+    lo, hi = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+    for i in np.flatnonzero(hi > lo).tolist():
+        own[i] = next((j for j in range(lo[i], hi[i]) if marks[j] == q_marks[i]), -1)
     return own
 
 
