@@ -31,6 +31,8 @@ from .common import Memo, batches, buffers, claim, cut, distinct, ids_back, ids_
 
 #: Distinct words whose ids a worker keeps.
 MEMO_WORDS = 200_000
+#: Partitions up to which their places, two numbers each, are sent to every task; more of them are joined.
+BROADCAST_PARTS = 1_000_000
 _END = b"\xff"
 
 
@@ -225,4 +227,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         base.append((row.part, at))
         at += row.total
     places = spark.createDataFrame(base, "part long, base long")
+    if len(base) <= BROADCAST_PARTS:  # the bodies then stay where they are
+        places = F.broadcast(places)
     return chunks.join(places, "part").mapInArrow(_cut(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
