@@ -1,11 +1,56 @@
-"""Connected components of a graph kept in a table, by alternating large-star and small-star rounds."""
+"""Connected components of a graph kept in a table, by alternating large-star and small-star rounds.
+
+Each task first contracts the edges it holds to a spanning forest, a bounded run of them at a time, so the rounds
+over the whole graph begin with little more than the nodes.  What a round leaves behind is let go at its end.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
+
+#: Edges that a task contracts at a time.
+RUN_EDGES = 500_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root): a star for each component of the edges, around its smallest node."""
+    nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = place[: len(u)], place[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            out = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[out], nodes[label[out]]
+        np.minimum.at(label, high, low)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _contract(stream):
+    us, vs, held = [], [], 0
+
+    def flush():
+        node, root = forest(np.concatenate(us), np.concatenate(vs))
+        return pa.RecordBatch.from_pydict({"u": pa.array(node, pa.int64()), "v": pa.array(root, pa.int64())})
+
+    for batch in stream:
+        us.append(batch["u"].to_numpy())
+        vs.append(batch["v"].to_numpy())
+        held += batch.num_rows
+        if held >= RUN_EDGES:
+            yield flush()
+            us, vs, held = [], [], 0
+    if held:
+        yield flush()
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
@@ -16,7 +61,8 @@ def _nearest(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) of longs.  Returns (node, root): root is the smallest node of the component; only nodes that have an edge."""
-    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    spark = edges.sparkSession
+    edges = cut(edges.select("u", "v").mapInArrow(_contract, "u long, v long"))
     seen = None
     while True:
         # what a round leaves is a star around each root once nothing changes
@@ -27,9 +73,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = _nearest(both)
         # larger neighbours of a node hang on the smallest one
-        large = cut(both.join(near, both.u == near.node).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        large = cut(both.join(near, both.u == near.node).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"))
         # smaller neighbours and the node itself hang on the smallest one
         near = _nearest(large)
         joined = large.join(near, large.u == near.node)
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionAll(near.select(F.col("node").alias("u"), F.col("m").alias("v"))).where("u != v").distinct())
+        del both, near, large, joined, small
+        release(spark)

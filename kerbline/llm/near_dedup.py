@@ -8,13 +8,16 @@ DEPTH hashes: at the threshold similarity 0.85 a link is missed by all trees wit
 
 Candidates that hang together form candidate groups; inside those, links are confirmed on the full sets:
 intersections of all members are counted exactly by products of set matrices.  A group too large for one
-task is cut into chunks, and every pair of chunks is a task, so no cap on candidates is needed; a task
-answers with a spanning forest, never with all pairs.  Copies (equal sets) are one row until the end.
+task is cut into chunks, so no cap on candidates is needed.  First every chunk is held against the group's
+first one, which is linear in the group.  Links inside a component that this confirms change nothing any more,
+so only members outside the group's largest component are then held against all its chunks.  A task answers
+with a spanning forest, never with all pairs.  Copies (equal sets) are one row until the end.
 
 Edge cases: texts that are null or have no word have an empty set, are linked with nothing and keep
 themselves; fewer words than a shingle give one shingle of all words; a null id comes before every id and
 comes back as null; rows that share an id are separate documents with the same name; empty tables give
-empty results; other columns are not read.  Shingles and sets are told apart by 64- and 128-bit hashes.
+empty results; other columns are not read.  Shingles are told apart by 64-bit hashes inside a document or group,
+sets by 128-bit sums of them and their size; distinct sets are numbered, not hashed.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ TREES, DEPTH, SHALLOW = 24, 5, 3
 #: Rows of a region from which it takes a deeper prefix.
 REGION = 64
 #: Documents and shingles of a chunk of a candidate group.
-CHUNK_DOCS, CHUNK_SHINGLES = 256, 200_000
+CHUNK_DOCS, CHUNK_SHINGLES = 64, 200_000
 
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -244,12 +247,14 @@ def _pack_chunk(width: int):
     return run
 
 
-def _confirm_pair(percent: int):
+def _confirm_pair(percent: int, across: bool):
+    """Links between two chunks; across: those inside either chunk don't matter."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         nodes, sets, split = [], [], None
         for r in table.to_pylist():
             off, h = np.frombuffer(r["offsets"], np.int64), np.frombuffer(r["hashes"], np.uint64)
-            split = len(sets) or None
+            split = (len(sets) or None) if across else None
             nodes.append(np.frombuffer(r["nodes"], np.int64))
             sets += [h[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
         u, v = _edges(np.concatenate(nodes), _links(sets, percent, split))
@@ -268,16 +273,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(own.mapInArrow(_signatures(width), "doc_id long, n long, set1 long, set2 long, signature binary"))
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
     # copies are one node
-    nodes = cut(signed.where("n > 0").groupBy("n", "set1", "set2").agg(F.min(order).alias("rep"), F.first("signature").alias("signature")).withColumn("node", F.xxhash64("set1", "set2", "n")))
+    # copies are one node, numbered where the table is written
+    nodes = cut(
+        signed.where("n > 0").groupBy("n", "set1", "set2").agg(F.min(order).alias("rep"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id())
+    )
     groups = connected_components(candidate_edges(nodes))
     members = cut(groups.join(nodes.select("node", "rep", "n", "set1", "set2"), "node"))
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).cast("long").alias("chunks"))
-    sizes = cut(sizes)
-    placed = members.join(sizes, "root")
+    del groups
+    release(spark)
+    sizes = cut(members.groupBy("root").agg(_chunks().alias("chunks")))
     reps = own.select(order.alias("rep"), "text")
     # one text per node: rows that share an id may hold several sets, so the set decides
-    texts = placed.join(reps, "rep").mapInArrow(_own_text(width), "root long, chunks long, node long, text string")
-    texts = cut(texts)
+    texts = cut(members.join(sizes, "root").join(reps, "rep").mapInArrow(_own_text(width), "root long, chunks long, node long, n long, text string"))
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(2 * shuffle_partitions(spark), math.ceil(total / CHUNK_SHINGLES))
     small = (
@@ -286,17 +293,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("bin")
         .applyInArrow(_confirm_groups(width, percent), "u long, v long")
     )
-    packed = cut(
-        texts.where("chunks > 1")
-        .select("root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), "chunks", "node", "text")
-        .groupBy("root", "chunk")
-        .applyInArrow(_pack_chunk(width), "root long, chunk long, chunks long, nodes binary, offsets binary, hashes binary")
-    )
-    pairs = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other")).select(
-        "root", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "nodes", "offsets", "hashes"
-    )
-    large = pairs.groupBy("root", "a", "b").applyInArrow(_confirm_pair(percent), "u long, v long")
-    linked = connected_components(small.unionAll(large)).withColumnRenamed("root", "top")
+    packed = cut(_packed(texts.where("chunks > 1"), width))
+    first = packed.select("*", F.explode(F.when(F.col("chunk") == 0, F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("other"))
+    star = first.select("root", "other", "nodes", "offsets", "hashes").groupBy("root", "other").applyInArrow(_confirm_pair(percent, False), "u long, v long")
+    linked = cut(connected_components(small.unionAll(star)).withColumnRenamed("root", "top"))
+    release(spark)
+    rest = _outliers(texts, packed, linked, width, percent)
+    if rest is not None:
+        linked = cut(connected_components(linked.where("node != top").select(F.col("node").alias("u"), F.col("top").alias("v")).unionAll(rest)).withColumnRenamed("root", "top"))
+    del texts, packed, first, star, small, rest, members, sizes
+    release(spark)
     labels = linked.join(nodes.select("node", "rep"), "node")
     tops = labels.groupBy("top").agg(F.min("rep").alias("component"))
     label_of = cut(nodes.select("set1", "set2", "n", "node", "rep").join(linked, "node", "left").join(tops, "top", "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("component")))
@@ -305,6 +311,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
 
 
+def _chunks():
+    return F.ceil(F.greatest(F.count("*") / CHUNK_DOCS, F.sum("n") / CHUNK_SHINGLES)).cast("long")
+
+
+def _packed(texts: DataFrame, width: int) -> DataFrame:
+    """A row for each chunk of each group: its nodes and their sets."""
+    return (
+        texts.select("root", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"), "chunks", "node", "text")
+        .groupBy("root", "chunk")
+        .applyInArrow(_pack_chunk(width), "root long, chunk long, chunks long, nodes binary, offsets binary, hashes binary")
+    )
+
+
+def _outliers(texts: DataFrame, packed: DataFrame, linked: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links of members outside the largest component of their group, held against all its chunks but the first; None if there are no such members."""
+    large = cut(texts.where("chunks > 1").select("root", "chunks", "node", "n").join(linked, "node", "left").withColumn("top", F.coalesce("top", "node")))
+    main = large.groupBy("root", "top").count().groupBy("root").agg(F.max_by("top", F.struct("count", "top")).alias("main"))
+    outside = cut(large.join(cut(main), "root").where("top != main").select("root", "node", "n"))
+    if outside.isEmpty():
+        return None
+    sizes = cut(outside.groupBy("root").agg(_chunks().alias("apart")))
+    own = outside.join(sizes, "root").select(F.col("node").alias("_node"), F.col("apart").alias("chunks"))
+    theirs = texts.where("chunks > 1").drop("chunks").join(own, F.col("node") == F.col("_node"))
+    asks = cut(_packed(theirs, width)).join(packed.select("root", F.col("chunks").alias("whole")).distinct(), "root")
+    body = ("nodes", "offsets", "hashes")
+    pairs = asks.select("root", F.col("chunk").alias("a"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") - 1)).alias("b"), *body).unionAll(
+        packed.where("chunk > 0").join(sizes, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("apart") - 1)).alias("a"), F.col("chunk").alias("b"), *body)
+    )
+    return pairs.groupBy("root", "a", "b").applyInArrow(_confirm_pair(percent, True), "u long, v long")
+
+
 def _own_text(width: int):
     def run(stream):
         for batch in stream:
@@ -319,6 +356,6 @@ def _own_text(width: int):
                     key2[some] = np.add.reduceat(mix(hashes ^ _B[0]), off[:-1][some])
                 mine = (np.diff(off) == table["n"].to_numpy()) & ((key1 + mix(key2)).view(np.int64) == table["set1"].to_numpy()) & (key2.view(np.int64) == table["set2"].to_numpy())
                 kept = table.filter(pa.array(mine))
-                yield pa.RecordBatch.from_pydict({c: kept[c] for c in ("root", "chunks", "node", "text")})
+                yield pa.RecordBatch.from_pydict({c: kept[c] for c in ("root", "chunks", "node", "n", "text")})
 
     return run

@@ -293,19 +293,22 @@ def plain_components(rows, width=5, percent=85):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-@pytest.mark.parametrize("chunk", [256, 2])
+@pytest.mark.parametrize("chunk", [64, 2, 1])
 def test_near_duplicates(docs, rows, empty, monkeypatch, chunk):
     from kerbline.llm import near_dedup
 
-    monkeypatch.setattr(near_dedup, "CHUNK_DOCS", chunk)  # 2: groups are cut into chunks and pairs of chunks
+    monkeypatch.setattr(near_dedup, "CHUNK_DOCS", chunk)  # 1, 2: groups are cut into chunks
     found = near_dedup.near_duplicates(docs).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain_components(rows) and len(found) == len(rows)
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
-def test_near_duplicates_chain_and_dense_regions(spark):
+@pytest.mark.parametrize("chunk", [64, 4])
+def test_near_duplicates_chain_and_dense_regions(spark, monkeypatch, chunk):
+    from kerbline.llm import near_dedup
     from kerbline.llm.near_dedup import near_duplicates
 
+    monkeypatch.setattr(near_dedup, "CHUNK_DOCS", chunk)
     base = [f"w{i}" for i in range(400)]
     chain = []
     for i in range(90):  # each differs from the one before in one word more, so the ends aren't alike
