@@ -1,172 +1,142 @@
 """Operator 3: line dedup by prefix doubling over line-id sequences, in DataFrame operations only.
 
-A document is its sequence of line ids (hashes of its lines that are not blank).  Prefix doubling names the
-run of 2, 4, ... lines that starts at each place: the name of a run is made of the names of its halves.  A
-place whose run is unique is finished and leaves, so each round only carries what still repeats.  The last
-round joins two overlapping runs where `min_lines` is no power of two.  Suffixes that agree in `min_lines`
-lines are one longest-common-prefix interval; its first place in the corpus stays, its later places are
-copies.  Neighbouring places that are copies form one maximal run, which is deleted.
-
-A run counts if it has `min_lines` lines that are not blank, with at least `min_chars` characters in all;
-blank lines take no part and always stay.
-
-`dedup_lines` measures `min_chars` on each `min_lines` lines, as op3's SQL does; there a longer run is what
-such windows cover.  `dedup_runs` measures it on the whole repeated run: a line goes if it lies in any run of
-`min_lines` lines or more, with `min_chars` characters or more, that occurs at an earlier place.  Such a run is
-covered by the windows in it that can't lose their first line, or can't lose their last, and still count; so it
-is enough to name these, at most two for each place, and no doubling is needed.
-
-Names are exchanged by their hash with partial counts; the join that brings a name's first place back is
-between two plain exchanges, so adaptive execution splits a line that a third of all rows hold.
-
-Edge cases: a null text stays null and has no lines; an empty text has no line that counts; a null id comes
-before every id; among rows that share an id, an equal place is not later, so neither loses it; repeated
-rows give repeated results; an empty table gives an empty result; other columns are passed on untouched.
+A document is its sequence of lines that are not blank; the suffixes of all documents are ordered by doubling.  The
+rank of a place at depth 1 is the first place in the corpus that holds the same line; at depth 2, 4, 8, ... it is the
+first place whose pair of ranks, here and half the depth further on, is the same.  Equal ranks mean equal lines, so
+places of one rank are one interval of suffixes with a common prefix of that depth.  A place whose rank no other place
+shares is finished and leaves, so each round only carries what still repeats.
+
+A run counts if it has `min_lines` lines that are not blank and `min_chars` characters in all.  Every copied run that
+counts is covered by *least* runs: those that can't lose their last line, and those that can't lose their first, and
+still count.  A least run of n lines is named by two ranks at the depth of the largest power of two in n, at its begin
+and flush with its end (one rank if n is that power), so doubling ends at the longest least run; deeper common prefixes
+would only name unions of least runs.  Per name the first place stays, later places are copies, and neighbouring copies
+are glued to the maximal repeated runs, which are deleted.
+
+Names are exchanged with partial counts; the join that brings a name's first place back is between two plain exchanges,
+so adaptive execution splits a line that a third of all rows hold.  Lines are told apart by two 64-bit hashes, places by
+id, a hash of the text and number.
+
+Edge cases: a null text stays null and has no lines; an empty text has no line that counts; blank lines take no part and
+always stay; a null id comes before every id; rows that share an id are ordered by a hash of their text; repeated rows
+(id and text) are one document and give repeated results; an empty table gives an empty result; other columns are passed
+on untouched: a column that is added under a name that one of them has takes underscores until it is free.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def _line_id(line: Column) -> Column:
-    """128 bits, as two hashes with different seeds."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
-
-
-def _lines_of(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
-    """(doc, key, line, ids, chars): arrays over the lines that count.  line: place among all lines."""
-    text = F.col(text_col)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text"))), lambda x: F.trim(F.regexp_replace(x.text, "[\t\r]", "")) != "")
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("key"), lines.alias("lines")).where(F.size("lines") >= min_lines)
-    return base.select(
-        "doc",
-        "key",
-        F.transform("lines", lambda x: x.line).alias("line"),
-        F.transform("lines", lambda x: _line_id(x.text)).alias("ids"),
-        F.transform("lines", lambda x: F.char_length(x.text).cast("long")).alias("chars"),
-    )
-
-
-def _places(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int) -> DataFrame:
-    """(doc, key, at, line, a, b): a row for each pair of neighbouring lines that count.  at: place among those lines; line: place among all."""
-    base = _lines_of(docs, id_col, text_col, min_lines)
-    width = min(2, min_lines)
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("ids") - min_lines),
-        lambda i: F.struct(
-            i.alias("at"),
-            F.xxhash64(*[F.get("ids", i + k) for k in range(width)]).alias("a"),
-            F.xxhash64(F.lit(2), *[F.get("ids", i + k) for k in range(width)]).alias("b"),
-            F.aggregate(F.slice("chars", i + 1, min_lines), F.lit(0).cast("long"), lambda s, c: s + c).alias("chars"),
-        ),
+from pyspark.sql.window import Window
+
+from .common import NULL_ID, added, cut
+
+_PLACE = ("doc", "key", "at")
+
+
+def _counts(line: Column) -> Column:
+    """Whether a line is not blank."""
+    return F.trim(F.regexp_replace(line, "[\t\r]", "")) != ""
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, key, at, a, b, chars): a row for each line that counts.  at: its number among those; a, b: its hashes."""
+    lines = F.filter(F.split(F.col(text_col), "\n"), _counts)
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(lines).alias("at", "line"))
+    return base.select(*_PLACE, F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.char_length("line").cast("long").alias("chars"))
+
+
+def _ranked(places: DataFrame, name: list[str]) -> DataFrame:
+    """Places whose name another place has too, with the first of them as `rank`."""
+    own = F.struct(*_PLACE)
+    names = places.groupBy(*name).agg(F.min(own).alias("rank"), F.max(own).alias("last")).where("rank != last").drop("last")
+    return places.join(cut(names), name)
+
+
+def _least_runs(live: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
+    """(doc, key, at, n): least runs among places that repeat.  live: (doc, key, at, chars), each place once."""
+    doc = Window.partitionBy("doc", "key")
+    by = doc.orderBy("at")
+    whole = live.withColumn("upto", F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = whole.withColumn("before", F.col("upto") - F.col("chars"))
+    # a run that can't lose its last line: lines while fewer than min_chars characters come before them
+    short = max(min_chars, 1) - 1
+    from_here = doc.orderBy("before").rangeBetween(0, short)
+    to_here = doc.orderBy("upto").rangeBetween(-short, 0)
+    more, less = by.rowsBetween(0, min_lines - 1), by.rowsBetween(1 - min_lines, 0)
+    sized = whole.select(
+        *_PLACE,
+        F.greatest(F.max("at").over(from_here), F.max("at").over(more)).alias("end"),
+        F.greatest(F.count("*").over(from_here), F.count("*").over(more)).alias("n1"),
+        F.greatest(F.max("upto").over(from_here), F.max("upto").over(more)).alias("end_chars"),
+        F.least(F.min("at").over(to_here), F.min("at").over(less)).alias("begin"),
+        F.greatest(F.count("*").over(to_here), F.count("*").over(less)).alias("n2"),
+        F.least(F.min("before").over(to_here), F.min("before").over(less)).alias("begin_chars"),
+        "upto",
+        "before",
     )
-    # names of pairs further on than the last full run are needed by the later rounds
-    if min_lines > 2:
-        window = F.transform(
-            F.sequence(F.lit(0), F.size("ids") - 2),
-            lambda i: F.struct(
-                i.alias("at"),
-                F.xxhash64(F.get("ids", i), F.get("ids", i + 1)).alias("a"),
-                F.xxhash64(F.lit(2), F.get("ids", i), F.get("ids", i + 1)).alias("b"),
-                F.when(i + min_lines <= F.size("ids"), F.aggregate(F.slice("chars", i + 1, min_lines), F.lit(0).cast("long"), lambda s, c: s + c)).alias("chars"),
-            ),
-        )
-    return base.select("doc", "key", F.size("ids").alias("of"), F.explode(window).alias("w")).select("doc", "key", "of", "w.at", "w.a", "w.b", "w.chars")
-
-
-def _repeated(places: DataFrame) -> DataFrame:
-    """Only places whose name occurs elsewhere, with the first place of the name."""
-    where = F.struct(F.col("doc").alias("doc"), F.col("at").alias("at"))
-    names = places.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(where).alias("first")).where("n > 1").select("a", "b", "first")
-    return places.join(cut(names), ["a", "b"])
-
-
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 50) -> DataFrame:
-    """(doc, key, of, at, first): places of runs of min_lines lines that are copies, and the first place of each.  at: among the `of` lines that count."""
-    found = _places(docs, id_col, text_col, min_lines, min_chars)
-    depth = min(2, min_lines)
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        live = cut(_repeated(found).drop("first"))
-        after = live.select(F.col("doc").alias("doc2"), F.col("key").alias("key2"), (F.col("at") - step).alias("at2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        on = F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2")) & (F.col("at") == F.col("at2"))
-        found = live.join(after, on).select("doc", "key", "of", "at", F.xxhash64("a", "b", "a2", "b2").alias("a"), F.xxhash64(F.lit(3), "a", "b", "a2", "b2").alias("b"), "chars")
-        depth += step
-    found = _repeated(found.where(F.col("chars") >= min_chars))
-    return found.where(~(F.struct(F.col("doc").alias("doc"), F.col("at").alias("at")).eqNullSafe(F.col("first")))).select("doc", "key", "of", "at", "first")
-
-
-def _least_run(chars: str, i: Column, min_lines: int, min_chars: int) -> Column:
-    """Lines of the shortest run from place i on that counts; null if there is none."""
-    most = max(1, min_lines, min_chars)  # a line that counts has a character or more
-    widths = [1 << k for k in range(most.bit_length() - 1)] + [most]
-
-    def exact(w: int) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).alias("n"))
-        step = lambda s, c: F.struct((s.chars + c).alias("chars"), (s.n + F.when(s.chars < min_chars, 1).otherwise(0)).alias("n"))
-        return F.aggregate(F.slice(chars, i + 1, w), start, step).n
-
-    total = lambda w: F.aggregate(F.slice(chars, i + 1, w), F.lit(0).cast("long"), lambda s, c: s + c)
-    # twice the lines at a time: a place costs no more than a few times its own run
-    n = F.greatest(F.coalesce(*[F.when(total(w) >= min_chars, exact(w)) for w in widths]), F.lit(max(1, min_lines)))
-    enough = F.coalesce(*[F.when(total(w) >= min_chars, F.lit(True)) for w in widths[-1:]], F.lit(False))
-    return F.when(enough & (i + n <= F.size(chars)), n)
-
-
-def run_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
-    """(doc, key, of, at, n, first): least runs that are copies, of n lines, and the first place of each; together they cover all copied runs that count."""
-    base = _lines_of(docs, id_col, text_col, max(1, min_lines)).select("doc", "key", "ids", "chars", F.reverse("chars").alias("back"))
-    places = F.sequence(F.lit(0), F.size("ids") - 1)
-    sized = base.select(
-        "doc",
-        "key",
-        "ids",
-        F.transform(places, lambda i: _least_run("chars", i, min_lines, min_chars)).alias("left"),
-        F.transform(places, lambda i: _least_run("back", i, min_lines, min_chars)).alias("right"),
-    )
-    from_first = F.transform(places, lambda i: F.struct(i.alias("at"), F.get("left", i).alias("n")))
-    to_last = F.transform(places, lambda i: F.struct((F.size("ids") - i - F.get("right", i)).alias("at"), F.get("right", i).alias("n")))
-    runs = F.concat(F.filter(from_first, lambda r: r.n.isNotNull()), F.filter(to_last, lambda r: r.n.isNotNull() & (F.get("left", r.at) != r.n)))
-    lines = F.slice("ids", F.col("r.at") + 1, F.col("r.n"))
-    found = sized.select("doc", "key", "ids", F.explode(runs).alias("r")).select("doc", "key", F.size("ids").alias("of"), "r.at", "r.n", F.xxhash64(lines).alias("a"), F.xxhash64(F.lit(2), lines).alias("b"))
-    found = _repeated(found)
-    return found.where(~(F.struct(F.col("doc").alias("doc"), F.col("at").alias("at")).eqNullSafe(F.col("first")))).select("doc", "key", "of", "at", "n", "first")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_chars: int = 50) -> DataFrame:
+    # none of its lines may be missing, and it must count
+    first = F.when((F.col("end") - F.col("at") + 1 == F.col("n1")) & (F.col("n1") >= min_lines) & (F.col("end_chars") - F.col("before") >= min_chars), F.struct("at", F.col("n1").alias("n")))
+    last = F.when((F.col("at") - F.col("begin") + 1 == F.col("n2")) & (F.col("n2") >= min_lines) & (F.col("upto") - F.col("begin_chars") >= min_chars), F.struct(F.col("begin").alias("at"), F.col("n2").alias("n")))
+    runs = sized.select("doc", "key", F.explode(F.array_distinct(F.array_compact(F.array(first, last)))).alias("run"))
+    return runs.select("doc", "key", "run.at", "run.n").distinct()
+
+
+def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """(doc, key, at, n, first): least runs that are copies, and the first place of each; together they cover all copied runs that count."""
+    min_lines = max(1, min_lines)
+    found = _ranked(_places(docs, id_col, text_col), ["a", "b"])
+    # repeated rows are one document from here on
+    live = cut(found.groupBy(*_PLACE).agg(F.first("chars").alias("chars"), F.first("rank").alias("rank")))
+    runs = cut(_least_runs(live, min_lines, min_chars).withColumn("level", F.floor(F.log2("n") + 1e-9).cast("int")))
+    deepest = runs.agg(F.max("level")).first()[0]
+    if deepest is None:
+        return runs.select("doc", "key", "at", "n", F.struct(*_PLACE).alias("first"))
+    ranks = live.select(*_PLACE, "rank")
+    levels = ranks.withColumn("level", F.lit(0))
+    for k in range(deepest):
+        further = Window.partitionBy("doc", "key").orderBy("at").rangeBetween(1 << k, 1 << k)
+        pairs = ranks.withColumn("next", F.max("rank").over(further)).where("next IS NOT NULL")
+        ranks = cut(_ranked(pairs.withColumnRenamed("rank", "here"), ["here", "next"]).select(*_PLACE, "rank"))
+        levels = levels.unionAll(ranks.withColumn("level", F.lit(k + 1)))
+    # the two ranks that name a run
+    begin = runs.join(levels, [*_PLACE, "level"]).withColumnRenamed("rank", "here")
+    power = F.expr("shiftleft(1, level)")
+    whole = begin.where(F.col("n") == power).select(*_PLACE, "n", F.col("here").alias("first"))
+    flush = levels.select("doc", "key", F.col("at").alias("at2"), "level", F.col("rank").alias("next"))
+    named = begin.where(F.col("n") != power).withColumn("at2", (F.col("at") + F.col("n") - power).cast("int")).join(flush, ["doc", "key", "at2", "level"])
+    longer = _ranked(named, ["n", "here", "next"]).select(*_PLACE, "n", F.col("rank").alias("first"))
+    return whole.unionAll(longer).where(F.struct(*_PLACE) != F.col("first"))
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """(doc, key, at, n): maximal stretches of lines that later copies of repeated runs cover."""
+    doc = Window.partitionBy("doc", "key").orderBy("at")
+    found = copied_runs(docs, id_col, text_col, min_lines, min_chars).groupBy("doc", "key", "at").agg((F.max("at") + F.max("n")).alias("end"))
+    reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    parted = found.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int"))
+    runs = parted.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "key", "run").agg(F.min("at").alias("at"), F.max("end").alias("end")).select("doc", "key", "at", (F.col("end") - F.col("at")).alias("n"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
     """docs with text_col without the later copies of repeated line runs; n_lines, n_removed and emptied (no line that counts is left) are added."""
-    return _without(docs, copies(docs, id_col, text_col, min_lines, min_chars).withColumn("n", F.lit(min_lines)), id_col, text_col)
-
-
-def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
-    """As dedup_lines, with min_chars measured on the whole repeated run."""
-    return _without(docs, run_copies(docs, id_col, text_col, min_lines, min_chars), id_col, text_col)
-
-
-def _without(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = (
-        found.groupBy("doc", "key")
-        .agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at"), F.col("at") + (F.col("n") - 1))))).alias("gone"), F.max("of").alias("__of"))
-        .withColumnRenamed("doc", "__doc")
-        .withColumnRenamed("key", "__key")
+    runs = repeated_runs(docs, id_col, text_col, min_lines, min_chars).groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
+    texts = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key")
     )
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__key"))
-    lines = F.split(F.col(text_col), "\n")
-    counting = F.filter(F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.trim(F.regexp_replace(F.get("__lines", i), "[\t\r]", "")) != "")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.transform("gone", lambda i: F.get("__counting", i)))
-    whole = docs.join(gone, on, "left").withColumn("__lines", lines)
-    changed = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    return (
-        whole.withColumn("__counting", F.when(F.col("gone").isNotNull(), counting))
-        .withColumn("__text", changed)
-        .select(
-            *[F.col("__text").alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
-            F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-            F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-            F.coalesce(F.size("gone") == F.col("__of"), F.lit(False)).alias("emptied"),
-        )
+    lines = F.split("text", "\n")
+    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r.at, r.at + r.n - 1)))
+    whole = texts.join(runs, ["doc", "key"], "left").select("row", "text", F.when(F.col("runs").isNotNull(), lines).alias("lines"), F.size(lines).alias("n_lines"), gone.alias("gone"))
+    # the numbers of the lines that count, of those that go, and what stays
+    counting = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _counts(F.get("lines", i)))
+    whole = whole.withColumn("counting", F.when(F.col("lines").isNotNull(), counting))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda i: F.get("counting", i.cast("int"))))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    n_lines, n_removed, emptied = added(docs.columns, "n_lines", "n_removed", "emptied")
+    return whole.select(
+        *[text.alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias(n_lines),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed),
+        F.coalesce(F.size("gone") == F.size("counting"), F.lit(False)).alias(emptied),
     )

@@ -38,7 +38,7 @@ def op2_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(_table(spark, sf_dir, "documents"), min_lines=2, min_chars=50)
+    found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=1, min_chars=50)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
@@ -103,17 +103,27 @@ WITH lines AS (
     SELECT doc_id, i - 1 AS line, parts[i] AS line_text
     FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL) d, range(1, len(parts) + 1) r(i)
 ), counting AS (
-    SELECT doc_id, line, line_text, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS place
+    SELECT doc_id, line, line_text, row_number() OVER w - 1 AS place, sum(length(line_text)) OVER w AS upto
     FROM lines WHERE trim(replace(replace(line_text, chr(9), ''), chr(13), '')) <> ''
-), windows AS (
-    SELECT doc_id, line, place, line_text, lead(line_text) OVER w AS next_text, lead(line) OVER w AS next_line
-    FROM counting WINDOW w AS (PARTITION BY doc_id ORDER BY place)
-), ranked AS (
-    SELECT doc_id, line, next_line, row_number() OVER (PARTITION BY line_text, next_text ORDER BY doc_id, place) AS occurrence
-    FROM windows WHERE next_line IS NOT NULL AND length(line_text) + length(next_text) >= 50
+    WINDOW w AS (PARTITION BY doc_id ORDER BY line)
+), sized AS (
+    SELECT *, upto - length(line_text) AS prior FROM counting
+), reach AS (
+    SELECT doc_id, place, max(place) OVER f AS last_place, max(upto) OVER f - prior AS after_chars,
+           min(place) OVER b AS first_place, upto - min(prior) OVER b AS before_chars
+    FROM sized
+    WINDOW f AS (PARTITION BY doc_id ORDER BY prior RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+           b AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
+), least_runs AS (
+    SELECT doc_id, place AS a, last_place AS z FROM reach WHERE after_chars >= 50
+    UNION SELECT doc_id, first_place, place FROM reach WHERE before_chars >= 50
+), named AS (
+    SELECT r.doc_id, r.a, r.z, string_agg(c.line_text, chr(10) ORDER BY c.place) AS content
+    FROM least_runs r JOIN counting c ON c.doc_id = r.doc_id AND c.place BETWEEN r.a AND r.z GROUP BY r.doc_id, r.a, r.z
+), copies AS (
+    SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS occurrence FROM named) WHERE occurrence > 1
 ), gone AS (
-    SELECT doc_id, line FROM ranked WHERE occurrence > 1
-    UNION SELECT doc_id, next_line FROM ranked WHERE occurrence > 1
+    SELECT DISTINCT c.doc_id, c.line FROM copies k JOIN counting c ON c.doc_id = k.doc_id AND c.place BETWEEN k.a AND k.z
 ), kept AS (
     SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_removed,
            string_agg(l.line_text, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL) AS kept

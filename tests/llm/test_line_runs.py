@@ -45,15 +45,17 @@ def rows():
 
 @pytest.mark.parametrize("min_lines,min_chars", [(1, 50), (2, 50), (3, 20), (1, 1), (5, 0)])
 def test_runs_against_plain_version(spark, rows, min_lines, min_chars):
-    from kerbline.llm.line_dedup import dedup_runs
+    from kerbline.llm.line_dedup import dedup_lines
 
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_runs(rows, min_lines, min_chars)
-    assert {r.doc_id: (r.text, r.n_removed) for r in dedup_runs(docs, min_lines=min_lines, min_chars=min_chars).collect()} == want
-    assert dedup_runs(docs.limit(0)).collect() == []
-    twice = dedup_runs(spark.createDataFrame([(None, "y" * 60), (3, "y" * 60), (3, "y" * 60), (3, "z" * 60), (3, "z" * 60)], "doc_id long, text string"))
+    assert {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs, min_lines=min_lines, min_chars=min_chars).collect()} == want
+    assert dedup_lines(docs.limit(0)).collect() == []
+    twice = dedup_lines(spark.createDataFrame([(None, "y" * 60), (3, "y" * 60), (3, "y" * 60), (3, "z" * 60), (3, "z" * 60)], "doc_id long, text string"))
     assert sorted((str(r.doc_id), r.text[:1], r.emptied) for r in twice.collect()) == [("3", "", True), ("3", "", True), ("3", "z", False), ("3", "z", False), ("None", "y", False)]
-    assert not re.search("Python|Pandas|Arrow", dedup_runs(docs)._jdf.queryExecution().executedPlan().toString())
+    shared = dedup_lines(spark.createDataFrame([(3, "y" * 60), (3, "y" * 60 + "\n" + "z" * 60), (4, "z" * 60)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in shared) in ([(3, 0), (3, 1), (4, 1)], [(3, 0), (3, 0), (4, 1)], [(3, 1), (3, 0), (4, 1)])
+    assert not re.search("Python|Pandas|Arrow", dedup_lines(docs)._jdf.queryExecution().executedPlan().toString())
 
 
 def test_pipeline_stage_drops_short_lines_of_long_copies_and_single_lines(spark, rows):

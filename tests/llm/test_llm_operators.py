@@ -196,19 +196,21 @@ def test_line_dedup(docs, rows, empty, min_lines):
 
     first, counting = {}, {}
     for d, t in sorted(rows):
-        counting[d] = [i for i, x in enumerate((t or "").split("\n")) if x.replace("\t", "").replace("\r", "").strip(" ")]
         lines = (t or "").split("\n")
-        for k in range(len(counting[d]) - min_lines + 1):
-            first.setdefault(tuple(lines[i] for i in counting[d][k : k + min_lines]), (d, k))
+        counting[d] = [i for i, x in enumerate(lines) if x.replace("\t", "").replace("\r", "").strip(" ")]
+        for k in range(len(counting[d])):
+            for z in range(k + min_lines, len(counting[d]) + 1):
+                first.setdefault(tuple(lines[i] for i in counting[d][k:z]), (d, k))
     found = dedup_lines(docs, min_lines=min_lines, min_chars=20)
     assert found.columns[:6] == docs.columns
     for r in found.collect():
         text = dict(rows)[r.doc_id]
         lines, gone = (text or "").split("\n"), set()
-        for k in range(len(counting[r.doc_id]) - min_lines + 1):
-            window = tuple(lines[i] for i in counting[r.doc_id][k : k + min_lines])
-            if first[window] != (r.doc_id, k) and sum(map(len, window)) >= 20:
-                gone |= set(counting[r.doc_id][k : k + min_lines])
+        for k in range(len(counting[r.doc_id])):
+            for z in range(k + min_lines, len(counting[r.doc_id]) + 1):
+                run = tuple(lines[i] for i in counting[r.doc_id][k:z])
+                if first[run] != (r.doc_id, k) and sum(map(len, run)) >= 20:
+                    gone |= set(counting[r.doc_id][k:z])
         assert r.n_removed == len(gone) and r.n_lines == (0 if text is None else len(lines))
         assert r.text == (None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone))
     assert dedup_lines(empty).collect() == []
