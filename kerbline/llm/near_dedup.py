@@ -11,7 +11,9 @@ intersections of all members are counted exactly by products of set matrices.  A
 task is cut into chunks, so no cap on candidates is needed.  First every chunk is held against the group's
 first one, which is linear in the group.  Links inside a component that this confirms change nothing any more,
 so only members outside the group's largest component are then held against all its chunks.  A task answers
-with a spanning forest, never with all pairs.  Copies (equal sets) are one row until the end.
+with a spanning forest, never with all pairs.  Copies (equal sets) are one row until the end.  What stays quadratic
+is a large group of candidates of which few are linked, such as forms filled in differently: its members outside the
+largest component are held against the whole group, in blocks.
 
 Edge cases: texts that are null or have no word have an empty set, are linked with nothing and keep
 themselves; fewer words than a shingle give one shingle of all words; a null id comes before every id and
@@ -38,7 +40,7 @@ TREES, DEPTH, SHALLOW = 24, 5, 3
 #: Rows of a region from which it takes a deeper prefix.
 REGION = 64
 #: Documents and shingles of a chunk of a candidate group.
-CHUNK_DOCS, CHUNK_SHINGLES = 64, 200_000
+CHUNK_DOCS, CHUNK_SHINGLES = 256, 200_000
 
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

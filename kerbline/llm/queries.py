@@ -26,7 +26,7 @@ def _removed(spans: str) -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     kept = held_out("doc_id", folds=4, fold=2)
     model = fit(docs.where(~kept))
     return identify(docs, model).select("doc_id", kept.alias("held_out"), "lang_pred", "score")

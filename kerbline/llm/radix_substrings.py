@@ -15,9 +15,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ids_back, ids_of, text_array
+from .common import added, ids_back, ids_of, text_array
 from .repeats import Supers, Units, repeated, run_spans
 
 #: Bytes of the grams that choose anchors: long enough that few grams repeat by chance.
@@ -52,7 +53,8 @@ def radix_groups(body: np.ndarray, off: np.ndarray, counts: np.ndarray, width: i
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, whole_chars: bool = False, columns: list[str] | None = None) -> DataFrame:
     """Remove every byte that a `width`-byte string covers which also starts in a document with a smaller id.
 
-    columns: of the input, to pass on instead of the id alone; all but the text come back.
+    columns: of the input, to pass on instead of the id alone; all but the text come back, and an added column whose
+    name one of them has takes underscores until it is free.
     whole_chars: keep a character unless all its bytes go, so that what is left is text again.
 
     Returns doc_id, n_bytes, removed (array of start and end, maximal runs) and kept (the remaining bytes).
@@ -83,4 +85,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return repeated(docs, id_col, text_col, units, radix_groups, finish, schema)
     rest = [c for c in columns if c != text_col]
     found = repeated(docs, id_col, text_col, units, radix_groups, finish, schema, rest)
-    return found.select("rest.*", "n_bytes", "removed", "kept")
+    outputs = ("n_bytes", "removed", "kept")
+    return found.select("rest.*", *[F.col(c).alias(name) for c, name in zip(outputs, added(rest, *outputs), strict=True)])

@@ -295,7 +295,7 @@ def plain_components(rows, width=5, percent=85):
     return {d: (len(sets[d]), top(d)) for d in sets}
 
 
-@pytest.mark.parametrize("chunk", [64, 2, 1])
+@pytest.mark.parametrize("chunk", [256, 2])
 def test_near_duplicates(docs, rows, empty, monkeypatch, chunk):
     from kerbline.llm import near_dedup
 
@@ -305,7 +305,7 @@ def test_near_duplicates(docs, rows, empty, monkeypatch, chunk):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
-@pytest.mark.parametrize("chunk", [64, 4])
+@pytest.mark.parametrize("chunk", [256, 4])
 def test_near_duplicates_chain_and_dense_regions(spark, monkeypatch, chunk):
     from kerbline.llm import near_dedup
     from kerbline.llm.near_dedup import near_duplicates
