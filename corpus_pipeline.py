@@ -4,40 +4,54 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 as Parquet in the shared folder and read again.  All stages but the last return the columns of the input;
 `n_chars` follows the text where a stage changes it.
 
-Rows that share a doc_id are one document to the near-dedup stage: they stay or go together.  Later stages
-treat them as separate texts, of which the substring stage joins its result by id and text.
+Edge cases, the same in every stage: an empty table gives an empty table.  A null text is no language and goes with
+the first stage; later stages keep one untouched (packing gives it the end id alone), and an empty text likewise.  A
+null id comes before every id.  Rows that share a doc_id are one document to the near-dedup stage: they stay or go
+together; later stages treat them as separate texts.  Repeated rows give repeated results.  Further columns travel in
+a struct, so none of their names can clash with what an operator adds.  Texts are taken whole, however long.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.llm.language_id import UNKNOWN, fit, held_out, identify
-from kerbline.llm.line_dedup import dedup_runs
+from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
 from kerbline.llm.radix_substrings import dedup_substrings
 from kerbline.session import ensure_checkpoint_dir
 
 
-def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the input, n_chars as the text now has it."""
-    return docs.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else c for c in columns])
+def _parted(docs: DataFrame, *own: str) -> DataFrame:
+    """doc_id, text and the columns `own`; all columns but the text once more in a struct `row`."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    return docs.select("doc_id", "text", *own, rest)
+
+
+def _whole(found: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs from `row`, with the text that a stage left; n_chars follows a changed text."""
+    changed = F.col("text") if text is None else text
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"}
+    if text is not None and "n_chars" in columns:
+        columns["n_chars"] = F.char_length(changed).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.alias(c) if c == "text" else columns[c].alias(c) for c in docs.columns])
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no text, or no letter in it) go."""
-    model = fit(docs.where(~held_out("doc_id", folds=4, fold=2)))
-    return identify(docs, model, columns=docs.columns).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    parted = _parted(docs, "lang")
+    model = fit(parted.where(~held_out("doc_id", folds=4, fold=2)))
+    return _whole(identify(parted, model, columns=["row", "text"]).where(F.col("lang_pred") != UNKNOWN), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines, single lines too, with 50 characters or more go; so does a document of which nothing is left."""
-    found = dedup_runs(docs, min_lines=1, min_chars=50)
-    return _with_text(found.where("NOT emptied"), docs.columns)
+    found = dedup_lines(_parted(docs), min_lines=1, min_chars=50)
+    return _whole(found.where("NOT emptied"), docs, F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +63,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller id has go from the text."""
-    found = dedup_substrings(docs, width=50, whole_chars=True, columns=docs.columns)
-    return _with_text(found.withColumn("text", F.col("kept").cast("string")), docs.columns)
+    found = dedup_substrings(_parted(docs), width=50, whole_chars=True, columns=["row"])
+    return _whole(found, docs, F.col("kept").cast("string"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
