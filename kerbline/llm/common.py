@@ -6,6 +6,7 @@ whole buffers with numpy, so no step runs once per row or per character in Pytho
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import math
@@ -209,6 +210,7 @@ def text_array(data: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 _held: dict[str, object] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def claim(name: str, clear=None) -> None:
@@ -220,7 +222,14 @@ def claim(name: str, clear=None) -> None:
         _held.clear()
         _held[name] = clear
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 class Memo:
@@ -278,3 +287,4 @@ def batches(stream, column: str):
     for batch in stream:
         if batch.num_rows:
             yield from pieces(batch, column)
+    trim()

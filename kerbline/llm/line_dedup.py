@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with text_col without the later copies of repeated line runs; n_lines, n_removed and emptied (no line that counts is left) are added."""
     runs = repeated_runs(docs, id_col, text_col, min_lines, min_chars).groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
     texts = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key")
+        F.struct(F.lit(0).alias("none"), *[F.col(c) for c in docs.columns if c.lower() != text_col.lower()]).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key")
     )
     lines = F.split("text", "\n")
     gone = F.flatten(F.transform("runs", lambda r: F.sequence(r.at, r.at + r.n - 1)))
