@@ -61,6 +61,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, columns: list[str] |
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and checkpoints that nothing refers to any more: the driver's cleaner only acts on what was collected."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 

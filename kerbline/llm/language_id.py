@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, batches, claim
+from .common import added, batches, claim, trim
 
 #: Bytes of text per language that are learned from, about, and of one text at most.
 SAMPLE_BYTES, LONGEST = 32_000, 4_000
@@ -243,7 +243,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         texts = samples.setdefault(r.lang, [])
         if sum(map(len, texts)) < sample_bytes and (found := normalised(r.text)):
             texts.append(found.strip())
-    return Model({k: b" " + b" ".join(texts) + b" " for k, texts in samples.items() if texts})
+    model = Model({k: b" " + b" ".join(texts) + b" " for k, texts in samples.items() if texts})
+    trim()
+    return model
 
 
 def place_below(share: float) -> Column:

@@ -153,7 +153,7 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that hold every candidate region together.  nodes: (node, signature)."""
     spark = nodes.sparkSession
     rows = nodes.select("node", "signature").mapInArrow(_tree_rows, "key binary, node long")
-    ordered = rows.repartitionByRange(4 * shuffle_partitions(spark), "key", "node").sortWithinPartitions("key", "node")
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), "key", "node").sortWithinPartitions("key", "node")
     found = cut(ordered.mapInArrow(_neighbours, "u long, v long, end long, key binary"))
     # where an order is cut between two tasks: two rows per task come here, whatever the size of the table
     ends = sorted((r.end, bytes(r.key), r.u) for r in found.where("end is not null").collect())
@@ -295,15 +295,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("bin")
         .applyInArrow(_confirm_groups(width, percent), "u long, v long")
     )
-    packed = cut(_packed(texts.where("chunks > 1"), width))
-    first = packed.select("*", F.explode(F.when(F.col("chunk") == 0, F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))).alias("other"))
-    star = first.select("root", "other", "nodes", "offsets", "hashes").groupBy("root", "other").applyInArrow(_confirm_pair(percent, False), "u long, v long")
-    linked = cut(connected_components(small.unionAll(star)).withColumnRenamed("root", "top"))
-    release(spark)
-    rest = _outliers(texts, packed, linked, width, percent)
-    if rest is not None:
-        linked = cut(connected_components(linked.where("node != top").select(F.col("node").alias("u"), F.col("top").alias("v")).unionAll(rest)).withColumnRenamed("root", "top"))
-    del texts, packed, first, star, small, rest, members, sizes
+    if sizes.where("chunks > 1").isEmpty():
+        linked = connected_components(small).withColumnRenamed("root", "top")
+    else:
+        packed = cut(_packed(texts.where("chunks > 1"), width))
+        star = _star(packed).groupBy("root", "other").applyInArrow(_confirm_pair(percent, False), "u long, v long")
+        linked = cut(connected_components(small.unionAll(star)).withColumnRenamed("root", "top"))
+        rest = _outliers(texts, packed, linked, width, percent)
+        if rest is not None:
+            linked = connected_components(linked.where("node != top").select(F.col("node").alias("u"), F.col("top").alias("v")).unionAll(rest)).withColumnRenamed("root", "top")
+        del packed, star, rest
+    del texts, small, members, sizes
     release(spark)
     labels = linked.join(nodes.select("node", "rep"), "node")
     tops = labels.groupBy("top").agg(F.min("rep").alias("component"))
@@ -326,6 +328,12 @@ def _packed(texts: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _star(packed: DataFrame) -> DataFrame:
+    """Every chunk beside the first one of its group, `other` being its own number."""
+    first = F.when(F.col("chunk") == 0, F.sequence(F.lit(1).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    return packed.select("root", F.explode(first).alias("other"), "nodes", "offsets", "hashes")
+
+
 def _outliers(texts: DataFrame, packed: DataFrame, linked: DataFrame, width: int, percent: int) -> DataFrame | None:
     """Links of members outside the largest component of their group, held against all its chunks but the first; None if there are no such members."""
     large = cut(texts.where("chunks > 1").select("root", "chunks", "node", "n").join(linked, "node", "left").withColumn("top", F.coalesce("top", "node")))
