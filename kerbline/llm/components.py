@@ -1,7 +1,8 @@
 """Connected components of a graph kept in a table, by alternating large-star and small-star rounds.
 
 Each task first contracts the edges it holds to a spanning forest, a bounded run of them at a time, so the rounds
-over the whole graph begin with little more than the nodes.  What a round leaves behind is let go at its end.
+over the whole graph begin with little more than the nodes.  A forest that is small then, by its count, is folded by one
+task; a larger one goes through the rounds, with the same result.  What a round leaves behind is let go at its end.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, shuffle_partitions
 
 #: Edges that a task contracts at a time.
 RUN_EDGES = 500_000
+#: Edges, two numbers each, up to which one task folds what is left.
+FOLD_EDGES = 2_000_000
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +56,14 @@ def _contract(stream):
         yield flush()
 
 
+def _fold(stream):
+    parts = [(b["u"].to_numpy(), b["v"].to_numpy()) for b in stream if b.num_rows]
+    if parts:
+        node, root = forest(np.concatenate([u for u, _ in parts]), np.concatenate([v for _, v in parts]))
+        top = np.unique(root)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate([node, top]), pa.int64()), "root": pa.array(np.concatenate([root, top]), pa.int64())})
+
+
 def _nearest(edges: DataFrame) -> DataFrame:
     """(u, m): the smallest of each node and its neighbours.  Written out, so that the join back is between two
     plain exchanges and a node with very many neighbours can be split."""
@@ -62,7 +73,9 @@ def _nearest(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (u, v) of longs.  Returns (node, root): root is the smallest node of the component; only nodes that have an edge."""
     spark = edges.sparkSession
-    edges = cut(edges.select("u", "v").mapInArrow(_contract, "u long, v long"))
+    edges = cut(edges.select("u", "v").coalesce(shuffle_partitions(spark)).mapInArrow(_contract, "u long, v long"))
+    if edges.count() <= FOLD_EDGES:
+        return cut(edges.coalesce(1).mapInArrow(_fold, "node long, root long"))
     seen = None
     while True:
         # what a round leaves is a star around each root once nothing changes

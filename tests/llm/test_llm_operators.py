@@ -321,9 +321,13 @@ def test_near_duplicates_chain_and_dense_regions(spark, monkeypatch, chunk):
     assert got == plain_components([*chain, (2000, "all alone here you see")])
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("fold", [2_000_000, 0])
+def test_connected_components(spark, monkeypatch, fold):
+    from kerbline.llm import components
     from kerbline.llm.components import connected_components
 
+    monkeypatch.setattr(components, "FOLD_EDGES", fold)  # 0: by rounds
+
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5)]
     parent = {x: x for e in edges for x in e}
