@@ -1,10 +1,10 @@
 """Operator 3: line dedup by prefix doubling over line-id sequences, in DataFrame operations only.
 
-A document is its sequence of lines that are not blank; the suffixes of all documents are ordered by doubling.  The
-rank of a place at depth 1 is the first place in the corpus that holds the same line; at depth 2, 4, 8, ... it is the
-first place whose pair of ranks, here and half the depth further on, is the same.  Equal ranks mean equal lines, so
-places of one rank are one interval of suffixes with a common prefix of that depth.  A place whose rank no other place
-shares is finished and leaves, so each round only carries what still repeats.
+A document is its sequence of lines that are not blank; the suffixes of all documents are ordered by doubling.  Places
+are numbered through the corpus, by document and line.  The rank of a place at depth 1 is the first place that holds the
+same line; at depth 2, 4, 8, ... it is the first place whose pair of ranks, here and half the depth further on, is the
+same.  Equal ranks mean equal lines, so places of one rank are one interval of suffixes with a common prefix of that
+depth.  A place whose rank no other place shares is finished and leaves, so each round only carries what still repeats.
 
 A run counts if it has `min_lines` lines that are not blank and `min_chars` characters in all.  Every copied run that
 counts is covered by *least* runs: those that can't lose their last line, and those that can't lose their first, and
@@ -14,8 +14,7 @@ would only name unions of least runs.  Per name the first place stays, later pla
 are glued to the maximal repeated runs, which are deleted.
 
 Names are exchanged with partial counts; the join that brings a name's first place back is between two plain exchanges,
-so adaptive execution splits a line that a third of all rows hold.  Lines are told apart by two 64-bit hashes, places by
-id, a hash of the text and number.
+so adaptive execution splits a line that a third of all rows hold.  Lines are told apart by two 64-bit hashes.
 
 Edge cases: a null text stays null and has no lines; an empty text has no line that counts; blank lines take no part and
 always stay; a null id comes before every id; rows that share an id are ordered by a hash of their text; repeated rows
@@ -29,33 +28,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, added, cut
-
-_PLACE = ("doc", "key", "at")
+from .common import NULL_ID, added, cut, shuffle_partitions
 
 
 def _counts(line: Column) -> Column:
     """Whether a line is not blank."""
-    return F.trim(F.regexp_replace(line, "[\t\r]", "")) != ""
+    return line.rlike("[^ \t\r]")
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart: the id, and a hash of the text for rows that share one."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key")]
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, at, a, b, chars): a row for each line that counts.  at: its number among those; a, b: its hashes."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(number, doc, key, lines): documents numbered by id, their lines that count as hashes and lengths.  Written, so the numbers stay."""
     lines = F.filter(F.split(F.col(text_col), "\n"), _counts)
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key"), F.posexplode(lines).alias("at", "line"))
-    return base.select(*_PLACE, F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), F.char_length("line").cast("long").alias("chars"))
+    ids = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.char_length(x).alias("chars")))
+    # repeated rows are one document
+    each = docs.select(*_own(docs, id_col, text_col), ids.alias("lines")).where(F.size("lines") > 0).groupBy("doc", "key").agg(F.first("lines").alias("lines"))
+    in_order = each.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc", "key").sortWithinPartitions("doc", "key")
+    return cut(in_order.select(F.monotonically_increasing_id().alias("number"), "doc", "key", "lines"))
+
+
+def _places(numbered: DataFrame) -> DataFrame:
+    """(number, at, place, a, b, chars): a row for each line.  place: its number in the corpus, in the order of documents and lines."""
+    lines = numbered.select("number", F.posexplode("lines").alias("at", "line"))
+    return lines.select("number", "at", F.monotonically_increasing_id().alias("place"), "line.a", "line.b", "line.chars")
 
 
 def _ranked(places: DataFrame, name: list[str]) -> DataFrame:
     """Places whose name another place has too, with the first of them as `rank`."""
-    own = F.struct(*_PLACE)
-    names = places.groupBy(*name).agg(F.min(own).alias("rank"), F.max(own).alias("last")).where("rank != last").drop("last")
+    names = places.groupBy(*name).agg(F.min("place").alias("rank"), F.max("place").alias("last")).where("rank != last").drop("last")
     return places.join(cut(names), name)
 
 
 def _least_runs(live: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
-    """(doc, key, at, n): least runs among places that repeat.  live: (doc, key, at, chars), each place once."""
-    doc = Window.partitionBy("doc", "key")
+    """(number, at, n): least runs among places that repeat.  live: (number, at, chars)."""
+    doc = Window.partitionBy("number")
     by = doc.orderBy("at")
     whole = live.withColumn("upto", F.sum("chars").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     whole = whole.withColumn("before", F.col("upto") - F.col("chars"))
@@ -65,7 +75,8 @@ def _least_runs(live: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
     to_here = doc.orderBy("upto").rangeBetween(-short, 0)
     more, less = by.rowsBetween(0, min_lines - 1), by.rowsBetween(1 - min_lines, 0)
     sized = whole.select(
-        *_PLACE,
+        "number",
+        "at",
         F.greatest(F.max("at").over(from_here), F.max("at").over(more)).alias("end"),
         F.greatest(F.count("*").over(from_here), F.count("*").over(more)).alias("n1"),
         F.greatest(F.max("upto").over(from_here), F.max("upto").over(more)).alias("end_chars"),
@@ -78,65 +89,64 @@ def _least_runs(live: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
     # none of its lines may be missing, and it must count
     first = F.when((F.col("end") - F.col("at") + 1 == F.col("n1")) & (F.col("n1") >= min_lines) & (F.col("end_chars") - F.col("before") >= min_chars), F.struct("at", F.col("n1").alias("n")))
     last = F.when((F.col("at") - F.col("begin") + 1 == F.col("n2")) & (F.col("n2") >= min_lines) & (F.col("upto") - F.col("begin_chars") >= min_chars), F.struct(F.col("begin").alias("at"), F.col("n2").alias("n")))
-    runs = sized.select("doc", "key", F.explode(F.array_distinct(F.array_compact(F.array(first, last)))).alias("run"))
-    return runs.select("doc", "key", "run.at", "run.n").distinct()
+    runs = sized.select("number", F.explode(F.array_distinct(F.array_compact(F.array(first, last)))).alias("run"))
+    return runs.select("number", "run.at", "run.n").distinct()
 
 
-def copied_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
-    """(doc, key, at, n, first): least runs that are copies, and the first place of each; together they cover all copied runs that count."""
+def copied_runs(numbered: DataFrame, min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """(number, at, n): least runs that occur at an earlier place; together they cover all copied runs that count."""
     min_lines = max(1, min_lines)
-    found = _ranked(_places(docs, id_col, text_col), ["a", "b"])
-    # repeated rows are one document from here on
-    live = cut(found.groupBy(*_PLACE).agg(F.first("chars").alias("chars"), F.first("rank").alias("rank")))
+    live = cut(_ranked(_places(numbered), ["a", "b"]).drop("a", "b"))
     runs = cut(_least_runs(live, min_lines, min_chars).withColumn("level", F.floor(F.log2("n") + 1e-9).cast("int")))
     deepest = runs.agg(F.max("level")).first()[0]
     if deepest is None:
-        return runs.select("doc", "key", "at", "n", F.struct(*_PLACE).alias("first"))
-    ranks = live.select(*_PLACE, "rank")
+        return runs.select("number", "at", "n")
+    ranks = live.drop("chars")
     levels = ranks.withColumn("level", F.lit(0))
     for k in range(deepest):
-        further = Window.partitionBy("doc", "key").orderBy("at").rangeBetween(1 << k, 1 << k)
-        pairs = ranks.withColumn("next", F.max("rank").over(further)).where("next IS NOT NULL")
-        ranks = cut(_ranked(pairs.withColumnRenamed("rank", "here"), ["here", "next"]).select(*_PLACE, "rank"))
+        further = Window.partitionBy("number").orderBy("at").rangeBetween(1 << k, 1 << k)
+        pairs = ranks.withColumn("next", F.max("rank").over(further)).where("next IS NOT NULL").withColumnRenamed("rank", "here")
+        ranks = cut(_ranked(pairs, ["here", "next"]).select(*ranks.columns))
         levels = levels.unionAll(ranks.withColumn("level", F.lit(k + 1)))
     # the two ranks that name a run
-    begin = runs.join(levels, [*_PLACE, "level"]).withColumnRenamed("rank", "here")
+    begin = runs.join(levels, ["number", "at", "level"]).withColumnRenamed("rank", "here")
     power = F.expr("shiftleft(1, level)")
-    whole = begin.where(F.col("n") == power).select(*_PLACE, "n", F.col("here").alias("first"))
-    flush = levels.select("doc", "key", F.col("at").alias("at2"), "level", F.col("rank").alias("next"))
-    named = begin.where(F.col("n") != power).withColumn("at2", (F.col("at") + F.col("n") - power).cast("int")).join(flush, ["doc", "key", "at2", "level"])
-    longer = _ranked(named, ["n", "here", "next"]).select(*_PLACE, "n", F.col("rank").alias("first"))
-    return whole.unionAll(longer).where(F.struct(*_PLACE) != F.col("first"))
+    whole = begin.where(F.col("n") == power).select("number", "at", "n", "place", F.col("here").alias("rank"))
+    flush = levels.select("number", F.col("at").alias("at2"), "level", F.col("rank").alias("next"))
+    named = begin.where(F.col("n") != power).withColumn("at2", (F.col("at") + F.col("n") - power).cast("int")).join(flush, ["number", "at2", "level"])
+    longer = _ranked(named, ["n", "here", "next"]).select(*whole.columns)
+    return whole.unionAll(longer).where("rank != place").select("number", "at", "n")
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
-    """(doc, key, at, n): maximal stretches of lines that later copies of repeated runs cover."""
-    doc = Window.partitionBy("doc", "key").orderBy("at")
-    found = copied_runs(docs, id_col, text_col, min_lines, min_chars).groupBy("doc", "key", "at").agg((F.max("at") + F.max("n")).alias("end"))
+def repeated_runs(numbered: DataFrame, min_lines: int = 1, min_chars: int = 50) -> DataFrame:
+    """(number, at, n): maximal stretches of lines that later copies of repeated runs cover."""
+    doc = Window.partitionBy("number").orderBy("at")
+    found = copied_runs(numbered, min_lines, min_chars).groupBy("number", "at").agg((F.col("at") + F.max("n")).alias("end"))
     reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     parted = found.withColumn("new", F.coalesce(F.col("at") > reach, F.lit(True)).cast("int"))
     runs = parted.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc", "key", "run").agg(F.min("at").alias("at"), F.max("end").alias("end")).select("doc", "key", "at", (F.col("end") - F.col("at")).alias("n"))
+    return runs.groupBy("number", "run").agg(F.min("at").alias("at"), F.max("end").alias("end")).select("number", "at", (F.col("end") - F.col("at")).alias("n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int = 50) -> DataFrame:
     """docs with text_col without the later copies of repeated line runs; n_lines, n_removed and emptied (no line that counts is left) are added."""
-    runs = repeated_runs(docs, id_col, text_col, min_lines, min_chars).groupBy("doc", "key").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
-    texts = docs.select(
-        F.struct(F.lit(0).alias("none"), *[F.col(c) for c in docs.columns if c.lower() != text_col.lower()]).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("key")
-    )
-    lines = F.split("text", "\n")
-    gone = F.flatten(F.transform("runs", lambda r: F.sequence(r.at, r.at + r.n - 1)))
-    whole = texts.join(runs, ["doc", "key"], "left").select("row", "text", F.when(F.col("runs").isNotNull(), lines).alias("lines"), F.size(lines).alias("n_lines"), gone.alias("gone"))
-    # the numbers of the lines that count, of those that go, and what stays
+    numbered = _numbered(docs, id_col, text_col)
+    each = repeated_runs(numbered, min_lines, min_chars).groupBy("number").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
+    runs = each.join(numbered.select("number", "doc", "key"), "number").drop("number")
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in docs.columns if c.lower() != text_col.lower()])
+    texts = docs.select(rest.alias("row"), F.col(text_col).alias("text"), *_own(docs, id_col, text_col))
+    whole = texts.join(runs, ["doc", "key"], "left").withColumn("lines", F.when(F.col("runs").isNotNull(), F.split("text", "\n")))
+    # the places, among all lines, of those that count; of these the ones that go; and what stays
     counting = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _counts(F.get("lines", i)))
     whole = whole.withColumn("counting", F.when(F.col("lines").isNotNull(), counting))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.transform("gone", lambda i: F.get("counting", i.cast("int"))))
-    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    gone = F.flatten(F.transform("runs", lambda r: F.slice("counting", (r.at + 1).cast("int"), r.n.cast("int"))))
+    whole = whole.withColumn("gone", F.when(F.col("lines").isNotNull(), gone))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     n_lines, n_removed, emptied = added(docs.columns, "n_lines", "n_removed", "emptied")
     return whole.select(
         *[text.alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias(n_lines),
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed),
         F.coalesce(F.size("gone") == F.size("counting"), F.lit(False)).alias(emptied),
     )
