@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Memo, batches, buffers, claim, cut, distinct, ids_back, ids_of, span_keys, text_array, word_spans
 
 #: Distinct words whose ids a worker keeps.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Partitions up to which their places, two numbers each, are sent to every task; more of them are joined.
 BROADCAST_PARTS = 1_000_000
 _END = b"\xff"
