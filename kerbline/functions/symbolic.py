@@ -18,7 +18,7 @@ OPERATIONS = ("Query", "Filter", "Count", "Exists", "Nearest", "EgoQuery")
 
 @dataclass(frozen=True)
 class Condition:
-    """One way to ground a fact.  kind: entity, no_entity, ego or judgment."""
+    """One way to ground a fact.  kind: entity, no_entity, ego (what EgoQuery operations say, attribute by attribute) or judgment."""
 
     kind: str
     base_type: str | None = None
@@ -37,7 +37,6 @@ class Vocabulary:
     lateral: tuple[str, ...]
     longitudinal: tuple[str, ...]
     same: tuple[tuple[str, ...], ...] = ()
-    ego_type: str = "Ego"
 
 
 def _lines(body: Column) -> Column:
@@ -225,12 +224,24 @@ def action_consistent(doc: Column) -> Column:
 
 
 # ------------------------------------------------------------------ grounding
-def condition_holds(found: Column, c: Condition, vocab: Vocabulary) -> Column:
-    """Does an entity array satisfy a condition: EXISTS, or NOT EXISTS for no_entity."""
-    base = vocab.ego_type if c.kind == "ego" else c.base_type
+def _ego_says(operations: Column, attribute: str) -> Column:
+    """What the last EgoQuery on an attribute says; null if there is none."""
+    own = F.filter(operations, lambda o: (o.op_type == "EgoQuery") & (F.regexp_extract(o.expression, r"^EgoQuery\((\w+)\)", 1) == attribute))
+    return F.try_element_at(own, F.lit(-1)).result
+
+
+def condition_holds(doc: Column, c: Condition) -> Column:
+    """Does a document satisfy a condition: EXISTS over its entities, NOT EXISTS for no_entity, the ego vehicle's queried state for ego."""
+    if c.kind == "judgment":
+        return F.lit(True)
+    if c.kind == "ego":
+        ok = F.lit(bool(c.equals))
+        for k, v in c.equals.items():
+            ok = ok & F.coalesce(_ego_says(doc.operations, k) == v, F.lit(False))
+        return ok
 
     def match(e: Column) -> Column:
-        ok = e.base_type == base
+        ok = e.base_type == c.base_type
         if c.subtype:
             ok = ok & (e.entity_type == c.subtype)
         for k, v in c.equals.items():
@@ -239,33 +250,42 @@ def condition_holds(found: Column, c: Condition, vocab: Vocabulary) -> Column:
             ok = ok & F.try_element_at(e.attributes, F.lit(k)).isin(*vs)
         return F.coalesce(ok, F.lit(False))
 
-    hit = F.exists(found, match)
+    hit = F.exists(doc.entities, match)
     return ~hit if c.kind == "no_entity" else hit
 
 
+def fact_holds(doc: Column, conditions: tuple[Condition, ...]) -> Column:
+    """Whether any of a fact's conditions holds; none does for a fact without conditions."""
+    holds = F.lit(False)
+    for c in conditions:
+        holds = holds | condition_holds(doc, c)
+    return holds
+
+
 def grounding(doc: Column, vocab: Vocabulary) -> Column:
-    """(grounding_score, ungrounded_facts, judgment_facts) over the facts that are said to be true."""
+    """(grounding_score, ungrounded_facts, judgment_facts) over the facts that are said to be true and that the vocabulary defines.
+
+    A fact that is a matter of judgment counts as grounded.  Each fact of the vocabulary is evaluated once a document,
+    however many facts the document lists.
+    """
+    names = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    judged = sorted(n for n, conditions in vocab.facts.items() if any(c.kind == "judgment" for c in conditions))
+    holding = [F.when(fact_holds(doc, conditions), F.lit(n)) for n, conditions in sorted(vocab.facts.items()) if n not in judged]
     true = F.transform(F.filter(doc.facts, lambda f: F.coalesce(f["value"], F.lit(False))), lambda f: f["name"])
-    checkable, grounded, judged = [], [], []
-    for name, conditions in sorted(vocab.facts.items()):
-        if not conditions:
-            continue
-        said = F.array_contains(true, name)
-        if any(c.kind == "judgment" for c in conditions):
-            judged.append(F.when(said, F.lit(name)))
-            continue
-        holds = F.lit(False)
-        for c in conditions:
-            holds = holds | condition_holds(doc.entities, c, vocab)
-        checkable.append(F.when(said, F.lit(name)))
-        grounded.append(F.when(said & holds, F.lit(name)))
-    present = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    n = F.size(present(checkable))
-    return F.struct(
-        F.when(n == 0, 1.0).otherwise(F.try_divide(F.size(present(grounded)).cast("double"), n)).alias("grounding_score"),
-        F.array_except(present(checkable), present(grounded)).alias("ungrounded_facts"),
-        present(judged).alias("judgment_facts"),
-    )
+    said = F.filter(true, lambda n: F.array_contains(names(sorted(vocab.facts)), n))
+    grounded = F.concat(F.array_compact(F.array(*holding)) if holding else names([]), names(judged))
+
+    def score(s: Column) -> Column:
+        missing = F.filter(s.said, lambda n: ~F.array_contains(s.grounded, n))
+        n = F.size(s.said)
+        return F.struct(
+            F.when(n == 0, 1.0).otherwise(F.try_divide((n - F.size(missing)).cast("double"), n)).alias("grounding_score"),
+            missing.alias("ungrounded_facts"),
+            F.filter(s.said, lambda x: F.array_contains(names(judged), x)).alias("judgment_facts"),
+        )
+
+    # an array of one struct binds both lists, so that they are built once
+    return F.transform(F.array(F.struct(said.alias("said"), grounded.alias("grounded"))), score)[0]
 
 
 def stage_completeness(doc: Column) -> Column:

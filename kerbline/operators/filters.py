@@ -91,5 +91,5 @@ def sampled_top_k(rows: DataFrame, by: str, distance: str, idx: str, k: int, tem
 
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in the order of a seeded hash: a top-n, and the same rows on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in the order of a seeded hash: a top-n, and the same rows on every run and in every engine that has md5."""
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)

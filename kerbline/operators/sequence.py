@@ -196,9 +196,12 @@ def path_between(points: DataFrame, by: str, low: Column, high: Column, values:
 def to_grid(states: DataFrame, by: str, time: str, values: list[str], start: Column, dt: float, steps: int) -> DataFrame:
     """States at start + k * dt for k = 0 ... steps; times are clipped to each trajectory's range."""
     range_ = states.groupBy(by).agg(F.min(time).alias("_t0"), F.max(time).alias("_t1"), F.min(start).alias("_start"))
-    asked = range_.select(by, "_t0", "_t1", "_start", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k"))
-    at = asked.select(by, "k", F.least(F.greatest(F.col("_start") + F.col("k") * dt, F.col("_t0")), F.col("_t1")).alias("_t"))
-    pairs = intervals(states, time, values, by).where("t1 IS NOT NULL").join(range_.select(by, F.col("_t1").alias("_end")), by)
-    found = at.join(pairs, by).where("_t >= t0 AND (_t < t1 OR (_t = _end AND t1 = _end))")
+    pairs = intervals(states, time, values, by).where("t1 IS NOT NULL").join(range_, by)
+    # each pair makes its own grid points: from its begin on, up to where the next one begins; the first and last also those beyond the ends
+    number = lambda t: F.ceil((F.col(t) - F.col("_start")) / dt - 1e-9)
+    low = F.when(F.col("t0") == F.col("_t0"), 0).otherwise(F.greatest(number("t0"), F.lit(0)))
+    high = F.when(F.col("t1") == F.col("_t1"), steps).otherwise(F.least(number("t1") - 1, F.lit(steps)))
+    found = pairs.withColumn("k", F.explode(F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    found = found.withColumn("_t", F.least(F.greatest(F.col("_start") + F.col("k") * dt, F.col("_t0")), F.col("_t1")))
     share = (F.col("_t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     return found.select(by, "k", *[(F.col(f"{v}0") + share * (F.col(f"{v}1") - F.col(f"{v}0"))).alias(v) for v in values])

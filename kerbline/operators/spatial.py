@@ -28,17 +28,44 @@ def with_box(rows: DataFrame, prefix: str, length: float, width: float, x: str =
     return rows.select("*", *[c.alias(f"{prefix}{a}{i}") for i, p in enumerate(corners) for a, c in zip("xy", p, strict=True)])
 
 
-def box_join(left: DataFrame, right: DataFrame, on: list[str], size: float = 10.0) -> DataFrame:
-    """Pairs whose boxes (corner columns a*, b*) meet or touch, with equal keys `on`: an equi-join on cells, then the exact test.
+def _axes(rows: DataFrame, p: str) -> DataFrame:
+    """Middle, direction and half sizes of a rectangle given by its corners, so that a pair costs a few products."""
+    at = lambda a, i: F.col(f"{p}{a}{i}")
+    ex, ey = (at("x", 1) - at("x", 0)) / 2, (at("y", 1) - at("y", 0)) / 2
+    fx, fy = (at("x", 3) - at("x", 0)) / 2, (at("y", 3) - at("y", 0)) / 2
+    e, f = F.hypot(ex, ey), F.hypot(fx, fy)
+    # a side without length takes its direction from the other one
+    ux = F.when(e > 0, F.try_divide(ex, e)).otherwise(F.coalesce(F.try_divide(fy, f), F.lit(1.0)))
+    uy = F.when(e > 0, F.try_divide(ey, e)).otherwise(F.coalesce(F.try_divide(-fx, f), F.lit(0.0)))
+    named = {"mx": (at("x", 0) + at("x", 2)) / 2, "my": (at("y", 0) + at("y", 2)) / 2, "ux": ux, "uy": uy, "e": e, "f": f}
+    return rows.select("*", *[c.alias(f"_{p}{n}") for n, c in named.items()])
+
+
+def _meet(eps: float = 1e-9) -> Column:
+    """Two rectangles meet or touch: no axis of either parts them."""
+    c = F.col
+    dx, dy = c("_bmx") - c("_amx"), c("_bmy") - c("_amy")
+    along, across = F.abs(c("_aux") * c("_bux") + c("_auy") * c("_buy")), F.abs(c("_aux") * c("_buy") - c("_auy") * c("_bux"))
+    parted = (
+        (F.abs(dx * c("_aux") + dy * c("_auy")) > c("_ae") + c("_be") * along + c("_bf") * across + eps)
+        | (F.abs(dy * c("_aux") - dx * c("_auy")) > c("_af") + c("_be") * across + c("_bf") * along + eps)
+        | (F.abs(dx * c("_bux") + dy * c("_buy")) > c("_be") + c("_ae") * along + c("_af") * across + eps)
+        | (F.abs(dy * c("_bux") - dx * c("_buy")) > c("_bf") + c("_ae") * across + c("_af") * along + eps)
+    )
+    return ~parted
+
+
+def box_join(left: DataFrame, right: DataFrame, on: list[str], size: float = 40.0) -> DataFrame:
+    """Pairs whose rectangles (corner columns a*, b*) meet or touch, with equal keys `on`: an equi-join on cells, then the exact test.
 
-    Two boxes may share several cells: the pair is kept only in the lowest cell that both meet.
+    Two boxes may share several cells: the pair is kept only in the lowest cell that both meet.  size: of a cell; some
+    times the length of a box, so that few boxes lie in several.
     """
     (ax, ay), (bx, by) = _bounds(left, "a"), _bounds(right, "b")
-    l = with_cells(left.select("*", F.floor(ax[0] / size).alias("a_cx"), F.floor(ay[0] / size).alias("a_cy")), ax, ay, size)
-    r = with_cells(right.select("*", F.floor(bx[0] / size).alias("b_cx"), F.floor(by[0] / size).alias("b_cy")), bx, by, size)
-    met = l.join(r, [*on, "cx", "cy"]).where((F.col("cx") == F.greatest("a_cx", "b_cx")) & (F.col("cy") == F.greatest("a_cy", "b_cy")))
-    box = lambda p: [(F.col(f"{p}x{i}"), F.col(f"{p}y{i}")) for i in range(4)]
-    return met.where(geo.boxes_intersect(box("a"), box("b"))).drop("cx", "cy", "a_cx", "a_cy", "b_cx", "b_cy")
+    l = with_cells(_axes(left, "a").select("*", F.floor(ax[0] / size).alias("a_cx"), F.floor(ay[0] / size).alias("a_cy")), ax, ay, size)
+    r = with_cells(_axes(right, "b").select("*", F.floor(bx[0] / size).alias("b_cx"), F.floor(by[0] / size).alias("b_cy")), bx, by, size)
+    met = l.join(r, [*on, "cx", "cy"]).where((F.col("cx") == F.greatest("a_cx", "b_cx")) & (F.col("cy") == F.greatest("a_cy", "b_cy")) & _meet())
+    return met.select(*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on])
 
 
 def time_shifted(rows: DataFrame, offsets: list[int], time: str) -> DataFrame:
@@ -80,7 +107,7 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, x_range: tuple[float, fl
     return cells.select("bx", "bin_y", (F.least("n", F.lit(cap)) / float(cap)).alias("share"))
 
 
-def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float, size: float = 10.0) -> DataFrame:
+def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float, size: float = 40.0) -> DataFrame:
     """Objects (corner columns b*) that meet a path widened by half_width with square ends.
 
     segments: on, x0, y0, x1, y1 (each piece of the path is one box); a pair comes once however many pieces meet it.

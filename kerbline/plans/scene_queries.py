@@ -284,13 +284,13 @@ def interp_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "resample_linear",
-    """WITH {poses}, p AS (SELECT log, idx + 1 AS k, x, y FROM poses WHERE idx < 6 UNION ALL SELECT DISTINCT log, 0, 0e0, 0e0 FROM poses),
+    """WITH {poses}, p AS (SELECT log, idx + 1 AS k, x, y FROM poses UNION ALL SELECT DISTINCT log, 0, 0e0, 0e0 FROM poses),
 b AS (SELECT *, coalesce(lead(x) OVER w, x) AS nx, coalesce(lead(y) OVER w, y) AS ny, max(k) OVER (PARTITION BY log) AS last FROM p WINDOW w AS (PARTITION BY log ORDER BY k)),
 g AS (SELECT unnest(range(1, 41)) AS step), j AS (SELECT b.*, g.step FROM b JOIN g ON b.k = least(step // 5, last))
 SELECT log, step, round(x + least(step / 5e0 - k, 1e0) * (nx - x), 6) AS x, round(y + least(step / 5e0 - k, 1e0) * (ny - y), 6) + 0e0 AS y FROM j""",
 )
 def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = poses(spark, sf_dir).where("idx < 6").select("log", "idx", "x", "y")
+    own = poses(spark, sf_dir).select("log", "idx", "x", "y")
     return sequence.resample_clamped(own, "idx", ["x", "y"], "log", 0.5, 4.0, 0.1).select("log", "step", r6("x").alias("x"), r6("y").alias("y"))
 
 
@@ -311,7 +311,7 @@ def lead_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "path_interpolate",
-    """WITH {poses}, p AS (SELECT * FROM poses WHERE idx < 20), st AS (SELECT log, idx, x, y, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM p WINDOW w AS (PARTITION BY log ORDER BY idx)),
+    """WITH {poses}, p AS (SELECT * FROM poses), st AS (SELECT log, idx, x, y, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM p WINDOW w AS (PARTITION BY log ORDER BY idx)),
 c AS (SELECT log, idx, x, y, sum(step) OVER (PARTITION BY log ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM st),
 b AS (SELECT *, lead(s) OVER w AS s1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, max(s) OVER (PARTITION BY log) AS top FROM c WINDOW w AS (PARTITION BY log ORDER BY s)),
 d AS (SELECT unnest([0.00001e0, 2.5e0, 7e0, 1000e0]) AS d)
@@ -320,7 +320,7 @@ FROM b, d WHERE s1 IS NOT NULL AND least(d, top) >= s AND (least(d, top) < s1 OR
 )
 def path_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sequence.along("log", "idx")
-    own = poses(spark, sf_dir).where("idx < 20").withColumn("step", sequence.step_length(F.col("x"), F.col("y"), w)).withColumn("s", sequence.cumulative(F.col("step"), w))
+    own = poses(spark, sf_dir).withColumn("step", sequence.step_length(F.col("x"), F.col("y"), w)).withColumn("s", sequence.cumulative(F.col("step"), w))
     asked = own.select("log").distinct().select("log", F.explode(F.array(*[F.lit(v) for v in (1e-5, 2.5, 7.0, 1000.0)])).alias("d"))
     return sequence.path_at(own, asked, "log", ["x", "y"]).select("log", "d", r6("x").alias("x"), r6("y").alias("y"))
 

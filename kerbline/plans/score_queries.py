@@ -116,11 +116,11 @@ def first_infraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(F.col("first_time") < float("inf"))
 
 
-_CONTACTS = """contacts AS (SELECT l_suppkey AS proposal, l_partkey % 50 AS object, l_orderkey * 10 + l_linenumber AS k, l_returnflag <> 'N' AS fault, l_linestatus FROM lineitem WHERE l_suppkey <= 50)"""
+_CONTACTS = """contacts AS (SELECT l_suppkey AS proposal, l_partkey % 50 AS object, l_orderkey * 10 + l_linenumber AS k, l_returnflag <> 'N' AS fault, l_linestatus FROM lineitem)"""
 
 
 def _contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").where("l_suppkey <= 50")
+    own = table(spark, sf_dir, "lineitem")
     return own.select(
         F.col("l_suppkey").alias("proposal"), (F.col("l_partkey") % 50).alias("object"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_returnflag") != "N").alias("fault"), "l_linestatus"
     )
@@ -253,27 +253,27 @@ def nearest_k_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lead_object",
-    """WITH {frames} SELECT a.log, a.token, min_by(b.token, b.value) AS found, round(min(b.value - a.value), 6) AS gap FROM frames a JOIN frames b ON a.log = b.log AND b.value > a.value AND b.value <= a.value + 20
-WHERE a.idx % 5 = 0 GROUP BY a.log, a.token""",
+    """WITH {frames} SELECT a.log, a.token, min({'v': b.value, 't': b.token}).t AS found, round(min(b.value - a.value), 6) AS gap FROM frames a JOIN frames b ON a.log = b.log AND b.value > a.value AND b.value <= a.value + 20
+GROUP BY a.log, a.token""",
 )
 def lead_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = frames(spark, sf_dir).select("log", "token", "idx", "value")
-    found = spatial.nearest_within(own.where("idx % 5 = 0").select("log", "token", "value"), own, "log", "value", 20.0, "token")
+    found = spatial.nearest_within(own.select("log", "token", "value"), own, "log", "value", 20.0, "token")
     return found.select("log", "token", "found", r6("gap").alias("gap"))
 
 
-_BOX_SQL = """{poses}, ego AS (SELECT log, token, idx AS t, x, y, heading AS h, 4.5e0 / 2 AS l, 1e0 AS w FROM poses WHERE idx % 3 = 0),
-obj AS (SELECT log % 20 AS site, log, token, idx AS t, x, y, heading AS h, 2e0 / 2 AS l, 1e0 / 2 AS w FROM poses WHERE idx % 3 = {shift}),
+_BOX_SQL = """{poses}, ego AS (SELECT log, token, idx AS t, x, y, heading AS h, 4.5e0 / 2 AS l, 1e0 AS w FROM poses),
+obj AS (SELECT log % 20 AS site, log, token, idx AS t, x, y, heading AS h, 2e0 / 2 AS l, 1e0 / 2 AS w FROM poses),
 pairs AS (SELECT e.log % 20 AS site, e.log, e.token, e.t, o.token AS object, e.x AS ex, e.y AS ey, e.h AS eh, e.l AS el, e.w AS ew, o.x AS ox, o.y AS oy, o.h AS oh, o.l AS ol, o.w AS ow FROM ego e JOIN obj o ON e.log % 20 = o.site AND o.log <> e.log AND o.t = e.t + {shift}),
 axes AS (SELECT *, unnest([eh, eh + pi() / 2, oh, oh + pi() / 2]) AS a FROM pairs),
 sep AS (SELECT *, abs((ox - ex) * cos(a) + (oy - ey) * sin(a)) AS gap,
 el * abs(cos(eh - a)) + ew * abs(sin(eh - a)) + ol * abs(cos(oh - a)) + ow * abs(sin(oh - a)) AS reach FROM axes)"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str, shift: int) -> tuple[DataFrame, DataFrame]:
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = poses(spark, sf_dir).withColumn("site", F.col("log") % 20)
-    ego = spatial.with_box(own.where("idx % 3 = 0"), "a", 4.5, 2.0)
-    objects = spatial.with_box(own.where(f"idx % 3 = {shift}"), "b", 2.0, 1.0)
+    ego = spatial.with_box(own, "a", 4.5, 2.0)
+    objects = spatial.with_box(own, "b", 2.0, 1.0)
     cols = lambda p: [f"{p}{a}{i}" for i in range(4) for a in "xy"]
     return (
         ego.select("site", F.col("idx").alias("t0"), "log", "token", *cols("a")),
@@ -283,14 +283,14 @@ def _boxes(spark: SparkSession, sf_dir: str, shift: int) -> tuple[DataFrame, Dat
 
 @query("box_intersect", f"WITH {_BOX_SQL.replace('{shift}', '0')} SELECT token, object FROM sep GROUP BY token, object HAVING bool_and(gap <= reach + 1e-9)")
 def box_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ego, objects = _boxes(spark, sf_dir, 0)
+    ego, objects = _boxes(spark, sf_dir)
     return spatial.box_join(ego.withColumn("t", F.col("t0")), objects, ["site", "t"]).where("log <> other").select("token", "object")
 
 
-@query("ttc_shift_join", f"WITH {_BOX_SQL.replace('{shift}', '1')} SELECT token, object, CAST(1 AS BIGINT) AS ahead FROM sep GROUP BY token, object HAVING bool_and(gap <= reach + 1e-9)")
+@query("ttc_shift_join", f"WITH {_BOX_SQL.replace('{shift}', '3')} SELECT token, object, CAST(3 AS BIGINT) AS ahead FROM sep GROUP BY token, object HAVING bool_and(gap <= reach + 1e-9)")
 def ttc_shift_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ego, objects = _boxes(spark, sf_dir, 1)
-    looked = spatial.time_shifted(ego, [0, 1], "t0")
+    ego, objects = _boxes(spark, sf_dir)
+    looked = spatial.time_shifted(ego, [3], "t0")
     return spatial.box_join(looked, objects, ["site", "t"]).where("log <> other").select("token", "object", "ahead")
 
 
@@ -317,7 +317,7 @@ def pip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "project_progress",
-    """WITH {poses}, p AS (SELECT log, idx, x, y FROM poses WHERE idx < 12), st AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM p WINDOW w AS (PARTITION BY log ORDER BY idx)),
+    """WITH {poses}, p AS (SELECT log, idx, x, y FROM poses), st AS (SELECT *, coalesce(sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)), 0) AS step FROM p WINDOW w AS (PARTITION BY log ORDER BY idx)),
 c AS (SELECT log, idx, x, y, sum(step) OVER (PARTITION BY log ORDER BY idx ROWS UNBOUNDED PRECEDING) AS s FROM st),
 seg AS (SELECT log, s AS t0, x AS x0, y AS y0, lead(s) OVER w AS t1, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM c WINDOW w AS (PARTITION BY log ORDER BY s) QUALIFY t1 IS NOT NULL),
 q AS (SELECT log, idx, y + 6 AS px, heading AS py FROM poses WHERE idx IN (0, 10)),
@@ -328,7 +328,7 @@ SELECT a.log, round(greatest(b.s - a.s, 0), 5) AS progress FROM r a JOIN r b ON
 )
 def project_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = sequence.along("log", "idx")
-    path = poses(spark, sf_dir).where("idx < 12").withColumn("step", sequence.step_length(F.col("x"), F.col("y"), w)).withColumn("s", sequence.cumulative(F.col("step"), w))
+    path = poses(spark, sf_dir).withColumn("step", sequence.step_length(F.col("x"), F.col("y"), w)).withColumn("s", sequence.cumulative(F.col("step"), w))
     segments = sequence.intervals(path, "s", ["x", "y"], "log").where("t1 IS NOT NULL")
     points = poses(spark, sf_dir).where("idx IN (0, 10)").select("log", "idx", (F.col("y") + 6).alias("px"), F.col("heading").alias("py"))
     found = spatial.nearest_segment(points, segments, "log")

@@ -12,8 +12,8 @@ from kerbline.registry import query, r6, table
 
 #: A small vocabulary of our own for the queries below; real ones are read from files (kerbline.sources.vocabularies).
 VOCAB = Vocabulary(
-    types={"Vehicle": "Vehicle", "Car": "Vehicle", "Truck": "Vehicle", "TrafficLight": "TrafficLight", "Ego": "Ego"},
-    attributes={"Vehicle": {"lane": ("EgoLane", "LeftLane"), "motion": ("Stopped", "Moving")}, "TrafficLight": {"color": ("Red", "Green", "Off")}, "Ego": {"speed": ("Slow", "Fast")}},
+    types={"Vehicle": "Vehicle", "Car": "Vehicle", "Truck": "Vehicle", "TrafficLight": "TrafficLight"},
+    attributes={"Vehicle": {"lane": ("EgoLane", "LeftLane"), "motion": ("Stopped", "Moving")}, "TrafficLight": {"color": ("Red", "Green", "Off")}},
     facts={
         "LeadStopped": (Condition("entity", "Vehicle", equals={"lane": "EgoLane", "motion": "Stopped"}),),
         "RedLight": (Condition("entity", "TrafficLight", among={"color": ("Red",)}),),
@@ -28,8 +28,8 @@ VOCAB = Vocabulary(
 
 #: One document per customer; both engines build the same text.
 _DOC = """'PERCEPTION:' || chr(10) || 'v_1 = ' || CASE WHEN c_custkey % 7 = 0 THEN 'Truck' ELSE 'Car' END || ' {lane: EgoLane, motion: ' || CASE WHEN c_custkey % 2 = 0 THEN 'Stopped' ELSE 'Moving' END || '}' || chr(10)
-|| CASE WHEN c_custkey % 3 = 0 THEN 'tl_1 = TrafficLight {color: ' || CASE WHEN c_custkey % 4 = 0 THEN 'Green' ELSE 'Red' END || '}' || chr(10) ELSE '' END || 'ego = Ego {speed: ' || CASE WHEN c_custkey % 11 = 0 THEN 'Fast' ELSE 'Slow' END || '}' || chr(10)
-|| 'OPERATIONS:' || chr(10) || 'Query(v_1.motion) = Stopped' || chr(10) || 'Count(Vehicle) = 1' || chr(10)
+|| CASE WHEN c_custkey % 3 = 0 THEN 'tl_1 = TrafficLight {color: ' || CASE WHEN c_custkey % 4 = 0 THEN 'Green' ELSE 'Red' END || '}' || chr(10) ELSE '' END
+|| 'OPERATIONS:' || chr(10) || 'Query(v_1.motion) = Stopped' || chr(10) || 'Count(Vehicle) = 1' || chr(10) || 'EgoQuery(speed) = ' || CASE WHEN c_custkey % 11 = 0 THEN 'Fast' ELSE 'Slow' END || chr(10)
 || 'FACTS:' || chr(10) || 'LeadStopped = True' || chr(10) || 'RedLight = ' || CASE WHEN c_custkey % 5 < 3 THEN 'True' ELSE 'False' END || chr(10) || 'NoLight = True' || chr(10) || 'EgoSlow = True' || chr(10) || 'CanStop = True' || chr(10)
 || 'RULES:' || chr(10) || 'LeadStopped AND NOT RedLight -> KeepLane, Stop' || chr(10)
 || 'ACTION:' || chr(10) || 'KeepLane, ' || CASE WHEN c_custkey % 6 = 0 THEN 'Accelerate' WHEN c_custkey % 6 = 1 THEN 'Decelerate' ELSE 'Stop' END"""
@@ -68,7 +68,7 @@ def parse_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", F.col("e.id").alias("entity"), "e.entity_type", "e.base_type", at("motion"), at("color"))
 
 
-@query("parse_operations", f"WITH {_D} SELECT id, unnest(['Query', 'Count']) AS op_type, unnest(['Query(v_1.motion)', 'Count(Vehicle)']) AS expression, unnest(['Stopped', '1']) AS result FROM docs")
+@query("parse_operations", f"WITH {_D} SELECT id, unnest(['Query', 'Count', 'EgoQuery']) AS op_type, unnest(['Query(v_1.motion)', 'Count(Vehicle)', 'EgoQuery(speed)']) AS expression, unnest(['Stopped', '1', CASE WHEN id % 11 = 0 THEN 'Fast' ELSE 'Slow' END]) AS result FROM docs")
 def parse_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir).select("id", F.explode("doc.operations").alias("o")).select("id", "o.op_type", "o.expression", "o.result")
 
@@ -109,10 +109,7 @@ _GROUND = """g AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS lead_stopped, c_
 
 def _holds(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        holds = F.lit(False)
-        for c in VOCAB.facts[name]:
-            holds = holds | symbolic.condition_holds(F.col("doc.entities"), c, VOCAB)
-        return _parsed(spark, sf_dir).select("id", holds.alias("holds"))
+        return _parsed(spark, sf_dir).select("id", symbolic.fact_holds(F.col("doc"), VOCAB.facts[name]).alias("holds"))
 
     return run
 
@@ -123,14 +120,14 @@ for _key, _fact, _col in (("ground_exists", "LeadStopped", "lead_stopped"), ("gr
 
 @query(
     "grounding_score",
-    f"""WITH {_GROUND} SELECT id, round((CAST(lead_stopped AS INT) + CAST(red_said AND red_light AS INT) + CAST(no_light AS INT) + CAST(ego_slow AS INT)) / CAST(3 + CAST(red_said AS INT) AS DOUBLE), 6) AS score, CAST(1 AS BIGINT) AS n_judged FROM g""",
+    f"""WITH {_GROUND} SELECT id, round((CAST(lead_stopped AS INT) + CAST(red_said AND red_light AS INT) + CAST(no_light AS INT) + CAST(ego_slow AS INT) + 1) / CAST(4 + CAST(red_said AS INT) AS DOUBLE), 6) AS score, CAST(1 AS BIGINT) AS n_judged FROM g""",
 )
 def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _parsed(spark, sf_dir).select("id", symbolic.grounding(F.col("doc"), VOCAB).alias("g"))
     return g.select("id", r6("g.grounding_score").alias("score"), F.size("g.judgment_facts").cast("long").alias("n_judged"))
 
 
-@query("complexity", "SELECT c_custkey AS id, round(((2 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) / 6e0 + 2 / 8e0 + 5 / 10e0 + 2 / 6e0) / 4, 6) AS complexity, 1e0 AS completeness FROM customer")
+@query("complexity", "SELECT c_custkey AS id, round(((1 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) / 6e0 + 3 / 8e0 + 5 / 10e0 + 2 / 6e0) / 4, 6) AS complexity, 1e0 AS completeness FROM customer")
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = "doc."
     conditions = F.aggregate(d + "rules", F.lit(0), lambda a, r: a + F.size(r.conditions))
@@ -242,6 +239,6 @@ def token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_orderkey", F.get(labels, F.lit(0)).alias("first_label"), F.get(labels, F.lit(3)).alias("last_label"), F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("long").alias("kept"))
 
 
-@query("state_sentence", "SELECT event_id, printf('The current speed is %.3f m/s and the acceleration is %.3f m/s^2.', value, event_id / 8e0) AS said FROM events WHERE event_id % 3 = 0")
+@query("state_sentence", "SELECT event_id, printf('The current speed is %.3f m/s and the acceleration is %.3f m/s^2.', value, event_id / 8e0) AS said FROM events")
 def state_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", text.state_sentence(F.col("value"), F.col("event_id") / 8.0).alias("said"))
+    return table(spark, sf_dir, "events").select("event_id", text.state_sentence(F.col("value"), F.col("event_id") / 8.0).alias("said"))

@@ -17,6 +17,12 @@ def _load(text: str) -> dict:
     return yaml.load(text, Loader=Plain) or {}  # noqa: S506  a safe loader
 
 
+def _equals(condition: dict) -> dict:
+    """What must be equal; a condition on the ego vehicle may name one attribute and its value."""
+    own = {condition["attribute"]: condition.get("value", "")} if condition.get("attribute") else {}
+    return own | (condition.get("equals") or {})
+
+
 def vocabulary(entities: dict, facts: dict, actions: dict, same: tuple = ()) -> Vocabulary:
     """From parsed documents: entities {Base: {subtypes: [...], attributes: {name: [values]}}}, facts {Name: [conditions]},
     actions {lateral: [...], longitudinal: [...]}.  Repeated names keep the last."""
@@ -27,7 +33,7 @@ def vocabulary(entities: dict, facts: dict, actions: dict, same: tuple = ()) ->
         attributes[base] = {k: tuple(map(str, v)) for k, v in (body.get("attributes") or {}).items()}
     grounded = {
         name: tuple(
-            Condition(c["kind"], c.get("type"), c.get("subtype"), {k: str(v) for k, v in (c.get("equals") or {}).items()}, {k: tuple(map(str, v)) for k, v in (c.get("in") or {}).items()})
+            Condition(c["kind"], c.get("type"), c.get("subtype"), {k: str(v) for k, v in _equals(c).items()}, {k: tuple(map(str, v)) for k, v in (c.get("in") or {}).items()})
             for c in conditions or ()
         )
         for name, conditions in facts.items()

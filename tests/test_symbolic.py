@@ -13,9 +13,9 @@ FULL = """PERCEPTION:
 v_1 = Car {lane: EgoLane, motion: Stopped}
 v_2 = Truck {lane: LeftLane, motion: Moving}
 tl_1 = TrafficLight {color: Red}
-ego = Ego {speed: Slow}
 OPERATIONS:
 Query(v_1.motion) = Stopped
+EgoQuery(speed) = Slow
 Filter(Vehicle, lane = EgoLane) = {v_1}
 FACTS:
 LeadStopped = True
@@ -42,11 +42,11 @@ def broken(spark, text):
 
 def test_full_document(spark):
     d = doc(spark, FULL)
-    assert (len(d.entities), len(d.operations), len(d.facts), len(d.rules)) == (4, 2, 3, 1)
+    assert (len(d.entities), len(d.operations), len(d.facts), len(d.rules)) == (3, 3, 3, 1)
     assert list(d.errors) == [] and (d.selected_lateral, d.selected_longitudinal) == ("KeepLane", "Stop")
     assert d.entities[0].attributes == {"lane": "EgoLane", "motion": "Stopped"} and d.entities[1].base_type == "Vehicle"
     # a line splits at its first equals sign
-    assert d.operations[1].expression == "Filter(Vehicle, lane" and d.operations[1].result == "EgoLane) = {v_1}"
+    assert d.operations[2].expression == "Filter(Vehicle, lane" and d.operations[2].result == "EgoLane) = {v_1}"
     assert list(broken(spark, FULL)) == []
     g = one(spark, FULL, lambda d: symbolic.grounding(d, VOCAB))
     assert g.grounding_score == 1.0 and list(g.judgment_facts) == ["CanStop"]
@@ -127,20 +127,41 @@ def test_repeated_attribute_keeps_the_last(spark):
         (Condition("no_entity", "TrafficLight"), False),
         (Condition("no_entity", "Vehicle", equals={"lane": "Nowhere"}), True),
         (Condition("ego", equals={"speed": "Slow"}), True),
+        (Condition("ego", equals={"speed": "Fast"}), False),
+        (Condition("ego", equals={"heading": "Slow"}), False),
+        (Condition("judgment"), True),
     ],
 )
 def test_conditions(spark, condition, holds):
-    assert one(spark, FULL, lambda d: symbolic.condition_holds(d.entities, condition, VOCAB)) is holds
+    assert one(spark, FULL, lambda d: symbolic.condition_holds(d, condition)) is holds
 
 
 def test_grounding_score_of_ungrounded_and_of_nothing(spark):
     g = one(spark, FULL.replace("color: Red", "color: Green"), lambda d: symbolic.grounding(d, VOCAB))
-    assert g.grounding_score == 0.5 and list(g.ungrounded_facts) == ["RedLight"]
+    assert g.grounding_score == pytest.approx(2 / 3) and list(g.ungrounded_facts) == ["RedLight"]
     none = FULL.replace("LeadStopped = True", "LeadStopped = False").replace("RedLight = True", "RedLight = False")
     assert one(spark, none, lambda d: symbolic.grounding(d, VOCAB)).grounding_score == 1.0
     assert one(spark, "FACTS:\nRedLight = True\nACTION:\nKeepLane, Stop", symbolic.stage_completeness) == 0.25
 
 
+def test_ego_conditions_read_operations_only(spark):
+    said = "{}OPERATIONS:\n{}\nFACTS:\nEgoSlow = True\nACTION:\nKeepLane, Stop"
+    ground = lambda perception, ops: one(spark, said.format(perception, ops), lambda d: symbolic.grounding(d, VOCAB))
+    assert ground("", "EgoQuery(speed) = Slow").grounding_score == 1.0
+    # an entity that is called like the ego vehicle says nothing about it
+    assert list(ground("PERCEPTION:\nego = Car {speed: Slow}\n", "Count(Vehicle) = 1").ungrounded_facts) == ["EgoSlow"]
+    # of several answers the last one holds; another operation on the ego vehicle's speed is none
+    assert ground("", "EgoQuery(speed) = Slow\nEgoQuery(speed) = Fast").grounding_score == 0.0
+    assert ground("", "EgoQuery(speed) = Fast\nEgoQuery(speed) = Slow").grounding_score == 1.0
+    assert ground("", "Query(speed) = Slow").grounding_score == 0.0
+
+
+def test_judgment_counts_and_unknown_facts_do_not(spark):
+    text = "FACTS:\nCanStop = True\nRedLight = True\nNobodyKnows = True\nACTION:\nKeepLane, Stop"
+    g = one(spark, text, lambda d: symbolic.grounding(d, VOCAB))
+    assert (g.grounding_score, list(g.ungrounded_facts), list(g.judgment_facts)) == (0.5, ["RedLight"], ["CanStop"])
+
+
 def test_complexity_caps_and_unparseable(spark):
     f = lambda *n: spark.range(1).select(classify.complexity(*[F.lit(x) for x in n[:4]], F.lit(n[4]))).first()[0]
     assert f(6, 8, 10, 6, True) == 1.0 and f(60, 80, 100, 60, True) == 1.0 and f(3, 4, 5, 3, True) == 0.5 and f(0, 0, 0, 0, False) == 1.0
@@ -150,8 +171,9 @@ def test_vocabulary_file_keeps_off_as_text(tmp_path):
     from kerbline.sources.vocabularies import prompt_text, read_vocabulary
 
     (tmp_path / "v.yaml").write_text(
-        "entities:\n  Light:\n    attributes:\n      color: [Red, Off, On]\nfacts:\n  Dark:\n    - {kind: entity, type: Light, equals: {color: Off}}\nactions:\n  lateral: [KeepLane]\n  longitudinal: [Stop]\n"
+        "entities:\n  Light:\n    attributes:\n      color: [Red, Off, On]\nfacts:\n  Dark:\n    - {kind: entity, type: Light, equals: {color: Off}}\n  Slow:\n    - {kind: ego, attribute: speed, value: Low}\nactions:\n  lateral: [KeepLane]\n  longitudinal: [Stop]\n"
     )
     v = read_vocabulary(str(tmp_path / "v.yaml"))
     assert v.attributes["Light"]["color"] == ("Red", "Off", "On") and v.facts["Dark"][0].equals == {"color": "Off"}
+    assert v.facts["Slow"] == (Condition("ego", equals={"speed": "Low"}),)
     assert isinstance(v, Vocabulary) and "Light.color: Red, Off, On" in prompt_text(v)
