@@ -39,24 +39,32 @@ class Vocabulary:
     same: tuple[tuple[str, ...], ...] = ()
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _lines(body: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[\t\r]", " "))), lambda x: x != "")
 
 
 def sections(text: Column) -> dict[str, Column]:
     """Body of each section (null if the header is missing): from its first header to the next header that was found."""
-    at, size = {}, {}
+    found = []
     for s in SECTIONS:
         pattern = rf"(?i)\b{s}\s*:"
-        at[s] = F.regexp_instr(text, F.lit(pattern))
-        size[s] = F.char_length(F.regexp_extract(text, pattern, 0))
-    out = {}
-    for s in SECTIONS:
-        later = [F.when(at[o] > at[s], at[o]) for o in SECTIONS if o != s]
-        end = F.coalesce(F.least(*later), F.char_length(text) + 1)
-        start = at[s] + size[s]
-        out[s] = F.when(at[s] > 0, F.trim(F.substring(text, start, end - start)))
-    return out
+        found.append(F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), F.char_length(F.regexp_extract(text, pattern, 0)).alias("size")))
+
+    def bodies(heads: Column) -> Column:
+        def body(h: Column) -> Column:
+            later = F.array_min(F.filter(F.transform(heads, lambda o: o["at"]), lambda at: at > h["at"]))
+            start = h["at"] + h["size"]
+            return F.when(h["at"] > 0, F.trim(F.substring(text, start, F.coalesce(later, F.char_length(text) + 1) - start)))
+
+        return F.transform(heads, body)
+
+    every = _let(F.array(*found), bodies)
+    return {s: F.get(every, F.lit(k)) for k, s in enumerate(SECTIONS)}
 
 
 _ENTITY = r"^(\w+)\s*=\s*(\w+)\s*\{([^}]*)\}"
@@ -67,18 +75,20 @@ def entities(body: Column, vocab: Vocabulary) -> Column:
     types = F.create_map(*[F.lit(x) for kv in sorted(vocab.types.items()) for x in kv])
 
     def one(line: Column) -> Column:
-        kind = F.regexp_extract(line, _ENTITY, 2)
         parts = F.filter(F.transform(F.split(F.regexp_extract(line, _ENTITY, 3), ","), lambda x: F.trim(x)), lambda p: p != "")
-        pairs = F.transform(parts, lambda p: F.struct(F.trim(F.split(p, ":", 2)[0]).alias("key"), F.trim(F.get(F.split(p, ":", 2), F.lit(1))).alias("value")))
-        good = F.filter(pairs, lambda p: p.value.isNotNull())
-        last = F.filter(good, lambda p, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda o: o.key == p.key))
-        base = F.try_element_at(types, kind)
+        pairs = F.transform(parts, lambda p: _let(F.split(p, ":", 2), lambda kv: F.struct(F.trim(kv[0]).alias("key"), F.trim(F.get(kv, F.lit(1))).alias("value"))))
+        return _let(F.struct(F.regexp_extract(line, _ENTITY, 1).alias("id"), F.regexp_extract(line, _ENTITY, 2).alias("kind"), F.regexp_like(line, F.lit(_ENTITY)).alias("ok"), pairs.alias("pairs")), lambda r: made(line, r))
+
+    def made(line: Column, r: Column) -> Column:
+        base = F.try_element_at(types, r.kind)
+        good = F.filter(r.pairs, lambda p: p.value.isNotNull())
+        last = F.filter(r.pairs, lambda p, i: p.value.isNotNull() & ~F.exists(F.slice(r.pairs, i + 2, F.size(r.pairs)), lambda o: (o.key == p.key) & o.value.isNotNull()))
         error = (
-            F.when(~F.regexp_like(line, F.lit(_ENTITY)), F.concat(F.lit("bad entity line: "), line))
-            .when(base.isNull(), F.concat(F.lit("unknown entity type: "), kind))
-            .when(F.size(good) < F.size(pairs), F.concat(F.lit("bad attribute: "), line))
+            F.when(~r.ok, F.concat(F.lit("bad entity line: "), line))
+            .when(base.isNull(), F.concat(F.lit("unknown entity type: "), r.kind))
+            .when(F.size(good) < F.size(r.pairs), F.concat(F.lit("bad attribute: "), line))
         )
-        return F.struct(F.regexp_extract(line, _ENTITY, 1).alias("id"), kind.alias("entity_type"), base.alias("base_type"), F.map_from_entries(last).alias("attributes"), error.alias("error"))
+        return F.struct(r.id.alias("id"), r.kind.alias("entity_type"), base.alias("base_type"), F.map_from_entries(last).alias("attributes"), error.alias("error"))
 
     return F.transform(_lines(body), one)
 
@@ -132,18 +142,24 @@ def action(body: Column) -> Column:
 
 def parse(text: Column, vocab: Vocabulary) -> Column:
     """The whole document as a struct; `errors` is empty if it parsed."""
-    body = sections(text)
+    return _let(F.struct(*[c.alias(n) for n, c in sections(text).items()]), lambda body: _parsed(body, vocab))
+
+
+def _parsed(body: Column, vocab: Vocabulary) -> Column:
     parts = {
         "entities": entities(body["PERCEPTION"], vocab),
         "operations": operations(body["OPERATIONS"]),
         "facts": facts(body["FACTS"]),
         "rules": rules(body["RULES"]),
     }
-    act = action(body["ACTION"])
     none = F.coalesce(*[body[s] for s in SECTIONS]).isNull()
-    gathered = F.concat(*[F.transform(parts[p], lambda x: x.error) for p in parts], F.array(act.error))
-    errors = F.when(none, F.array(F.lit("no section headers"))).otherwise(F.filter(gathered, lambda e: e.isNotNull()))
-    return F.struct(*[c.alias(n) for n, c in parts.items()], act.lateral.alias("selected_lateral"), act.longitudinal.alias("selected_longitudinal"), errors.alias("errors"))
+
+    def whole(d: Column) -> Column:
+        gathered = F.concat(*[F.transform(d[p], lambda x: x.error) for p in parts], F.array(d.act.error))
+        errors = F.when(none, F.array(F.lit("no section headers"))).otherwise(F.filter(gathered, lambda e: e.isNotNull()))
+        return F.struct(*[d[n].alias(n) for n in parts], d.act.lateral.alias("selected_lateral"), d.act.longitudinal.alias("selected_longitudinal"), errors.alias("errors"))
+
+    return _let(F.struct(*[c.alias(n) for n, c in parts.items()], action(body["ACTION"]).alias("act")), whole)
 
 
 def to_text(doc: Column) -> Column:
@@ -284,8 +300,7 @@ def grounding(doc: Column, vocab: Vocabulary) -> Column:
             F.filter(s.said, lambda x: F.array_contains(names(judged), x)).alias("judgment_facts"),
         )
 
-    # an array of one struct binds both lists, so that they are built once
-    return F.transform(F.array(F.struct(said.alias("said"), grounded.alias("grounded"))), score)[0]
+    return _let(F.struct(said.alias("said"), grounded.alias("grounded")), score)
 
 
 def stage_completeness(doc: Column) -> Column:

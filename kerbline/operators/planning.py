@@ -10,7 +10,8 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 # ------------------------------------------------------------------ smoothing (Savitzky-Golay)
 
@@ -37,14 +38,25 @@ def smooth(series: np.ndarray, window: int, order: int, derivative: int = 0, dt:
 
 
 def savgol(rows: DataFrame, by: str, order_by: str, value: str, window: int, order: int, derivative: int = 0, dt: float = 1.0) -> DataFrame:
-    """(by, order_by, value, smoothed) for every row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by)
-        return pdf.assign(smoothed=smooth(pdf[value].to_numpy(float), window, order, derivative, dt))
-
-    kinds = dict(rows.dtypes)
-    return rows.select(by, order_by, value).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order_by} {kinds[order_by]}, {value} {kinds[value]}, smoothed double")
+    """(by, order_by, value, smoothed) for every row: weights of the row's place in its window, worked out beforehand for
+    each place and for series shorter than a window, times the values around it."""
+    w = Window.partitionBy(by).orderBy(order_by)
+    matrices = [savgol_matrix(n, window, order, derivative, dt) for n in range(1, window + 1)]
+    weights = F.array(*[F.array(*[F.array(*map(F.lit, map(float, line))) for line in m]) for m in matrices])
+    own = rows.select(
+        by,
+        order_by,
+        value,
+        F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(1 - window, window - 1)).alias("_near"),
+        (F.row_number().over(w) - 1).alias("_i"),
+        F.count("*").over(Window.partitionBy(by)).alias("_n"),
+    )
+    wide = F.least("_n", F.lit(window)).cast("int")
+    start = F.least(F.greatest(F.col("_i") - window // 2, F.lit(0)), F.col("_n") - wide).cast("int")
+    first = F.greatest(F.col("_i") - (window - 1), F.lit(0))
+    line = F.get(F.get(weights, wide - 1), F.col("_i") - start)
+    values = F.slice("_near", (start - first + 1).cast("int"), wide)
+    return own.select(by, order_by, value, F.aggregate(F.zip_with(values, line, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x).alias("smoothed"))
 
 
 # ------------------------------------------------------------------ car following
@@ -58,6 +70,13 @@ def idm_acceleration(v: np.ndarray, target: np.ndarray, gap: np.ndarray, lead_v:
     return np.clip(a, -p["decel"], p["accel"])
 
 
+def idm(v: Column, target: Column, gap: Column, lead_v: Column, p: dict = IDM) -> Column:
+    """The same as a column."""
+    wish = p["gap_min"] + v * p["headway"] + v * (v - lead_v) / (2 * math.sqrt(p["accel"] * p["decel"]))
+    a = p["accel"] * (1 - F.pow(v / F.greatest(target, F.lit(1e-3)), F.lit(p["exponent"])) - F.pow(F.greatest(wish, F.lit(0.0)) / F.greatest(gap, F.lit(p["gap_min"])), F.lit(2.0)))
+    return F.least(F.greatest(a, F.lit(-p["decel"])), F.lit(p["accel"]))
+
+
 def idm_rollout(v: float, target: float, lead_gap: float, lead_v: float, steps: int, dt: float) -> np.ndarray:
     """(progress, speed) after each step; the lead keeps its speed, speeds don't go below zero."""
     s, gap, out = 0.0, lead_gap, []
@@ -71,18 +90,42 @@ def idm_rollout(v: float, target: float, lead_gap: float, lead_v: float, steps:
     return np.array(out)
 
 
-def unroll_proposals(starts: DataFrame, fractions: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), laterals: tuple[float, ...] = (-1.0, 0.0, 1.0), steps: int = 40, dt: float = 0.1) -> DataFrame:
+FRACTIONS, LATERALS = (0.2, 0.4, 0.6, 0.8, 1.0), (-1.0, 0.0, 1.0)
+FREE_SPEED = 15.0
+
+
+def idm_paths(speed: np.ndarray, target: np.ndarray, gap: np.ndarray, lead: np.ndarray, steps: int, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """(progress, speed) after each step, rows by steps: all rows abreast; leads keep their speeds, speeds don't go below zero."""
+    v, s, gap = speed.astype(float), np.zeros(len(speed)), gap.astype(float)
+    out_s, out_v = np.empty((len(v), steps)), np.empty((len(v), steps))
+    for t in range(steps):
+        a = idm_acceleration(v, target, gap, lead)
+        s, gap, v = s + v * dt, gap + (lead - v) * dt, np.maximum(v + a * dt, 0.0)
+        out_s[:, t], out_v[:, t] = s, v
+    return out_s, out_v
+
+
+def unroll_proposals(starts: DataFrame, fractions: tuple[float, ...] = FRACTIONS, laterals: tuple[float, ...] = LATERALS, steps: int = 40, dt: float = 0.1) -> DataFrame:
     """starts: (token, speed, limit, lead_gap, lead_speed).  One proposal per lateral offset and target fraction, each
     with its own lead state: (token, proposal, t, s, offset, speed)."""
+    grid = [(lat, f) for lat in laterals for f in fractions]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                for i, (lat, f) in enumerate((lat, f) for lat in laterals for f in fractions):
-                    path = idm_rollout(r.speed, f * (15.0 if pd.isna(r.limit) else r.limit), r.lead_gap, r.lead_speed, steps, dt)
-                    out += [(r.token, i, t + 1, float(s), lat, float(v)) for t, (s, v) in enumerate(path)]
-            yield pd.DataFrame(out, columns=["token", "proposal", "t", "s", "offset", "speed"])
+            n, m = len(pdf), len(grid)
+            each = lambda c: np.repeat(pdf[c].to_numpy(float), m)
+            limit = np.repeat(pdf.limit.fillna(FREE_SPEED).to_numpy(float), m)
+            s, v = idm_paths(each("speed"), limit * np.tile([f for _, f in grid], n), each("lead_gap"), each("lead_speed"), steps, dt)
+            yield pd.DataFrame(
+                {
+                    "token": np.repeat(pdf.token.to_numpy(), m * steps),
+                    "proposal": np.tile(np.repeat(np.arange(m, dtype=np.int32), steps), n),
+                    "t": np.tile(np.arange(1, steps + 1, dtype=np.int32), n * m),
+                    "s": s.ravel(),
+                    "offset": np.tile(np.repeat([lat for lat, _ in grid], steps), n),
+                    "speed": v.ravel(),
+                }
+            )
 
     kind = dict(starts.dtypes)["token"]
     return starts.select("token", "speed", "limit", "lead_gap", "lead_speed").mapInPandas(run, f"token {kind}, proposal int, t int, s double, offset double, speed double")
@@ -102,6 +145,20 @@ def bicycle_step(state: np.ndarray, accel_cmd: np.ndarray, steer_rate_cmd: np.nd
     return np.stack([x + v * np.cos(h) * dt, y + v * np.sin(h) * dt, np.arctan2(np.sin(h_new), np.cos(h_new)), v + a * dt, a_new, steer_new], axis=1)
 
 
+def bicycle(x: Column, y: Column, h: Column, v: Column, a: Column, steer: Column, accel_cmd: Column, steer_rate_cmd: Column, dt: float) -> dict[str, Column]:
+    """The same step as columns."""
+    h_new = h + v * F.tan(steer) / WHEELBASE * dt
+    turned = steer + dt / (dt + STEER_TAU) * (steer_rate_cmd * dt)
+    return {
+        "x": x + v * F.cos(h) * dt,
+        "y": y + v * F.sin(h) * dt,
+        "heading": F.atan2(F.sin(h_new), F.cos(h_new)),
+        "speed": v + a * dt,
+        "acceleration": a + dt / (dt + ACCEL_TAU) * (accel_cmd - a),
+        "steering": F.least(F.greatest(turned, F.lit(-STEER_MAX)), F.lit(STEER_MAX)),
+    }
+
+
 def lqr_commands(state: np.ndarray, reference: np.ndarray, dt: float, horizon: int = 10, stop_speed: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
     """(acceleration, steering rate) for states (n, 6) that follow references (n, horizon + 1, 4): x, y, heading, speed.
 

@@ -126,6 +126,8 @@ def nearest_lane(points: DataFrame, lanes: DataFrame, key: str, near: float, far
     points: key, px, py; lanes: lane_id, on_route, x, y.  Lane points meet by grid cells of the far distance, so size >= far.
     """
     cell = lambda c: F.floor(F.col(c) / size)
+    # of lanes at one place only the first can be the answer
+    lanes = lanes.groupBy("on_route", "x", "y").agg(F.min("lane_id").alias("lane_id"))
     around = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     asked = points.withColumn("_n", F.explode(around)).withColumn("cx", cell("px") + F.col("_n.i")).withColumn("cy", cell("py") + F.col("_n.j"))
     met = asked.join(lanes.withColumn("cx", cell("x")).withColumn("cy", cell("y")), ["cx", "cy"]).withColumn("d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("d") <= far)

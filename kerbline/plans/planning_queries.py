@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +28,8 @@ w AS (SELECT *, greatest(1 + v * 1.5e0 + v * (v - lead) / (2 * sqrt(4.5e0)), 0)
 SELECT token, round(greatest(least(1.5e0 * (1 - power(v / target, 10) - power(wish / greatest(gap, 1), 2)), 1.5e0), -3), 6) + 0e0 AS acceleration FROM w""",
 )
 def idm_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = poses(spark, sf_dir).select("token", (F.abs("y") * 10).alias("v"), (F.col("idx") + 5.0).alias("gap"), (F.abs("heading") * 3).alias("lead"))
-
-    def run(batches):
-        for pdf in batches:
-            a = planning.idm_acceleration(pdf.v.to_numpy(), np.full(len(pdf), 15.0), pdf.gap.to_numpy(), pdf.lead.to_numpy())
-            yield pd.DataFrame({"token": pdf.token, "acceleration": a})
-
-    return own.mapInPandas(run, "token long, acceleration double").select("token", r6("acceleration").alias("acceleration"))
+    acceleration = planning.idm(F.abs("y") * 10, F.lit(15.0), F.col("idx") + 5.0, F.abs("heading") * 3)
+    return poses(spark, sf_dir).select("token", r6(acceleration).alias("acceleration"))
 
 
 @query(
@@ -47,15 +39,8 @@ SELECT token, round(x + v * cos(h) * 0.1e0, 6) AS x, round(y + v * sin(h) * 0.1e
 round(greatest(least(st + 0.1e0 / (0.1e0 + 0.05e0) * (st + sr * 0.1e0 - st), pi() / 3), -pi() / 3), 6) + 0e0 AS steering FROM s""",
 )
 def bicycle_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches):
-        for p in batches:
-            state = np.stack([p.x, p.y, p.heading, p.value / 40, p.y, p.heading / 10], axis=1)
-            n = planning.bicycle_step(state, p.heading.to_numpy(), p.y.to_numpy(), 0.1)
-            yield pd.DataFrame({"token": p.token, "x": n[:, 0], "y": n[:, 1], "speed": n[:, 3], "acceleration": n[:, 4], "steering": n[:, 5]})
-
-    own = poses(spark, sf_dir).select("token", "x", "y", "heading", "value")
-    done = own.mapInPandas(run, "token long, x double, y double, speed double, acceleration double, steering double")
-    return done.select("token", *[r6(c).alias(c) for c in ("x", "y", "speed", "acceleration", "steering")])
+    done = planning.bicycle(F.col("x"), F.col("y"), F.col("heading"), F.col("value") / 40, F.col("y"), F.col("heading") / 10, F.col("heading"), F.col("y"), 0.1)
+    return poses(spark, sf_dir).select("token", *[r6(done[c]).alias(c) for c in ("x", "y", "speed", "acceleration", "steering")])
 
 
 @query("unroll_proposals")
