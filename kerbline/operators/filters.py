@@ -81,13 +81,54 @@ def padded_nearest(rows: DataFrame, by: str, distance: str, value: str, k: int)
     return got.select(by, F.slice(F.concat(values, F.array_repeat(F.lit(0.0), k)), 1, k).alias("values"), F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (i <= F.size("_v")).cast("int")).alias("mask"))
 
 
+def _noise(by: str, idx: str, seed: int, stream: int = 0) -> Column:
+    """Uniform in (0, 1), a hash of row and seed, so that a run repeats."""
+    return (F.pmod(F.xxhash64(F.col(by), F.col(idx), F.lit(seed), F.lit(stream)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def sampled(rows: DataFrame, by: str, rank_by: Column, logit: Column, idx: str, k: int, temperature: float, seed: int) -> DataFrame:
+    """One of the k first of each group (smallest rank_by, then idx), drawn with weights exp(logit / temperature): the
+    largest of logit plus Gumbel noise."""
+    w = Window.partitionBy(by).orderBy("_by", idx)
+    top = rows.withColumn("_by", rank_by).withColumn("_l", logit).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return top.withColumn("_g", F.col("_l") / temperature - F.log(-F.log(_noise(by, idx, seed)))).groupBy(by).agg(F.max_by(idx, "_g").alias(idx))
+
+
 def sampled_top_k(rows: DataFrame, by: str, distance: str, idx: str, k: int, temperature: float, seed: int) -> DataFrame:
-    """One of the k nearest of each group, drawn with weights exp(-distance / temperature): the largest of
-    log weight plus Gumbel noise.  The noise is a hash of row and seed, so a run repeats."""
-    w = Window.partitionBy(by).orderBy(distance, idx)
-    u = (F.pmod(F.xxhash64(F.col(by), F.col(idx), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noisy = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).withColumn("_g", -F.col(distance) / temperature - F.log(-F.log(u)))
-    return noisy.groupBy(by).agg(F.max_by(idx, "_g").alias(idx))
+    """One of the k nearest of each group, drawn with weights exp(-distance / temperature)."""
+    return sampled(rows, by, F.col(distance), -F.col(distance), idx, k, temperature, seed)
+
+
+def sampled_token(rows: DataFrame, by: str, logit: str, distance: str, idx: str, k: int, temperature: float, seed: int, scheme: str) -> DataFrame:
+    """The next token of each agent.  distance: to the true next place, null where that is unknown.
+
+    topk_prob: of the k likeliest, by likelihood.  topk_prob_sampled_with_dist: of the k likeliest, the nearer the
+    likelier (the likelihood counts only where the true place is unknown).  topk_dist_sampled_with_prob: of the k nearest
+    (the likeliest where the place is unknown), by likelihood.
+    """
+    p, d = F.col(logit), F.col(distance)
+    near = F.coalesce(-d, p)
+    if scheme == "topk_prob":
+        return sampled(rows, by, -p, p, idx, k, temperature, seed)
+    if scheme == "topk_prob_sampled_with_dist":
+        return sampled(rows, by, -p, near, idx, k, temperature, seed)
+    if scheme == "topk_dist_sampled_with_prob":
+        return sampled(rows, by, -near, p, idx, k, temperature, seed)
+    raise ValueError(f"unknown scheme: {scheme}")
+
+
+def sampled_from_mixture(modes: DataFrame, tokens: DataFrame, by: str, seed: int) -> DataFrame:
+    """The token nearest to a place drawn from a Gaussian mixture: (by, token_id).
+
+    modes: by, mode, logit, mx, my, spread; tokens: (token_id, x, y), a small codebook.  The mode is drawn by its logit,
+    the place by two normal deviates; both are hashes of by and seed.
+    """
+    drawn = sampled(modes, by, F.col("mode"), F.col("logit"), "mode", 1 << 30, 1.0, seed)
+    radius, angle = F.sqrt(-2 * F.log(_noise(by, "mode", seed, 1))), 2 * F.pi() * _noise(by, "mode", seed, 2)
+    at = drawn.join(modes, [by, "mode"]).select(by, (F.col("mx") + F.col("spread") * radius * F.cos(angle)).alias("px"), (F.col("my") + F.col("spread") * radius * F.sin(angle)).alias("py"))
+    book = tokens.agg(F.sort_array(F.collect_list(F.struct("token_id", "x", "y"))).alias("words"))
+    nearest = F.array_min(F.transform("words", lambda w: F.struct(F.hypot(w.x - F.col("px"), w.y - F.col("py")).alias("d"), w.token_id.alias("token_id"))))
+    return at.join(F.broadcast(book)).select(by, nearest.token_id.alias("token_id"))  # one row: a codebook of fixed size
 
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -43,3 +43,8 @@ def initially_hit(pairs: DataFrame, red_light_within: Column, by: str) -> DataFr
     """Objects that touch the ego vehicle at the start; of red-light areas only those that it is wholly inside.  pairs: by, t, track_token."""
     is_light = F.startswith("track_token", F.lit("red_light_"))
     return pairs.where((F.col("t") == 0) & (~is_light | red_light_within)).select(by, "track_token").distinct()
+
+
+def all_objects(static: DataFrame, moving: DataFrame, lights: DataFrame) -> DataFrame:
+    """Static objects, moving ones and red-light areas as one table; columns that a class lacks are null."""
+    return static.unionByName(moving, allowMissingColumns=True).unionByName(lights, allowMissingColumns=True)

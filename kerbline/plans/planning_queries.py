@@ -43,14 +43,6 @@ def bicycle_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("token", *[r6(done[c]).alias(c) for c in ("x", "y", "speed", "acceleration", "steering")])
 
 
-@query("unroll_proposals")
-def unroll_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = poses(spark, sf_dir).where("idx = 0").select(
-        "token", (F.abs("y") * 10).alias("speed"), F.lit(None).cast("double").alias("limit"), (F.col("value") + 10).alias("lead_gap"), F.abs("heading").alias("lead_speed")
-    )
-    return planning.unroll_proposals(starts)
-
-
 @query("lqr_step")
 def lqr_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed loop over straight references at a speed of each log's own."""

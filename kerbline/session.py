@@ -1,16 +1,17 @@
-"""Session defaults."""
+"""Session defaults and the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "kerbline", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the engine assumes: UTC and adaptive execution; the master and all else stay configurable."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session with the settings the engine assumes: UTC, adaptive execution, checkpoints removed with what they belong to; the master and all else stay configurable."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master or "SPARK_MASTER" not in os.environ:
         builder = builder.master(master or "local[*]")
     for key, value in conf.items():
@@ -19,12 +20,23 @@ def session(app: str = "kerbline", master: str | None = None, **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make one of our own only where none is set, as in tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Use the cluster's shared folder; make one of our own only in a local session that has none, as in tests."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.functions import geometry as geo
 from kerbline.functions.text import path_part
 
-
-
 FRAME_DDL = """log_name string, scene_token string, token string, frame_idx int, timestamp long, map_location string, roadblock_ids array<string>,
 traffic_lights array<struct<lane_connector_id:string,is_red:boolean>>, ego2global_translation array<double>, ego2global_rotation array<double>,
 ego_dynamic_state array<double>, driving_command array<int>, lidar_path string, cams map<string,struct<data_path:string>>,
@@ -49,6 +48,11 @@ def write_index(rows: DataFrame, path: str) -> None:
     rows.select("path").write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_cache(rows: DataFrame, path: str, files: int = 1) -> None:
+    """All cached tokens as a few files, by hash of the token; one file is meant for tables that fit one task."""
+    rows.repartition(files, "token").write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def write_scores(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
@@ -99,3 +103,15 @@ def annotations_long(frames: DataFrame) -> DataFrame:
     return checked.select("log_name", "token", "frame_idx", zipped).select(
         "log_name", "token", "frame_idx", F.col("z.gt_boxes").alias("box"), F.col("z.gt_names").alias("name"), F.col("z.gt_velocity_3d").alias("velocity"), F.col("z.track_tokens").alias("track_token")
     )
+
+
+def typed_tracks(annotations: DataFrame, kinds: DataFrame, headings: DataFrame) -> DataFrame:
+    """Annotations with their object type; agents get their velocity turned into the global frame, all others have none.
+
+    annotations: as annotations_long gives them; kinds: (name, type, is_agent), a small dimension; headings: (token, heading) of the ego vehicle.
+    """
+    typed = annotations.join(kinds, "name").join(headings, "token")
+    vx, vy = F.get("velocity", F.lit(0)), F.get("velocity", F.lit(1))
+    gx, gy, _ = geo.to_global(vx, vy, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("heading"))
+    agent = lambda c: F.when(F.col("is_agent"), c)
+    return typed.select("log_name", "token", "frame_idx", "track_token", "type", "box", agent(gx).alias("vx"), agent(gy).alias("vy"))

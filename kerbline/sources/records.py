@@ -6,6 +6,7 @@ import struct
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def split_records(content: bytes) -> list[bytes]:
@@ -31,3 +32,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, position long, payload binary")
+
+
+def build_store(records: DataFrame, key: str, path: str, buckets: int = 64) -> None:
+    """Records by key, made once: an existing store is left as it is.  Files hold one hash range of keys each, sorted, so that a read of one key prunes."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        records.sparkSession.read.parquet(path)
+    except AnalysisException:  # there is none yet
+        by = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket")
+        records.select("*", by).repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, key: str, value: str, buckets: int = 64) -> DataFrame:
+    """The record of one key: only its bucket is read."""
+    bucket = spark.range(1).select(F.pmod(F.xxhash64(F.lit(value)), F.lit(buckets)).cast("int")).first()[0]
+    return spark.read.parquet(path).where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")

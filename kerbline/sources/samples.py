@@ -19,14 +19,14 @@ def _numbers(c: Column) -> Column:
     return F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<double>")).when(c.isNotNull(), F.array(c.try_cast("double")))
 
 
-def read_samples(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+def read_samples(spark: SparkSession, roots: dict[str, str], lines: bool = False) -> DataFrame:
     """Samples from one or more folders of JSON documents, each tagged with its sensor root; no file is an error.
 
-    roots: folder -> sensor root.
+    roots: folder -> sensor root.  lines: a file holds a document a line, as write_samples leaves them, else one in all.
     """
     out = None
     for folder, root in sorted(roots.items()):
-        rows = spark.read.schema(SAMPLE_DDL).option("multiLine", True).option("mode", "PERMISSIVE").json(folder).withColumn("sensor_root", F.lit(root))
+        rows = spark.read.schema(SAMPLE_DDL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder).withColumn("sensor_root", F.lit(root))
         out = rows if out is None else out.unionByName(rows)
     if out is None or out.isEmpty():
         raise ValueError("no sample found")
@@ -60,6 +60,21 @@ def explode_qa(rows: DataFrame, frames: str = "key_frames") -> DataFrame:
     return by_kind.select("scene", "frame", "kind", F.explode("pairs").alias("qa")).select("scene", "frame", "kind", "qa.Q", "qa.A")
 
 
+#: What the intent numbers of one dataset mean.
+INTENTS = {0: "unknown", 1: "go straight", 2: "go left", 3: "go right"}
+
+
+def intent_text(intent: Column) -> Column:
+    """The instruction that an intent number stands for; any other number is unknown."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in INTENTS.items() for x in kv]), intent.cast("int")), F.lit(INTENTS[0]))
+
+
+def with_reference_text(samples: DataFrame, references: DataFrame, name: str = "reference") -> DataFrame:
+    """Samples with the text kept for their token, null where there is none.  references: (token, cot_output); a document without text counts as the empty text."""
+    kept = references.select("token", F.coalesce("cot_output", F.lit("")).alias(name))
+    return samples.join(kept, "token", "left")
+
+
 def order_linked(rows: DataFrame, by: str, time: str) -> DataFrame:
     """A linked list (prev and next tokens) as an order: time gives the same sequence, so no pointer is chased."""
     w = Window.partitionBy(by).orderBy(time)
