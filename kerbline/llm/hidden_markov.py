@@ -7,8 +7,9 @@ the count of every word, is exchanged by word and never gathered.
     P(word | state) = P(class | state) * (count + 1) / (tokens of the class + words of the class + 1)
 
 Training is Baum-Welch over all training documents: each task adds up expected counts, one sum over all
-tasks gives the next tables.  Rounds over the corpus start from tables fitted on a bounded sample
-(SAMPLE_DOCS documents, SAMPLE_BYTES of each), which only sets the starting point.
+tasks gives the next tables.  Rounds over the corpus go on until the likelihood of a token hardly rises
+(TOLERANCE) or MOST_ROUNDS are done.  They start from tables fitted on a bounded sample (about SAMPLE_DOCS whole
+documents of at most LONGEST bytes, SAMPLE_ROUNDS rounds), which only sets the starting point.
 
 Likelihood is the scaled forward recursion, exact for every text.  Texts are cut into segments whose
 transfer matrices are formed side by side; the recursion then runs over segments, so one very long text
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import batches, blocks_of, buckets_for, buffers, claim, cut, ids_back, ids_of, lower_ascii, span_keys, word_spans
 
 STATES, CLASSES = 4, 2048
-#: Baum-Welch rounds on the sample, and over the corpus.
-SAMPLE_ROUNDS, ROUNDS = 20, 2
-#: The bounded sample that sets the starting point.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_500
+#: Baum-Welch rounds on the sample; over the corpus at most, and the relative rise of a token's log-likelihood that ends them.
+SAMPLE_ROUNDS, MOST_ROUNDS, TOLERANCE = 20, 4, 0.002
+#: The bounded sample that sets the starting point: documents, about, and bytes of each at most.
+SAMPLE_DOCS, LONGEST = 250, 20_000
 #: Tokens of a segment whose transfer matrix is formed at once.
 SEGMENT = 32
 #: Class and hash of the end of a text.
@@ -148,11 +149,16 @@ def log_likelihood(emit: np.ndarray, off: np.ndarray, tables: Tables) -> np.ndar
 
 def expected_counts(classes: np.ndarray, off: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, moves and emissions over the sequences."""
+    return _expected(classes, off, tables)[:3]
+
+
+def _expected(classes: np.ndarray, off: np.ndarray, tables: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts, and the log-likelihood of all sequences under the tables."""
     s = len(tables.start)
     emit = tables.emit.T[classes]
     lay = Layout(off)
-    m, _ = lay.transfer(emit, tables.move)
-    before, _, _ = lay.forward(m, emit, tables.start)
+    m, log = lay.transfer(emit, tables.move)
+    before, _, likelihood = lay.forward(m, emit, tables.start)
     after, at_first = lay.backward(m)
     gamma = np.empty((len(classes), s))
     first = tables.start * emit[lay.first] * at_first
@@ -179,7 +185,7 @@ def expected_counts(classes: np.ndarray, off: np.ndarray, tables: Tables) -> tup
         b = r @ tables.move.T
         beta[:k] = b / b.sum(axis=1, keepdims=True)
     emission = np.stack([np.bincount(classes, weights=gamma[:, i], minlength=CLASSES + 1) for i in range(s)])
-    return first.sum(axis=0), move, emission
+    return first.sum(axis=0), move, emission, float(likelihood.sum() + log.sum())
 
 
 # --------------------------------------------------------------------- counts of words
@@ -255,10 +261,10 @@ def _sums(shared):
     def run(stream):
         tables = shared.value
         s = len(tables.start)
-        sums = np.zeros(s + s * s + s * (CLASSES + 1))
+        sums = np.zeros(s + s * s + s * (CLASSES + 1) + 2)
         for table in batches(stream, "text"):
             hashes, off = tokens_of(table["text"])
-            sums += np.concatenate([x.ravel() for x in expected_counts(class_of(hashes), off, tables)])
+            sums += np.concatenate([*[np.ravel(x) for x in _expected(class_of(hashes), off, tables)], [len(hashes)]])
         at = np.flatnonzero(sums)
         if len(at):
             yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "value": pa.array(sums[at], pa.float64())})
@@ -267,7 +273,7 @@ def _sums(shared):
 
 
 def _split(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 :].reshape(STATES, CLASSES + 1)
+    return sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 : -2].reshape(STATES, CLASSES + 1)
 
 
 def _start(texts: list[str]) -> Tables:
@@ -294,22 +300,27 @@ def _start(texts: list[str]) -> Tables:
     return tables
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Tables:
-    """Fit the tables on all documents of `docs`."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, longest: int = LONGEST, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> Tables:
+    """Fit the tables on all documents of `docs`.  sample_docs and longest bound the sample that the rounds start from."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = own.count()
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n)))
-    picked = own.where(place < share).select(place.alias("place"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    short = own.where(F.octet_length("text") <= longest)
+    share = int((1 << 30) * min(1.0, sample_docs / max(1, short.count())))
+    picked = short.where(place < share).select(place.alias("place"), "text").collect()
     tables = _start([r.text for r in sorted(picked)] or [""])
-    for _ in range(ROUNDS):
+    before = None
+    for _ in range(most_rounds):
         shared = spark.sparkContext.broadcast(tables)  # STATES x CLASSES numbers
         rows = own.select("text").mapInArrow(_sums(shared), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        sums = np.zeros(STATES + STATES**2 + STATES * (CLASSES + 1))
+        sums = np.zeros(STATES + STATES**2 + STATES * (CLASSES + 1) + 2)
         for r in rows:
             sums[r["at"]] = r["value"]
         tables = Tables.from_counts(*_split(sums))
+        now = sums[-2] / max(1.0, sums[-1])
+        if before is not None and now - before <= tolerance * abs(before):
+            break
+        before = now
     return tables
 
 

@@ -123,3 +123,29 @@ def test_window_digests(spark, sf_dir):
                 top[y] = x
     for r in op5_near_dedup(spark, sf_dir).collect():
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
+
+
+def test_bits_rank_and_select():
+    from kerbline.llm.fm_index import BitVector
+
+    rng = np.random.default_rng(5)
+    for n, share in ((1, 1.0), (64, 0.5), (1000, 0.03), (1000, 0.97), (130, 0.0)):
+        bits = rng.random(n) < share
+        v, ones = BitVector(bits), np.flatnonzero(bits)
+        at = np.arange(n + 1)
+        assert v.rank(at).tolist() == [int(bits[:k].sum()) for k in at]
+        assert v.select(np.arange(len(ones) + 1)).tolist() == [*ones.tolist(), n]
+
+
+def test_training_stops_when_the_likelihood_hardly_rises(spark, monkeypatch):
+    from kerbline.llm import hidden_markov as hmm
+
+    docs = spark.createDataFrame([(i, f"a b a b c{i % 3} " * 20) for i in range(30)], "doc_id long, text string")
+    rounds = []
+    real = hmm._split
+    monkeypatch.setattr(hmm, "_split", lambda sums: rounds.append(sums[-2] / sums[-1]) or real(sums))
+    hmm.train(docs, most_rounds=9, tolerance=0.0005)
+    assert 2 <= len(rounds) < 9 and rounds[-1] >= rounds[0] - 1e-3
+    rounds.clear()
+    hmm.train(docs, most_rounds=1)
+    assert len(rounds) == 1
