@@ -144,9 +144,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
     n_lines, n_removed, emptied = added(docs.columns, "n_lines", "n_removed", "emptied")
-    return whole.select(
-        *[text.alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in docs.columns],
-        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(n_removed),
-        F.coalesce(F.size("gone") == F.size("counting"), F.lit(False)).alias(emptied),
+    # generated, so that a filter on what comes out does not work it out once more
+    made = F.struct(text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("gone") == F.size("counting"), F.lit(False)).alias("emptied"))
+    number = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    out = whole.select("row", number.alias("n_lines"), F.explode(F.array(made)).alias("made"))
+    return out.select(
+        *[F.col("made.text").alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.col("n_lines").alias(n_lines),
+        F.col("made.n_removed").alias(n_removed),
+        F.col("made.emptied").alias(emptied),
     )
