@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, claim, distinct, ids_back, ids_of, span_keys, text_array, word_spans
+from .common import Memo, batches, buffers, claim, distinct, ids_back, ids_of, small_batches, span_keys, text_array, word_spans
 from .packing import _byte_letters, tokenizer_file
 
 #: Distinct words whose ids a worker keeps.
@@ -282,5 +282,6 @@ def _run(name: str):
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, ids (array of int) and decoded (the text that the ids stand for), for every document."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_run(tokenizer), "doc_id long, ids array<int>, decoded string")

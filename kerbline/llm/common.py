@@ -58,6 +58,17 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, columns: list[str] |
     return own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).select("block", *own.columns), total, n
 
 
+#: Rows that reach Python at a time.
+ARROW_ROWS = 1000
+_ARROW_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts reach Python ARROW_ROWS at a time in this session, unless it was told otherwise: Spark's own number makes batches of many megabytes."""
+    if spark.conf.get(_ARROW_KEY) == "10000":
+        spark.conf.set(_ARROW_KEY, str(ARROW_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files and checkpoints that nothing refers to any more: the driver's cleaner only acts on what was collected."""
     gc.collect()

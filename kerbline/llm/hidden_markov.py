@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, blocks_of, buckets_for, buffers, claim, cut, ids_back, ids_of, lower_ascii, span_keys, word_spans
+from .common import batches, blocks_of, buckets_for, buffers, claim, cut, ids_back, ids_of, lower_ascii, small_batches, span_keys, word_spans
 
 STATES, CLASSES = 4, 2048
 #: Baum-Welch rounds on the sample; over the corpus at most, and the relative rise of a token's log-likelihood that ends them.
@@ -303,6 +303,7 @@ def _start(texts: list[str]) -> Tables:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, longest: int = LONGEST, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> Tables:
     """Fit the tables on all documents of `docs`.  sample_docs and longest bound the sample that the rounds start from."""
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     short = own.where(F.octet_length("text") <= longest)

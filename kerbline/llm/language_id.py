@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added, batches, claim, trim
+from .common import added, batches, claim, small_batches, trim
 
 #: Bytes of text per language that are learned from, about, and of one text at most.
 SAMPLE_BYTES, LONGEST = 32_000, 4_000
@@ -263,6 +263,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     columns = [id_col] if columns is None else columns
     judged = added(columns, *JUDGED)
+    small_batches(docs.sparkSession)
     own = docs.select(*dict.fromkeys([*columns, text_col]))
     kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
     schema = T.StructType([*[docs.schema[c] for c in columns], *[T.StructField(c, k) for c, k in zip(judged, kinds, strict=True)]])

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, batches, buffers, claim, cut, lower_ascii, mix, release, shuffle_partitions, span_hashes, span_keys, word_spans
+from .common import NULL_ID, batches, buffers, claim, cut, lower_ascii, mix, release, shuffle_partitions, small_batches, span_hashes, span_keys, word_spans
 from .components import connected_components
 
 #: Orders of the signatures, hashes in each, and hashes that neighbours share at least.
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Returns doc_id, n_shingles, component_id (smallest id reachable) for every document.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(own.mapInArrow(_signatures(width), "doc_id long, n long, set1 long, set2 long, signature binary"))
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))

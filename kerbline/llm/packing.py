@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, buffers, claim, cut, distinct, ids_back, ids_of, span_keys, text_array, word_spans
+from .common import Memo, batches, buffers, claim, cut, distinct, ids_back, ids_of, small_batches, span_keys, text_array, word_spans
 
 #: Distinct words whose ids a worker keeps.
 MEMO_WORDS = 100_000
@@ -218,6 +218,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     unsigned 32-bit), doc_tokens, sequence_id and offset in it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chunks = cut(own.mapInArrow(_tokenise(tokenizer, end), "part long, chunk long, before long, total long, docs binary, sizes binary, ids binary"))
     # one number per partition of the first pass, whatever the size of the corpus
