@@ -213,7 +213,15 @@ def bev_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.rasterise(polygons, 0.25, "z", "label")
 
 
-@query("map_radius")
+@query(
+    "map_radius",
+    """WITH {poses}, v(polygon_id, k, x, y) AS (VALUES (0, 0, 0.03e0, 0.02e0), (0, 1, 30.03e0, 0.02e0), (0, 2, 30.03e0, 0.33e0), (0, 3, 15.03e0, 0.13e0), (0, 4, 0.03e0, 0.33e0),
+(1, 0, 10.03e0, -0.61e0), (1, 1, 60.03e0, -0.61e0), (1, 2, 60.03e0, 0.053e0), (1, 3, 35.03e0, -0.21e0), (1, 4, 10.03e0, 0.053e0)),
+e AS (SELECT a.polygon_id, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON a.polygon_id = b.polygon_id AND b.k = (a.k + 1) % 5),
+p AS (SELECT token, x AS px, heading AS py FROM poses),
+d AS (SELECT token, polygon_id, ax, ay, dx, dy, px, py, least(greatest(((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy), 0), 1) AS t FROM p, e)
+SELECT token, polygon_id FROM d GROUP BY ALL HAVING min(sqrt(power(px - ax - t * dx, 2) + power(py - ay - t * dy, 2))) <= 2 OR count(*) FILTER (WHERE (ay > py) <> (ay + dy > py) AND px < dx * (py - ay) / nullif(dy, 0) + ax) % 2 = 1""",
+)
 def map_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = spark.range(2).select(F.col("id").alias("polygon_id"), F.when(F.col("id") == 0, _ring(0)).otherwise(_ring(1)).alias("ring"))
     points = poses(spark, sf_dir).select("token", F.col("x").alias("px"), F.col("heading").alias("py"))

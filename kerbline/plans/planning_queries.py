@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kerbline.operators import planning
 from kerbline.registry import frames, poses, query, r6, table
+from kerbline.session import scratch
+from kerbline.streaming import windows
 
 
 @query(
@@ -51,8 +53,13 @@ def lqr_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.simulate(reference)
 
 
-@query("stream_replay", "SELECT user_id AS key, CAST(k AS BIGINT) AS chunk, n FROM (SELECT user_id, count(*) AS c FROM events GROUP BY user_id), range(0, 1000) r(k), (SELECT CAST(10 AS BIGINT) AS n) WHERE k < c // 10")
+@query("stream_replay", "SELECT date_trunc('hour', ts) AS start, user_id AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch form of the streaming count window: full chunks of ten events per key."""
-    per = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("c"))
-    return per.where("c >= 10").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("c") / 10) - 1)).alias("chunk"), F.lit(10).cast("long").alias("n"))
+    """The events as a stream, taken to its end: windows of an hour per key, as the streaming operator leaves them."""
+    kind = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(kind).parquet(f"{sf_dir}/event[s].parquet")
+    path, notes = scratch(spark, "stream"), scratch(spark, "stream-state")
+    counts = windows.event_time_counts(events.withColumnRenamed("user_id", "key").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "key", "1 hour")
+    running = counts.writeStream.outputMode("complete").option("checkpointLocation", notes).trigger(availableNow=True).foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
+    running.awaitTermination()
+    return spark.read.parquet(path).select(F.col("start").cast("timestamp_ntz").alias("start"), "key", "n", F.round("total", 4).alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import classify, geometry as geo
-from kerbline.operators import filters, forecast, planner, planning, scenes, sequence, vocabulary
+from kerbline.operators import filters, forecast, graph, planner, planning, scenes, sequence, vocabulary
 from kerbline.plans import builders, config, score_queries
 from kerbline.plans.text_queries import VOCAB
 from kerbline.registry import frames, poses, query, r6, table
@@ -328,6 +328,62 @@ def recorded_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.recorded_occupancy(whole, "scene", 5).select("scene", "t", "track_token", "type", r6("x").alias("x"))
 
 
+# ------------------------------------------------------------------ lanes and routes
+@query(
+    "centerline_points",
+    """WITH l AS (SELECT n_nationkey AS lane_id, n_regionkey AS pos FROM nation), p AS (SELECT lane_id, pos, i AS idx, lane_id + i / 10e0 AS x FROM l, range(0, 4) r(i)), s AS (SELECT c_custkey AS token, c_custkey % 3 AS start_pos FROM customer)
+SELECT token, row_number() OVER (PARTITION BY token ORDER BY pos, lane_id, idx) - 1 AS s_idx, round(x, 6) AS x FROM s JOIN p ON pos >= start_pos AND pos < start_pos + 30""",
+)
+def centerline_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer drives the nations in the order of region and key, from a region of its own on."""
+    lanes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("lane_id"), (F.col("n_regionkey") + F.col("n_nationkey") / 100).alias("pos"))
+    token = F.col("c_custkey").alias("token")
+    own = table(spark, sf_dir, "customer")
+    points = lanes.select("lane_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx")).select("lane_id", "idx", (F.col("lane_id") + F.col("idx") / 10.0).alias("x"), F.lit(0.0).alias("y"))
+    found = graph.centerline(own.select(token).join(F.broadcast(lanes)), own.select(token, (F.col("c_custkey") % 3).alias("start_pos")), points)
+    return found.select("token", F.col("s_idx").cast("long").alias("s_idx"), r6("x").alias("x"))
+
+
+def _roads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A road of eight blocks of two lanes for each customer; lanes go on straight, and to the other lane at every third block."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("token"), "c_custkey")
+    lane = lambda b, k: F.concat(F.lit("l"), b.cast("string"), F.lit("_"), k.cast("string"))
+    cells = own.select("token", "c_custkey", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b")).select("token", "c_custkey", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    length = 10.0 + F.pmod(F.col("c_custkey") * 7 + F.col("b") * 3 + F.col("k") * 5, F.lit(11))
+    lanes = cells.select("token", lane(F.col("b"), F.col("k")).alias("lane_id"), F.concat(F.lit("b"), F.col("b").cast("string")).alias("roadblock_id"), length.alias("length"))
+    ahead = cells.where("b < 7").withColumn("k2", F.explode(F.when(F.col("b") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array("k"))))
+    return lanes, ahead.select("token", lane(F.col("b"), F.col("k")).alias("src"), lane(F.col("b") + 1, F.col("k2")).alias("dst"))
+
+
+@query(
+    "lane_paths",
+    """WITH RECURSIVE l AS (SELECT c_custkey AS token, b, k, 10e0 + (c_custkey * 7 + b * 3 + k * 5) % 11 AS length FROM customer, range(0, 8) x(b), range(0, 2) y(k)),
+r AS (SELECT c_custkey AS token, 0 AS b, 0 AS k, 1e0 AS cost, 1 AS n FROM customer UNION ALL
+SELECT r.token, l.b, l.k, r.cost + l.length, r.n + 1 FROM r JOIN l ON l.token = r.token AND l.b = r.b + 1 AND (r.b % 3 = 0 OR l.k = r.k))
+SELECT CAST(token AS VARCHAR) AS token, CAST(max(n) AS INTEGER) AS n, min(cost) AS cost, true AS found FROM r WHERE b = 7 GROUP BY token""",
+)
+def lane_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest way along each road: its lanes, and what they cost (the first lane costs 1)."""
+    lanes, edges = _roads(spark, sf_dir)
+    asked = lanes.select("token").distinct().select("token", F.lit("l0_0").alias("start_lane"), F.lit("b7").alias("goal_block"))
+    paths = graph.lane_paths(asked, lanes, edges)
+    each = paths.select("token", "found", F.posexplode("lanes").alias("i", "lane_id")).join(lanes.select("token", "lane_id", "length"), ["token", "lane_id"])
+    return each.groupBy("token").agg(F.count("*").cast("int").alias("n"), F.sum(F.when(F.col("i") == 0, 1.0).otherwise(F.col("length"))).alias("cost"), F.bool_and("found").alias("found"))
+
+
+@query("route_repair", "SELECT CAST(c_custkey AS VARCHAR) AS token, CASE WHEN c_custkey % 3 = 0 THEN 'b0 b1 b2 b3 b4 b5 b6' WHEN c_custkey % 3 = 1 THEN 'b0 b1 b2 b3 b4 b5 b6' ELSE 'b2 b3 b4 b5 b6' END AS blocks FROM customer")
+def route_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes that begin beyond the vehicle, that lack blocks, and that go in a loop."""
+    own, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    token = key.cast("string").alias("token")
+    words = lambda t: F.array(*[F.lit(x) for x in t.split(" ")])
+    blocks = F.when(key % 3 == 0, words("b3 b4 b5 b6")).when(key % 3 == 1, words("b0 b2 b5 b6")).otherwise(words("b2 b3 b4 b3 b4 b5 b6"))
+    routes = own.select(token, F.when(key % 3 == 2, "b2").otherwise("b0").alias("start"), blocks.alias("blocks"))
+    edges = own.select(token, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("b")).select("token", F.concat(F.lit("b"), "b").alias("src"), F.concat(F.lit("b"), F.col("b") + 1).alias("dst"))
+    back = own.select(token, F.lit("b4").alias("src"), F.lit("b3").alias("dst"))
+    return graph.repair_routes(routes, edges.unionByName(back)).select("token", F.array_join("blocks", " ").alias("blocks"))
+
+
 # ------------------------------------------------------------------ the planner
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).where("idx = 0").select(
