@@ -17,6 +17,7 @@ input are not read.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +173,23 @@ class ByteEncoder:
     def words(self, spaced: bool):
         """compute() for Memo: 16-bit ids of words, with a space before them or not."""
 
+        first = " " if spaced else ""
+
         def run(words: list[bytes]) -> list[bytes]:
-            before = " " if spaced else ""
-            return [np.asarray(self.encode(before + w.decode()), "<u2").tobytes() for w in words]
+            out, pieces, encode = [], self.pieces, self.encode_piece
+            for w in words:
+                text = w.decode()
+                if text.isalpha():  # letters alone are one piece
+                    part = first + text
+                    ids = pieces.get(part)
+                    if ids is None:
+                        if len(pieces) > MEMO_WORDS:
+                            pieces.clear()
+                        ids = pieces[part] = encode(first + w.decode("latin-1"))
+                else:
+                    ids = self._pieces(first + text)
+                out.append(array("H", ids).tobytes())
+            return out
 
         return run
 
@@ -234,14 +249,14 @@ def encode_texts(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
         key = (b"w" if not space[i] else b"s") + part
         if key not in gap_value:
             gap_value[key] = len(values)
-            values.append(np.asarray(gap_ids(part, not space[i]), "<u2").tobytes())
+            values.append(np.asarray(gap_ids(part, not space[i]), "=u2").tobytes())
         pieces_of[slot[i]] = gap_value[key]
     tail_from = np.where(cuts[1:] > cuts[:-1], np.concatenate([ends, [0]])[np.maximum(cuts[1:] - 1, 0)], off[:-1])
     for d in np.flatnonzero(off[1:] > tail_from).tolist():
         key = b"s" + raw[tail_from[d] : off[d + 1]]
         if key not in gap_value:
             gap_value[key] = len(values)
-            values.append(np.asarray(gap_ids(key[1:], False), "<u2").tobytes())
+            values.append(np.asarray(gap_ids(key[1:], False), "=u2").tobytes())
         pieces_of[2 * cuts[d + 1] + d] = gap_value[key]
     # texts in which the split is not local are encoded as a whole
     whole = {}
@@ -250,12 +265,12 @@ def encode_texts(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
             text = raw[off[d] : off[d + 1]].decode()
             if encoder.not_local(text):
                 whole[d] = len(values)
-                values.append(np.asarray(encoder.encode(text), "<u2").tobytes())
+                values.append(np.asarray(encoder.encode(text), "=u2").tobytes())
     bounds = 2 * cuts + np.arange(len(off))
     for d, v in whole.items():
         pieces_of[bounds[d] : bounds[d + 1]] = -1
         pieces_of[bounds[d]] = v
-    flat = np.frombuffer(b"".join(values), "<u2")
+    flat = np.frombuffer(b"".join(values), "=u2")
     sizes = np.append(np.fromiter(map(len, values), np.int64, len(values)) // 2, 0)
     first = np.cumsum(sizes) - sizes
     m = sizes[pieces_of]
