@@ -10,6 +10,8 @@ import ctypes
 import gc
 import hashlib
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ BLOCK_BYTES = 1_000_000
 PIECE_BYTES = 1_000_000
 #: Keys that one bucket of a key exchange holds on average.
 BUCKET_KEYS = 500_000
+#: Blocks whose messages are merged before they go on to buckets.
+BAND_BLOCKS = 4096
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
@@ -80,6 +84,51 @@ def buckets_for(spark: SparkSession, keys: float) -> int:
     return max(shuffle_partitions(spark), math.ceil(keys / BUCKET_KEYS))
 
 
+@dataclass(frozen=True)
+class Route:
+    """How messages of blocks reach buckets: straight (one band), or merged by band on the way.
+
+    A band's merging task serves `span` buckets with numbers in a row, their `home`.
+    """
+
+    buckets: int
+    bands: int
+    span: int
+
+    def home(self, bucket: np.ndarray) -> np.ndarray:
+        return bucket // self.span
+
+
+def route_for(spark: SparkSession, keys: float, blocks: int) -> Route:
+    """A route for `keys` keys in all.  A band's merging task holds as many keys as a bucket does, so more blocks mean more bands, not larger tasks."""
+    buckets, bands = buckets_for(spark, keys), math.ceil(blocks / BAND_BLOCKS)
+    return Route(buckets, bands, 1 if bands == 1 else math.ceil(buckets / buckets_for(spark, keys / bands)))
+
+
+def relay(messages: DataFrame, route: Route, merge: Callable, answer: Callable, spread: Callable, schema: str, totals: bool = False) -> DataFrame:
+    """Answers of buckets to the messages (bucket, block, ...) that blocks sent to homes.
+
+    With one band the homes are the buckets and `answer` sees all messages.  With more, a key that every block has
+    reaches its bucket once a band: merge(key, messages) writes a band's messages as one message a bucket, whose
+    `block` is the band's number there; answer(key, merged messages) is the same as ever; spread(key, messages,
+    answers) hands the answers on to the blocks.  totals: rows of `answer` without a block are kept beside.
+    """
+    if route.bands == 1:
+        return messages.groupBy("bucket").applyInArrow(answer, schema)
+    sent = messages.withColumn("band", F.col("block") % route.bands).groupBy("bucket", "band")
+    found = sent.applyInArrow(merge, messages.schema).groupBy("bucket").applyInArrow(answer, schema)
+    if totals:
+        found = cut(found)
+    back = found.where("block is not null").withColumn("home", F.expr(f"block div {route.bands}")).withColumn("band", F.col("block") % route.bands)
+    out = sent.cogroup(back.groupBy("home", "band")).applyInArrow(spread, schema)
+    return out.unionByName(found.where("block is null")) if totals else out
+
+
+def heads_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
 # --------------------------------------------------------------------- buffers
 def buffers(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""

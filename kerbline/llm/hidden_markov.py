@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, blocks_of, buckets_for, buffers, claim, cut, ids_back, ids_of, lower_ascii, small_batches, span_keys, word_spans
+from .common import Route, batches, blocks_of, buffers, claim, cut, heads_of, ids_back, ids_of, lower_ascii, relay, route_for, small_batches, span_keys, word_spans
 
 STATES, CLASSES = 4, 2048
 #: Baum-Welch rounds on the sample; over the corpus at most, and the relative rise of a token's log-likelihood that ends them.
@@ -209,31 +209,73 @@ def _block_words(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray
     return keys[order], bucket[order], place[inverse], off
 
 
-def _send_words(buckets: int):
+def _send_words(route: Route):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, bucket, inverse, off = _block_words(table["text"], buckets)
+        keys, bucket, inverse, off = _block_words(table["text"], route.buckets)
         train = np.asarray(table["train"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         n = np.bincount(inverse, weights=np.repeat(train, np.diff(off)), minlength=len(keys)).astype("<u4")
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        to = np.append(at, len(keys))[1:]
+        return _messages(key[0].as_py(), route.home(bucket), keys, n)
+
+    return run
+
+
+def _messages(block: int, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """One row for each of the buckets, which are in order."""
+    at = heads_of(bucket)
+    to = np.append(at, len(keys))[1:]
+    return pa.table(
+        {
+            "bucket": pa.array(bucket[at], pa.int64()),
+            "block": pa.array(np.full(len(at), block), pa.int64()),
+            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _band_words(table: pa.Table, route: Route) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes of a band's messages by bucket, their buckets, inverse)."""
+    keys, inverse = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]), return_inverse=True)
+    bucket = _bucket(keys, route.buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], bucket[order], place[inverse]
+
+
+def _merge_words(route: Route):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, bucket, inverse = _band_words(table, route)
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+        total = np.bincount(inverse, weights=n, minlength=len(keys)).astype("<i8")
+        return _messages(key[0].as_py() * route.bands + key[1].as_py(), bucket, keys, total)
+
+    return run
+
+
+def _spread_words(route: Route):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+        _, _, inverse = _band_words(table, route)
+        blobs = found["counts"].to_pylist()
+        total = np.frombuffer(b"".join([blobs[i] for i in np.argsort(found["bucket"].to_numpy(), kind="stable").tolist()]), "<i8")
+        back, cuts = total[inverse], np.cumsum([0, *(len(x) // 8 for x in table["keys"].to_pylist())])
         return pa.table(
             {
-                "bucket": pa.array(bucket[at], pa.int64()),
-                "block": pa.array(np.full(len(at), key[0].as_py()), pa.int64()),
-                "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
-                "counts": pa.array([n[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
+                "block": table["block"],
+                "bucket": table["bucket"],
+                "counts": pa.array([back[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             }
         )
 
     return run
 
 
-def _count_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Counts back to each block, and one row of class totals (block null)."""
+def _count_words(key: tuple[pa.Scalar, ...], table: pa.Table, sent: str = "<u4") -> pa.Table:
+    """Counts back to each block or band, and one row of class totals (block null).  sent: type of the counts sent."""
     parts = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
     every = np.concatenate(parts)
     words, inverse = np.unique(every, return_inverse=True)
-    n = np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])
+    n = np.concatenate([np.frombuffer(x, sent) for x in table["counts"].to_pylist()])
     total = np.bincount(inverse, weights=n, minlength=len(words)).astype("<i8")
     back, cuts = total[inverse], np.cumsum([0, *map(len, parts)])
     cls = class_of(words)
@@ -334,12 +376,15 @@ def score(docs: DataFrame, is_training, id_col: str = "doc_id", text_col: str =
     tables = train(docs.where(is_training), id_col, text_col)
     flagged = docs.withColumn("__train", F.coalesce(is_training, F.lit(False)))
     _, total, n = blocks_of(flagged, id_col, text_col)
-    buckets = buckets_for(spark, total / 40)
+    route = route_for(spark, total / 40, n)
     with_flag = flagged.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col("__train").alias("train"))
     blocks = with_flag.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).select("block", "doc_id", "text", "train").groupBy("block")
-    answers = cut(
-        blocks.applyInArrow(_send_words(buckets), "bucket long, block long, keys binary, counts binary").groupBy("bucket").applyInArrow(_count_words, "block long, bucket long, counts binary")
-    )
+
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _count_words(key, table, "<u4" if route.bands == 1 else "<i8")
+
+    sent = blocks.applyInArrow(_send_words(route), "bucket long, block long, keys binary, counts binary")
+    answers = cut(relay(sent, route, _merge_words(route), count, _spread_words(route), "block long, bucket long, counts binary", totals=True))
     tokens, kinds = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     classes = answers.where("block is null").mapInArrow(_class_rows, "class long, tokens long, kinds long")
     for r in classes.groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect():
@@ -348,7 +393,7 @@ def score(docs: DataFrame, is_training, id_col: str = "doc_id", text_col: str =
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         tables, tokens, kinds = shared.value
-        hashes, bucket, inverse, off = _block_words(table["text"], buckets)
+        hashes, bucket, inverse, off = _block_words(table["text"], route.buckets)
         order = np.argsort(found["bucket"].to_numpy(), kind="stable")
         blobs = found["counts"].to_pylist()
         count = np.frombuffer(b"".join([blobs[i] for i in order.tolist()]), "<i8").astype(np.float64)

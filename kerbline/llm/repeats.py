@@ -13,7 +13,8 @@ unbounded group:
 4. blocks apply the answers to their documents.
 
 How step 3 finds equal windows is the operator's method and is passed in as `resolve`.  A passage that a
-third of all rows share reaches a bucket once per block, not once per row.
+third of all rows share reaches a bucket once per block, not once per row; where blocks are many, once per band
+of blocks (see `common.relay`).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks_of, buckets_for, buffers, byte_values, claim, gather, ids_of, mix, span_hashes, span_keys, word_spans
+from .common import Route, blocks_of, buffers, byte_values, claim, gather, heads_of, ids_of, mix, relay, route_for, span_hashes, span_keys, word_spans
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -141,25 +142,71 @@ def _anchor_keys(s: Supers, ids: np.ndarray, units: Units, buckets: int) -> tupl
     return keys, again, inverse
 
 
-def _send_anchors(units: Units, buckets: int):
+def _low(keys: np.ndarray, wide: bool) -> np.ndarray:
+    """What is sent of composite keys: the home is a bucket, and four bytes tell its keys apart, or the home serves many and all is sent."""
+    return keys.astype("<u8") if wide else (keys & _LOW).astype("<u4")
+
+
+def _composite(buckets: list[int], sent: list[bytes], wide: bool) -> np.ndarray:
+    """Composite keys again, of all messages end to end."""
+    if wide:
+        return np.concatenate([np.frombuffer(x, "<u8") for x in sent])
+    return np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, "<u4").astype(np.uint64) for b, x in zip(buckets, sent, strict=True)])
+
+
+def _anchor_messages(block: int, to: np.ndarray, low: np.ndarray, again: np.ndarray) -> pa.Table:
+    """One row for each receiver in `to`, which is in order."""
+    at = heads_of(to)
+    end = np.append(at, len(to))[1:]
+    return pa.table(
+        {
+            "bucket": pa.array(to[at], pa.int64()),
+            "block": pa.array(np.full(len(at), block), pa.int64()),
+            "keys": pa.array([low[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary()),
+            "again": pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(at, end, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _send_anchors(units: Units, route: Route):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         s = supers_of(table["text"], units)
-        keys, again, _ = _anchor_keys(s, ids_of(table["doc_id"]), units, buckets)
-        bucket = (keys >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        low, to = (keys & _LOW).astype("<u4"), np.append(at, len(keys))[1:]
-        return pa.table(
-            {
-                "bucket": pa.array(bucket[at], pa.int64()),
-                "block": pa.array(np.full(len(at), key[0].as_py()), pa.int64()),
-                "keys": pa.array([low[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
-                "again": pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
-            }
-        )
+        keys, again, _ = _anchor_keys(s, ids_of(table["doc_id"]), units, route.buckets)
+        home = route.home((keys >> np.uint64(32)).astype(np.int64))
+        return _anchor_messages(key[0].as_py(), home, _low(keys, route.bands > 1), again)
+
+    return run
+
+
+def _merge_anchors(route: Route):
+    """A band's distinct keys; one that two of its blocks sent is repeated."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        parts = table["keys"].to_pylist()
+        every = _composite([], parts, True)
+        own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p) // 8) for x, p in zip(table["again"].to_pylist(), parts, strict=True)])
+        keys, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
+        again = (times > 1) | (np.bincount(inverse, weights=own, minlength=len(keys)) > 0)
+        return _anchor_messages(key[0].as_py() * route.bands + key[1].as_py(), (keys >> np.uint64(32)).astype(np.int64), _low(keys, False), again)
 
     return run
 
 
+def _spread_anchors(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+    parts = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+    known = _composite(found["bucket"].to_pylist(), found["hits"].to_pylist(), False) if found.num_rows else np.zeros(0, np.uint64)
+    hit = np.isin(np.concatenate(parts) if parts else known, known)
+    cuts = np.cumsum([0, *map(len, parts)])
+    keep = [i for i in range(len(parts)) if hit[cuts[i] : cuts[i + 1]].any()]
+    return pa.table(
+        {
+            "block": table["block"].take(pa.array(keep, pa.int64())),
+            "bucket": table["bucket"].take(pa.array(keep, pa.int64())),
+            "hits": pa.array([parts[i][hit[cuts[i] : cuts[i + 1]]].tobytes() for i in keep], pa.binary()),
+        }
+    )
+
+
 def _answer_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     parts = [np.frombuffer(x, "<u4") for x in table["keys"].to_pylist()]
     own = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(table["again"].to_pylist(), parts, strict=True)]
@@ -183,14 +230,35 @@ def _answer_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 # --------------------------------------------------------------------- 3: super-windows at repeated anchors
-def _send_supers(units: Units, buckets: int):
+_OWNER = np.dtype([("doc", "<i8"), ("start", "<i8"), ("count", "<i4"), ("size", "<i4"), ("content", "<u8")])
+_WIDE = np.dtype([*_OWNER.descr, ("bucket", "<i8")])  # on the way to a band's home, which serves many buckets
+_RUN = np.dtype([("content", "<u8"), ("from", "<i4"), ("length", "<i4"), ("doc", "<i8"), ("start", "<i8")])
+_SUPERS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("owner", pa.binary()), ("body", pa.binary())])
+
+
+def _super_messages(block: int, to: np.ndarray, head: np.ndarray, body: np.ndarray, off: np.ndarray) -> pa.Table:
+    """One row for each receiver in `to`, which is in order."""
+    at = heads_of(to)
+    end = np.append(at, len(to))[1:]
+    press = zstandard.ZstdCompressor(level=1).compress
+    return pa.table(
+        [
+            pa.array(to[at], pa.int64()),
+            pa.array(np.full(len(at), block), pa.int64()),
+            pa.array([press(head[a:b].tobytes()) for a, b in zip(at, end, strict=True)], pa.binary()),
+            pa.array([press(body[off[a] : off[b]].tobytes()) for a, b in zip(at, end, strict=True)], pa.binary()),
+        ],
+        schema=_SUPERS,
+    )
+
+
+def _send_supers(units: Units, route: Route):
     def run(key: tuple[pa.Scalar, ...], texts: pa.Table, hits: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("owner", pa.binary()), ("body", pa.binary())])
         if not texts.num_rows or not hits.num_rows:
-            return schema.empty_table()
+            return _SUPERS.empty_table()
         s, ids = supers_of(texts["text"], units), ids_of(texts["doc_id"])
-        known = np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, "<u4").astype(np.uint64) for b, x in zip(hits["bucket"].to_pylist(), hits["hits"].to_pylist(), strict=True)])
-        key_of = ((s.anchor >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32)) | (s.anchor & _LOW)
+        known = _composite(hits["bucket"].to_pylist(), hits["hits"].to_pylist(), route.bands > 1)
+        key_of = ((s.anchor >> np.uint64(32)) % np.uint64(route.buckets) << np.uint64(32)) | (s.anchor & _LOW)
         order, heads = _by_content(s, ids)
         pick = order[heads]
         pick = pick[np.isin(key_of[pick], known)]
@@ -198,31 +266,67 @@ def _send_supers(units: Units, buckets: int):
         by = np.argsort(bucket, kind="stable")
         pick, bucket = pick[by], bucket[by]
         if not len(pick):
-            return schema.empty_table()
-        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        to = [*at[1:], len(pick)]
-        head = np.empty(len(pick), _OWNER)
+            return _SUPERS.empty_table()
+        head = np.empty(len(pick), _WIDE if route.bands > 1 else _OWNER)
         head["doc"], head["start"], head["count"], head["content"] = ids[s.doc[pick]], s.local[pick], s.count[pick], s.content[pick]
+        if route.bands > 1:
+            head["bucket"] = bucket
         end = s.first[pick] + s.count[pick] + units.width - 1
         lo, hi = (s.starts[s.first[pick]], s.ends[end - 1]) if units.words else (s.first[pick], end)
         head["size"] = hi - lo
         body, off = gather(s.data, lo, hi)
-        press = zstandard.ZstdCompressor(level=1).compress
-        return pa.table(
-            [
-                pa.array(bucket[at], pa.int64()),
-                pa.array(np.full(len(at), key[0].as_py() if key[0] is not None else 0), pa.int64()),
-                pa.array([press(head[a:b].tobytes()) for a, b in zip(at, to, strict=True)], pa.binary()),
-                pa.array([press(body[off[a] : off[b]].tobytes()) for a, b in zip(at, to, strict=True)], pa.binary()),
-            ],
-            schema=schema,
-        )
+        return _super_messages(key[0].as_py() if key[0] is not None else 0, route.home(bucket), head, body, off)
 
     return run
 
 
-_OWNER = np.dtype([("doc", "<i8"), ("start", "<i8"), ("count", "<i4"), ("size", "<i4"), ("content", "<u8")])
-_RUN = np.dtype([("content", "<u8"), ("from", "<i4"), ("length", "<i4"), ("doc", "<i8"), ("start", "<i8")])
+def _first_owners(head: np.ndarray) -> np.ndarray:
+    """Of each content the row with its first owner, by content."""
+    order = _order(head["content"], head["doc"], head["start"])
+    return order[heads_of(head["content"][order])]
+
+
+def _merge_supers(route: Route):
+    """A band's distinct contents, each with its first owner there."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        open_ = zstandard.ZstdDecompressor().decompress
+        head = np.concatenate([np.frombuffer(open_(x), _WIDE) for x in table["owner"].to_pylist()])
+        body = np.frombuffer(b"".join(map(open_, table["body"].to_pylist())), np.uint8)
+        off = np.concatenate([[0], np.cumsum(head["size"].astype(np.int64))])
+        rep = _first_owners(head)
+        rep = rep[np.argsort(head["bucket"][rep], kind="stable")]
+        one, one_off = gather(body, off[:-1][rep], off[1:][rep])
+        own = np.empty(len(rep), _OWNER)
+        for name in _OWNER.names:
+            own[name] = head[name][rep]
+        return _super_messages(key[0].as_py() * route.bands + key[1].as_py(), head["bucket"][rep], own, one, one_off)
+
+    return run
+
+
+def _spread_supers(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
+    """To each block what holds for its contents: the runs found, and all windows at the band's first owner.
+
+    Whether an owner comes before a copy is decided where the runs are applied, copy by copy.
+    """
+    open_ = zstandard.ZstdDecompressor().decompress
+    heads = [np.frombuffer(open_(x), _WIDE) for x in table["owner"].to_pylist()]
+    if not heads:
+        return pa.table({"block": pa.array([], pa.int64()), "runs": pa.array([], pa.binary())})
+    head = np.concatenate(heads)
+    rep = _first_owners(head)
+    own = np.zeros(len(rep), _RUN)
+    own["content"], own["length"], own["doc"], own["start"] = (head[x][rep] for x in ("content", "count", "doc", "start"))
+    run = np.concatenate([own, *(np.frombuffer(x, _RUN) for x in found["runs"].to_pylist())])
+    run = run[np.argsort(run["content"], kind="stable")]
+    at = heads_of(run["content"])
+    times = np.diff(np.append(at, len(run)))
+    of = np.searchsorted(head["content"][rep], head["content"])
+    which = np.repeat(at[of], times[of]) + np.arange(times[of].sum()) - np.repeat(np.cumsum(times[of]) - times[of], times[of])
+    cuts = np.concatenate([[0], np.cumsum(times[of])])[np.cumsum([0, *map(len, heads)])]
+    run = run[which]
+    return pa.table({"block": table["block"], "runs": pa.array([run[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
 def _resolve(units: Units, resolve: Callable):
@@ -333,21 +437,14 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, units: Units, resolve:
     columns: passed on as a struct `rest`, first in the result.
     """
     spark = docs.sparkSession
-    base, total, _ = blocks_of(docs, id_col, text_col, columns)
+    base, total, blocks = blocks_of(docs, id_col, text_col, columns)
     density = 2 / (units.width - units.gram + 2)
-    buckets = buckets_for(spark, total * density / (6 if units.words else 1))
+    route = route_for(spark, total * density / (6 if units.words else 1), blocks)
     texts = base.groupBy("block")
-    hits = (
-        texts.applyInArrow(_send_anchors(units, buckets), "bucket long, block long, keys binary, again binary")
-        .groupBy("bucket")
-        .applyInArrow(_answer_anchors, "block long, bucket long, hits binary")
-    )
-    runs = (
-        texts.cogroup(hits.groupBy("block"))
-        .applyInArrow(_send_supers(units, buckets), "bucket long, block long, owner binary, body binary")
-        .groupBy("bucket")
-        .applyInArrow(_resolve(units, resolve), "block long, runs binary")
-    )
+    anchors = texts.applyInArrow(_send_anchors(units, route), "bucket long, block long, keys binary, again binary")
+    hits = relay(anchors, route, _merge_anchors(route), _answer_anchors, _spread_anchors, "block long, bucket long, hits binary")
+    supers = texts.cogroup(hits.groupBy("block")).applyInArrow(_send_supers(units, route), "bucket long, block long, owner binary, body binary")
+    runs = relay(supers, route, _merge_supers(route), _resolve(units, resolve), _spread_supers, "block long, runs binary")
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table, found: pa.Table) -> pa.Table:
         s, ids = supers_of(table["text"], units), ids_of(table["doc_id"])
