@@ -7,6 +7,7 @@ array value beside the rows, so matching stays in generated code.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,26 +54,53 @@ def nearest_codes(rows: DataFrame, codebook: DataFrame, corners: str = "corners"
     return joined.withColumn("_n", nearest_word(F.col(corners), F.col("words"))).select(*rows.columns, F.col("_n.token_id").alias("token_id"), F.col("_n.distance").alias("distance"))
 
 
-def disk_clusters(points: DataFrame, n: int, tolerance: float, id_col: str = "segment_id") -> DataFrame:
+def _greedy_seeds(rows: list, tolerance: float, most: int) -> list[int]:
+    """Places of the rows that no earlier seed is near to, in order."""
+    x, y, h = np.array([tuple(r) for r in rows], dtype=float).T[:, :, None]
+    along_, across = LENGTH / 2 * np.array([1, 1, -1, -1]), WIDTH / 2 * np.array([1, -1, -1, 1])
+    cx, cy = x + along_ * np.cos(h) - across * np.sin(h), y + along_ * np.sin(h) + across * np.cos(h)
+    free, seeds = np.ones(len(rows), dtype=bool), []
+    while len(seeds) < most and free.any():
+        at = int(free.argmax())
+        free &= np.hypot(cx - cx[at], cy - cy[at]).mean(axis=1) > tolerance
+        free[at] = False
+        seeds.append(at)
+    return seeds
+
+
+def disk_clusters(points: DataFrame, n: int, tolerance: float, id_col: str = "segment_id", chunk: int = 4096) -> DataFrame:
     """(token_id, x, y, heading, members): take the point with the smallest id that is left, average all within
     `tolerance` (mean corner distance) of it, take them away; at most n times, fewer if no point is left.
 
-    One pass over the points a round; n is the size of the codebook.
+    A round takes the next `chunk` points in the order of ids; what they alone decide are all the seeds among them, so
+    a round is one pass over the points that are left, whatever it finds.  `chunk` bounds what the driver holds and
+    changes no result.  A point looks only at seeds of its grid cell: centres are no farther apart than corners are
+    on average.  Points with a null or non-finite coordinate take no part.
     """
-    left = cut(points.select(id_col, "x", "y", "heading"))
-    rows = []
-    for k in range(n):
-        first = left.orderBy(id_col).limit(1).collect()
+    if not 0 < n <= MOST_WORDS or tolerance <= 0:
+        raise ValueError(f"from 1 to {MOST_WORDS} words and a positive tolerance")
+    spark, names = points.sparkSession, ("x", "y", "heading")
+    finite = [F.abs(F.col(c)) < float("inf") for c in names]
+    left = cut(points.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).where(finite[0] & finite[1] & finite[2]))
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    found, rows = 0, []
+    while found < n:
+        first = left.orderBy(id_col, *names).limit(chunk).select(*names).collect()
         if not first:
             break
-        seed = corners_array(*[F.lit(float(first[0][c])) for c in ("x", "y", "heading")])
-        near = corner_distance(corners_array(F.col("x"), F.col("y"), F.col("heading")), seed) / 4 <= tolerance
-        mean = left.where(near).agg(F.avg("x"), F.avg("y"), F.avg("heading"), F.count("*")).first()
-        rows.append((k, *map(float, mean[:3]), int(mean[3])))
-        left = left.where(~near)
-        if k % 16 == 15:
-            left = cut(left)
-    return points.sparkSession.createDataFrame(rows, "token_id int, x double, y double, heading double, members long")
+        seeds = [(found + k, *first[at]) for k, at in enumerate(_greedy_seeds(first, tolerance, n - found))]
+        found += len(seeds)
+        placed = spark.createDataFrame(seeds, "k int, x double, y double, heading double")
+        placed = placed.select("k", corners_array(*map(F.col, names)).alias("corners"), cell("x").alias("cx"), cell("y").alias("cy")).withColumn("at", F.explode(around))
+        by_cell = placed.groupBy((F.col("cx") + F.col("at.i")).alias("cx"), (F.col("cy") + F.col("at.j")).alias("cy")).agg(F.sort_array(F.collect_list(F.struct("k", "corners"))).alias("seeds"))
+        # nine rows a seed at most, and seeds are at most MOST_WORDS
+        met = left.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("own", corners_array(*map(F.col, names))).join(F.broadcast(by_cell), ["cx", "cy"], "left")
+        near = F.filter("seeds", lambda s: corner_distance(F.col("own"), s.corners) / 4 <= tolerance)
+        taken = cut(met.select(id_col, *names, F.get(near, F.lit(0)).k.alias("k")))
+        rows += taken.where("k IS NOT NULL").groupBy("k").agg(*[F.avg(c) for c in names], F.count("*")).collect()
+        left = taken.where("k IS NULL").drop("k")
+    return spark.createDataFrame(sorted(map(tuple, rows)), "token_id int, x double, y double, heading double, members long")
 
 
 def _word_pose(state: Column, corners: Column) -> Column:

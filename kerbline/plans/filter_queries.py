@@ -207,7 +207,15 @@ def extrapolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("token", r6(x).alias("x2"), r6(y).alias("y2"), r6(h).alias("h2"))
 
 
-@query("bev_raster")
+@query(
+    "bev_raster",
+    """WITH v(z, k, x, y) AS (VALUES (0, 0, 0.03e0, 0.02e0), (0, 1, 30.03e0, 0.02e0), (0, 2, 30.03e0, 0.33e0), (0, 3, 15.03e0, 0.13e0), (0, 4, 0.03e0, 0.33e0),
+(1, 0, 10.03e0, -0.61e0), (1, 1, 60.03e0, -0.61e0), (1, 2, 60.03e0, 0.053e0), (1, 3, 35.03e0, -0.21e0), (1, 4, 10.03e0, 0.053e0)),
+e AS (SELECT a.z, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON a.z = b.z AND b.k = (a.k + 1) % 5),
+c AS (SELECT r.r AS "row", c.c AS col, (c.c + 0.5e0) * 0.25e0 AS px, (r.r + 0.5e0) * 0.25e0 AS py FROM range(-8, 8) r(r), range(-8, 300) c(c)),
+held AS (SELECT "row", col, z FROM c, e GROUP BY ALL HAVING count(*) FILTER (WHERE (ay > py) <> (ay + dy > py) AND px < dx * (py - ay) / nullif(dy, 0) + ax) % 2 = 1)
+SELECT "row", col, CASE max(z) WHEN 0 THEN 'road' ELSE 'walk' END AS label FROM held GROUP BY ALL""",
+)
 def bev_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     polygons = spark.range(2).select(F.col("id").alias("z"), F.when(F.col("id") == 0, "road").otherwise("walk").alias("label"), F.when(F.col("id") == 0, _ring(0)).otherwise(_ring(1)).alias("ring"))
     return spatial.rasterise(polygons, 0.25, "z", "label")

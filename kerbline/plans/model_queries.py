@@ -49,10 +49,22 @@ def codebook_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("token_id")).agg(F.count("*").alias("members"), r6(F.avg(e(0))).alias("x"), r6(F.avg(e(1))).alias("y"))
 
 
-@query("kdisk_det")
+def _kdisk_sql(n: int, tolerance: float) -> str:
+    """One seed a step: the smallest id that is left; what is near it goes."""
+    corners = ", ".join(f"x + {a * 2.25} * cos(h) - {b} * sin(h) AS x{k}, y + {a * 2.25} * sin(h) + {b} * cos(h) AS y{k}" for k, (a, b) in enumerate(((1, 1), (1, -1), (-1, -1), (-1, 1))))
+    apart = " + ".join(f"sqrt(power(l.x{k} - s.x{k}, 2) + power(l.y{k} - s.y{k}, 2))" for k in range(4))
+    steps, parts = [], []
+    for k in range(n):
+        steps.append(f"met{k} AS MATERIALIZED (SELECT l.*, ({apart}) / 4 <= {tolerance} AS near FROM left{k} l, (SELECT * FROM left{k} ORDER BY id LIMIT 1) s), left{k + 1} AS MATERIALIZED (SELECT * EXCLUDE near FROM met{k} WHERE NOT near)")
+        parts.append(f"SELECT CAST({k} AS INTEGER) AS token_id, round(avg(x), 6) + 0e0 AS x, round(avg(y), 6) + 0e0 AS y, round(avg(h), 6) + 0e0 AS heading, count(*) AS members FROM met{k} WHERE near HAVING count(*) > 0")
+    points = f"left0 AS MATERIALIZED (SELECT id, x, y, h, {corners} FROM (SELECT log * 1000000 + idx AS id, dx AS x, dy AS y, dh AS h FROM seg))"
+    return f"WITH {_SEG_SQL}, {points}, {', '.join(steps)} {' UNION ALL '.join(parts)}"
+
+
+@query("kdisk_det", _kdisk_sql(8, 0.5))
 def kdisk_det(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _segments(spark, sf_dir).select((F.col("log") * 1000 + F.col("idx")).alias("segment_id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dh").alias("heading"))
-    return tokens.disk_clusters(own, 8, 0.5)
+    own = _segments(spark, sf_dir).select((F.col("log") * 1000000 + F.col("idx")).alias("segment_id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dh").alias("heading"))
+    return tokens.disk_clusters(own, 8, 0.5).select("token_id", r6("x").alias("x"), r6("y").alias("y"), r6("heading").alias("heading"), "members")
 
 
 def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:

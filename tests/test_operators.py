@@ -181,6 +181,31 @@ def test_disk_clusters_stay_within_tolerance_and_stop_early(spark):
     assert [(r.x, r.members) for r in got] == [(0.0, 5), (3.0, 5), (6.0, 5)]
 
 
+def _plain_clusters(rows, n, tolerance):
+    corners = lambda x, y, h: [(x + a * 2.25 * np.cos(h) - b * np.sin(h), y + a * 2.25 * np.sin(h) + b * np.cos(h)) for a, b in ((1, 1), (1, -1), (-1, -1), (-1, 1))]
+    left, out = sorted(rows), []
+    while left and len(out) < n:
+        seed = corners(*left[0][1:])
+        near = [r for r in left if sum(np.hypot(p[0] - q[0], p[1] - q[1]) for p, q in zip(corners(*r[1:]), seed, strict=True)) / 4 <= tolerance]
+        out.append((len(out), *(float(np.mean([r[k] for r in near])) for k in (1, 2, 3)), len(near)))
+        left = [r for r in left if r not in near]
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 4096])
+def test_disk_clusters_are_the_plain_ones_whatever_the_chunk(spark, chunk):
+    rng = np.random.default_rng(4)
+    rows = [(i, *map(float, rng.normal(0, (1.0, 0.5, 0.2)))) for i in range(200)]
+    want = _plain_clusters(rows, 12, 0.6)
+    odd = [(-3, float("nan"), 0.0, 0.0), (-2, None, 0.0, 0.0), (-1, float("inf"), 0.0, 0.0)]
+    got = tokens.disk_clusters(spark.createDataFrame(rows + odd, "segment_id int, x double, y double, heading double"), 12, 0.6, chunk=chunk).collect()
+    assert [tuple(r) for r in got] == [pytest.approx(w) for w in want]
+
+
+def test_disk_clusters_of_nothing(spark):
+    assert tokens.disk_clusters(spark.createDataFrame([], "segment_id int, x double, y double, heading double"), 5, 0.5).collect() == []
+
+
 def test_token_text(spark):
     assert col(spark, text.action_text(F.array(F.lit(3), F.lit(12)))) == "<action_3><action_12>"
     assert list(col(spark, text.action_ids(F.lit("a<action_3> <action_12>")))) == [3, 12]
