@@ -275,7 +275,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut(own.mapInArrow(_signatures(width), "doc_id long, n long, set1 long, set2 long, signature binary"))
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    # copies are one node
     # copies are one node, numbered where the table is written
     nodes = cut(
         signed.where("n > 0").groupBy("n", "set1", "set2").agg(F.min(order).alias("rep"), F.first("signature").alias("signature")).withColumn("node", F.monotonically_increasing_id())
