@@ -75,7 +75,17 @@ def _trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("log", F.transform("ps", lambda q: q.p).alias("poses"))
 
 
-@query("tokenise_seq")
+@query(
+    "tokenise_seq",
+    f"""WITH RECURSIVE {{poses}}, c(token_id, wx, wy, wh) AS (VALUES (0, 0e0, 0e0, 0e0), (1, 1e0, 0e0, 0e0), (2, 1e0, 0.2e0, 0.4e0), (3, 1e0, -0.2e0, -0.4e0)),
+o AS (SELECT log, x AS ox FROM poses WHERE idx = 0), t AS (SELECT p.log, p.idx, p.x - ox AS tx, p.y AS ty FROM poses p JOIN o ON p.log = o.log WHERE p.idx > 0),
+r AS (SELECT log, CAST(0 AS BIGINT) AS idx, 0e0 AS x, 0e0 AS y, 0e0 AS h, '' AS tokens FROM (SELECT DISTINCT log FROM t) UNION ALL
+SELECT log, idx, x + cos(h) * wx - sin(h) * wy, y + sin(h) * wx + cos(h) * wy, atan2(sin(h + wh), cos(h + wh)), tokens || CASE tokens WHEN '' THEN '' ELSE ' ' END || token_id FROM (
+SELECT r.log, t.idx, r.x, r.y, r.h, r.tokens, c.*, sum(sqrt(power((tx - r.x) * cos(r.h) + (ty - r.y) * sin(r.h) + a * 2.25e0 * cos(-r.h) - b * sin(-r.h) - (wx + a * 2.25e0 * cos(wh) - b * sin(wh)), 2)
++ power((ty - r.y) * cos(r.h) - (tx - r.x) * sin(r.h) + a * 2.25e0 * sin(-r.h) + b * cos(-r.h) - (wy + a * 2.25e0 * sin(wh) + b * cos(wh)), 2))) AS d
+FROM r JOIN t ON t.log = r.log AND t.idx = r.idx + 1, c, {_CORNER} GROUP BY r.log, t.idx, r.x, r.y, r.h, r.tokens, c.token_id, c.wx, c.wy, c.wh) QUALIFY row_number() OVER (PARTITION BY log ORDER BY d, token_id) = 1)
+SELECT log, arg_max(tokens, idx) AS tokens FROM r GROUP BY log""",
+)
 def tokenise_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenise(_trajectories(spark, sf_dir), _codebook(spark), "log").select("log", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
 
