@@ -39,7 +39,7 @@ class Vocabulary:
     same: tuple[tuple[str, ...], ...] = ()
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """use(value), with value worked out once however often it is used."""
     return F.transform(F.array(value), use)[0]
 
@@ -63,7 +63,7 @@ def sections(text: Column) -> dict[str, Column]:
 
         return F.transform(heads, body)
 
-    every = _let(F.array(*found), bodies)
+    every = let(F.array(*found), bodies)
     return {s: F.get(every, F.lit(k)) for k, s in enumerate(SECTIONS)}
 
 
@@ -76,8 +76,8 @@ def entities(body: Column, vocab: Vocabulary) -> Column:
 
     def one(line: Column) -> Column:
         parts = F.filter(F.transform(F.split(F.regexp_extract(line, _ENTITY, 3), ","), lambda x: F.trim(x)), lambda p: p != "")
-        pairs = F.transform(parts, lambda p: _let(F.split(p, ":", 2), lambda kv: F.struct(F.trim(kv[0]).alias("key"), F.trim(F.get(kv, F.lit(1))).alias("value"))))
-        return _let(F.struct(F.regexp_extract(line, _ENTITY, 1).alias("id"), F.regexp_extract(line, _ENTITY, 2).alias("kind"), F.regexp_like(line, F.lit(_ENTITY)).alias("ok"), pairs.alias("pairs")), lambda r: made(line, r))
+        pairs = F.transform(parts, lambda p: let(F.split(p, ":", 2), lambda kv: F.struct(F.trim(kv[0]).alias("key"), F.trim(F.get(kv, F.lit(1))).alias("value"))))
+        return let(F.struct(F.regexp_extract(line, _ENTITY, 1).alias("id"), F.regexp_extract(line, _ENTITY, 2).alias("kind"), F.regexp_like(line, F.lit(_ENTITY)).alias("ok"), pairs.alias("pairs")), lambda r: made(line, r))
 
     def made(line: Column, r: Column) -> Column:
         base = F.try_element_at(types, r.kind)
@@ -142,7 +142,7 @@ def action(body: Column) -> Column:
 
 def parse(text: Column, vocab: Vocabulary) -> Column:
     """The whole document as a struct; `errors` is empty if it parsed."""
-    return _let(F.struct(*[c.alias(n) for n, c in sections(text).items()]), lambda body: _parsed(body, vocab))
+    return let(F.struct(*[c.alias(n) for n, c in sections(text).items()]), lambda body: _parsed(body, vocab))
 
 
 def _parsed(body: Column, vocab: Vocabulary) -> Column:
@@ -159,7 +159,7 @@ def _parsed(body: Column, vocab: Vocabulary) -> Column:
         errors = F.when(none, F.array(F.lit("no section headers"))).otherwise(F.filter(gathered, lambda e: e.isNotNull()))
         return F.struct(*[d[n].alias(n) for n in parts], d.act.lateral.alias("selected_lateral"), d.act.longitudinal.alias("selected_longitudinal"), errors.alias("errors"))
 
-    return _let(F.struct(*[c.alias(n) for n, c in parts.items()], action(body["ACTION"]).alias("act")), whole)
+    return let(F.struct(*[c.alias(n) for n, c in parts.items()], action(body["ACTION"]).alias("act")), whole)
 
 
 def to_text(doc: Column) -> Column:
@@ -300,7 +300,7 @@ def grounding(doc: Column, vocab: Vocabulary) -> Column:
             F.filter(s.said, lambda x: F.array_contains(names(judged), x)).alias("judgment_facts"),
         )
 
-    return _let(F.struct(said.alias("said"), grounded.alias("grounded")), score)
+    return let(F.struct(said.alias("said"), grounded.alias("grounded")), score)
 
 
 def stage_completeness(doc: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import geometry as geo
+from kerbline.functions.symbolic import let
 from kerbline.operators.sequence import along
 from kerbline.session import cut
 
@@ -111,9 +112,19 @@ def _word_pose(state: Column, corners: Column) -> Column:
             (state.x + p.x * F.cos(state.heading) - p.y * F.sin(state.heading)).alias("x"), (state.y + p.x * F.sin(state.heading) + p.y * F.cos(state.heading)).alias("y")
         ),
     )
-    mean = lambda get: F.aggregate(F.transform(placed, get), F.lit(0.0), lambda a, b: a + b) / 4
-    lf, lb = F.get(placed, F.lit(0)), F.get(placed, F.lit(3))
-    return F.struct(mean(lambda p: p.x).alias("x"), mean(lambda p: p.y).alias("y"), F.atan2(lf.y - lb.y, lf.x - lb.x).alias("heading"))
+
+    def pose(placed: Column) -> Column:
+        mean = lambda get: F.aggregate(F.transform(placed, get), F.lit(0.0), lambda a, b: a + b) / 4
+        lf, lb = F.get(placed, F.lit(0)), F.get(placed, F.lit(3))
+        return F.struct(mean(lambda p: p.x).alias("x"), mean(lambda p: p.y).alias("y"), F.atan2(lf.y - lb.y, lf.x - lb.x).alias("heading"))
+
+    return let(placed, pose)
+
+
+def _moved(state: Column, token: Column, word: Column) -> Column:
+    """The state of a fold after one more token."""
+    grown = lambda pose: F.struct(pose.alias("pose"), F.concat(state.tokens, F.array(token)).alias("tokens"), F.concat(state.poses, F.array(pose)).alias("poses"))
+    return let(_word_pose(state.pose, word), grown)
 
 
 _ZERO = "named_struct('pose', named_struct('x', 0D, 'y', 0D, 'heading', 0D), 'tokens', cast(array() AS array<int>), 'poses', cast(array() AS array<struct<x:double,y:double,heading:double>>))"
@@ -126,11 +137,9 @@ def tokenise(trajectories: DataFrame, codebook: DataFrame, key: str, poses: str
 
     def step(state: Column, target: Column) -> Column:
         at = state.pose
-        local = geo.to_local(target.x, target.y, target.heading, at.x, at.y, at.heading)
-        token = nearest_word(corners_array(*local), F.col("words")).token_id
-        word = F.filter(F.col("words"), lambda w: w.token_id == token)[0].corners
-        pose = _word_pose(at, word)
-        return F.struct(pose.alias("pose"), F.concat(state.tokens, F.array(token)).alias("tokens"), F.concat(state.poses, F.array(pose)).alias("poses"))
+        local = corners_array(*geo.to_local(target.x, target.y, target.heading, at.x, at.y, at.heading))
+        word = lambda token: F.filter(F.col("words"), lambda w: w.token_id == token)[0].corners
+        return let(local, lambda own: let(nearest_word(own, F.col("words")).token_id, lambda token: _moved(state, token, word(token))))
 
     done = F.aggregate(poses, F.expr(_ZERO), step)
     return joined.select(key, done.alias("d")).select(key, F.col("d.tokens").alias("tokens"), F.col("d.poses").alias("quantised"))
@@ -142,8 +151,7 @@ def rollout(sequences: DataFrame, codebook: DataFrame, key: str, tokens: str = "
 
     def step(state: Column, token: Column) -> Column:
         word = F.coalesce(F.get(F.filter(F.col("words"), lambda w: w.token_id == token), F.lit(0)), F.col("words")[0]).corners
-        pose = _word_pose(state.pose, word)
-        return F.struct(pose.alias("pose"), F.concat(state.tokens, F.array(token)).alias("tokens"), F.concat(state.poses, F.array(pose)).alias("poses"))
+        return _moved(state, token, word)
 
     return joined.select(key, F.aggregate(tokens, F.expr(_ZERO), step).poses.alias("poses"))
 
