@@ -34,8 +34,8 @@ def finite_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def best(found: np.ndarray, k: int) -> np.ndarray:
-    """The first k of each query: smallest measure, then smallest id."""
-    found = found[np.lexsort((found["id"], found["measure"], found["place"]))]
+    """The first k of each query: smallest measure, then highest score (whole numbers, which the measure may round), then smallest id."""
+    found = found[np.lexsort((found["id"], -found["score"], found["measure"], found["place"]))]
     new = np.concatenate([[True], found["place"][1:] != found["place"][:-1]]) if len(found) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     rank = np.arange(len(found)) - np.repeat(start, np.diff(np.append(start, len(found))))

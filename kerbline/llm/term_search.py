@@ -8,6 +8,8 @@ then takes the k best of the array, and chunks are merged.
 Edge cases: null ids and vectors and such as hold null or non-finite components take no part; an empty vector
 scores 0; a query never finds its own row, but finds other rows with its id; ties go to the smaller id;
 fewer candidates than k give all of them; an empty table gives an empty result; other columns are not read.
+Scores are exact whole numbers: where sums could pass 2^62 they are added up as Python integers, and a score that is
+no 64-bit number, or a component that its scale makes infinite, is an error that says so.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .grid import FOUND, finite_vectors, search
 
 #: Entries of the dense score arrays that are held at once.
 DENSE = 262_144
+#: Sums below this are added up in 64 bits.
+EXACT = 2**62
 #: A posting list that holds this share of a chunk's rows or more is laid out as a whole row before it is scattered.
 LONG = 0.125
 
@@ -32,7 +36,11 @@ def _build(scale: float):
         sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
         row = np.repeat(np.arange(len(ids)), sizes)
         term = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        weight = np.floor(scale * np.fromiter((x for v in vectors for x in v), np.float64, len(row))).astype(np.int64)
+        with np.errstate(over="ignore"):
+            weight = np.floor(scale * np.fromiter((x for v in vectors for x in v), np.float64, len(row)))
+        if not np.isfinite(weight).all():
+            raise ValueError("a component times the scale is no finite number")
+        weight = weight.astype(np.int64) if np.abs(weight).max(initial=0) < EXACT else np.array([int(x) for x in weight], object)
         row, term, weight = row[weight != 0], term[weight != 0], weight[weight != 0]
         by = np.lexsort((row, term))
         terms, first = np.unique(term[by], return_index=True)
@@ -48,8 +56,8 @@ def _answer(k: int):
         ids, marks, terms, cut, row, weight = pickle.loads(have)
         n = len(ids)
         at = {t: i for i, t in enumerate(terms.tolist())}
-        top = float(np.abs(q_weight).max(initial=0)) * float(np.abs(weight).max(initial=0)) * max(1, len(q_terms))
-        kind = np.int32 if top < 2**31 else np.int64
+        top = int(np.abs(q_weight).max(initial=0)) * int(np.abs(weight).max(initial=0)) * max(1, len(q_terms))
+        kind = np.int32 if top < 2**31 else np.int64 if top < EXACT else object
         weight, q_weight = weight.astype(kind), q_weight.astype(kind)
         # a query's own row: the same id and the same vector (one of them, where rows are repeated)
         own = _own_rows(q_ids, q_marks, ids, marks)
@@ -84,7 +92,7 @@ def _answer(k: int):
             # scores with the place as tie-break: candidates are in the order of their ids
             for r in range(hi - lo):
                 keep = np.arange(n) if own[lo + r] < 0 else np.delete(np.arange(n), own[lo + r])
-                score = dense[r, keep].astype(np.int64)
+                score = dense[r, keep] if kind is object else dense[r, keep].astype(np.int64)
                 if len(keep) > k:
                     edge = np.partition(score, len(score) - k)[len(score) - k]
                     sure = np.flatnonzero(score > edge)
@@ -94,7 +102,9 @@ def _answer(k: int):
                     pick = np.arange(len(keep))
                 found = np.empty(len(pick), FOUND)
                 found["place"], found["query"], found["id"] = lo + r, q_ids[lo + r], ids[keep[pick]]
-                found["score"], found["measure"] = score[pick], -score[pick].astype(np.float64)
+                if kind is object and any(abs(x) >= 2**63 for x in score[pick]):
+                    raise ArithmeticError(f"a score of query {q_ids[lo + r]} is no 64-bit number")
+                found["score"], found["measure"] = score[pick].astype(np.int64), -score[pick].astype(np.float64)
                 out.append(found)
         return np.concatenate(out) if out else np.zeros(0, FOUND)
 
