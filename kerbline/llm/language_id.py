@@ -11,7 +11,8 @@ parse of the whole text.
 
 The classifier is fitted on a bounded sample of the labelled rows: whole texts of at most `longest` bytes, in the
 order of a hash of their id, until a language has `sample_bytes`; a language without a text that short learns from
-its shortest one.  Prediction covers whole texts.
+its shortest one.  Texts without a letter teach nothing and don't count.  All parse tables together take about
+`model_bytes`: with many languages each has a smaller sample.  Prediction covers whole texts.
 
 Edge cases: a text that is null or has no letter (Unicode category L) is `und` with score 0, as is every text when
 nothing is labelled; empty tables give empty results; ties go to the first language by name; rows that share an id
@@ -33,6 +34,8 @@ from .common import added, batches, claim, small_batches, trim
 
 #: Bytes of text per language that are learned from, about, and of one text at most.
 SAMPLE_BYTES, LONGEST = 32_000, 4_000
+#: Bytes of the parse tables of all languages, about, and the number of languages that is too large for them.
+MODEL_BYTES, MOST_LANGUAGES = 256_000_000, 2_000
 #: Bytes of a stretch, and stretches that are parsed abreast.
 STRETCH, LANES = 128, 16_384
 UNKNOWN = "und"
@@ -221,37 +224,54 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> Model:
+def fit(
+    labelled: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    sample_bytes: int = SAMPLE_BYTES,
+    longest: int = LONGEST,
+    model_bytes: int = MODEL_BYTES,
+) -> Model:
     """Learn from a bounded sample of the labelled rows: the same rows whatever the partitioning.
 
     sample_bytes: of text per language; the last text that is taken may go beyond it.  longest: texts of more
-    bytes are not sampled, unless a language has no shorter one.
+    bytes are not sampled, unless a language has no shorter one with a letter.  model_bytes: of all parse tables.
     """
     size = F.octet_length(text_col)
     place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30))
-    rows = labelled.where(F.col(lang_col).isNotNull() & (size > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), size.alias("size"), place.alias("place"))
+    lettered = F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
+    rows = labelled.where(lettered).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), size.alias("size"), place.alias("place"))
     short = F.col("size") <= longest
-    known = rows.groupBy("lang").agg(F.sum(F.when(short, F.col("size"))).alias("bytes"), F.min("size").alias("least")).collect()
+    known = rows.groupBy("lang").agg(F.sum(F.when(short, F.col("size"))).alias("bytes")).limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the label column holds something else")
     # a share of each language's bytes, by a hash of the row: about twice the sample comes to the driver
-    chosen = F.lit(False)
-    for r in sorted(known, key=lambda r: r.lang):
-        own = (place_below(min(1.0, 2 * sample_bytes / r.bytes)) & short) if r.bytes else F.col("size") == r.least
-        chosen = chosen | ((F.col("lang") == r.lang) & own)
-    taken = rows.where(chosen).select("lang", "place", "text").collect() if known else []
+    shares = [(r.lang, int((1 << 30) * min(1.0, 2 * sample_bytes / r.bytes)) + 1) for r in known if r.bytes]
+    taken = []
+    if shares:
+        below = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, below long"))  # MOST_LANGUAGES rows at most
+        taken = rows.where(short).join(below, "lang").where("place < below").select("lang", "place", "text").collect()
+    # languages of long texts alone: one text of each
+    rest = [r.lang for r in known if not r.bytes]
+    if rest:
+        taken += rows.where(F.col("lang").isin(rest)).groupBy("lang").agg(F.min(F.struct("size", "place", "text")).alias("least")).select("lang", "least.place", "least.text").collect()
+    ordered = sorted(taken, key=lambda r: (r.place, hashlib.sha256(r.text.encode()).digest()))
+    texts = [(r.lang, found.strip()) for r in ordered if (found := normalised(r.text))]
+    # a table has up to two states a byte, with four bytes for each byte value that occurs
+    width = len(set().union(*(set(t) for _, t in texts))) + 2
+    most = min(sample_bytes, model_bytes // (8 * width * max(1, len(known))))
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(taken, key=lambda r: (r.place, hashlib.sha256(r.text.encode()).digest())):
-        texts = samples.setdefault(r.lang, [])
-        if sum(map(len, texts)) < sample_bytes and (found := normalised(r.text)):
-            texts.append(found.strip())
-    model = Model({k: b" " + b" ".join(texts) + b" " for k, texts in samples.items() if texts})
+    held: dict[str, int] = {}
+    for lang, text in texts:
+        if held.get(lang, 0) < most:
+            samples.setdefault(lang, []).append(text)
+            held[lang] = held.get(lang, 0) + len(text)
+    model = Model({k: b" " + b" ".join(t) + b" " for k, t in samples.items()})
     trim()
     return model
 
 
-def place_below(share: float) -> Column:
-    return F.col("place") < int((1 << 30) * share) + 1
-
-
 #: Columns that a judged table has besides its own.
 JUDGED = ("lang_pred", "score", "bits_per_byte")
 
