@@ -39,6 +39,8 @@ from .components import connected_components
 TREES, DEPTH, SHALLOW = 24, 5, 3
 #: Rows of a region from which it takes a deeper prefix.
 REGION = 64
+#: Rows that a part of an order holds on average.
+PART_ROWS = 500_000
 #: Documents and shingles of a chunk of a candidate group.
 CHUNK_DOCS, CHUNK_SHINGLES = 256, 200_000
 
@@ -67,7 +69,7 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def _signatures(width: int):
+def _signatures(width: int, extra: bool = False):
     def run(stream):
         for table in batches(stream, "text"):
             hashes, off = shingle_sets(table["text"], width)
@@ -91,6 +93,7 @@ def _signatures(width: int):
                     "set2": pa.array(sums[1].view(np.int64), pa.int64()),
                     "signature": pa.array([raw[i * step : (i + 1) * step] for i in range(len(size))], pa.binary()),
                 }
+                | ({"rest": table["rest"]} if extra else {})
             )
 
     return run
@@ -153,7 +156,9 @@ def candidate_edges(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that hold every candidate region together.  nodes: (node, signature)."""
     spark = nodes.sparkSession
     rows = nodes.select("node", "signature").mapInArrow(_tree_rows, "key binary, node long")
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "key", "node").sortWithinPartitions("key", "node")
+    # equal keys are parted by their nodes, so no part outgrows its task
+    parts = max(shuffle_partitions(spark), math.ceil(nodes.count() * TREES / PART_ROWS))
+    ordered = rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
     found = cut(ordered.mapInArrow(_neighbours, "u long, v long, end long, key binary"))
     # where an order is cut between two tasks: two rows per task come here, whatever the size of the table
     ends = sorted((r.end, bytes(r.key), r.u) for r in found.where("end is not null").collect())
@@ -265,15 +270,19 @@ def _confirm_pair(percent: int, across: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, columns: list[str] | None = None) -> DataFrame:
     """Link documents whose sets of `width`-word shingles have 100 * intersection >= percent * union.
 
-    Returns doc_id, n_shingles, component_id (smallest id reachable) for every document.
+    Returns doc_id, n_shingles, component_id (smallest id reachable) and component (a number of its own for each
+    component, null for an empty set) for every document, and a struct `rest` of `columns`, if these are given.
+    Ids need not be unique: components tell rows that share an id apart, component_id doesn't.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(own.mapInArrow(_signatures(width), "doc_id long, n long, set1 long, set2 long, signature binary"))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*columns).alias("rest")) if columns else own
+    kind = ", rest " + whole.schema["rest"].dataType.simpleString() if columns else ""
+    signed = cut(whole.mapInArrow(_signatures(width, bool(columns)), f"doc_id long, n long, set1 long, set2 long, signature binary{kind}"))
     order = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
     # copies are one node, numbered where the table is written
     nodes = cut(
@@ -309,10 +318,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
     labels = linked.join(nodes.select("node", "rep"), "node")
     tops = labels.groupBy("top").agg(F.min("rep").alias("component"))
-    label_of = cut(nodes.select("set1", "set2", "n", "node", "rep").join(linked, "node", "left").join(tops, "top", "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("component")))
-    found = signed.select("doc_id", "n", "set1", "set2").join(label_of, ["n", "set1", "set2"], "left")
-    component = F.coalesce("component", order)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
+    label_of = cut(nodes.select("set1", "set2", "n", "node", "rep").join(linked, "node", "left").join(tops, "top", "left").select("set1", "set2", "n", F.coalesce("component", "rep").alias("smallest"), F.coalesce("top", "node").alias("component")))
+    rest = ["rest"] if columns else []
+    found = signed.select("doc_id", "n", "set1", "set2", *rest).join(label_of, ["n", "set1", "set2"], "left")
+    smallest = F.coalesce("smallest", order)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(smallest != NULL_ID, smallest).alias("component_id"), "component", *rest)
 
 
 def _chunks():
