@@ -6,9 +6,10 @@ as Parquet in the shared folder and read again.  All stages but the last return
 
 Edge cases, the same in every stage: an empty table gives an empty table.  A null text is no language and goes with
 the first stage; later stages keep one untouched (packing gives it the end id alone), and an empty text likewise.  A
-null id comes before every id.  Rows that share a doc_id are one document to the near-dedup stage: they stay or go
-together; later stages treat them as separate texts.  Repeated rows give repeated results.  Further columns travel in
-a struct, so none of their names can clash with what an operator adds.  Texts are taken whole, however long.
+null id comes before every id.  Rows that share a doc_id are documents of their own; only rows that share id and text
+are one to the near-dedup stage and stay or go together.  Repeated rows give repeated results.  Further columns travel
+in a struct, so none of their names, whatever characters they hold, can clash with what an operator adds.  Texts are
+taken whole, however long.
 """
 
 from __future__ import annotations
@@ -18,17 +19,23 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.llm.common import added
 from kerbline.llm.language_id import UNKNOWN, fit, held_out, identify
 from kerbline.llm.line_dedup import dedup_lines
 from kerbline.llm.near_dedup import near_duplicates
 from kerbline.llm.packing import pack
 from kerbline.llm.radix_substrings import dedup_substrings
-from kerbline.session import ensure_checkpoint_dir
+from kerbline.session import cut, ensure_checkpoint_dir
+
+
+def _col(name: str) -> Column:
+    """A column by its name as it stands: a dot in it is no field."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def _parted(docs: DataFrame, *own: str) -> DataFrame:
     """doc_id, text and the columns `own`; all columns but the text once more in a struct `row`."""
-    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    rest = F.struct(*[_col(c) for c in docs.columns if c != "text"]).alias("row")
     return docs.select("doc_id", "text", *own, rest)
 
 
@@ -55,10 +62,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    found = near_duplicates(docs, width=5, percent=80)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One document of each group of near-duplicates stays, the one with the smallest id (then the smallest digest of its text)."""
+    mark = F.sha2(F.col("text").cast("binary"), 256)
+    found = near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), width=5, percent=80, columns=["mark"])
+    rows = cut(found.where("n_shingles > 0").select("component", F.struct("doc_id", "rest.mark").alias("key")).distinct())
+    stays = rows.groupBy("component").agg(F.min("key").alias("kept")).select("kept")
+    out = rows.join(stays, F.col("key") == F.col("kept"), "left_anti")
+    gone_id, gone_mark = added(docs.columns, "gone_id", "gone_mark")
+    gone = out.select(F.col("key.doc_id").alias(gone_id), F.col("key.mark").alias(gone_mark))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (mark == F.col(gone_mark)), "left_anti")
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
