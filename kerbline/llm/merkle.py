@@ -236,8 +236,7 @@ def manifest(
     tie = F.concat(F.lower(F.hex("own_leaf")), F.lpad(F.lower(F.hex("number")), 16, "0"))
     ranked = cut(radix_ranks(own.withColumn("tie", tie), "of_group", "key", "tie").select("doc_id", "of_group", "place", "n", "own_leaf", "shown"))
     subroots, above = fold(ranked.withColumn("digest", F.lower(F.hex("own_leaf"))), "of_group")
-    subroots = cut(subroots)
-    groups = subroots.withColumn("key", F.col("of_group")).withColumn("whole", F.lit("")).withColumn("tie", F.lit(""))
+    groups = cut(subroots.select("of_group", "root", F.col("of_group").alias("key"), F.lit("").alias("whole"), F.lit("").alias("tie")))
     ordered = cut(radix_ranks(groups, "whole", "key", "tie").select("whole", "of_group", "place", "n", F.col("root").alias("digest")))
     root, over = fold(ordered, "whole")
     # what the groups' trie adds to every row's proof: one row a group
