@@ -169,6 +169,32 @@ def record_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stored(spark, path, "key", "k42")
 
 
+@query("record_files", "SELECT c_name || ':' || c_custkey AS payload, octet_length(encode(c_name || ':' || c_custkey)) AS n_bytes FROM customer")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as checked records of a few files, read back in byte ranges."""
+    path = scratch(spark, "records")
+    own = table(spark, sf_dir, "customer").select(F.concat_ws(":", "c_name", "c_custkey").alias("payload"))
+    records.write_records(own.repartition(3), path)
+    back = records.read_records(spark, path, split_bytes=1 << 16)
+    return back.select(F.col("payload").cast("string").alias("payload"), F.octet_length("payload").cast("long").alias("n_bytes"))
+
+
+@query(
+    "camera_frames",
+    """SELECT CAST(user_id AS VARCHAR) AS sequence, camera, user_id || '-' || event_id || '.jpg' AS file_name, event_type || camera AS image
+FROM events, (VALUES ('front'), ('front_left'), ('front_right')) v(camera)""",
+)
+def camera_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with three pictures each, as messages in record files, taken apart again."""
+    path = scratch(spark, "frames")
+    picture = lambda k: records.delimited(4, F.concat(F.unhex(F.lit(f"08{k:02x}")), records.delimited(2, F.concat("event_type", F.lit(records.CAMERAS[k])))))
+    name = records.delimited(1, records.delimited(1, F.concat_ws("-", "user_id", "event_id")))
+    frame = records.delimited(1, F.concat(name, *[picture(k) for k in (1, 2, 3)]))
+    records.write_records(table(spark, sf_dir, "events").select(frame.alias("payload")), path)
+    found = records.camera_images(records.read_records(spark, path))
+    return found.select("sequence", "camera", "file_name", F.col("image").cast("string").alias("image"))
+
+
 @query("codebook_file", "SELECT CAST(n_nationkey AS INTEGER) AS token_id, round(n_nationkey / 4e0, 6) AS x FROM nation")
 def codebook_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kerbline.operators import tokens

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import struct
 
 from pyspark.sql import functions as F
 
 from kerbline.plans import builders
-from kerbline.sources.records import read_records
 
 
 def test_features_are_built_once_and_complete_tokens_known(spark, tmp_path):
@@ -26,10 +24,3 @@ def test_agents(spark):
     assert builders.run_agent(builders.ground_truth(), scenes).first().y == 2.0
     canned = builders.annotate(scenes, lambda c: F.when(c == "b", F.lit("text")), "token")
     assert canned.first().cot_text == ""
-
-
-def test_records(spark, tmp_path):
-    payloads = [b"one", b"", b"three" * 10]
-    (tmp_path / "x.tfrecord").write_bytes(b"".join(struct.pack("<Q", len(p)) + b"\0" * 4 + p + b"\0" * 4 for p in payloads))
-    got = sorted((r.position, bytes(r.payload)) for r in read_records(spark, str(tmp_path)).collect())
-    assert got == list(enumerate(payloads))
