@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import classify, geometry as geo
-from kerbline.operators import filters, forecast, graph, planner, planning, scenes, sequence, vocabulary
+from kerbline.operators import filters, forecast, graph, linked, planner, planning, scenes, sequence, vocabulary
 from kerbline.plans import builders, config, score_queries
 from kerbline.plans.text_queries import VOCAB
 from kerbline.registry import frames, poses, query, r6, table
@@ -134,6 +134,40 @@ def linked_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.order_linked(own, "user_id", "ts").select("token", F.col("idx").cast("long").alias("idx"), "prev", "next")
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that name the frame before and after; nothing else tells their order."""
+    w = sequence.along("log", "idx")
+    own = poses(spark, sf_dir).select("token", F.lag("token").over(w).alias("prev"), F.lead("token").over(w).alias("next"), "x", "y", "heading")
+    return own
+
+
+@query("linked_ranks", "WITH {frames} SELECT token, first_value(token) OVER (PARTITION BY log ORDER BY idx) AS head, CAST(idx AS BIGINT) AS idx, false AS cyclic FROM frames")
+def linked_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked.rank_lists(_linked(spark, sf_dir))
+
+
+@query(
+    "linked_trajectories",
+    """WITH {poses}, ends AS (SELECT *, first_value(x) OVER w AS x0, first_value(y) OVER w AS y0, coalesce(nth_value(x, 2) OVER w, first_value(x) OVER w) AS x1, coalesce(nth_value(y, 2) OVER w, first_value(y) OVER w) AS y1,
+last_value(x) OVER w AS xn, last_value(y) OVER w AS yn, count(*) OVER w AS n FROM poses WINDOW w AS (PARTITION BY log ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+p AS (SELECT token, x, y, heading, least(idx, 3) + 1 AS n_past, least(n - 1 - idx, 16) + 1 AS n_future,
+coalesce(lag(x, 3) OVER w, x0 - (3 - idx) * (x1 - x0)) AS bx, coalesce(lag(y, 3) OVER w, y0 - (3 - idx) * (y1 - y0)) AS b_y,
+coalesce(lead(x, 8) OVER w, xn) AS mx, coalesce(lead(y, 8) OVER w, yn) AS my, coalesce(lead(x, 16) OVER w, xn) AS fx, coalesce(lead(y, 16) OVER w, yn) AS fy FROM ends WINDOW w AS (PARTITION BY log ORDER BY idx))
+SELECT token, CAST(n_past AS INTEGER) AS n_past, CAST(n_future AS INTEGER) AS n_future,
+round((bx - x) * cos(heading) + (b_y - y) * sin(heading), 6) + 0e0 AS past_x, round((b_y - y) * cos(heading) - (bx - x) * sin(heading), 6) + 0e0 AS past_y,
+round((mx - x) * cos(heading) + (my - y) * sin(heading), 6) + 0e0 AS middle_x, round((my - y) * cos(heading) - (mx - x) * sin(heading), 6) + 0e0 AS middle_y,
+round((fx - x) * cos(heading) + (fy - y) * sin(heading), 6) + 0e0 AS future_x, round((fy - y) * cos(heading) - (fx - x) * sin(heading), 6) + 0e0 AS future_y FROM p""",
+)
+def linked_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three frames back and sixteen ahead along the links, in each frame's own coordinates."""
+    own = _linked(spark, sf_dir)
+    ranked = own.join(linked.rank_lists(own), "token")
+    found = linked.history_and_future(ranked, back=3, ahead=16)
+    at = lambda c, k, a: r6(F.get(c, F.lit(k)).getField(a))
+    places = {"past": ("past", 0), "middle": ("future", 8), "future": ("future", 16)}
+    return found.select("token", "n_past", "n_future", *[at(c, k, a).alias(f"{name}_{a}") for name, (c, k) in places.items() for a in "xy"])
+
+
 @query("video_items", "SELECT l_orderkey AS token, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS position, 'img' || l_linenumber AS image FROM lineitem")
 def video_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = F.transform(F.sort_array(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("img"), n.cast("string")))
