@@ -1,4 +1,4 @@
-"""Spatial joins.  Boxes meet by a grid cell that they share, polygons by the cells of their bounding box; the exact test follows."""
+"""Spatial joins: by the leaves of a packed tree, by a grid cell or a bucket; the exact test follows."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import geometry as geo
+from kerbline.operators.packed_tree import packed_join
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -55,16 +56,14 @@ def _meet(eps: float = 1e-9) -> Column:
     return ~parted
 
 
-def box_join(left: DataFrame, right: DataFrame, on: list[str], size: float = 40.0) -> DataFrame:
-    """Pairs whose rectangles (corner columns a*, b*) meet or touch, with equal keys `on`: an equi-join on cells, then the exact test.
+def _box(rows: DataFrame, prefix: str) -> tuple[Column, Column, Column, Column]:
+    (x0, x1), (y0, y1) = _bounds(rows, prefix)
+    return x0, y0, x1, y1
 
-    Two boxes may share several cells: the pair is kept only in the lowest cell that both meet.  size: of a cell; some
-    times the length of a box, so that few boxes lie in several.
-    """
-    (ax, ay), (bx, by) = _bounds(left, "a"), _bounds(right, "b")
-    l = with_cells(_axes(left, "a").select("*", F.floor(ax[0] / size).alias("a_cx"), F.floor(ay[0] / size).alias("a_cy")), ax, ay, size)
-    r = with_cells(_axes(right, "b").select("*", F.floor(bx[0] / size).alias("b_cx"), F.floor(by[0] / size).alias("b_cy")), bx, by, size)
-    met = l.join(r, [*on, "cx", "cy"]).where((F.col("cx") == F.greatest("a_cx", "b_cx")) & (F.col("cy") == F.greatest("a_cy", "b_cy")) & _meet())
+
+def box_join(left: DataFrame, right: DataFrame, on: list[str], leaf_rows: int | None = None) -> DataFrame:
+    """Pairs whose rectangles (corner columns a*, b*) meet or touch, with equal keys `on`: a join on the leaves of a packed tree, then the exact test."""
+    met = packed_join(_axes(left, "a"), _axes(right, "b"), on, _box(left, "a"), _box(right, "b"), _meet(), leaf_rows)
     return met.select(*on, *[c for c in left.columns if c not in on], *[c for c in right.columns if c not in on])
 
 
@@ -73,12 +72,12 @@ def time_shifted(rows: DataFrame, offsets: list[int], time: str) -> DataFrame:
     return rows.withColumn("ahead", F.explode(F.array(*[F.lit(k).cast("long") for k in offsets]))).withColumn("t", F.col(time) + F.col("ahead"))
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, x: str = "px", y: str = "py", ring: str = "ring", size: float = 10.0) -> DataFrame:
-    """Points joined to the polygons that hold them: by the point's cell, then ray casting."""
+def point_in_polygon(points: DataFrame, polygons: DataFrame, x: str = "px", y: str = "py", ring: str = "ring", on: list[str] | None = None) -> DataFrame:
+    """Points joined to the polygons that hold them: a join on the leaves of a packed tree, then ray casting."""
     xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
-    celled = with_cells(polygons, (F.array_min(xs), F.array_max(xs)), (F.array_min(ys), F.array_max(ys)), size)
-    placed = points.withColumn("cx", F.floor(F.col(x) / size)).withColumn("cy", F.floor(F.col(y) / size))
-    return placed.join(celled, ["cx", "cy"]).where(geo.point_in_ring(F.col(x), F.col(y), F.col(ring))).drop("cx", "cy")
+    at = (F.col(x), F.col(y), F.col(x), F.col(y))
+    around = (F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    return packed_join(points, polygons, on or [], at, around, geo.point_in_ring(F.col(x), F.col(y), F.col(ring)))
 
 
 def nearest_segment(points: DataFrame, path: DataFrame, by: str) -> DataFrame:
@@ -107,7 +106,7 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, x_range: tuple[float, fl
     return cells.select("bx", "bin_y", (F.least("n", F.lit(cap)) / float(cap)).alias("share"))
 
 
-def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float, size: float = 40.0) -> DataFrame:
+def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float) -> DataFrame:
     """Objects (corner columns b*) that meet a path widened by half_width with square ends.
 
     segments: on, x0, y0, x1, y1 (each piece of the path is one box); a pair comes once however many pieces meet it.
@@ -117,7 +116,7 @@ def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_w
     boxed = segments.withColumn("_h", F.atan2(dy, dx)).withColumn("_l", length + 2 * half_width).withColumn("_x", (F.col("x0") + F.col("x1")) / 2).withColumn("_y", (F.col("y0") + F.col("y1")) / 2)
     corners = geo.box_corners(F.col("_x"), F.col("_y"), F.col("_h"), F.col("_l"), 2 * half_width)
     placed = boxed.select(*on, *[c.alias(f"a{a}{i}") for i, p in enumerate(corners) for a, c in zip("xy", p, strict=True)])
-    return box_join(placed, objects, on, size).drop(*[f"a{a}{i}" for i in range(4) for a in "xy"]).distinct()
+    return box_join(placed, objects, on).drop(*[f"a{a}{i}" for i in range(4) for a in "xy"]).distinct()
 
 
 def nearest_lane(points: DataFrame, lanes: DataFrame, key: str, near: float, far: float, size: float) -> DataFrame:

@@ -124,7 +124,7 @@ def test_box_join_gives_each_pair_once(spark):
     a = [(i, *map(float, rng.uniform(-30, 30, 2)), float(rng.uniform(-3, 3))) for i in range(40)]
     b = [(i, *map(float, rng.uniform(-30, 30, 2)), float(rng.uniform(-3, 3))) for i in range(40)]
     make = lambda rows, p, key: spatial.with_box(spark.createDataFrame(rows, f"{key} int, x double, y double, heading double"), p, 9.0, 3.0).drop("x", "y", "heading").withColumn("t", F.lit(0))
-    got = sorted((r.i, r.j) for r in spatial.box_join(make(a, "a", "i"), make(b, "b", "j"), ["t"], 5.0).collect())
+    got = sorted((r.i, r.j) for r in spatial.box_join(make(a, "a", "i"), make(b, "b", "j"), ["t"], 5).collect())
 
     def meet(p, q):
         for first in (p, q):
