@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions import draws
+
 
 def nearby_objects(objects: DataFrame, ego: DataFrame, radius: float, collided: DataFrame, on: str = "token") -> DataFrame:
     """Objects that are not the ego vehicle, lie within the radius and have not collided before."""
@@ -81,17 +83,12 @@ def padded_nearest(rows: DataFrame, by: str, distance: str, value: str, k: int)
     return got.select(by, F.slice(F.concat(values, F.array_repeat(F.lit(0.0), k)), 1, k).alias("values"), F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (i <= F.size("_v")).cast("int")).alias("mask"))
 
 
-def _noise(by: str, idx: str, seed: int, stream: int = 0) -> Column:
-    """Uniform in (0, 1), a hash of row and seed, so that a run repeats."""
-    return (F.pmod(F.xxhash64(F.col(by), F.col(idx), F.lit(seed), F.lit(stream)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
 def sampled(rows: DataFrame, by: str, rank_by: Column, logit: Column, idx: str, k: int, temperature: float, seed: int) -> DataFrame:
     """One of the k first of each group (smallest rank_by, then idx), drawn with weights exp(logit / temperature): the
     largest of logit plus Gumbel noise."""
     w = Window.partitionBy(by).orderBy("_by", idx)
     top = rows.withColumn("_by", rank_by).withColumn("_l", logit).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-    return top.withColumn("_g", F.col("_l") / temperature - F.log(-F.log(_noise(by, idx, seed)))).groupBy(by).agg(F.max_by(idx, "_g").alias(idx))
+    return top.withColumn("_g", F.col("_l") / temperature + draws.gumbel([by, idx], seed)).groupBy(by).agg(F.max_by(idx, F.struct("_g", idx)).alias(idx))
 
 
 def sampled_top_k(rows: DataFrame, by: str, distance: str, idx: str, k: int, temperature: float, seed: int) -> DataFrame:
@@ -124,8 +121,8 @@ def sampled_from_mixture(modes: DataFrame, tokens: DataFrame, by: str, seed: int
     the place by two normal deviates; both are hashes of by and seed.
     """
     drawn = sampled(modes, by, F.col("mode"), F.col("logit"), "mode", 1 << 30, 1.0, seed)
-    radius, angle = F.sqrt(-2 * F.log(_noise(by, "mode", seed, 1))), 2 * F.pi() * _noise(by, "mode", seed, 2)
-    at = drawn.join(modes, [by, "mode"]).select(by, (F.col("mx") + F.col("spread") * radius * F.cos(angle)).alias("px"), (F.col("my") + F.col("spread") * radius * F.sin(angle)).alias("py"))
+    dx, dy = draws.normal_pair([by, "mode"], seed, 1)
+    at = drawn.join(modes, [by, "mode"]).select(by, (F.col("mx") + F.col("spread") * dx).alias("px"), (F.col("my") + F.col("spread") * dy).alias("py"))
     book = tokens.agg(F.sort_array(F.collect_list(F.struct("token_id", "x", "y"))).alias("words"))
     nearest = F.array_min(F.transform("words", lambda w: F.struct(F.hypot(w.x - F.col("px"), w.y - F.col("py")).alias("d"), w.token_id.alias("token_id"))))
     return at.join(F.broadcast(book)).select(by, nearest.token_id.alias("token_id"))  # one row: a codebook of fixed size

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.functions import draws
 from kerbline.session import cut
 
 
@@ -125,5 +126,11 @@ def sequence_complete(frames: DataFrame, length: int, stride: int, log: str = "l
 
 
 def deterministic_shuffle(rows: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
-    """The same order on every reader of one seed and epoch: by a hash of the key."""
-    return rows.withColumn("_order", F.xxhash64(F.col(key), F.lit(seed + epoch))).orderBy("_order", key).drop("_order")
+    """The same order on every reader of one seed and epoch: by a draw for the key."""
+    return rows.withColumn("_order", draws.bits([key], seed, epoch)).orderBy("_order", key).drop("_order")
+
+
+def shuffled_places(rows: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
+    """Rows with `place`, their number from 0 in the order of deterministic_shuffle: ranges and one count a range, no task sees all rows."""
+    numbered = equal_parts(rows.withColumn("_order", draws.bits([key], seed, epoch)), 1, ["_order", key])
+    return numbered.withColumn("place", F.col("rn") - 1).drop("_order", "rn", "part")

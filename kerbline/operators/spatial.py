@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions import geometry as geo
@@ -106,17 +106,35 @@ def histogram_2d(rows: DataFrame, x: Column, y: Column, x_range: tuple[float, fl
     return cells.select("bx", "bin_y", (F.least("n", F.lit(cap)) / float(cap)).alias("share"))
 
 
-def corridor_join(segments: DataFrame, objects: DataFrame, on: list[str], half_width: float) -> DataFrame:
-    """Objects (corner columns b*) that meet a path widened by half_width with square ends.
+def corridor_join(path: DataFrame, objects: DataFrame, on: list[str], order: str, half_width: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Objects (corner columns b*) that meet a path widened by half_width, with round joins and square ends.
 
-    segments: on, x0, y0, x1, y1 (each piece of the path is one box); a pair comes once however many pieces meet it.
+    path: on, order, x, y, the points of one line for each `on`.  The widened path is the union of a box for each piece,
+    longer by half_width at the line's two ends, and a disc around each inner point, so bends are round; each part is
+    tested exactly.  Points that repeat the one before are left out; a line of one point is no path.  An object comes
+    once however many parts it meets.
     """
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    line = Window.partitionBy(*on).orderBy(order)
+    place = F.struct(x, y)
+    points = path.select(*on, order, x, y, (~F.coalesce(F.lag(place).over(line) == place, F.lit(False))).alias("_new")).where("_new")
+    pieces = points.select(*on, F.col(x).alias("_x0"), F.col(y).alias("_y0"), F.lead(x).over(line).alias("_x1"), F.lead(y).over(line).alias("_y1"), F.lag(x).over(line).isNull().alias("_first"), (F.lead(x, 2).over(line)).isNull().alias("_last"))
+    pieces = pieces.where("_x1 IS NOT NULL")
+    dx, dy = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    before, after = F.when(F.col("_first"), half_width).otherwise(0.0), F.when(F.col("_last"), half_width).otherwise(0.0)
     length = F.hypot(dx, dy)
-    boxed = segments.withColumn("_h", F.atan2(dy, dx)).withColumn("_l", length + 2 * half_width).withColumn("_x", (F.col("x0") + F.col("x1")) / 2).withColumn("_y", (F.col("y0") + F.col("y1")) / 2)
-    corners = geo.box_corners(F.col("_x"), F.col("_y"), F.col("_h"), F.col("_l"), 2 * half_width)
-    placed = boxed.select(*on, *[c.alias(f"a{a}{i}") for i, p in enumerate(corners) for a, c in zip("xy", p, strict=True)])
-    return box_join(placed, objects, on).drop(*[f"a{a}{i}" for i in range(4) for a in "xy"]).distinct()
+    shift = (after - before) / 2 / length
+    middle = ((F.col("_x0") + F.col("_x1")) / 2 + dx * shift, (F.col("_y0") + F.col("_y1")) / 2 + dy * shift)
+    corners = geo.box_corners(*middle, F.atan2(dy, dx), length + before + after, 2 * half_width)
+    boxed = pieces.select(*on, *[c.alias(f"a{a}{i}") for i, p in enumerate(corners) for a, c in zip("xy", p, strict=True)])
+    by_piece = box_join(boxed, objects, on).select(*objects.columns)
+    discs = pieces.where("NOT _first").select(*on, F.col("_x0").alias("_px"), F.col("_y0").alias("_py"))
+    reach = F.lit(half_width)
+    around = (F.col("_px") - reach, F.col("_py") - reach, F.col("_px") + reach, F.col("_py") + reach)
+    u, v = F.col("_px") - F.col("_bmx"), F.col("_py") - F.col("_bmy")
+    beyond = lambda along, half: F.greatest(F.abs(along) - half, F.lit(0.0))
+    gap = F.hypot(beyond(u * F.col("_bux") + v * F.col("_buy"), F.col("_be")), beyond(v * F.col("_bux") - u * F.col("_buy"), F.col("_bf")))
+    by_disc = packed_join(discs, _axes(objects, "b"), on, around, _box(objects, "b"), gap <= half_width + 1e-9).select(*objects.columns)
+    return by_piece.unionByName(by_disc).distinct()
 
 
 def nearest_lane(points: DataFrame, lanes: DataFrame, key: str, near: float, far: float, size: float) -> DataFrame:

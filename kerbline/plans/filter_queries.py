@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions import geometry as geo
-from kerbline.operators import filters, sequence, spatial
+from kerbline.functions import draws, geometry as geo
+from kerbline.operators import filters, polygons, sequence, spatial
 from kerbline.plans.score_queries import _ring
 from kerbline.registry import frames, poses, query, r6, table
 
@@ -82,7 +82,12 @@ def padded_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_custkey", F.round(add("values", F.lit(0.0)), 2).alias("total"), add("mask", F.lit(0)).cast("long").alias("n"))
 
 
-@query("sampled_top_k")
+@query(
+    "sampled_top_k",
+    f"""WITH top AS (SELECT o_custkey, o_orderkey, -(o_totalprice / 100000) / 0.5e0 + {draws.gumbel_sql(["o_custkey", "o_orderkey"], 1)} AS g FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 100000, o_orderkey) <= 5)
+SELECT o_custkey, o_orderkey FROM top QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY g DESC, o_orderkey DESC) = 1""",
+)
 def sampled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.sampled_top_k(table(spark, sf_dir, "orders").withColumn("d", F.col("o_totalprice") / 100000), "o_custkey", "d", "o_orderkey", 5, 0.5, 1)
 
@@ -172,11 +177,61 @@ def as_of_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT token FROM s WHERE x - 0.5e0 <= 31 AND x + 0.5e0 >= -1 AND abs(y) - 0.25e0 <= 0.3e0 + 1e-9""",
 )
 def corridor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A straight corridor cut in pieces, against axis-parallel boxes."""
-    pieces = spark.range(3).select(F.lit(1).alias("g"), (F.col("id") * 10.0 - 0.7).alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") * 10.0 + 9.3 + F.when(F.col("id") == 2, 1.4).otherwise(0.0)).alias("x1"), F.lit(0.0).alias("y1"))
+    """A straight corridor of several points, against axis-parallel boxes."""
+    points = spark.range(4).select(F.lit(1).alias("g"), F.col("id").alias("k"), (F.col("id") * 10.4 - 0.7).alias("x"), F.lit(0.0).alias("y")).withColumn("x", F.when(F.col("k") == 3, 30.7).otherwise(F.col("x")))
     flat = poses(spark, sf_dir).withColumn("h", F.lit(0.0))
     objects = spatial.with_box(flat, "b", 1.0, 0.5, heading="h").select(F.lit(1).alias("g"), "token", *[f"b{a}{i}" for i in range(4) for a in "xy"])
-    return spatial.corridor_join(pieces, objects, ["g"], 0.3).select("token")
+    return spatial.corridor_join(points, objects, ["g"], "k", 0.3).select("token")
+
+
+@query(
+    "corridor_bends",
+    """WITH {poses}, pt AS (SELECT log, idx, x, y * 4 AS y FROM poses),
+seg AS (SELECT log, idx, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lag(x) OVER w IS NULL AS first, lead(x, 2) OVER w IS NULL AS last FROM pt WINDOW w AS (PARTITION BY log ORDER BY idx) QUALIFY x1 IS NOT NULL),
+box AS (SELECT log, x0, y0, atan2(y1 - y0, x1 - x0) AS eh, (sqrt(power(x1 - x0, 2) + power(y1 - y0, 2)) + CASE WHEN first THEN 0.3e0 ELSE 0 END + CASE WHEN last THEN 0.3e0 ELSE 0 END) / 2 AS el, 0.3e0 AS ew,
+(x0 + x1) / 2 + cos(atan2(y1 - y0, x1 - x0)) * (CASE WHEN last THEN 0.15e0 ELSE 0 END - CASE WHEN first THEN 0.15e0 ELSE 0 END) AS ex,
+(y0 + y1) / 2 + sin(atan2(y1 - y0, x1 - x0)) * (CASE WHEN last THEN 0.15e0 ELSE 0 END - CASE WHEN first THEN 0.15e0 ELSE 0 END) AS ey, first FROM seg),
+obj AS (SELECT log, token, x + 0.4e0 AS ox, y * 3 + 1.1e0 AS oy, heading AS oh, 0.4e0 AS ol, 0.2e0 AS ow FROM poses),
+pairs AS (SELECT token, b.*, o.* EXCLUDE (log, token) FROM box b JOIN obj o USING (log)),
+sep AS (SELECT token, x0, y0, a, abs((ox - ex) * cos(a) + (oy - ey) * sin(a)) AS gap, el * abs(cos(eh - a)) + ew * abs(sin(eh - a)) + ol * abs(cos(oh - a)) + ow * abs(sin(oh - a)) AS reach
+FROM (SELECT *, unnest([eh, eh + pi() / 2, oh, oh + pi() / 2]) AS a FROM pairs)),
+met AS (SELECT token FROM sep GROUP BY token, x0, y0 HAVING bool_and(gap <= reach + 1e-9)
+UNION SELECT token FROM pairs WHERE NOT first AND sqrt(power(greatest(abs((x0 - ox) * cos(oh) + (y0 - oy) * sin(oh)) - ol, 0), 2) + power(greatest(abs((y0 - oy) * cos(oh) - (x0 - ox) * sin(oh)) - ow, 0), 2)) <= 0.3e0 + 1e-9)
+SELECT DISTINCT token FROM met""",
+)
+def corridor_bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole track of each log as one corridor with bends, against turned boxes beside it."""
+    own = poses(spark, sf_dir)
+    track = own.select("log", "idx", "x", (F.col("y") * 4).alias("y"))
+    beside = own.select("log", "token", (F.col("x") + 0.4).alias("x"), (F.col("y") * 3 + 1.1).alias("y"), "heading")
+    objects = spatial.with_box(beside, "b", 0.8, 0.4).select("log", "token", *[f"b{a}{i}" for i in range(4) for a in "xy"])
+    return spatial.corridor_join(track, objects, ["log"], "idx", 0.3).select("token")
+
+
+#: Rings of unit cells that are not convex (two of the three); fixed values.
+_BLOCKS = {0: ((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)), 1: ((0, 0), (1, 0), (1, 2), (3, 2), (3, 0), (4, 0), (4, 3), (0, 3)), 2: ((0, 0), (2, 0), (2, 3), (0, 3))}
+_BLOCK_SQL = ", ".join(f"({k}, {i}, {x}, {y})" for k, ring in _BLOCKS.items() for i, (x, y) in enumerate(ring))
+
+
+@query(
+    "route_loops",
+    f"""WITH v(shape, k, x, y) AS (VALUES {_BLOCK_SQL}), n AS (SELECT shape, count(*) AS n FROM v GROUP BY shape),
+cell AS (SELECT e.shape, cx, cy FROM (SELECT a.shape, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM v a JOIN n USING (shape) JOIN v b ON a.shape = b.shape AND b.k = (a.k + 1) % n.n) e, range(0, 4) r(cx), range(0, 4) s(cy)
+GROUP BY e.shape, cx, cy HAVING count(*) FILTER (WHERE (ay > cy + 0.5e0) <> (b_y > cy + 0.5e0) AND cx + 0.5e0 < ax) % 2 = 1),
+block AS (SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx, l_returnflag <> 'R' AS connector, l_quantity % 3 AS shape, l_partkey % 9 AS x, l_suppkey % 7 AS y FROM lineitem),
+held AS (SELECT route, idx, x + cx AS cx, y + cy AS cy FROM block b JOIN cell c ON b.shape = c.shape WHERE connector),
+ends AS (SELECT route, min(idx) AS stop FROM (SELECT a.route, a.idx FROM held a JOIN held b ON a.route = b.route AND a.idx > b.idx AND a.cx = b.cx AND a.cy = b.cy) GROUP BY route)
+SELECT b.route, b.idx FROM block b LEFT JOIN ends e ON b.route = e.route WHERE e.route IS NULL OR b.idx < e.stop""",
+)
+def route_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as routes whose blocks are shapes on a grid of 1.1 m; the SQL looks for a cell that two blocks share."""
+    x, y = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
+    shape = F.col("l_quantity") % 3
+    placed = {k: F.array(*[F.struct((1.1 * (x + a)).alias("x"), (1.1 * (y + b)).alias("y")) for a, b in ring]) for k, ring in _BLOCKS.items()}
+    ring = F.when(shape == 0, placed[0]).when(shape == 1, placed[1]).otherwise(placed[2])
+    along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), F.row_number().over(along).cast("long").alias("idx"), (F.col("l_returnflag") != "R").alias("connector"), ring.alias("ring"))
+    return polygons.cut_loops(blocks, "route", "idx", "connector").select("route", "idx")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.functions import classify, geometry as geo
+from kerbline.functions import classify, draws, geometry as geo
 from kerbline.operators import filters, forecast, graph, linked, planner, planning, scenes, sequence, vocabulary
 from kerbline.plans import builders, config, score_queries
 from kerbline.plans.text_queries import VOCAB
@@ -310,13 +310,15 @@ def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(lines, "line string")
 
 
-@query("seeded_shuffle", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different, true AS repeats, false AS other_epoch_same FROM orders")
+@query(
+    "seeded_shuffle",
+    f"SELECT o_orderkey, epoch, row_number() OVER (PARTITION BY epoch ORDER BY CASE epoch WHEN 0 THEN {draws.uniform_sql(['o_orderkey'], 5, 0)} ELSE {draws.uniform_sql(['o_orderkey'], 5, 1)} END, o_orderkey) - 1 AS place FROM orders, (VALUES (0), (1)) v(epoch)",
+)
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order of one seed and epoch is the same from differently dealt tables; another epoch's is not."""
+    """Every row's place in the order of a seed, for two epochs; the second from a table that is dealt otherwise."""
     own = table(spark, sf_dir, "orders").select("o_orderkey")
-    place = lambda d: d.withColumn("i", F.monotonically_increasing_id()).agg(F.sort_array(F.collect_list(F.struct("i", "o_orderkey"))).alias("l")).select(F.md5(F.to_json(F.transform("l", lambda x: x.o_orderkey)).cast("binary"))).first()[0]
-    a, b, c = (place(d) for d in (scenes.deterministic_shuffle(own, "o_orderkey", 5), scenes.deterministic_shuffle(own.repartition(7), "o_orderkey", 5), scenes.deterministic_shuffle(own, "o_orderkey", 5, epoch=1)))
-    return own.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different")).select("*", F.lit(a == b).alias("repeats"), F.lit(a == c).alias("other_epoch_same"))
+    epochs = [scenes.shuffled_places(d, "o_orderkey", 5, epoch).withColumn("epoch", F.lit(epoch)) for epoch, d in enumerate((own, own.repartition(7)))]
+    return epochs[0].unionByName(epochs[1])
 
 
 @query("future_steps", "SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40]) AS idx")
@@ -505,23 +507,42 @@ def reference_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.plan(_starts(spark, sf_dir))
 
 
-@query("sampling_schemes", "SELECT count(DISTINCT o_custkey) * 3 AS n, true AS inside FROM orders")
+_SCHEMES = {
+    "topk_prob": ("-logit", "logit"),
+    "topk_prob_sampled_with_dist": ("-logit", "coalesce(-distance, logit)"),
+    "topk_dist_sampled_with_prob": ("-coalesce(-distance, logit)", "logit"),
+}
+_DRAWN = "own AS (SELECT o_custkey, o_orderkey, o_totalprice / 100000 AS logit, CASE WHEN o_custkey % 4 <> 0 THEN (o_orderkey % 97) / 10e0 END AS distance FROM orders)"
+
+
+@query(
+    "sampling_schemes",
+    f"WITH {_DRAWN}"
+    + " UNION ALL ".join(
+        f""" SELECT '{name}' AS scheme, o_custkey, o_orderkey FROM (SELECT *, {weight} / 0.5e0 + {draws.gumbel_sql(["o_custkey", "o_orderkey"], 1)} AS g FROM own
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {first}, o_orderkey) <= 5) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY g DESC, o_orderkey DESC) = 1"""
+        for name, (first, weight) in _SCHEMES.items()
+    ),
+)
 def sampling_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One draw for each group and scheme, from among the k that the scheme allows."""
+    """The row drawn for each group by each scheme, from among the k that the scheme allows."""
     own = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") / 100000).alias("logit"), F.when(F.col("o_custkey") % 4 != 0, (F.col("o_orderkey") % 97) / 10.0).alias("distance"))
-    out = None
-    for scheme in ("topk_prob", "topk_prob_sampled_with_dist", "topk_dist_sampled_with_prob"):
-        picked = filters.sampled_token(own, "o_custkey", "logit", "distance", "o_orderkey", 5, 0.5, 1, scheme)
-        key = F.coalesce("distance", -F.col("logit")) if scheme.startswith("topk_dist") else -F.col("logit")
-        top = own.withColumn("_k", key).groupBy("o_custkey").agg(F.slice(F.sort_array(F.collect_list(F.struct("_k", "o_orderkey"))), 1, 5).alias("top"))
-        checked = picked.join(top, "o_custkey").select(F.exists("top", lambda x: x.o_orderkey == F.col("o_orderkey")).alias("inside"))
-        out = checked if out is None else out.unionByName(checked)
-    return out.agg(F.count("*").alias("n"), F.bool_and("inside").alias("inside"))
+    found = [filters.sampled_token(own, "o_custkey", "logit", "distance", "o_orderkey", 5, 0.5, 1, scheme).withColumn("scheme", F.lit(scheme)) for scheme in _SCHEMES]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_DX, _DY = draws.normal_pair_sql(["o_custkey", "o_orderkey"], 4, 1)
 
 
-@query("mixture_tokens", "SELECT count(DISTINCT o_custkey) AS n, true AS known FROM orders")
+@query(
+    "mixture_tokens",
+    f"""WITH drawn AS (SELECT o_custkey, o_orderkey, o_orderkey % 25 AS mx FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice / 100000 + {draws.gumbel_sql(["o_custkey", "o_orderkey"], 4)} DESC, o_orderkey DESC) = 1),
+placed AS (SELECT o_custkey, mx + 0.3e0 * {_DX} AS px, 0.3e0 * {_DY} AS py FROM drawn),
+near AS (SELECT o_custkey, n_nationkey, sqrt(power(n_nationkey - px, 2) + power(py, 2)) AS d FROM placed, nation)
+SELECT o_custkey, CAST(n_nationkey AS INTEGER) AS token_id FROM near QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY d, n_nationkey) = 1""",
+)
 def mixture_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codebook word nearest to a place drawn from each group's mixture."""
     modes = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("mode"), (F.col("o_totalprice") / 100000).alias("logit"), (F.col("o_orderkey") % 25).cast("double").alias("mx"), F.lit(0.0).alias("my"), F.lit(0.3).alias("spread"))
     words = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("token_id"), F.col("n_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"))
-    found = filters.sampled_from_mixture(modes, words, "o_custkey", 4)
-    return found.agg(F.count("*").alias("n"), F.bool_and(F.col("token_id").between(0, 24)).alias("known"))
+    return filters.sampled_from_mixture(modes, words, "o_custkey", 4)
