@@ -227,8 +227,8 @@ def route_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as routes whose blocks are shapes on a grid of 1.1 m; the SQL looks for a cell that two blocks share."""
     x, y = F.col("l_partkey") % 9, F.col("l_suppkey") % 7
     shape = F.col("l_quantity") % 3
-    placed = {k: F.array(*[F.struct((1.1 * (x + a)).alias("x"), (1.1 * (y + b)).alias("y")) for a, b in ring]) for k, ring in _BLOCKS.items()}
-    ring = F.when(shape == 0, placed[0]).when(shape == 1, placed[1]).otherwise(placed[2])
+    shapes = F.array(*[F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in ring]) for _, ring in sorted(_BLOCKS.items())])
+    ring = F.transform(F.get(shapes, shape.cast("int")), lambda p: F.struct((1.1 * (p.x + x)).alias("x"), (1.1 * (p.y + y)).alias("y")))
     along = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), F.row_number().over(along).cast("long").alias("idx"), (F.col("l_returnflag") != "R").alias("connector"), ring.alias("ring"))
     return polygons.cut_loops(blocks, "route", "idx", "connector").select("route", "idx")
