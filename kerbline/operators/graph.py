@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import pandas as pd
@@ -179,3 +180,38 @@ def first_loop(rings: list[list[tuple[float, float]]], limit: float = 1.0) -> in
         if any(convex_overlap(ring, other) > limit for other in rings[:k]):
             return k
     return None
+
+
+def search_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int, backward: bool = False) -> DataFrame:
+    """(token, path, found): breadth-first search from the start of each token to the first of its goals.
+
+    edges: src, dst, place (the order of a block's neighbours); starts: token, start; goals: token, goal, any number.
+    Nodes are met level by level in the order of a queue that holds a node once for each way to it.  The goal that is met
+    first within max_depth levels (the start is the first) wins; where there is none, the path leads to the node that
+    would have been queued last.  A path follows, level by level, the way that was queued last.
+
+    A level keeps each node once, with its first and last place in the queue, which is all that decides; so levels stay
+    as small as the graph although queues would not.  One join a level; tokens that have arrived leave.
+    """
+    step = edges.select(F.col("dst" if backward else "src").alias("at"), F.col("src" if backward else "dst").alias("to"), "place")
+    wanted = goals.select(F.col("token").alias("for"), F.col("goal").alias("node"), F.lit(True).alias("wanted")).distinct()
+    by_first, by_last = Window.partitionBy("token").orderBy("first"), Window.partitionBy("token").orderBy("last")
+    front = cut(starts.select("token", F.col("start").alias("node"), F.lit(1).alias("first"), F.lit(1).alias("last"), F.array("start").alias("path")))
+    arrived, ends = [], [front.select("token", "path", F.lit(1).alias("depth"), "last")]
+    for depth in range(1, max_depth + 1):
+        met = front.join(wanted, (front.token == F.col("for")) & (front.node == wanted.node)).groupBy("token").agg(F.min_by("path", "first").alias("path"))
+        arrived.append(cut(met))
+        going = front.join(arrived[-1].select("token"), "token", "left_anti")
+        more = going.join(step, F.col("node") == F.col("at")).groupBy("token", "to").agg(
+            F.min(F.struct("first", "place", "to")).alias("first"),
+            F.max(F.struct("last", "place", "to")).alias("last"),
+            F.max_by("path", F.struct("last", "place")).alias("path"),
+        )
+        front = cut(more.select("token", F.col("to").alias("node"), F.row_number().over(by_first).alias("first"), F.row_number().over(by_last).alias("last"), F.concat("path", F.array("to")).alias("path")))
+        ends.append(front.select("token", "path", F.lit(depth + 1).alias("depth"), "last"))
+        if front.isEmpty():
+            break
+    found = functools.reduce(DataFrame.unionByName, arrived)
+    deepest = functools.reduce(DataFrame.unionByName, ends).groupBy("token").agg(F.max_by("path", F.struct("depth", "last")).alias("deepest"))
+    known = found.select(F.col("token").alias("for"), F.col("path").alias("there"))
+    return deepest.join(known, F.col("token") == F.col("for"), "left").select("token", F.coalesce("there", "deepest").alias("path"), F.col("there").isNotNull().alias("found"))

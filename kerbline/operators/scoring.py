@@ -72,3 +72,15 @@ def nearest_k(rows: DataFrame, by: list[str], distance: str, tie: str, caps: Col
     """The nearest rows of each group, up to the group's cap."""
     w = Window.partitionBy(*by).orderBy(distance, tie)
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= caps)
+
+
+def report(rows: DataFrame, keys: list[str], metrics: list[str], valid: str = "valid") -> DataFrame:
+    """Counts, successes and means of every group, of every coarser group and of all rows, in one pass: a rollup of keys.
+
+    level: how many keys are summed over, 0 for the finest groups; keys that are summed over are null there, and a null
+    key of a row is told from that by the level.  Means are of rows that are valid and have the metric.
+    """
+    ok = F.coalesce(F.col(valid), F.lit(False))
+    depth = sum((F.grouping(k).cast("int") for k in keys), F.lit(0))
+    means = [F.avg(F.when(ok, F.col(m))).alias(m) for m in metrics]
+    return rows.rollup(*keys).agg(depth.alias("level"), F.count("*").alias("n"), F.count_if(ok).alias("n_valid"), *means)

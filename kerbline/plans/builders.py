@@ -6,9 +6,11 @@ poses per token and says whether it needs more than the history.  An annotator i
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,3 +87,68 @@ def run_agent(agent: Agent, scenes: DataFrame, privileged: tuple[str, ...] = ("f
 def annotate(samples: DataFrame, generate: Callable[[Column], Column], prompt: str, name: str = "cot_text") -> DataFrame:
     """Text from a pluggable generator (a text UDF); a failure is the empty text."""
     return samples.withColumn(name, F.coalesce(generate(F.col(prompt)), F.lit("")))
+
+
+# ------------------------------------------------------------------ generators that may fail
+#: Makers of generators by name; a generator takes prompts and returns a text for each, or raises.
+BACKENDS: dict[str, Callable[..., Callable[[list[str]], list[str]]]] = {}
+
+
+def backend(name: str) -> Callable:
+    """Register a maker of generators."""
+
+    def add(make: Callable) -> Callable:
+        BACKENDS[name] = make
+        return make
+
+    return add
+
+
+def annotate_with_retries(
+    samples: DataFrame,
+    make: str | Callable[..., Callable[[list[str]], list[str]]],
+    prompt: str,
+    batch: int = 32,
+    retries: int = 3,
+    delay: float = 5.0,
+    sleep: Callable[[float], None] = time.sleep,
+    **options,
+) -> DataFrame:
+    """samples with cot_text, attempts and error: texts of a generator that is asked in batches and may fail.
+
+    make: a registered name or a maker, called once a task with the options.  A batch that fails is asked again prompt by
+    prompt, up to `retries` times in all, after a wait of `delay` times the number of the attempt, so one bad prompt does
+    not cost its neighbours anything.  A prompt that fails to the last has an empty text and the error's message; a null
+    prompt is not asked.  No failure ends the job.  sleep: the clock, replaced in tests.
+    """
+    maker = BACKENDS[make] if isinstance(make, str) else make
+    columns = samples.columns
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = maker(**options)
+
+        def ask(prompts: list[str], attempt: int) -> list[tuple[str, int, str | None]]:
+            try:
+                texts = generate(prompts)
+                if len(texts) != len(prompts):
+                    raise RuntimeError(f"{len(texts)} texts for {len(prompts)} prompts")
+                return [(t or "", attempt, None) for t in texts]
+            except Exception as e:
+                if attempt >= retries and len(prompts) == 1:
+                    return [("", attempt, f"{type(e).__name__}: {e}")]
+                if attempt < retries:
+                    sleep(delay * attempt)
+                return [x for p in prompts for x in ask([p], min(attempt + 1, retries))]
+
+        for pdf in stream:
+            found: list[tuple[str, int, str | None]] = [("", 0, None)] * len(pdf)
+            asked = [i for i, p in enumerate(pdf[prompt]) if isinstance(p, str)]
+            for at in range(0, len(asked), batch):
+                some = asked[at : at + batch]
+                for i, x in zip(some, ask([pdf[prompt].iloc[i] for i in some], 1), strict=True):
+                    found[i] = x
+            texts, attempts, errors = zip(*found, strict=True) if found else ((), (), ())
+            yield pdf.assign(cot_text=list(texts), attempts=list(attempts), error=pd.Series(errors, index=pdf.index, dtype=object))[[*columns, "cot_text", "attempts", "error"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema.fields)
+    return samples.mapInPandas(run, f"{kinds}, cot_text string, attempts int, error string")

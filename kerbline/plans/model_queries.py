@@ -211,3 +211,27 @@ def route_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_rank_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "embeddings").withColumn("d", F.abs(F.get("embedding", F.lit(0)).cast("double")))
     return scoring.nearest_k(own, ["label"], "d", "vec_id", F.lit(3)).select("label", "vec_id")
+
+
+@query(
+    "search_paths",
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
+edges AS (SELECT DISTINCT ON (src, dst) src, dst, place FROM (SELECT c_custkey % n AS src, (c_custkey * 2 + 1) % n AS dst, 0 AS place FROM customer, n UNION ALL SELECT c_custkey % n, (c_custkey * 3 + c_nationkey) % n, 1 FROM customer, n) ORDER BY src, dst, place),
+r AS (SELECT c_custkey AS token, c_custkey % n AS node, 1 AS depth, [0] AS key, [c_custkey % n] AS path FROM customer, n
+UNION ALL SELECT r.token, e.dst, depth + 1, list_append(key, e.place), list_append(path, e.dst) FROM r JOIN edges e ON e.src = r.node WHERE depth <= 4),
+goals AS (SELECT c_custkey AS token, (c_custkey * 5 + 3) % n AS goal FROM customer, n UNION SELECT c_custkey, (c_custkey * 11 + 1) % n FROM customer, n),
+met AS (SELECT r.token, node, depth FROM r JOIN goals g ON r.token = g.token AND r.node = g.goal WHERE depth <= 4 QUALIFY row_number() OVER (PARTITION BY r.token ORDER BY depth, key) = 1),
+won AS (SELECT r.token, r.path FROM r JOIN met USING (token, node, depth) QUALIFY row_number() OVER (PARTITION BY r.token ORDER BY key DESC) = 1),
+deep AS (SELECT token, path FROM r QUALIFY row_number() OVER (PARTITION BY token ORDER BY depth DESC, key DESC) = 1)
+SELECT d.token, array_to_string(coalesce(w.path, d.path), '>') AS path, w.path IS NOT NULL AS found FROM deep d LEFT JOIN won w ON w.token = d.token""",
+)
+def search_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every customer to the first of two goals, four levels deep, in a graph of two edges a node."""
+    own = table(spark, sf_dir, "customer")
+    n = own.count()
+    k = F.col("c_custkey")
+    edges = own.select((k % n).alias("src"), F.explode(F.array(F.struct(((k * 2 + 1) % n).alias("dst"), F.lit(0).alias("place")), F.struct(((k * 3 + F.col("c_nationkey")) % n).alias("dst"), F.lit(1).alias("place")))).alias("e"))
+    edges = edges.groupBy("src", F.col("e.dst").alias("dst")).agg(F.min("e.place").alias("place"))
+    goals = own.select(k.alias("token"), F.explode(F.array((k * 5 + 3) % n, (k * 11 + 1) % n)).alias("goal"))
+    found = graph.search_paths(edges, own.select(k.alias("token"), (k % n).alias("start")), goals, 4)
+    return found.select("token", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "found")

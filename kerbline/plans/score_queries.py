@@ -361,3 +361,14 @@ def failure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", good.alias("valid"), F.when(good, r6(F.col("o_totalprice") / 1000)).alias("metric"))
 
 
+
+
+@query(
+    "score_report",
+    f"""WITH {{frames}}, {_SCORES_SQL} SELECT log % 4 AS site, log, CAST(grouping(log % 4) + grouping(log) AS INTEGER) AS level, count(*) AS n, count(*) FILTER (WHERE valid) AS n_valid,
+round(avg(progress) FILTER (WHERE valid), 6) + 0e0 AS progress, round(avg(score) FILTER (WHERE valid), 6) + 0e0 AS score FROM scored GROUP BY ROLLUP (log % 4, log)""",
+)
+def score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, successes and means by log, by site and over all, from one reading of the scores."""
+    rows = scores(spark, sf_dir).withColumn("site", F.col("log") % 4)
+    return scoring.report(rows, ["site", "log"], ["progress", "score"]).select("site", "log", "level", "n", "n_valid", r6("progress").alias("progress"), r6("score").alias("score"))

@@ -546,3 +546,40 @@ def mixture_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("mode"), (F.col("o_totalprice") / 100000).alias("logit"), (F.col("o_orderkey") % 25).cast("double").alias("mx"), F.lit(0.0).alias("my"), F.lit(0.3).alias("spread"))
     words = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("token_id"), F.col("n_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"))
     return filters.sampled_from_mixture(modes, words, "o_custkey", 4)
+
+
+class _Flaky:
+    """Answers a prompt from the attempt on that its number asks for, never at once."""
+
+    def __init__(self, asks: int):
+        self.asks, self.seen = asks, {}
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        for p in prompts:
+            self.seen[p] = self.seen.get(p, 0) + 1
+        if len(prompts) > 1:
+            raise ConnectionError("too many at once")
+        if self.seen[prompts[0]] < max(2, int(prompts[0]) % self.asks + 1):
+            raise TimeoutError(f"no answer to {prompts[0]}")
+        return [f"text {prompts[0]}"]
+
+
+@builders.backend("flaky")
+def _flaky(asks: int = 5) -> _Flaky:
+    return _Flaky(asks)
+
+
+@query(
+    "retried",
+    """SELECT o_orderkey AS token, CASE WHEN o_orderkey % 5 <= 2 THEN 'text ' || o_orderkey ELSE '' END AS cot_text, CAST(CASE WHEN o_orderkey % 5 <= 1 THEN 2 ELSE 3 END AS INTEGER) AS attempts,
+CASE WHEN o_orderkey % 5 > 2 THEN 'TimeoutError: no answer to ' || o_orderkey END AS error FROM orders""",
+)
+def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generator that fails on batches and then by the prompt's number; waits are left out.  Batches hold several prompts."""
+    prompts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_orderkey").cast("string").alias("prompt"))
+    found = builders.annotate_with_retries(prompts.repartition(4), "flaky", "prompt", batch=2, retries=3, sleep=_no_wait, asks=5)
+    return found.select("token", "cot_text", "attempts", "error")
+
+
+def _no_wait(seconds: float) -> None:
+    pass
