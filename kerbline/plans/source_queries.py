@@ -11,7 +11,7 @@ from kerbline.plans import builders, config, score_queries
 from kerbline.plans.text_queries import VOCAB
 from kerbline.registry import frames, poses, query, r6, table
 from kerbline.session import scratch
-from kerbline.sources import logs, records, samples, vocabularies
+from kerbline.sources import logs, nested, records, samples, vocabularies
 
 
 def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -583,3 +583,26 @@ def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _no_wait(seconds: float) -> None:
     pass
+
+
+@query(
+    "nested_paths",
+    """WITH o AS (SELECT o_orderkey AS token, o_orderstatus AS status, o_orderpriority AS priority, o_custkey AS customer, o_custkey % 4 AS n FROM orders)
+SELECT token, '$' AS path, 'object' AS type, NULL AS value FROM o
+UNION ALL SELECT token, '$.customer', 'number', CAST(customer AS VARCHAR) FROM o
+UNION ALL SELECT token, '$.state', 'object', NULL FROM o
+UNION ALL SELECT token, '$.state.open', 'boolean', CAST(status = 'O' AS VARCHAR) FROM o
+UNION ALL SELECT token, '$.state.words', 'array', NULL FROM o
+UNION ALL SELECT token, '$.state.words[0]', 'string', priority FROM o
+UNION ALL SELECT token, '$.state.words[1]', CASE WHEN status = 'F' THEN 'null' ELSE 'string' END, CASE WHEN status <> 'F' THEN status END FROM o
+UNION ALL SELECT token, '$.objects', 'array', NULL FROM o
+UNION ALL SELECT token, '$.objects[' || i || ']', 'object', NULL FROM o, range(0, n) r(i)
+UNION ALL SELECT token, '$.objects[' || i || '].id', 'number', CAST(i AS VARCHAR) FROM o, range(0, n) r(i)""",
+)
+def nested_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene documents with objects beside their state, every value by its path and type."""
+    objects = F.transform(F.when(F.col("o_custkey") % 4 > 0, F.sequence(F.lit(0).cast("long"), F.col("o_custkey") % 4 - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: F.struct(i.alias("id")))
+    words = F.array("o_orderpriority", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")))
+    state = F.struct((F.col("o_orderstatus") == "O").alias("open"), words.alias("words"))
+    scenes_as_text = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("token"), F.to_json(F.struct(F.col("o_custkey").alias("customer"), state.alias("state"), objects.alias("objects"))).alias("text"))
+    return nested.walked(nested.parsed(scenes_as_text, "text"), "token", deepest=4)
