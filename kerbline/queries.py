@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbline.plans import filter_queries, model_queries, planning_queries, scene_queries, score_queries, source_queries, stream_queries, text_queries  # noqa: F401
+from kerbline.plans import filter_queries, model_queries, planning_queries, rule_queries, scene_queries, score_queries, source_queries, stream_queries, text_queries  # noqa: F401
 from kerbline.registry import QUERIES
 
 __all__ = ["QUERIES"]

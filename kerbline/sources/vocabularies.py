@@ -1,10 +1,16 @@
-"""Rule vocabularies from YAML files: small files, read on the driver, given as tables and as a Vocabulary."""
+"""Rule vocabularies from YAML files: a vocabulary is small and read on the driver; rules, of which there may be many files, are read by tasks."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
 from kerbline.functions.symbolic import Condition, Vocabulary
+from kerbline.operators.rule_checks import RULE_DDL
 
 
 def _load(text: str) -> dict:
@@ -55,3 +61,40 @@ def prompt_text(v: Vocabulary) -> str:
     lines += ["Attributes:"] + [f"- {b}.{a}: {', '.join(vals)}" for b, attrs in sorted(v.attributes.items()) for a, vals in sorted(attrs.items())]
     lines += ["Facts:"] + [f"- {f}" for f in sorted(v.facts)]
     return "\n".join([*lines, "Lateral actions: " + ", ".join(v.lateral), "Longitudinal actions: " + ", ".join(v.longitudinal)])
+
+
+def _names(x) -> list[str]:
+    return [str(v) for v in x] if isinstance(x, list) else []
+
+
+def _rule_row(rule: dict, source: str) -> dict:
+    text = lambda k: None if rule.get(k) is None else str(rule[k])
+    action = rule.get("action")
+    return {
+        "id": text("id"),
+        "priority": json.dumps(rule["priority"], default=str) if "priority" in rule else None,
+        "category": text("category"),
+        "present": sorted(map(str, rule)),
+        "preconditions": _names(rule.get("preconditions")),
+        "action": {str(k): "" if v is None else str(v) for k, v in action.items()} if isinstance(action, dict) else {},
+        "source": source,
+    }
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A row a rule (RULE_DDL) of all files under path, each a list of rules or a mapping with the list at `rules`.
+
+    A file is parsed whole by the task that reads it; entries that are no mapping, and empty files, give no row.
+    """
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, text in zip(frame["source"], frame["value"], strict=True):
+                body = _load(text)
+                rules = body.get("rules") if isinstance(body, dict) else body
+                rows = [_rule_row(r, source) for r in rules or () if isinstance(r, dict)]
+                if rows:
+                    yield pd.DataFrame(rows, dtype=object)
+
+    files = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_name AS source", "value")
+    return files.mapInPandas(parse, RULE_DDL)
