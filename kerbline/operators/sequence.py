@@ -165,6 +165,14 @@ def future_indices(horizon: float, dt: float, samples: int) -> list[int]:
     return [step * (i + 1) for i in range(samples)]
 
 
+def future_frames(rows: DataFrame, value: str, by: str, order: str, horizon: float, dt: float, samples: int) -> DataFrame:
+    """(by, order, ahead, value): for each row what stands at the evenly spread future indices; those beyond the end go.  One sorted pass."""
+    w = along(by, order)
+    ahead = [F.struct(F.lit(k).alias("ahead"), F.lead(F.struct(value), k).over(w).alias("there")) for k in future_indices(horizon, dt, samples)]
+    found = rows.select(by, order, F.array(*ahead).alias("_all")).select(by, order, F.inline("_all"))
+    return found.where(F.col("there").isNotNull()).select(by, order, "ahead", F.col(f"there.{value}").alias(value))
+
+
 def clamped_profile(profile: DataFrame, frames: DataFrame, by: str, idx: str, values: list[str]) -> DataFrame:
     """Frames joined to a profile whose last value holds on beyond its end."""
     last = profile.groupBy(by).agg(F.max(idx).alias("_last"))

@@ -37,3 +37,11 @@ def chosen_rule(matching: DataFrame, by: str, priority: str = "priority", rule:
     """The matching rule with the highest priority, the first id on ties (an extension: the priorities are data that nothing else reads)."""
     w = Window.partitionBy(by).orderBy(F.desc(priority), rule)
     return matching.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def prompt_lines(values: DataFrame, base: str, attribute: str, value: str) -> DataFrame:
+    """(line): each attribute of a base type with its values in order, as a prompt lists them.  values: a row a value, repeats allowed;
+    rows without a base, attribute or value say nothing."""
+    known = values.where(F.col(base).isNotNull() & F.col(attribute).isNotNull() & F.col(value).isNotNull()).select(base, attribute, value).distinct()
+    listed = known.groupBy(base, attribute).agg(F.array_sort(F.collect_list(F.col(value).cast("string"))).alias("v"))
+    return listed.select(F.concat(F.lit("- "), F.col(base), F.lit("."), F.col(attribute), F.lit(": "), F.array_join("v", ", ")).alias("line"))

@@ -262,18 +262,27 @@ def extrapolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poses(spark, sf_dir).select("token", r6(x).alias("x2"), r6(y).alias("y2"), r6(h).alias("h2"))
 
 
+#: A ring that is not convex, laid at a place of each customer's own; fixed values.
+_NOTCH = ((0.03, 0.02), (2.03, 0.02), (2.03, 1.33), (1.03, 0.63), (0.03, 1.33))
+
+
 @query(
     "bev_raster",
-    """WITH v(z, k, x, y) AS (VALUES (0, 0, 0.03e0, 0.02e0), (0, 1, 30.03e0, 0.02e0), (0, 2, 30.03e0, 0.33e0), (0, 3, 15.03e0, 0.13e0), (0, 4, 0.03e0, 0.33e0),
-(1, 0, 10.03e0, -0.61e0), (1, 1, 60.03e0, -0.61e0), (1, 2, 60.03e0, 0.053e0), (1, 3, 35.03e0, -0.21e0), (1, 4, 10.03e0, 0.053e0)),
-e AS (SELECT a.z, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON a.z = b.z AND b.k = (a.k + 1) % 5),
-c AS (SELECT r.r AS "row", c.c AS col, (c.c + 0.5e0) * 0.25e0 AS px, (r.r + 0.5e0) * 0.25e0 AS py FROM range(-8, 8) r(r), range(-8, 300) c(c)),
-held AS (SELECT "row", col, z FROM c, e GROUP BY ALL HAVING count(*) FILTER (WHERE (ay > py) <> (ay + dy > py) AND px < dx * (py - ay) / nullif(dy, 0) + ax) % 2 = 1)
-SELECT "row", col, CASE max(z) WHEN 0 THEN 'road' ELSE 'walk' END AS label FROM held GROUP BY ALL""",
+    f"""WITH p AS (SELECT c_custkey AS z, c_mktsegment AS label, c_custkey % 40 * 1e0 AS ox, floor(c_custkey / 40) * 0.7e0 AS oy FROM customer),
+v(k, x, y) AS (VALUES {", ".join(f"({k}, {x}e0, {y}e0)" for k, (x, y) in enumerate(_NOTCH))}),
+e AS (SELECT a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM v a JOIN v b ON b.k = (a.k + 1) % 5),
+c AS (SELECT z, label, ox, oy, CAST(floor(ox / 0.25e0) AS BIGINT) + i AS col, CAST(floor(oy / 0.25e0) AS BIGINT) + j AS "row" FROM p, range(-1, 11) r(i), range(-1, 9) s(j)),
+m AS (SELECT *, (col + 0.5e0) * 0.25e0 - ox AS px, ("row" + 0.5e0) * 0.25e0 - oy AS py FROM c),
+held AS (SELECT "row", col, z, label FROM m, e GROUP BY "row", col, z, label HAVING count(*) FILTER (WHERE (ay > py) <> (ay + dy > py) AND px < dx * (py - ay) / nullif(dy, 0) + ax) % 2 = 1)
+SELECT "row", col, max_by(label, z) AS label FROM held GROUP BY "row", col""",
 )
 def bev_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    polygons = spark.range(2).select(F.col("id").alias("z"), F.when(F.col("id") == 0, "road").otherwise("walk").alias("label"), F.when(F.col("id") == 0, _ring(0)).otherwise(_ring(1)).alias("ring"))
-    return spatial.rasterise(polygons, 0.25, "z", "label")
+    """Customers as notched shapes that overlap; a later key overwrites an earlier."""
+    key = F.col("c_custkey")
+    at = F.struct((key % 40).cast("double").alias("x"), (F.floor(key / 40) * 0.7).alias("y"))
+    ring = F.array(*[F.struct((F.lit(x) + at["x"]).alias("x"), (F.lit(y) + at["y"]).alias("y")) for x, y in _NOTCH])
+    own = table(spark, sf_dir, "customer").select(key.alias("z"), F.col("c_mktsegment").alias("label"), ring.alias("ring"))
+    return spatial.rasterise(own, 0.25, "z", "label")
 
 
 @query(

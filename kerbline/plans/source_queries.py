@@ -304,10 +304,16 @@ def field_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.missing_fields(own, "key", "present", ("a", "b", "c"), "fields")
 
 
-@query("prompt_lines", "SELECT unnest(['- Vehicle.lane: EgoLane, LeftLane', '- Vehicle.motion: Stopped, Moving', '- TrafficLight.color: Red, Green, Off']) AS line")
+@query(
+    "prompt_lines",
+    """WITH v(base, attribute, value) AS (SELECT p_type, 'brand', p_brand FROM part UNION ALL SELECT p_type, 'size', CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT c_mktsegment, 'nation', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT '- ' || base || '.' || attribute || ': ' || string_agg(DISTINCT value, ', ' ORDER BY value) AS line FROM v GROUP BY base, attribute""",
+)
 def prompt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = [(x,) for x in vocabularies.prompt_text(VOCAB).split("\n") if "." in x]
-    return spark.createDataFrame(lines, "line string")
+    parts, people = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    told = lambda rows, base, attribute, value: rows.select(F.col(base).alias("base"), F.lit(attribute).alias("attribute"), F.col(value).cast("string").alias("value"))
+    values = told(parts, "p_type", "brand", "p_brand").unionByName(told(parts, "p_type", "size", "p_size")).unionByName(told(people, "c_mktsegment", "nation", "n_name"))
+    return vocabulary.prompt_lines(values, "base", "attribute", "value")
 
 
 @query(
@@ -321,9 +327,9 @@ def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epochs[0].unionByName(epochs[1])
 
 
-@query("future_steps", "SELECT unnest([5, 10, 15, 20, 25, 30, 35, 40]) AS idx")
+@query("future_steps", "WITH {frames} SELECT a.log, a.idx, k AS ahead, b.token FROM frames a, (VALUES (5), (10), (15), (20), (25), (30), (35), (40)) s(k), frames b WHERE a.log = b.log AND b.idx = a.idx + k")
 def future_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in sequence.future_indices(4.0, 0.1, 8)], "idx int")
+    return sequence.future_frames(frames(spark, sf_dir), "token", "log", "idx", 4.0, 0.1, 8)
 
 
 # ------------------------------------------------------------------ geometry and objects

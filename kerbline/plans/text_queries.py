@@ -154,31 +154,35 @@ def phrase_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ vocabularies as tables
 _RULES = "VALUES ('R1', 90, 'LeadStopped'), ('R2', 88, 'RedLight'), ('R3', 88, 'Missing'), ('R3', 70, 'EgoSlow'), ('R4', 90, 'Gone')"
-_FACTS = "VALUES ('LeadStopped'), ('RedLight'), ('EgoSlow'), ('EgoSlow')"
+#: Customers as rules, some of one id; suppliers as listed facts, with repeats; nations beyond the facts are unknown.
+_RULE_ROWS = "SELECT 'R' || c_custkey % 100 AS rule_id, c_custkey % 90 AS priority, 'F' || c_nationkey AS fact FROM customer"
+_FACT_ROWS = "SELECT 'F' || s_suppkey % 7 AS name FROM supplier"
 
 
-def _vocab_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.sql(f"SELECT * FROM {_RULES} AS r(rule_id, priority, fact)"), spark.sql(f"SELECT * FROM {_FACTS} AS f(name)")
+def _vocab_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    for name in ("customer", "supplier"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(_RULE_ROWS), spark.sql(_FACT_ROWS)
 
 
 @query(
     "rule_fk_checks",
-    f"WITH r(rule_id, priority, fact) AS ({_RULES}), f(name) AS ({_FACTS}) SELECT 'rule fact' AS \"check\", rule_id || '.' || fact AS item FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE name = fact) UNION ALL SELECT 'fields', rule_id || '.category' FROM r",
+    f"WITH r AS ({_RULE_ROWS}), f AS ({_FACT_ROWS}) SELECT 'rule fact' AS \"check\", rule_id || '.' || fact AS item FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE name = fact) UNION ALL SELECT 'fields', rule_id || '.category' FROM r",
 )
 def rule_fk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, facts = _vocab_tables(spark)
-    lacking = vocabulary.missing_references(rules.withColumn("name", F.col("fact")), ["fact"], facts, ["name"], "rule fact")
-    lacking = rules.join(lacking.select(F.col("item").alias("fact")).distinct(), "fact", "left_semi").select(F.lit("rule fact").alias("check"), F.concat_ws(".", "rule_id", "fact").alias("item"))
+    rules, facts = _vocab_tables(spark, sf_dir)
+    lacking = vocabulary.missing_references(rules, ["fact"], facts, ["name"], "rule fact").select(F.col("item").alias("fact")).distinct()
+    unknown = rules.join(lacking, "fact", "left_semi").select(F.lit("rule fact").alias("check"), F.concat_ws(".", "rule_id", "fact").alias("item"))
     fields = vocabulary.missing_fields(rules.withColumn("present", F.array(F.lit("rule_id"), F.lit("priority"))), "rule_id", "present", ["rule_id", "priority", "category"], "fields")
-    return vocabulary.all_problems([lacking, fields])
+    return vocabulary.all_problems([unknown, fields])
 
 
 @query(
     "rule_dupes",
-    f"WITH r(rule_id, priority, fact) AS ({_RULES}), f(name) AS ({_FACTS}) SELECT 'rule id' AS \"check\", rule_id AS item FROM r GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'fact', name FROM f GROUP BY name HAVING count(*) > 1",
+    f"WITH r AS ({_RULE_ROWS}), f AS ({_FACT_ROWS}) SELECT 'rule id' AS \"check\", rule_id AS item FROM r GROUP BY rule_id HAVING count(*) > 1 UNION ALL SELECT 'fact', name FROM f GROUP BY name HAVING count(*) > 1",
 )
 def rule_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, facts = _vocab_tables(spark)
+    rules, facts = _vocab_tables(spark, sf_dir)
     return vocabulary.all_problems([vocabulary.repeats(rules, ["rule_id"], "rule id"), vocabulary.repeats(facts, ["name"], "fact")])
 
 
@@ -187,7 +191,7 @@ def rule_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH r(rule_id, priority, fact) AS ({_RULES}) SELECT o_custkey, rule_id, priority FROM orders JOIN r ON o_orderkey % 5 = length(fact) % 5 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY priority DESC, rule_id) = 1",
 )
 def rule_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules, _ = _vocab_tables(spark)
+    rules = spark.sql(f"SELECT * FROM {_RULES} AS r(rule_id, priority, fact)")
     fits = table(spark, sf_dir, "orders").join(rules, F.col("o_orderkey") % 5 == F.length("fact") % 5)
     return vocabulary.chosen_rule(fits, "o_custkey").select("o_custkey", "rule_id", "priority")
 

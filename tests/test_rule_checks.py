@@ -106,3 +106,19 @@ def test_faults_of_conditions_stop_at_the_first_unknown_name(spark, tmp_path):
         (14, "PathBlocked#2", "height"),
         (14, "PathBlocked#3", "speed.Fast"),
     ]
+
+
+def test_prompt_lines_list_each_value_once(spark):
+    from kerbline.operators.vocabulary import prompt_lines
+
+    rows = [("Car", "motion", "b"), ("Car", "motion", "a"), ("Car", "motion", "b"), ("Car", None, "x"), (None, "motion", "x"), ("Car", "motion", None), ("Bus", "motion", "")]
+    got = prompt_lines(spark.createDataFrame(rows, "base string, attribute string, value string"), "base", "attribute", "value")
+    assert sorted(r.line for r in got.collect()) == ["- Bus.motion: ", "- Car.motion: a, b"]
+
+
+def test_future_frames_leave_out_what_lies_beyond_the_end(spark):
+    from kerbline.operators.sequence import future_frames
+
+    rows = spark.createDataFrame([("a", i, None if i == 3 else 10 * i) for i in range(5)] + [("b", 0, 7)], "log string, idx long, token long")
+    got = future_frames(rows, "token", "log", "idx", 0.3, 0.1, 2)
+    assert sorted((r.log, r.idx, r.ahead, r.token or -1) for r in got.collect()) == [(log, i, k, -1 if i + k == 3 else 10 * (i + k)) for log in "a" for i in range(5) for k in (1, 2) if i + k < 5]
