@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from kerbline.functions import classify, draws, geometry as geo
 from kerbline.operators import filters, forecast, graph, linked, planner, planning, scenes, sequence, vocabulary
 from kerbline.plans import builders, config, score_queries
-from kerbline.plans.text_queries import VOCAB
 from kerbline.registry import frames, poses, query, r6, table
 from kerbline.session import scratch
-from kerbline.sources import logs, nested, records, samples, vocabularies
+from kerbline.sources import logs, nested, points, records, samples
 
 
 def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +118,21 @@ def sample_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.read_samples(spark, {path: "/sensors"}, lines=True).select("token", "cot_text", "has_cot", F.size("velocity").alias("n_speeds"), "sensor_root")
 
 
+@query(
+    "sample_files",
+    """SELECT 's' || s_suppkey AS token, s_name || chr(10) || 'said "' || s_nationkey || '"' AS cot_text, true AS has_cot, s_suppkey % 3 = 0 OR s_suppkey = 0 AS again, list_value(CASE WHEN s_suppkey % 3 = 0 THEN 0e0 ELSE s_suppkey / 2e0 END) AS velocity FROM supplier""",
+)
+def sample_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a file; every third is written again, and the later one stands."""
+    path, key = scratch(spark, "sample-files"), F.col("s_suppkey")
+    text = F.concat("s_name", F.lit('\nsaid "'), "s_nationkey", F.lit('"'))
+    own = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), key).alias("token"), F.lit("nuplan").alias("dataset_name"), text.alias("cot_output"), (key / 2).alias("velocity"), (key % 3 == 0).alias("_again"))
+    samples.write_sample_files(own.drop("_again"), path)
+    samples.write_sample_files(own.where("_again").drop("_again").withColumn("velocity", F.lit(0.0)), path)
+    found = samples.read_samples(spark, {path: "/sensors"})
+    return found.select("token", "cot_text", "has_cot", (F.get("velocity", F.lit(0)) == 0).alias("again"), "velocity")
+
+
 @query("nested_qa", "SELECT CAST(o_custkey AS VARCHAR) AS scene, CAST(o_orderkey AS VARCHAR) AS frame, o_orderstatus AS kind, o_orderpriority AS \"Q\", 'A' || o_orderkey AS \"A\" FROM orders")
 def nested_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
@@ -213,6 +227,22 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("payload").cast("string").alias("payload"), F.octet_length("payload").cast("long").alias("n_bytes"))
 
 
+@query(
+    "point_clouds",
+    """WITH v AS (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 4)) AS place FROM embeddings)
+SELECT vec_id, place, round(embedding[4 * place + 1], 4) + 0e0 AS x, round(embedding[4 * place + 2], 4) + 0e0 AS y, round(embedding[4 * place + 3], 4) + 0e0 AS z, embedding[4 * place + 4] > 0 AS bright FROM v""",
+)
+def point_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as clouds of points: files inside checked records, read back in byte ranges and decoded."""
+    path, v = scratch(spark, "clouds"), F.col("embedding").cast("array<double>")
+    cloud = F.transform(F.sequence(F.lit(0), (F.size(v) / 4).cast("int") - 1), lambda i: F.slice(v, i * 4 + 1, 4))
+    own = table(spark, sf_dir, "embeddings").select(F.concat(F.to_binary(F.lpad(F.hex("vec_id"), 16, "0"), F.lit("hex")), points.encoded(cloud)).alias("payload"))
+    records.write_records(own, path)
+    back = records.read_records(spark, path).select(F.conv(F.hex(F.substring("payload", 1, 8)), 16, 10).cast("long").alias("vec_id"), F.expr("substring(payload, 9)").alias("body"))
+    found = points.read_points(back, "vec_id", "body")
+    return found.select("vec_id", "place", *[(F.round(c, 4) + 0.0).alias(c) for c in "xyz"], (F.col("intensity") > 0).alias("bright"))
+
+
 @query(
     "camera_frames",
     """SELECT CAST(user_id AS VARCHAR) AS sequence, camera, user_id || '-' || event_id || '.jpg' AS file_name, event_type || camera AS image

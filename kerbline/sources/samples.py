@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.scenes import keep_last
+
 CAMERAS = ("front", "front_left", "front_right", "back", "back_left", "back_right", "left", "right")
 #: velocity and cot_output are a scalar or an array depending on the dataset, so they are read as text and unified.
 SAMPLE_DDL = (
@@ -22,11 +26,12 @@ def _numbers(c: Column) -> Column:
 def read_samples(spark: SparkSession, roots: dict[str, str], lines: bool = False) -> DataFrame:
     """Samples from one or more folders of JSON documents, each tagged with its sensor root; no file is an error.
 
-    roots: folder -> sensor root.  lines: a file holds a document a line, as write_samples leaves them, else one in all.
+    roots: folder -> sensor root.  lines: a file holds a document a line, as write_samples leaves them, else one in all, in
+    the folder or below it, as write_sample_files leaves them.
     """
     out = None
     for folder, root in sorted(roots.items()):
-        rows = spark.read.schema(SAMPLE_DDL).option("multiLine", not lines).option("mode", "PERMISSIVE").json(folder).withColumn("sensor_root", F.lit(root))
+        rows = spark.read.schema(SAMPLE_DDL).option("multiLine", not lines).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(folder).withColumn("sensor_root", F.lit(root))
         out = rows if out is None else out.unionByName(rows)
     if out is None or out.isEmpty():
         raise ValueError("no sample found")
@@ -53,6 +58,17 @@ def write_samples(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_sample_files(rows: DataFrame, path: str, latest: Iterable[str] = ()) -> None:
+    """One document a file, in a folder named by its token.  Of rows with one token the last in the order of `latest` stays, as
+    a later file would overwrite; a token that is there already is written anew, all others are left alone.
+
+    Rows go to tasks by token; a task writes its files one after the other.  Null tokens share the folder of no name.
+    """
+    last = keep_last(rows, ["token"], [*latest, F.to_json(F.struct(*rows.columns))])
+    named = last.withColumn("sample", F.col("token")).repartition("sample")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").json(path)
+
+
 def explode_qa(rows: DataFrame, frames: str = "key_frames") -> DataFrame:
     """(scene, frame, kind, question, answer) from scene -> key_frames -> QA lists, all maps."""
     by_frame = rows.select("scene", F.explode(frames).alias("frame", "body"))
