@@ -35,8 +35,8 @@ def corners_array(x: Column, y: Column, h: Column, length: float = LENGTH, width
 
 
 def corner_distance(a: Column, b: Column) -> Column:
-    """Sum over the corners of the distance between two boxes."""
-    return F.aggregate(F.zip_with(a, b, lambda p, q: F.hypot(p.x - q.x, p.y - q.y)), F.lit(0.0), lambda s, d: s + d)
+    """Sum over the corners of the distance between two boxes; products and a root, which round alike everywhere, so a distance at a tolerance falls on one side."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), F.lit(0.0), lambda s, d: s + d)
 
 
 def as_one_row(codebook: DataFrame) -> DataFrame:
@@ -55,15 +55,15 @@ def nearest_codes(rows: DataFrame, codebook: DataFrame, corners: str = "corners"
     return joined.withColumn("_n", nearest_word(F.col(corners), F.col("words"))).select(*rows.columns, F.col("_n.token_id").alias("token_id"), F.col("_n.distance").alias("distance"))
 
 
-def _greedy_seeds(rows: list, tolerance: float, most: int) -> list[int]:
-    """Places of the rows that no earlier seed is near to, in order."""
-    x, y, h = np.array([tuple(r) for r in rows], dtype=float).T[:, :, None]
-    along_, across = LENGTH / 2 * np.array([1, 1, -1, -1]), WIDTH / 2 * np.array([1, -1, -1, 1])
-    cx, cy = x + along_ * np.cos(h) - across * np.sin(h), y + along_ * np.sin(h) + across * np.cos(h)
-    free, seeds = np.ones(len(rows), dtype=bool), []
+def _greedy_seeds(corners: list, tolerance: float, most: int) -> list[int]:
+    """Places of the boxes that no earlier seed is near to, in order; distances as in corner_distance, bit by bit."""
+    cx, cy = np.array(corners, dtype=float).transpose(2, 1, 0)  # corner by box
+    free, seeds = np.ones(len(corners), dtype=bool), []
     while len(seeds) < most and free.any():
         at = int(free.argmax())
-        free &= np.hypot(cx - cx[at], cy - cy[at]).mean(axis=1) > tolerance
+        dx, dy = cx - cx[:, at, None], cy - cy[:, at, None]
+        d = np.sqrt(dx * dx + dy * dy)
+        free &= (d[0] + d[1] + d[2] + d[3]) / 4 > tolerance
         free[at] = False
         seeds.append(at)
     return seeds
@@ -87,13 +87,13 @@ def disk_clusters(points: DataFrame, n: int, tolerance: float, id_col: str = "se
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     found, rows = 0, []
     while found < n:
-        first = left.orderBy(id_col, *names).limit(chunk).select(*names).collect()
+        first = left.orderBy(id_col, *names).limit(chunk).select(*names, corners_array(*map(F.col, names)).alias("corners")).collect()
         if not first:
             break
-        seeds = [(found + k, *first[at]) for k, at in enumerate(_greedy_seeds(first, tolerance, n - found))]
+        seeds = [(found + k, *first[at][:3], first[at].corners) for k, at in enumerate(_greedy_seeds([r.corners for r in first], tolerance, n - found))]
         found += len(seeds)
-        placed = spark.createDataFrame(seeds, "k int, x double, y double, heading double")
-        placed = placed.select("k", corners_array(*map(F.col, names)).alias("corners"), cell("x").alias("cx"), cell("y").alias("cy")).withColumn("at", F.explode(around))
+        placed = spark.createDataFrame(seeds, "k int, x double, y double, heading double, corners array<struct<x: double, y: double>>")
+        placed = placed.select("k", "corners", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("at", F.explode(around))
         by_cell = placed.groupBy((F.col("cx") + F.col("at.i")).alias("cx"), (F.col("cy") + F.col("at.j")).alias("cy")).agg(F.sort_array(F.collect_list(F.struct("k", "corners"))).alias("seeds"))
         # nine rows a seed at most, and seeds are at most MOST_WORDS
         met = left.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("own", corners_array(*map(F.col, names))).join(F.broadcast(by_cell), ["cx", "cy"], "left")

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import random
+
+from pyspark.sql import functions as F
+
+from kerbline.operators import tokens
 from kerbline.oracles import ORACLE_SQL
 from kerbline.queries import QUERIES
 
@@ -14,3 +20,14 @@ def test_a_corner_that_two_segments_share_belongs_to_the_first(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert [tuple(r) for r in QUERIES["project_progress"](spark, str(tmp_path)).collect()] == con.execute(ORACLE_SQL["project_progress"]).fetchall() == [(549, 0.0)]
+
+
+def test_corner_distances_are_products_and_a_root(spark):
+    rng = random.Random(5)
+    some = lambda: [(rng.randrange(100) / 10 + 0.1 * rng.random(), rng.randrange(100) / 10) for _ in range(4)]
+    pairs = [(some(), some()) for _ in range(500)]
+    ring = "array<struct<x: double, y: double>>"
+    found = spark.createDataFrame(pairs, f"a {ring}, b {ring}").select("a", "b", tokens.corner_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    for r in found:
+        d = [math.sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) for p, q in zip(r.a, r.b, strict=True)]
+        assert r.d == d[0] + d[1] + d[2] + d[3]
