@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators import planning, scoring
+from kerbline.session import cut
 
 #: When the brake takes over, and its limits.
 BRAKE = {"time": 2.0, "speed": 5.0, "accel": 2.40, "decel": -4.05}
@@ -54,14 +55,19 @@ def with_emergency_brake(plans: DataFrame, starts: DataFrame, infractions: DataF
 
 def extended(starts: DataFrame, winners: DataFrame, since: int = 40, steps: int = 50, dt: float = 0.1) -> DataFrame:
     """Steps `since` + 1 to `steps` of the winning proposal, unrolled as the proposals were.  winners: (token, proposal)."""
-    longer = planning.unroll_proposals(starts.join(winners.select("token"), "token", "left_semi"), steps=steps, dt=dt)
-    return longer.where(F.col("t") > since).join(winners.select("token", "proposal"), ["token", "proposal"])
+    own = starts.join(winners.select("token", "proposal"), "token")
+    return planning.unroll_proposals(own, steps=steps, dt=dt, only="proposal").where(F.col("t") > since)
+
+
+def lead_place(t: Column, dt: float) -> Column:
+    """Place of the lead vehicle's middle after t steps, by lead_gap and lead_speed."""
+    return F.col("lead_gap") + (LENGTH + LEAD_LENGTH) / 2 + F.col("lead_speed") * t * dt
 
 
 def forecast_lead(starts: DataFrame, steps: int = 50, dt: float = 0.1) -> DataFrame:
     """(token, t, lead_x): the lead vehicle's middle at a constant speed, from the ego vehicle's middle at t = 0."""
     ahead = starts.select("token", "lead_gap", "lead_speed", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("t"))
-    return ahead.select("token", "t", (F.col("lead_gap") + (LENGTH + LEAD_LENGTH) / 2 + F.col("lead_speed") * F.col("t") * dt).alias("lead_x"))
+    return ahead.select("token", "t", lead_place(F.col("t"), dt).alias("lead_x"))
 
 
 def closed_loop(starts: DataFrame, steps: int = 40, dt: float = 0.1) -> DataFrame:
@@ -69,25 +75,18 @@ def closed_loop(starts: DataFrame, steps: int = 40, dt: float = 0.1) -> DataFram
 
     starts: token, speed, accel, limit, lead_gap, lead_speed.
     """
-    proposals = planning.unroll_proposals(starts, steps=steps, dt=dt)
-    here = starts.select("token", "speed").crossJoin(F.broadcast(proposals.sparkSession.range(len(planning.FRACTIONS) * len(planning.LATERALS)).select(F.col("id").cast("int").alias("proposal"))))
-    lateral = F.element_at(F.array(*map(F.lit, planning.LATERALS)), F.floor(F.col("proposal") / len(planning.FRACTIONS)).cast("int") + 1)
-    first = here.select("token", "proposal", F.lit(0).alias("t"), F.lit(0.0).alias("x"), lateral.alias("y"), F.lit(0.0).alias("heading"), "speed")
-    reference = first.unionByName(proposals.select("token", "proposal", "t", F.col("s").alias("x"), F.col("offset").alias("y"), F.lit(0.0).alias("heading"), "speed"))
-    driven = planning.simulate(reference, dt)
-    lead = forecast_lead(starts, steps + max(LOOK_AHEAD), dt)
+    driven = planning.drive_proposals(starts.select("token", "speed", "limit", "lead_gap", "lead_speed"), steps, dt)
     # boxes are near parallel to the path: they meet where both gaps close
     beside = F.abs("y") <= (WIDTH + LEAD_WIDTH) / 2
-    near = lambda x: (F.abs(F.col("lead_x") - x) <= (LENGTH + LEAD_LENGTH) / 2) & beside
-    now = driven.join(lead, ["token", "t"]).groupBy("token", "proposal").agg(
-        F.when(F.max(near(F.col("x")).cast("int")) == 1, 0.0).otherwise(1.0).alias("collision"),
+    near = lambda x, t: (F.abs(lead_place(t, dt) - x) <= (LENGTH + LEAD_LENGTH) / 2) & beside
+    now = driven.groupBy("token", "proposal").agg(
+        F.when(F.max(near(F.col("x"), F.col("t")).cast("int")) == 1, 0.0).otherwise(1.0).alias("collision"),
         F.max("x").alias("progress"),
         (F.max(F.abs("acceleration")) < 4.89).cast("double").alias("comfort"),
     )
-    looked = driven.withColumn("ahead", F.explode(F.array(*map(F.lit, LOOK_AHEAD)))).withColumn("_at", F.col("t") + F.col("ahead"))
-    there = looked.join(lead.withColumnRenamed("t", "_at"), ["token", "_at"])
+    there = driven.withColumn("ahead", F.explode(F.array(*map(F.lit, LOOK_AHEAD)))).withColumn("_at", F.col("t") + F.col("ahead"))
     moved = F.col("x") + F.col("speed") * F.cos("heading") * F.col("ahead") * dt
-    contacts = there.select("token", "proposal", F.lit("lead").alias("object"), "t", "ahead", "speed", (F.col("lead_x") > F.col("x")).alias("in_front"), F.lit(False).alias("initially_hit"), near(moved).alias("_hit")).where("_hit")
+    contacts = there.select("token", "proposal", F.lit("lead").alias("object"), "t", "ahead", "speed", (lead_place(F.col("_at"), dt) > F.col("x")).alias("in_front"), F.lit(False).alias("initially_hit"), near(moved, F.col("_at")).alias("_hit")).where("_hit")
     ttc = ttc_fold(contacts, ["token", "proposal"], dt)
     both = now.join(ttc, ["token", "proposal"], "left").withColumn("ttc", F.coalesce("ttc", F.lit(1.0))).withColumn("first_time", F.coalesce("first_time", F.lit(float("inf"))))
     scored = scoring.normalised_progress(both.withColumnRenamed("progress", "raw"), "raw", F.col("collision"), "token")
@@ -97,9 +96,12 @@ def closed_loop(starts: DataFrame, steps: int = 40, dt: float = 0.1) -> DataFram
 
 def plan(starts: DataFrame, steps: int = 40, longer: int = 50, dt: float = 0.1) -> DataFrame:
     """(token, t, x, y, heading) of the best proposal, unrolled to `longer` steps, or of the brake path where an infraction is close and the vehicle slow."""
-    scores = closed_loop(starts, steps, dt)
-    winners = scoring.best_proposal(scores, "token", "score", "proposal").select("token", "proposal").join(scores.select("token", "proposal", "first_time"), ["token", "proposal"])
-    unrolled = planning.unroll_proposals(starts, steps=steps, dt=dt).join(winners.select("token", "proposal"), ["token", "proposal"]).unionByName(extended(starts, winners, steps, longer, dt).select("token", "proposal", "t", "s", "offset", "speed"))
+    # a row a call, read by every branch below; dealt out, as the calls are few and each is much work
+    starts = cut(starts)
+    starts = starts.repartition(int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+    best = F.max_by(F.struct("proposal", "first_time"), F.struct(F.col("score"), -F.col("proposal")))
+    winners = cut(closed_loop(starts, steps, dt).groupBy("token").agg(best.alias("b")).select("token", "b.*"))
+    unrolled = extended(starts, winners, 0, longer, dt)
     poses = unrolled.select("token", "t", F.col("s").alias("x"), F.col("offset").alias("y"), F.lit(0.0).alias("heading"))
     at = starts.select("token", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"), "speed", "accel")
     return with_emergency_brake(poses, at, winners.select("token", "first_time"), longer, dt)

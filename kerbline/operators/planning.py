@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,30 +106,33 @@ def idm_paths(speed: np.ndarray, target: np.ndarray, gap: np.ndarray, lead: np.n
     return out_s, out_v
 
 
-def unroll_proposals(starts: DataFrame, fractions: tuple[float, ...] = FRACTIONS, laterals: tuple[float, ...] = LATERALS, steps: int = 40, dt: float = 0.1) -> DataFrame:
+def unroll_proposals(starts: DataFrame, fractions: tuple[float, ...] = FRACTIONS, laterals: tuple[float, ...] = LATERALS, steps: int = 40, dt: float = 0.1, only: str | None = None) -> DataFrame:
     """starts: (token, speed, limit, lead_gap, lead_speed).  One proposal per lateral offset and target fraction, each
-    with its own lead state: (token, proposal, t, s, offset, speed)."""
+    with its own lead state: (token, proposal, t, s, offset, speed).  only: a column with the one proposal that is wanted of a start."""
     grid = [(lat, f) for lat in laterals for f in fractions]
+    whole = np.arange(len(grid), dtype=np.int32)
+    fraction, lateral = np.array([f for _, f in grid]), np.array([lat for lat, _ in grid])
 
     def run(batches):
         for pdf in batches:
-            n, m = len(pdf), len(grid)
+            n, m = len(pdf), 1 if only else len(grid)
+            of = pdf[only].to_numpy(np.int32) if only else np.tile(whole, n)
             each = lambda c: np.repeat(pdf[c].to_numpy(float), m)
             limit = np.repeat(pdf.limit.fillna(FREE_SPEED).to_numpy(float), m)
-            s, v = idm_paths(each("speed"), limit * np.tile([f for _, f in grid], n), each("lead_gap"), each("lead_speed"), steps, dt)
+            s, v = idm_paths(each("speed"), limit * fraction[of], each("lead_gap"), each("lead_speed"), steps, dt)
             yield pd.DataFrame(
                 {
                     "token": np.repeat(pdf.token.to_numpy(), m * steps),
-                    "proposal": np.tile(np.repeat(np.arange(m, dtype=np.int32), steps), n),
+                    "proposal": np.repeat(of, steps),
                     "t": np.tile(np.arange(1, steps + 1, dtype=np.int32), n * m),
                     "s": s.ravel(),
-                    "offset": np.tile(np.repeat([lat for lat, _ in grid], steps), n),
+                    "offset": np.repeat(lateral[of], steps),
                     "speed": v.ravel(),
                 }
             )
 
     kind = dict(starts.dtypes)["token"]
-    return starts.select("token", "speed", "limit", "lead_gap", "lead_speed").mapInPandas(run, f"token {kind}, proposal int, t int, s double, offset double, speed double")
+    return starts.select("token", "speed", "limit", "lead_gap", "lead_speed", *([only] if only else [])).mapInPandas(run, f"token {kind}, proposal int, t int, s double, offset double, speed double")
 
 
 # ------------------------------------------------------------------ vehicle model and tracker
@@ -176,15 +180,13 @@ def lqr_commands(state: np.ndarray, reference: np.ndarray, dt: float, horizon: i
     heading = np.arctan2(np.sin(state[:, 2] - h_ref), np.cos(state[:, 2] - h_ref))
     turn = np.diff(np.unwrap(reference[:, :, 2], axis=1), axis=1)
     curvature = turn.sum(axis=1) / np.maximum(np.abs(reference[:, 1:, 3]).sum(axis=1) * dt, 1e-3)
-    rate = np.zeros(len(v))
-    for i in range(len(v)):
-        t = np.arange(1, horizon + 1) * dt
-        # heading and offset after t with a constant steering rate u, without and per unit of u
-        free_h = heading[i] + v[i] / WHEELBASE * (steer[i] - np.arctan(curvature[i] * WHEELBASE)) * t
-        gain_h = v[i] / WHEELBASE * t**2 / 2
-        free_e = lateral[i] + v[i] * (heading[i] * t + (free_h - heading[i]) * t / 2)
-        gain_e = v[i] * v[i] / WHEELBASE * t**3 / 6
-        rate[i] = -(gain_h @ (10 * free_h) + gain_e @ free_e) / (gain_h @ (10 * gain_h) + gain_e @ gain_e + 1.0)
+    t, speed, angle = np.arange(1, horizon + 1) * dt, v[:, None], heading[:, None]
+    # heading and offset after t with a constant steering rate u, without and per unit of u
+    free_h = angle + speed / WHEELBASE * (steer - np.arctan(curvature * WHEELBASE))[:, None] * t
+    gain_h = speed / WHEELBASE * t**2 / 2
+    free_e = lateral[:, None] + speed * (angle * t + (free_h - angle) * t / 2)
+    gain_e = speed * speed / WHEELBASE * t**3 / 6
+    rate = -(gain_h * (10 * free_h) + gain_e * free_e).sum(axis=1) / ((gain_h * (10 * gain_h) + gain_e * gain_e).sum(axis=1) + 1.0)
     stopped = (np.abs(v) <= stop_speed) & (np.abs(reference[:, -1, 3]) <= stop_speed)
     return np.where(stopped, -0.5 * v, accel), np.where(stopped, 0.0, rate)
 
@@ -202,19 +204,59 @@ def simulate_states(reference: np.ndarray, dt: float, horizon: int = 10) -> np.n
     return np.stack(out, axis=1)
 
 
+#: Columns of a state, and steps that are worked on abreast at most, so that a task's memory does not follow the batch.
+STATE, ABREAST = ("x", "y", "heading", "speed", "acceleration", "steering"), 200_000
+
+
 def simulate(references: DataFrame, dt: float = 0.1) -> DataFrame:
     """references: (token, proposal, t, x, y, heading, speed).  Returns (token, proposal, t, x, y, heading, speed, acceleration, steering)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for p, rows in pdf.sort_values(["proposal", "t"]).groupby("proposal"):
-            states = simulate_states(rows[["x", "y", "heading", "speed"]].to_numpy(float)[None], dt)[0]
-            done = pd.DataFrame(states, columns=["x", "y", "heading", "speed", "acceleration", "steering"])
-            parts.append(done.assign(token=rows.token.iloc[0], proposal=p, t=rows.t.to_numpy()))
-        return pd.concat(parts)[["token", "proposal", "t", "x", "y", "heading", "speed", "acceleration", "steering"]]
+    names = ("x", "y", "heading", "speed")
+
+    def run(batches):
+        for batch in batches:
+            token, proposal, lists = (batch.column(i) for i in range(3))
+            flat, ends = lists.flatten(), lists.offsets.to_numpy()
+            steps, begin = np.diff(ends), ends[:-1] - ends[0]
+            values = np.stack([flat.field(n).to_numpy(zero_copy_only=False).astype(float) for n in names], axis=1)
+            for n in np.unique(steps):
+                alike = np.flatnonzero(steps == n)
+                for rows in np.array_split(alike, max(1, len(alike) * n // ABREAST)):
+                    at = begin[rows, None] + np.arange(n)
+                    states = simulate_states(values[at], dt).reshape(-1, 6)
+                    each = pa.array(np.repeat(rows, n))
+                    yield pa.RecordBatch.from_arrays([token.take(each), proposal.take(each), flat.field("t").take(pa.array(at.ravel())), *map(pa.array, states.T.copy())], ["token", "proposal", "t", *STATE])
 
     kind = dict(references.dtypes)["token"]
-    return references.groupBy("token").applyInPandas(run, f"token {kind}, proposal int, t int, x double, y double, heading double, speed double, acceleration double, steering double")
+    whole = references.groupBy("token", F.col("proposal").cast("int").alias("proposal")).agg(F.sort_array(F.collect_list(F.struct(F.col("t").cast("int").alias("t"), *names))).alias("r"))
+    return whole.mapInArrow(run, f"token {kind}, proposal int, t int, " + ", ".join(f"{c} double" for c in STATE))
+
+
+def drive_proposals(starts: DataFrame, steps: int = 40, dt: float = 0.1) -> DataFrame:
+    """The columns of starts (token, speed, limit, lead_gap, lead_speed) but speed and limit, and proposal, t and the states of each proposal of unroll_proposals as the
+    tracker drives it: made and tracked where the start lies, all of a batch abreast, so no step of a reference is sent anywhere."""
+    kept = [c for c in starts.columns if c not in ("speed", "limit")]
+    fraction, lateral = np.tile(FRACTIONS, len(LATERALS)), np.repeat(LATERALS, len(FRACTIONS))
+    m = len(fraction)
+
+    def run(batches):
+        for batch in batches:
+            for since in range(0, batch.num_rows, max(1, ABREAST // (m * (steps + 1)))):
+                some = batch.slice(since, max(1, ABREAST // (m * (steps + 1))))
+                n = some.num_rows
+                values = {c: np.repeat(some.column(c).to_numpy(zero_copy_only=False).astype(float), m) for c in ("speed", "limit", "lead_gap", "lead_speed")}
+                limit = np.where(np.isnan(values["limit"]), FREE_SPEED, values["limit"])
+                s, v = idm_paths(values["speed"], limit * np.tile(fraction, n), values["lead_gap"], values["lead_speed"], steps, dt)
+                reference = np.zeros((n * m, steps + 1, 4))
+                reference[:, 1:, 0], reference[:, :, 1], reference[:, 0, 3], reference[:, 1:, 3] = s, np.tile(lateral, n)[:, None], values["speed"], v
+                states = simulate_states(reference, dt).reshape(-1, 6)
+                each = pa.array(np.repeat(np.arange(n), m * (steps + 1)))
+                places = [np.tile(np.repeat(np.arange(m, dtype=np.int32), steps + 1), n), np.tile(np.arange(steps + 1, dtype=np.int32), n * m)]
+                yield pa.RecordBatch.from_arrays([*[some.column(c).take(each) for c in kept], *map(pa.array, places), *map(pa.array, states.T.copy())], [*kept, "proposal", "t", *STATE])
+
+    kinds = dict(starts.dtypes)
+    own = starts.select(*[F.col(c).cast("double").alias(c) if c in ("speed", "limit") else c for c in starts.columns])
+    return own.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in kept], "proposal int, t int", *[f"{c} double" for c in STATE]]))
 
 
 def emergency_brake(first_infraction: float, speed: float, limit_time: float = 2.0, limit_speed: float = 5.0) -> bool:
