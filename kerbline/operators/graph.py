@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import heapq
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,31 +63,45 @@ def _lane_path(lanes: dict, out: dict, start: str, goal_block: str) -> tuple[lis
     return path[::-1], goal is not None
 
 
+def _by_token(*parts: DataFrame) -> DataFrame:
+    """(token, p0, p1, ...): the rows of each part as an array of structs of its other columns, one row a token; one exchange of small rows, whatever sizes the parts are taken for."""
+    names = [[c for c in p.columns if c != "token"] for p in parts]
+    kinds = ["struct<" + ", ".join(f"{c}: {k}" for c, k in p.dtypes if c != "token") + ">" for p in parts]
+    own = [p.select("token", *[F.struct(*names[i]).alias(f"p{i}") if i == k else F.lit(None).cast(kinds[k]).alias(f"p{k}") for k in range(len(parts))]) for i, p in enumerate(parts)]
+    return functools.reduce(DataFrame.unionByName, own).groupBy("token").agg(*[F.collect_list(f"p{k}").alias(f"p{k}") for k in range(len(parts))])
+
+
+def _edges_out(edges: list) -> dict:
+    out: dict = {}
+    for src, dst in sorted((e["src"], e["dst"]) for e in edges if e["src"] is not None and e["dst"] is not None):
+        out.setdefault(src, []).append(dst)
+    return out
+
+
 def lane_paths(asked: DataFrame, lanes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(token, lanes, found): one search per token over the lanes of its own route.
+    """(token, lanes, found, cost): one search per token over the lanes of its own route; the cost counts the first lane as 1.
 
     asked: (token, start_lane, goal_block); lanes: (token, lane_id, roadblock_id, length); edges: (token, src, dst).
-    A token's route has a bounded number of lanes, so a group fits a task.
+    A token's route has a bounded number of lanes, so a group fits a task; a batch holds many tokens.
     """
 
-    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"token": [], "lanes": [], "found": []})
-        ask = left.iloc[0]
-        known = {r.src: (r.roadblock_id, r.length) for r in right[right.kind == "lane"].itertuples()}
-        out: dict = {}
-        for r in right[right.kind == "edge"].sort_values(["src", "dst"]).itertuples():
-            out.setdefault(r.src, []).append(r.dst)
-        if ask.start_lane not in known:
-            return pd.DataFrame({"token": [ask.token], "lanes": [[]], "found": [False]})
-        path, found = _lane_path(known, out, ask.start_lane, ask.goal_block)
-        return pd.DataFrame({"token": [ask.token], "lanes": [path], "found": [found]})
-
-    both = lanes.select("token", F.lit("lane").alias("kind"), F.col("lane_id").alias("src"), F.lit(None).cast("string").alias("dst"), "roadblock_id", F.col("length").cast("double")).unionByName(
-        edges.select("token", F.lit("edge").alias("kind"), "src", "dst", F.lit(None).cast("string").alias("roadblock_id"), F.lit(None).cast("double").alias("length"))
-    )
+    def run(batches):
+        for batch in batches:
+            rows: dict = {"token": [], "lanes": [], "found": [], "cost": []}
+            for r in batch.to_pylist():
+                if not r["p0"] or not (r["p1"] or r["p2"]):
+                    continue
+                ask = r["p0"][0]
+                known = {e["lane_id"]: (e["roadblock_id"], e["length"]) for e in r["p1"]}
+                path, found = _lane_path(known, _edges_out(r["p2"]), ask["start_lane"], ask["goal_block"]) if ask["start_lane"] in known else ([], False)
+                for k, v in zip(rows, (r["token"], path, found, sum((known[x][1] for x in path[1:]), 1.0) if path else None), strict=True):
+                    rows[k].append(v)
+            token = pa.array(rows["token"], batch.schema.field("token").type)
+            yield pa.RecordBatch.from_arrays([token, pa.array(rows["lanes"], pa.list_(pa.string())), pa.array(rows["found"], pa.bool_()), pa.array(rows["cost"], pa.float64())], list(rows))
+
     kind = dict(asked.dtypes)["token"]
-    return asked.groupBy("token").cogroup(both.groupBy("token")).applyInPandas(search, f"token {kind}, lanes array<string>, found boolean")
+    parts = _by_token(asked.select("token", "start_lane", "goal_block"), lanes.select("token", "lane_id", "roadblock_id", F.col("length").cast("double").alias("length")), edges.select("token", "src", "dst"))
+    return parts.mapInArrow(run, f"token {kind}, lanes array<string>, found boolean, cost double")
 
 
 def lanes_of_route(route: DataFrame, lanes: DataFrame) -> DataFrame:
@@ -145,14 +159,18 @@ def repaired_route(route: list, out: dict, back_depth: int = 15, link_depth: int
 def repair_routes(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """routes: (token, start, blocks array); edges: (token, src, dst) near the route.  Returns (token, blocks)."""
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        for r in right.sort_values(["src", "dst"]).itertuples():
-            out.setdefault(r.src, []).append(r.dst)
-        return pd.DataFrame({"token": left.token, "blocks": [repaired_route(list(b), out, start=s) for b, s in zip(left.blocks, left.start, strict=True)]})
+    def run(batches):
+        for batch in batches:
+            token, blocks = [], []
+            for r in batch.to_pylist():
+                out = _edges_out(r["p1"]) if r["p0"] else {}
+                for route in r["p0"]:
+                    token.append(r["token"])
+                    blocks.append(repaired_route(route["blocks"], out, start=route["start"]))
+            yield pa.RecordBatch.from_arrays([pa.array(token, batch.schema.field("token").type), pa.array(blocks, pa.list_(pa.string()))], ["token", "blocks"])
 
     kind = dict(routes.dtypes)["token"]
-    return routes.groupBy("token").cogroup(edges.groupBy("token")).applyInPandas(one, f"token {kind}, blocks array<string>")
+    return _by_token(routes.select("token", "start", "blocks"), edges.select("token", "src", "dst")).mapInArrow(run, f"token {kind}, blocks array<string>")
 
 
 def convex_overlap(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float:
