@@ -51,8 +51,14 @@ def rasterised(rows: DataFrame, x: Column, y: Column) -> DataFrame:
 
 
 def hits(rows: DataFrame, occupied: DataFrame, on: list[str], x: Column, y: Column) -> DataFrame:
-    """Rows whose footprint meets an occupied cell."""
-    return rasterised(rows.select(*on, x.alias("_x"), y.alias("_y")), F.col("_x"), F.col("_y")).join(occupied, [*on, "row", "col"], "left_semi").select(*on).distinct()
+    """Rows whose footprint meets an occupied cell of the grid: the footprint is a block of cells, so the cells of a key are held against its borders and it is never spread out."""
+    cells = footprint_cells()
+    row, col = F.floor(y / CELL).cast("long") + CELLS // 2, F.floor(x / CELL).cast("long") + CELLS // 2
+    own = rows.select(*on, row.alias("_row"), col.alias("_col"))
+    held = occupied.where(f"row BETWEEN 0 AND {CELLS - 1} AND col BETWEEN 0 AND {CELLS - 1}").select(*[F.col(c).alias(f"_on_{c}") for c in on], "row", "col")
+    same = [F.col(c) == F.col(f"_on_{c}") for c in on]
+    inside = [(F.col(c) - F.col(f"_{c}")).between(min(k), max(k)) for c, k in zip(("row", "col"), zip(*cells, strict=True), strict=True)]
+    return own.join(held, [*same, *inside], "left_semi").select(*on).distinct()
 
 
 def collisions_where_truth_is_free(predicted: DataFrame, truth_hits: DataFrame, predicted_hits: DataFrame, on: list[str]) -> DataFrame:
