@@ -45,11 +45,11 @@ def let(value: Column, use) -> Column:
 
 
 def _lines(body: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, "[\t\r]", " "))), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(body, F.lit("")), "[\t\r]", " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def sections(text: Column) -> dict[str, Column]:
-    """Body of each section (null if the header is missing): from its first header to the next header that was found."""
+def _bodies(text: Column) -> Column:
+    """array of the bodies of SECTIONS; text is named often, so it is a column or bound by let."""
     found = []
     for s in SECTIONS:
         pattern = rf"(?i)\b{s}\s*:"
@@ -63,10 +63,18 @@ def sections(text: Column) -> dict[str, Column]:
 
         return F.transform(heads, body)
 
-    every = let(F.array(*found), bodies)
+    return let(F.array(*found), bodies)
+
+
+def _named(every: Column) -> dict[str, Column]:
     return {s: F.get(every, F.lit(k)) for k, s in enumerate(SECTIONS)}
 
 
+def sections(text: Column) -> dict[str, Column]:
+    """Body of each section (null if the header is missing): from its first header to the next header that was found."""
+    return _named(let(text, _bodies))
+
+
 _ENTITY = r"^(\w+)\s*=\s*(\w+)\s*\{([^}]*)\}"
 
 
@@ -142,10 +150,10 @@ def action(body: Column) -> Column:
 
 def parse(text: Column, vocab: Vocabulary) -> Column:
     """The whole document as a struct; `errors` is empty if it parsed."""
-    return let(F.struct(*[c.alias(n) for n, c in sections(text).items()]), lambda body: _parsed(body, vocab))
+    return let(let(text, _bodies), lambda every: _parsed(_named(every), vocab))
 
 
-def _parsed(body: Column, vocab: Vocabulary) -> Column:
+def _parsed(body: dict[str, Column], vocab: Vocabulary) -> Column:
     parts = {
         "entities": entities(body["PERCEPTION"], vocab),
         "operations": operations(body["OPERATIONS"]),

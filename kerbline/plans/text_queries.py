@@ -9,6 +9,7 @@ from kerbline.functions import classify, symbolic, text
 from kerbline.functions.symbolic import Condition, Vocabulary
 from kerbline.operators import vocabulary
 from kerbline.registry import query, r6, table
+from kerbline.session import spread
 
 #: A small vocabulary of our own for the queries below; real ones are read from files (kerbline.sources.vocabularies).
 VOCAB = Vocabulary(
@@ -38,7 +39,7 @@ _D = f"docs AS (SELECT c_custkey AS id, {_DOC} AS text FROM customer)"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_DOC).alias("text"))
+    return spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("id"), F.expr(_DOC).alias("text"))
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,9 @@ def parse_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parse_rules", f"WITH {_D} SELECT id, unnest(['LeadStopped', 'RedLight']) AS name, unnest([true, false]) AS expected, 'KeepLane' AS lateral, 'Stop' AS longitudinal FROM docs")
 def parse_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _parsed(spark, sf_dir).select("id", F.explode("doc.rules").alias("r"))
+    rules = symbolic.rules(symbolic.sections(F.col("text"))["RULES"])
+    # explode would have the documents parsed once more for each half of a filter on the array's size
+    r = _docs(spark, sf_dir).select("id", F.explode_outer(rules).alias("r")).where("r IS NOT NULL")
     return r.select("id", F.explode("r.conditions").alias("c"), "r.lateral", "r.longitudinal").select("id", "c.name", "c.expected", "lateral", "longitudinal")
 
 
