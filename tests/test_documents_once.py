@@ -11,3 +11,9 @@ def test_rules_come_from_one_search_of_a_document(spark, sf_dir):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_instr(") == len(SECTIONS)
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_printed_document_is_printed_once(spark, sf_dir):
+    plan = QUERIES["print_round_trip"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\nPERCEPTION:\n") + plan.count("\nOPERATIONS:\n") <= 2  # the printer names either header once
+    assert plan.count("regexp_instr(") == 2 * len(SECTIONS)
