@@ -7,8 +7,12 @@ array value beside the rows, so matching stays in generated code.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbline.functions import geometry as geo
@@ -55,20 +59,86 @@ def nearest_codes(rows: DataFrame, codebook: DataFrame, corners: str = "corners"
     return joined.withColumn("_n", nearest_word(F.col(corners), F.col("words"))).select(*rows.columns, F.col("_n.token_id").alias("token_id"), F.col("_n.distance").alias("distance"))
 
 
-def _greedy_seeds(corners: list, tolerance: float, most: int) -> list[int]:
-    """Places of the boxes that no earlier seed is near to, in order; distances as in corner_distance, bit by bit."""
-    cx, cy = np.array(corners, dtype=float).transpose(2, 1, 0)  # corner by box
-    free, seeds = np.ones(len(corners), dtype=bool), []
+def _mapped(f: Callable, *columns: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(f, *[c.tolist() for c in columns]), float, len(columns[0]))
+
+
+def _segments_in_c(x: np.ndarray, y: np.ndarray, h: np.ndarray, ox: np.ndarray, oy: np.ndarray, oh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    dx, dy, turn = x - ox, y - oy, h - oh
+    cos, sin = _mapped(math.cos, oh), _mapped(math.sin, oh)
+    return dx * cos + dy * sin, dy * cos - dx * sin, _mapped(math.atan2, _mapped(math.sin, turn), _mapped(math.cos, turn))
+
+
+def exact_segments(poses: DataFrame, by: str, order: str) -> DataFrame:
+    """As segments, with the C library's sine, cosine and arc tangent, as SQL engines outside the JVM have them: the JVM's differ in
+    the last bit at times, which decides where a distance is at a tolerance.  Angles are finite."""
+    w = along(by, order)
+    names = ("x", "y", "heading")
+    own = [F.col(n).cast("double") for n in names]
+
+    @F.pandas_udf("dx double, dy double, dh double")
+    def local(x: pd.Series, y: pd.Series, h: pd.Series, ox: pd.Series, oy: pd.Series, oh: pd.Series) -> pd.DataFrame:
+        found = _segments_in_c(*[c.to_numpy(float) for c in (x, y, h, ox, oy, oh)])
+        return pd.DataFrame(dict(zip(("dx", "dy", "dh"), found, strict=True)))
+
+    before = poses.select(by, order, *own, *[F.coalesce(F.lag(n).over(w), c).alias(f"_{n}") for n, c in zip(names, own, strict=True)])
+    return before.select(by, order, local(*names, *[f"_{n}" for n in names]).alias("_s")).select(by, order, "_s.*")
+
+
+def _corners_in_c(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of boxes, a row for each corner, by the C library."""
+    cos, sin = _mapped(math.cos, h), _mapped(math.sin, h)
+    signs = ((1, 1), (1, -1), (-1, -1), (-1, 1))
+    return (
+        np.array([x + a * (LENGTH / 2) * cos - b * (WIDTH / 2) * sin for a, b in signs]),
+        np.array([y + a * (LENGTH / 2) * sin + b * (WIDTH / 2) * cos for a, b in signs]),
+    )
+
+
+def _near(cx: np.ndarray, cy: np.ndarray, sx: np.ndarray, sy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which boxes (corner by box) are near to a seed (its four corners).  power(v, 2) of the C library is not always v * v, so
+    distances at the tolerance are worked out again with it."""
+    dx, dy = cx - sx[:, None], cy - sy[:, None]
+    mean = lambda d: (d[0] + d[1] + d[2] + d[3]) / 4
+    d = mean(np.sqrt(dx * dx + dy * dy))
+    close = np.flatnonzero(np.abs(d - tolerance) <= 1e-9 * max(1.0, tolerance))
+    if len(close):
+        square = lambda v: np.array([_mapped(lambda q: math.pow(q, 2.0), c) for c in v[:, close]])
+        d[close] = mean(np.sqrt(square(dx) + square(dy)))
+    return d <= tolerance
+
+
+def _greedy_seeds(cx: np.ndarray, cy: np.ndarray, tolerance: float, most: int) -> list[int]:
+    """Places of the boxes that no earlier seed is near to, in order; nearness as in the tasks, bit by bit."""
+    free, seeds = np.ones(cx.shape[1], dtype=bool), []
     while len(seeds) < most and free.any():
         at = int(free.argmax())
-        dx, dy = cx - cx[:, at, None], cy - cy[:, at, None]
-        d = np.sqrt(dx * dx + dy * dy)
-        free &= (d[0] + d[1] + d[2] + d[3]) / 4 > tolerance
+        free &= ~_near(cx, cy, cx[:, at], cy[:, at], tolerance)
         free[at] = False
         seeds.append(at)
     return seeds
 
 
+def _first_near(x: np.ndarray, y: np.ndarray, h: np.ndarray, seeds: list[tuple[int, np.ndarray, np.ndarray]], by_cell: dict[tuple[int, int], list[int]], tolerance: float) -> np.ndarray:
+    """Number of the first seed that each box is near to, -1 if there is none; only the seeds of its own grid cell are looked at."""
+    out = np.full(len(x), -1)
+    cx, cy = _corners_in_c(x, y, h)
+    cells, which = np.unique(np.floor(np.array([x, y]) / tolerance), axis=1, return_inverse=True)
+    which = which.ravel()
+    by = np.argsort(which, kind="stable")
+    ends = np.searchsorted(which[by], np.arange(cells.shape[1] + 1))
+    for c, cell in enumerate(cells.T.tolist()):
+        rows = by[ends[c] : ends[c + 1]]
+        for s in by_cell.get((int(cell[0]), int(cell[1])), ()):
+            if not len(rows):
+                break
+            k, sx, sy = seeds[s]
+            hit = _near(cx[:, rows], cy[:, rows], sx, sy, tolerance)
+            out[rows[hit]] = k
+            rows = rows[~hit]
+    return out
+
+
 def disk_clusters(points: DataFrame, n: int, tolerance: float, id_col: str = "segment_id", chunk: int = 4096) -> DataFrame:
     """(token_id, x, y, heading, members): take the point with the smallest id that is left, average all within
     `tolerance` (mean corner distance) of it, take them away; at most n times, fewer if no point is left.
@@ -83,27 +153,37 @@ def disk_clusters(points: DataFrame, n: int, tolerance: float, id_col: str = "se
     spark, names = points.sparkSession, ("x", "y", "heading")
     finite = [F.abs(F.col(c)) < float("inf") for c in names]
     left = cut(points.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).where(finite[0] & finite[1] & finite[2]))
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     found, rows = 0, []
     while found < n:
-        first = left.orderBy(id_col, *names).limit(chunk).select(*names, corners_array(*map(F.col, names)).alias("corners")).collect()
+        first = left.orderBy(id_col, *names).limit(chunk).select(*names).collect()
         if not first:
             break
-        seeds = [(found + k, *first[at][:3], first[at].corners) for k, at in enumerate(_greedy_seeds([r.corners for r in first], tolerance, n - found))]
-        found += len(seeds)
-        placed = spark.createDataFrame(seeds, "k int, x double, y double, heading double, corners array<struct<x: double, y: double>>")
-        placed = placed.select("k", "corners", cell("x").alias("cx"), cell("y").alias("cy")).withColumn("at", F.explode(around))
-        by_cell = placed.groupBy((F.col("cx") + F.col("at.i")).alias("cx"), (F.col("cy") + F.col("at.j")).alias("cy")).agg(F.sort_array(F.collect_list(F.struct("k", "corners"))).alias("seeds"))
-        # nine rows a seed at most, and seeds are at most MOST_WORDS
-        met = left.withColumn("cx", cell("x")).withColumn("cy", cell("y")).withColumn("own", corners_array(*map(F.col, names))).join(F.broadcast(by_cell), ["cx", "cy"], "left")
-        near = F.filter("seeds", lambda s: corner_distance(F.col("own"), s.corners) / 4 <= tolerance)
-        taken = cut(met.select(id_col, *names, F.get(near, F.lit(0)).k.alias("k")))
-        rows += taken.where("k IS NOT NULL").groupBy("k").agg(*[F.avg(c) for c in names], F.count("*")).collect()
-        left = taken.where("k IS NULL").drop("k")
+        taken = cut(left.withColumn("k", _nearest_seed(spark, np.array(first, dtype=float).T, found, tolerance, n - found)(*names)))
+        rows += taken.where("k >= 0").groupBy("k").agg(*[F.avg(c) for c in names], F.count("*")).collect()
+        found = 1 + max(r.k for r in rows)  # every seed is near to itself
+        left = taken.where("k < 0").drop("k")
     return spark.createDataFrame(sorted(map(tuple, rows)), "token_id int, x double, y double, heading double, members long")
 
 
+def _nearest_seed(spark: SparkSession, first: np.ndarray, found: int, tolerance: float, most: int) -> Callable:
+    """A UDF over (x, y, heading): the number of the first near seed of those among the boxes `first`, counted from `found`."""
+    cx, cy = _corners_in_c(*first)
+    places = _greedy_seeds(cx, cy, tolerance, most)
+    seeds = [(found + k, cx[:, at], cy[:, at]) for k, at in enumerate(places)]
+    by_cell: dict[tuple[int, int], list[int]] = {}
+    for s, at in enumerate(places):  # nine cells a seed, and seeds are at most MOST_WORDS
+        i, j = (math.floor(first[c, at] / tolerance) for c in (0, 1))
+        for cell in [(i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]:
+            by_cell.setdefault(cell, []).append(s)
+    shared = spark.sparkContext.broadcast((seeds, by_cell))
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series, y: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_first_near(*[c.to_numpy(float) for c in (x, y, h)], *shared.value, tolerance))
+
+    return nearest
+
+
 def _word_pose(state: Column, corners: Column) -> Column:
     """Pose after a word: the middle of its corners, and the direction from left back to left front."""
     placed = F.transform(

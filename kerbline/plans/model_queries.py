@@ -63,7 +63,7 @@ def _kdisk_sql(n: int, tolerance: float) -> str:
 
 @query("kdisk_det", _kdisk_sql(8, 0.5))
 def kdisk_det(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _segments(spark, sf_dir).select((F.col("log") * 1000000 + F.col("idx")).alias("segment_id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dh").alias("heading"))
+    own = tokens.exact_segments(poses(spark, sf_dir), "log", "idx").select((F.col("log") * 1000000 + F.col("idx")).alias("segment_id"), F.col("dx").alias("x"), F.col("dy").alias("y"), F.col("dh").alias("heading"))
     return tokens.disk_clusters(own, 8, 0.5).select("token_id", r6("x").alias("x"), r6("y").alias("y"), r6("heading").alias("heading"), "members")
 
 
