@@ -62,10 +62,14 @@ def write_sample_files(rows: DataFrame, path: str, latest: Iterable[str] = ()) -
     """One document a file, in a folder named by its token.  Of rows with one token the last in the order of `latest` stays, as
     a later file would overwrite; a token that is there already is written anew, all others are left alone.
 
-    Rows go to tasks by token; a task writes its files one after the other.  Null tokens share the folder of no name.
+    Rows go to tasks by token, as many as shuffles have, and a task writes its files one after the other.  Null tokens share the folder of no name.
     """
     last = keep_last(rows, ["token"], [*latest, F.to_json(F.struct(*rows.columns))])
-    named = last.withColumn("sample", F.col("token")).repartition("sample")
+    spark = rows.sparkSession
+    # a stated number and a hash that the rows aren't dealt by yet, or the exchange is left out: adaptive execution would join
+    # small parts to one task, and a file costs more than its bytes
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    named = last.withColumn("sample", F.col("token")).repartition(tasks, F.xxhash64("sample"))
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample").json(path)
 
 

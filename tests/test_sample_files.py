@@ -20,3 +20,11 @@ def test_rows_that_tie_give_one_file(spark, tmp_path):
     rows = [("a", "x")] * 3 + [("b", "x"), ("b", "y")]
     samples.write_sample_files(spark.createDataFrame(rows, "token string, cot_output string"), path)
     assert sorted((r.token, r.cot_text) for r in samples.read_samples(spark, {path: "/r"}).collect()) == [("a", "x"), ("b", "y")]
+
+
+def test_small_sample_files_are_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "many")
+    samples.write_sample_files(spark.range(40).selectExpr("'t' || id AS token", "'x' AS cot_output"), path)
+    files = list((tmp_path / "many").rglob("part-*.json"))
+    assert len(files) == 40
+    assert len({f.name.split("-")[1] for f in files}) > 1  # numbers of the tasks
